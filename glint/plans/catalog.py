@@ -39,3 +39,4 @@ def round_doubles(df: DataFrame, places: int = 9) -> DataFrame:
 # Import the query modules so their ``register`` calls run.
 from glint.plans import q_signals  # noqa: E402,F401
 from glint.plans import q_history  # noqa: E402,F401
+from glint.plans import q_memory  # noqa: E402,F401
