@@ -67,7 +67,8 @@ def _block_fn(k: int, metric: str, exhaustive: bool):
         x = _matrix(items["_ivec"], None)
         q = _matrix(queries["_qvec"], x.shape[1])
         s = _scores(q, x, metric)
-        key = -s if better_high else s           # smaller key = better
+        # smaller key = better; compared at 9 places like the final ranking
+        key = np.round(-s if better_high else s, 9)
         out_q, out_i, out_s, out_b = [], [], [], []
         for r, qid in enumerate(queries["_qid"].to_numpy(dtype="int64")):
             row = key[r]
@@ -124,7 +125,7 @@ def top_k(items: DataFrame, queries: DataFrame, k: int, metric: str = "dot", **k
     """
     cand = block_scan(items, queries, k, metric, **kw)
     asc = not HIGHER_IS_BETTER[metric]
-    order = F.col("score").asc() if asc else F.col("score").desc()
+    order = F.round("score", 9).asc() if asc else F.round("score", 9).desc()
     w = Window.partitionBy("query_id").orderBy(order, F.col("item_id"))
     best = F.min("block_best") if asc else F.max("block_best")
     wb = Window.partitionBy("query_id")

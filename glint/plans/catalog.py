@@ -40,3 +40,4 @@ def round_doubles(df: DataFrame, places: int = 9) -> DataFrame:
 from glint.plans import q_signals  # noqa: E402,F401
 from glint.plans import q_history  # noqa: E402,F401
 from glint.plans import q_memory  # noqa: E402,F401
+from glint.plans import q_retrieval  # noqa: E402,F401

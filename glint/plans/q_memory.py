@@ -127,7 +127,7 @@ _L2_SQL = "list_sum(list_transform(list_zip(q.embedding, m.embedding), lambda t:
 mv AS (SELECT m.*, e.embedding::DOUBLE[] AS embedding FROM memories m JOIN embeddings e ON e.vec_id = m.memory_id
        WHERE m.importance >= 0.3),
 d AS (SELECT q.query_id, m.memory_id, {_L2_SQL} AS distance FROM queries q, mv m)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, memory_id)::INTEGER AS rank,
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), memory_id)::INTEGER AS rank,
        memory_id, round(distance, 9) AS distance
 FROM d QUALIFY rank <= 5""")
 def memory_search(spark, sf):
@@ -143,7 +143,7 @@ _DOT_SQL = ("CASE WHEN d.embedding IS NULL THEN 0.0 ELSE "
 
 @register("vector_scores", f"""WITH {S.DOCUMENTS}, {S.QUERIES},
 s AS (SELECT q.query_id, d.doc_id, {_DOT_SQL} AS score FROM queries q, docs d)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank,
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INTEGER AS rank,
        doc_id, round(score, 9) AS score, round(max(score) OVER (PARTITION BY query_id), 9) AS best
 FROM s QUALIFY rank <= 10""")
 def vector_scores(spark, sf):
