@@ -28,9 +28,42 @@ def clip(col, n: int) -> Column:
     return F.concat(F.substring(_c(col), 1, n), F.lit("..."))
 
 
+def fmt_fixed(col, places: int = 2) -> Column:
+    """Number to text with ``places`` decimals, rounded like Python's ``f"{x:.2f}"``.
+
+    Java's formatter rounds the shortest decimal form half up (0.975 -> '0.98');
+    Python and C round the exact binary value (0.975 is 0.97499.. -> '0.97').
+    Here ``|x| * 10**places`` is split exactly into ``p + err`` (Dekker's product,
+    plain double arithmetic), so the rounding sees the exact value; exact ties go
+    to even. All built-in column arithmetic, no UDF.
+    """
+    x = _c(col).cast("double")
+    scale = float(10 ** places)
+    a = F.abs(x)
+    p = a * F.lit(scale)
+    c = a * F.lit(134217729.0)
+    hi = c - (c - a)
+    lo = a - hi
+    err = (hi * F.lit(scale) - p) + lo * F.lit(scale)
+    fl = F.floor(p)
+    fr = p - fl
+    q = (F.when(fr > 0.5, fl + 1).when(fr < 0.5, fl)
+         .when(err > 0, fl + 1).when(err < 0, fl)
+         .otherwise(fl + F.pmod(fl, F.lit(2))))
+    unit = 10 ** places
+    frac = F.lpad(F.pmod(q, F.lit(unit)).cast("string"), places, "0")
+    whole = ((q - F.pmod(q, F.lit(unit))) / F.lit(unit)).cast("long").cast("string")
+    body = F.concat(whole, F.lit("."), frac) if places > 0 else whole
+    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
+    return (F.when(x.isNull(), F.lit(None).cast("string"))
+            .when(F.isnan(x), F.lit("nan"))
+            .when(a == F.lit(float("inf")), F.concat(sign, F.lit("inf")))
+            .otherwise(F.concat(sign, body)))
+
+
 def fmt2(col) -> Column:
-    """Number to text with 2 decimals (V17); for display only."""
-    return F.format_string("%.2f", _c(col))
+    """Number to text with 2 decimals (V17), rounded like the reference's Python."""
+    return fmt_fixed(col, 2)
 
 
 def split_sentiment(col) -> Column:

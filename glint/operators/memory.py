@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glint.functions.text import collect_text
+from glint.functions.text import collect_text, fmt_fixed
 from glint.operators.vectors import top_k
 
 # The memory types, all of which appear in statistics.
@@ -66,7 +66,7 @@ def search_memories(memories: DataFrame, queries: DataFrame, limit: int = 5, met
 def memory_line(content, importance) -> F.Column:
     """'- {content} (Importance: {x})' with importance to 4 places."""
     return F.concat(F.lit("- "), content, F.lit(" (Importance: "),
-                    F.format_string("%.4f", importance), F.lit(")"))
+                    fmt_fixed(importance, 4), F.lit(")"))
 
 
 def consolidation_prompt(date, memories_text) -> F.Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glint.functions import scalar as SC
+from glint.functions.text import fmt_fixed
 from glint.operators import memory as M
 from glint.operators import vectors as V
 from glint.plans import bindings as B
@@ -97,7 +98,7 @@ SELECT memory_id, 'importance,k,symbol,timestamp' AS keys,
 FROM memories""")
 def metadata_merge(spark, sf):
     """caller metadata (with a stale 'importance') merged with computed keys; computed wins."""
-    m = B.memories(spark, sf).withColumn("_imp", F.format_string("%.4f", F.col("importance")))
+    m = B.memories(spark, sf).withColumn("_imp", fmt_fixed(F.col("importance"), 4))
     caller = F.map_concat(F.col("metadata"), F.create_map(F.lit("importance"), F.lit("stale")))
     computed = F.create_map(F.lit("importance"), F.col("_imp"),
                             F.lit("timestamp"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"))
