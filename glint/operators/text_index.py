@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glint.functions.text import tokenize
+from glint.session import spread
 
 K1 = 1.5
 B = 0.75
@@ -47,8 +48,8 @@ def term_freq(docs: DataFrame, doc_id: str = "doc_id", text: str = "content",
               tokens: DataFrame | None = None) -> DataFrame:
     """Postings ``doc_id, term, tf, dl`` (A3). Documents without tokens have no
     postings but still count in ``n_docs`` and the average length."""
-    t = tokens if tokens is not None else docs.select(F.col(doc_id).alias("doc_id"),
-                                                      tokenize(text).alias("tokens"))
+    t = tokens if tokens is not None else spread(docs).select(F.col(doc_id).alias("doc_id"),
+                                                              tokenize(text).alias("tokens"))
     t = t.withColumn("dl", F.size("tokens"))
     return (t.select("doc_id", "dl", F.explode("tokens").alias("term"))
             .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
@@ -59,8 +60,8 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "content",
     """Corpus statistics (A4). Okapi: ``idf = ln(N - df + 0.5) - ln(df + 0.5)``, a
     negative idf replaced by ``0.25 * mean(idf)`` (mean over all terms, negatives
     included). ``plus1``: ``ln(1 + (N - df + 0.5) / (df + 0.5))``."""
-    t = tokens if tokens is not None else docs.select(F.col(doc_id).alias("doc_id"),
-                                                      tokenize(text).alias("tokens"))
+    t = tokens if tokens is not None else spread(docs).select(F.col(doc_id).alias("doc_id"),
+                                                              tokenize(text).alias("tokens"))
     t = t.persist(StorageLevel.MEMORY_AND_DISK)
     c = t.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl")).first()
     n, avgdl = int(c["n"]), float(c["avgdl"] or 0.0)

@@ -64,8 +64,9 @@ def _block_fn(k: int, metric: str, exhaustive: bool):
         if len(items) == 0 or len(queries) == 0:
             return empty
         ids = items["_iid"].to_numpy(dtype="int64")
-        x = _matrix(items["_ivec"], None)
-        q = _matrix(queries["_qvec"], x.shape[1])
+        dim = next((len(v) for v in list(items["_ivec"]) + list(queries["_qvec"]) if v is not None), 0)
+        x = _matrix(items["_ivec"], dim)      # a missing vector scores as zeros
+        q = _matrix(queries["_qvec"], dim)
         s = _scores(q, x, metric)
         # smaller key = better; compared at 9 places like the final ranking
         key = np.round(-s if better_high else s, 9)

@@ -11,6 +11,8 @@ from glint.operators.vectors import top_k
 from glint.plans import bindings as B
 from glint.plans import sqlbind as S
 from glint.plans.catalog import register, round_doubles
+from glint.session import shared_dir
+from glint.sources.index_store import load_index, save_index
 
 TOK_DOCS = f"toks AS (SELECT doc_id, {S.tokens('text')} AS t FROM documents)"
 
@@ -34,9 +36,20 @@ QT_PLAIN = f"""qt AS (SELECT query_id, term, count(*) AS qn
   FROM (SELECT item_id AS query_id, unnest({S.tokens('text')}) AS term FROM benchmark) GROUP BY 1, 2)"""
 
 
+_SNAPSHOTS: dict = {}
+
+
 def _index(spark, sf, variant="okapi"):
-    d = B.table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
-    return T.build_index(d, variant=variant)
+    """The corpus index, built once per session and input, stored as a snapshot in
+    the shared folder (S7) and loaded from there (S8) by every retrieval query."""
+    key = (id(spark), sf, variant)
+    if key not in _SNAPSHOTS:
+        d = B.table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+        idx = T.build_index(d, variant=variant)
+        base = shared_dir(spark, "bm25")
+        _SNAPSHOTS[key] = save_index(idx, base, version=variant)
+        idx.postings.unpersist()
+    return load_index(spark, _SNAPSHOTS[key])
 
 
 @register("term_freq", f"""WITH {TOK_DOCS}
@@ -176,7 +189,7 @@ def high_relevance(spark, sf):
     return round_doubles(R.high_relevance(_reranked(spark, sf)))
 
 
-WINDOW = ("2024-01-02 00:00:00", "2024-01-03 00:00:00")
+WINDOW = ("2024-01-01 12:00:00", "2024-01-02 12:00:00")
 ENH_SQL = f"""'Context: Market Context: - Current Time: ' || strftime(TIMESTAMP '{B.NOW}', '%Y-%m-%d %H:%M:%S')
   || ' - Trading Session: ' || CASE WHEN hour(TIMESTAMP '{B.NOW}') BETWEEN 9 AND 16
                                    THEN 'Normal Trading Hours' ELSE 'Extended Hours' END
@@ -210,3 +223,23 @@ def time_window_retrieve(spark, sf):
     idx = _index(spark, sf)
     return round_doubles(R.hybrid_scores(idx, B.documents(spark, sf), _enhanced_queries(spark, sf),
                                          k=5, min_relevance=0.5, start=WINDOW[0], end=WINDOW[1]))
+
+
+@register("index_roundtrip", f"""WITH {BM25_CORE}, {QT_PLAIN}, {bm25_sql('qt')}
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, doc_id)::INTEGER AS rank,
+       doc_id, round(bm25, 9) AS bm25
+FROM bm QUALIFY rank <= 10""")
+def index_roundtrip(spark, sf):
+    """Build, save two snapshots, load the newest by modified time, score; the
+    scores equal those of the index before saving."""
+    import datetime as dt
+    from glint.sources.index_store import load_latest
+    d = B.table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    base = shared_dir(spark, "snapshots")
+    stale = T.build_index(d.filter(F.col("doc_id") % 2 == 0))      # an older, different index
+    save_index(stale, base, "old", mtime=dt.datetime(2024, 1, 1))
+    save_index(T.build_index(d), base, "new", mtime=dt.datetime(2024, 1, 2))
+    idx = load_latest(spark, base)
+    q = B.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    s = T.bm25_scores(idx, T.query_terms(q))
+    return round_doubles(T.top_by(s, 10, "bm25").select("query_id", "rank", "doc_id", "bm25"))

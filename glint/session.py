@@ -16,6 +16,7 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -62,3 +63,13 @@ def cut_lineage(df):
     """Reliable checkpoint (survives executor loss); never localCheckpoint."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df):
+    """Round-robin a DataFrame over the cluster when it has fewer partitions than
+    cores (one big file, one row group). Inputs already split finer are left as
+    they are, so on a large cluster reading many files this adds no shuffle."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
