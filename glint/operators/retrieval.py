@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from glint.functions.vector import cosine, dot
 from glint.operators.text_index import BM25Index, bm25_scores, query_terms, top_by
-from glint.operators.vectors import block_scan
+from glint.operators.vectors import block_scan, top_k
 
 W_BM25 = 0.4
 W_SEM = 0.6
@@ -126,3 +126,15 @@ def fuse_nodes(vector_hits: DataFrame, bm25_hits: DataFrame, wv: float = 0.7, wb
     return top_by(j, k, "score", tie="node_id").select("query_id", "rank", "node_id", "score",
                                                       F.col("v").alias("vector_score"),
                                                       F.col("b").alias("bm25_score"))
+
+
+def contextual_retrieve(index: BM25Index, docs: DataFrame, queries: DataFrame, k: int = 3,
+                        query_tokens: str = "tokens") -> DataFrame:
+    """T5: the vector retriever's top ``k`` (cosine) and the BM25 retriever's top ``k``
+    (``index`` built on the same token processing as ``query_tokens``), fused by
+    ``fuse_nodes`` and cut to ``k`` again."""
+    v = top_k(docs.select(F.col("doc_id").alias("item_id"), "embedding"), queries, k, "cosine")
+    v = v.select("query_id", F.col("item_id").alias("node_id"), "score")
+    bm = bm25_scores(index, query_terms(queries, tokens=query_tokens))
+    b = top_by(bm, k, "bm25").select("query_id", F.col("doc_id").alias("node_id"), F.col("bm25").alias("score"))
+    return fuse_nodes(v, b, 0.7, 0.3, k)

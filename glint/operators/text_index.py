@@ -94,7 +94,10 @@ def bm25_scores(index: BM25Index, qterms: DataFrame, k1: float = K1, b: float =
     """
     q = bounded_broadcast(qterms.join(index.terms.select("term", "idf"), "term"))
     avgdl = index.avgdl if index.avgdl > 0 else 1.0
-    part = (F.col("qn") * F.col("idf") * F.col("tf") * F.lit(k1 + 1)
+    # Okapi (first retriever) scales tf by k1 + 1; the plus1 variant (second
+    # retriever, Lucene form) does not. The ranking is the same, the values differ.
+    scale = k1 + 1 if index.variant == "okapi" else 1.0
+    part = (F.col("qn") * F.col("idf") * F.col("tf") * F.lit(scale)
             / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl))))
     return (index.postings.join(q, "term")
             .groupBy("query_id", "doc_id").agg(F.sum(part).alias("bm25")))

@@ -243,3 +243,61 @@ def index_roundtrip(spark, sf):
     q = B.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     s = T.bm25_scores(idx, T.query_terms(q))
     return round_doubles(T.top_by(s, 10, "bm25").select("query_id", "rank", "doc_id", "bm25"))
+
+
+def _ctx_tokens(df, text, stem):
+    from glint.functions.stem import remove_stop_words, stem_tokens
+    t = remove_stop_words(tokenize(text))
+    return stem_tokens(t) if stem else t
+
+
+def _contextual(spark, sf, stem):
+    from glint.session import spread
+    docs = spread(B.documents(spark, sf))
+    toks = docs.select("doc_id", _ctx_tokens(docs, "content", stem).alias("tokens"))
+    idx = T.build_index(None, variant="plus1", tokens=toks)
+    q = B.queries(spark, sf)
+    q = q.withColumn("tokens", _ctx_tokens(q, "query", stem))
+    return round_doubles(R.contextual_retrieve(idx, docs, q, k=3))
+
+
+_SW = ", ".join("'" + w.replace("'", "''") + "'" for w in __import__("glint.functions.stem", fromlist=["x"]).STOP_WORDS)
+
+
+@register("contextual_retrieve", f"""WITH {S.DOCUMENTS}, {S.QUERIES},
+toks AS (SELECT doc_id, list_filter({S.tokens('content')}, lambda x: x NOT IN ({_SW})) AS t FROM docs),
+tf AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl
+       FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM toks) GROUP BY 1, 2),
+c AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS avgdl FROM toks),
+idf AS (SELECT term, ln(1 + (c.n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, c GROUP BY term, c.n),
+qt AS (SELECT query_id, term, count(*) AS qn FROM (
+         SELECT query_id, unnest(list_filter({S.tokens('query')}, lambda x: x NOT IN ({_SW}))) AS term FROM queries)
+       GROUP BY 1, 2),
+bm AS (SELECT qt.query_id, tf.doc_id AS node_id,
+              sum(qt.qn * idf.idf * tf.tf / (tf.tf + 1.5 * (0.25 + 0.75 * tf.dl / c.avgdl))) AS score
+       FROM qt JOIN idf USING (term) JOIN tf USING (term), c GROUP BY 1, 2),
+bt AS (SELECT * FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, node_id) <= 3),
+vs AS (SELECT q.query_id, d.doc_id AS node_id,
+              CASE WHEN d.embedding IS NULL OR q.embedding IS NULL THEN 0.0
+                   ELSE coalesce(list_cosine_similarity(q.embedding, d.embedding), 0.0) END AS score
+       FROM queries q CROSS JOIN docs d),
+vt AS (SELECT * FROM vs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, node_id) <= 3),
+f AS (SELECT coalesce(vt.query_id, bt.query_id) AS query_id, coalesce(vt.node_id, bt.node_id) AS node_id,
+             vt.score AS vector_score, bt.score AS bm25_score,
+             CASE WHEN vt.score IS NOT NULL AND bt.score IS NOT NULL THEN 0.7::DOUBLE * vt.score + 0.3::DOUBLE * bt.score
+                  ELSE coalesce(vt.score, bt.score) END AS score
+      FROM vt FULL OUTER JOIN bt ON vt.query_id = bt.query_id AND vt.node_id = bt.node_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, node_id)::INTEGER AS rank,
+       node_id, round(score, 9) AS score, round(vector_score, 9) AS vector_score, round(bm25_score, 9) AS bm25_score
+FROM f QUALIFY rank <= 3""")
+def contextual_retrieve(spark, sf):
+    """J1/A6/T5 + V8: cosine top 3 and BM25 (ln(1 + ...) idf, stop words removed) top 3,
+    fused 0.7 / 0.3, top 3. Stemming off here so DuckDB can check it."""
+    return _contextual(spark, sf, stem=False)
+
+
+@register("bm25_stemmed")
+def bm25_stemmed(spark, sf):
+    """V2 + V8: the same retrieval with Porter-stemmed terms (no SQL stemmer to compare with;
+    checked by unit tests against a plain-Python brute force)."""
+    return _contextual(spark, sf, stem=True)
