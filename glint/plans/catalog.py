@@ -42,3 +42,4 @@ from glint.plans import q_history  # noqa: E402,F401
 from glint.plans import q_memory  # noqa: E402,F401
 from glint.plans import q_retrieval  # noqa: E402,F401
 from glint.plans import q_assemble  # noqa: E402,F401
+from glint.plans import q_models  # noqa: E402,F401
