@@ -22,7 +22,10 @@ def _c(c) -> Column:
 
 
 def clamp01(col) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), _c(col).cast("double")))
+    """Clamp to [0, 1]; NULL stays NULL (``least``/``greatest`` would skip it)."""
+    x = _c(col).cast("double")
+    return F.when(x.isNull(), F.lit(None).cast("double")) \
+        .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def parse_score(col, default: float = DEFAULT_IMPORTANCE) -> Column:

@@ -55,13 +55,14 @@ def consolidate(spark, sf):
                                   F.sha2(F.col("content"), 256).alias("text_sha256")))
 
 
-@register("resolve_importance", f"""WITH {S.memories()}
+@register("resolve_importance", f"""WITH {S.memories()},
+sc AS (SELECT *, TRY_CAST(trim(CASE WHEN memory_type = 'market_event' THEN 'n/a' ELSE '0.' || k END) AS DOUBLE) AS s
+       FROM memories)
 SELECT memory_id,
   round(CASE WHEN importance = 1.0
-             THEN coalesce(greatest(0.0, least(1.0, TRY_CAST(trim(
-                    CASE WHEN memory_type = 'market_event' THEN 'n/a' ELSE '0.' || k END) AS DOUBLE))), 0.5)
+             THEN coalesce(CASE WHEN s IS NOT NULL THEN greatest(0.0, least(1.0, s)) END, 0.5)
              ELSE importance END, 9) AS importance
-FROM memories""")
+FROM sc""")
 def resolve_importance(spark, sf):
     """Unscored memories (importance exactly 1.0) take a parsed model score."""
     m = B.memories(spark, sf)
