@@ -5,18 +5,9 @@ Combined score per (query, doc): ``0.4 * bm25 / max_bm25 + 0.6 * sem / max_sem``
 (each term 0 when its maximum is not above 0), top ``k`` by it (ties by doc id),
 then kept when ``>= min_relevance``; optionally re-ranked by a second score.
 
-Exact without scoring all pairs as rows:
-  1. BM25 for documents sharing a term with the query (postings join).
-  2. Per item block, the ``k`` best documents by semantic score, and the block
-     maximum (``vectors.block_scan``); maxima per query come from these.
-  3. Exact combined score of those candidates; the k-th best is a lower bound
-     ``tau`` of the final k-th score.
-  4. BM25 documents whose bound ``0.4 * bm25n + 0.6`` reaches ``tau`` get their exact
-     semantic score by joins. A document outside both sets has no BM25 match and
-     is beaten by the k candidates of its own block, so it cannot enter the top k
-     with a positive score (``min_relevance > 0``). Okapi idf is never negative
-     after its floor unless the corpus mean idf is negative; that case and
-     ``min_relevance <= 0`` fall back to scoring every pair in the blocks.
+Exact without scoring all pairs as rows: both scores are computed per (document
+block, query block) cell in two passes, maxima first, then each cell's top k by
+the combined score (``glint.operators.scoring``).
 """
 
 from __future__ import annotations
@@ -25,8 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glint.functions.vector import cosine, dot
+from glint.operators.scoring import hybrid_topk
 from glint.operators.text_index import BM25Index, bm25_scores, query_terms, top_by
-from glint.operators.vectors import block_scan, top_k
+from glint.operators.vectors import top_k
 
 W_BM25 = 0.4
 W_SEM = 0.6
@@ -43,57 +35,11 @@ def hybrid_scores(index: BM25Index, docs: DataFrame, queries: DataFrame, k: int
     """``query_id, rank, doc_id, relevance_score, bm25, semantic`` after top-k and threshold.
 
     ``docs``: ``doc_id, embedding[, timestamp]``; ``queries``: ``query_id, <query_text>,
-    embedding``. ``start``/``end`` keep documents whose timestamp is in the window (F8).
+    embedding``. ``start``/``end`` keep documents whose timestamp is in the window (F8);
+    the index statistics stay those of the whole corpus. Scored in document x query
+    blocks (``glint.operators.scoring``): exact, no pair rows shuffled.
     """
-    d = docs
-    if start is not None and end is not None:
-        d = d.filter(F.col("timestamp").between(F.lit(start).cast("timestamp_ntz"),
-                                                F.lit(end).cast("timestamp_ntz")))
-    dv = d.select("doc_id", F.col("embedding").alias("d_vec"))
-    qv = queries.select("query_id", F.col("embedding").alias("q_vec"))
-    bm = bm25_scores(index, query_terms(queries, text=query_text))
-    if start is not None and end is not None:
-        bm = bm.join(d.select("doc_id"), "doc_id", "left_semi")
-    mean_negative = index.variant == "okapi" and \
-        index.terms.filter(F.col("idf") < 0).limit(1).count() > 0
-    exhaustive = min_relevance <= 0 or mean_negative
-    cand = block_scan(d.select(F.col("doc_id").alias("item_id"), "embedding"), queries, k, "dot",
-                      exhaustive=exhaustive)
-    stats = (bm.groupBy("query_id").agg(F.max("bm25").alias("max_bm25"))
-             .join(cand.groupBy("query_id").agg(F.max("block_best").alias("max_sem")), "query_id", "full")
-             .select("query_id", F.coalesce("max_bm25", F.lit(0.0)).alias("max_bm25"),
-                     F.coalesce("max_sem", F.lit(0.0)).alias("max_sem")))
-
-    def combine(df):
-        return df.withColumn("relevance_score",
-                             F.lit(w_bm25) * _norm("bm25", "max_bm25") + F.lit(w_sem) * _norm("semantic", "max_sem"))
-
-    c = (cand.select("query_id", F.col("item_id").alias("doc_id"), F.col("score").alias("semantic"))
-         .join(bm, ["query_id", "doc_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-         .join(stats, "query_id"))
-    c = combine(c)
-    if exhaustive:
-        allc = c
-    else:
-        tau = (top_by(c, k, "relevance_score").groupBy("query_id")
-               .agg(F.min("relevance_score").alias("tau"), F.count(F.lit(1)).alias("n")))
-        bound = F.lit(w_bm25) * _norm("bm25", "max_bm25") + \
-            F.when(F.col("max_sem") > 0, F.lit(w_sem)).otherwise(F.lit(0.0))
-        a = (bm.join(stats, "query_id").join(tau, "query_id", "left")
-             .filter(F.col("tau").isNull() | (F.col("n") < k) | (bound >= F.col("tau")))
-             .join(dv, "doc_id", "left").join(qv, "query_id", "left")
-             .withColumn("semantic", F.when(F.col("d_vec").isNull() | F.col("q_vec").isNull(), F.lit(0.0))
-                         .otherwise(dot("q_vec", "d_vec")))
-             .drop("d_vec", "q_vec", "tau", "n"))
-        a = combine(a)
-        cols = ["query_id", "doc_id", "bm25", "semantic", "relevance_score"]
-        allc = (a.select(*cols).withColumn("_p", F.lit(0))
-                .unionByName(c.select(*cols).withColumn("_p", F.lit(1))))
-        w = Window.partitionBy("query_id", "doc_id").orderBy("_p")
-        allc = allc.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r", "_p")
-    top = top_by(allc, k, "relevance_score")
-    return (top.filter(F.col("relevance_score") >= F.lit(min_relevance))
-            .select("query_id", "rank", "doc_id", "relevance_score", "bm25", "semantic"))
+    return hybrid_topk(index, docs, queries, k, min_relevance, w_bm25, w_sem, start, end, query_text)
 
 
 def rerank(hits: DataFrame, doc_vecs: DataFrame, query_vecs: DataFrame) -> DataFrame:

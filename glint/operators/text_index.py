@@ -42,6 +42,16 @@ class BM25Index:
     n_docs: int
     avgdl: float
     variant: str = "okapi"
+    forward: DataFrame | None = None     # doc_id, dl, terms[], tfs[]: one row per document
+
+
+def forward_index(postings: DataFrame) -> DataFrame:
+    """One row per document with its distinct terms and their counts (for block scoring:
+    a document block ships as few rows, not one row per posting)."""
+    g = postings.groupBy("doc_id").agg(F.first("dl").alias("dl"),
+                                       F.collect_list(F.struct("term", "tf")).alias("_p"))
+    return g.select("doc_id", "dl", F.transform("_p", lambda x: x["term"]).alias("terms"),
+                    F.transform("_p", lambda x: x["tf"]).alias("tfs"))
 
 
 def term_freq(docs: DataFrame, doc_id: str = "doc_id", text: str = "content",
@@ -76,7 +86,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "content",
         terms = dfs.withColumn("idf", F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     else:
         raise ValueError(variant)
-    return BM25Index(post, terms, n, avgdl, variant)
+    return BM25Index(post, terms, n, avgdl, variant, forward_index(post))
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "query",

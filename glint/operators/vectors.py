@@ -110,9 +110,9 @@ def block_scan(items: DataFrame, queries: DataFrame, k: int, metric: str = "dot"
     if query_blocks is None:
         query_blocks = max(1, math.ceil(qs.count() / queries_per_block))
     it = (it.withColumn("_b", F.pmod(F.xxhash64("_iid"), F.lit(item_blocks)))
-          .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))))
+          .withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long")))))
     qs = (qs.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(query_blocks)))
-          .withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1)))))
+          .withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(item_blocks - 1).cast("long")))))
     return (it.groupBy("_b", "_qb").cogroup(qs.groupBy("_b", "_qb"))
             .applyInPandas(_block_fn(k, metric, exhaustive),
                            schema="query_id long, item_id long, score double, block_best double"))

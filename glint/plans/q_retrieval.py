@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from glint.functions.text import enhance_query, tokenize, truncate_tokens
 from glint.operators import retrieval as R
 from glint.operators import text_index as T
+from glint.operators.scoring import bm25_topk
 from glint.operators.vectors import top_k
 from glint.plans import bindings as B
 from glint.plans import sqlbind as S
@@ -73,8 +74,8 @@ def bm25_okapi(spark, sf):
     """Top 10 documents per benchmark query by Okapi BM25."""
     idx = _index(spark, sf)
     q = B.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    s = T.bm25_scores(idx, T.query_terms(q))
-    return round_doubles(T.top_by(s, 10, "bm25").select("query_id", "rank", "doc_id", "bm25"))
+    docs = B.table(spark, sf, "documents").select("doc_id")
+    return round_doubles(bm25_topk(idx, docs, q, 10))
 
 
 @register("truncate_tokens", f"""WITH {TOK_DOCS}
@@ -241,8 +242,7 @@ def index_roundtrip(spark, sf):
     save_index(T.build_index(d), base, "new", mtime=dt.datetime(2024, 1, 2))
     idx = load_latest(spark, base)
     q = B.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    s = T.bm25_scores(idx, T.query_terms(q))
-    return round_doubles(T.top_by(s, 10, "bm25").select("query_id", "rank", "doc_id", "bm25"))
+    return round_doubles(bm25_topk(idx, d.select("doc_id"), q, 10))
 
 
 def _ctx_tokens(df, text, stem):

@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from glint.operators.history import latest_snapshot
-from glint.operators.text_index import BM25Index
+from glint.operators.text_index import BM25Index, forward_index
 
 
 def save_index(index: BM25Index, base: str, version: str, series: int = 0,
@@ -24,6 +24,8 @@ def save_index(index: BM25Index, base: str, version: str, series: int = 0,
     path = f"{base.rstrip('/')}/rag_index_{version}"
     index.postings.write.mode("overwrite").parquet(f"{path}/postings")
     index.terms.select("term", "df", "idf").write.mode("overwrite").parquet(f"{path}/terms")
+    fwd = index.forward if index.forward is not None else forward_index(index.postings)
+    fwd.write.mode("overwrite").parquet(f"{path}/forward")
     spark.createDataFrame([(index.n_docs, float(index.avgdl), index.variant)],
                           "n_docs long, avgdl double, variant string") \
         .write.mode("overwrite").parquet(f"{path}/corpus")
@@ -37,7 +39,7 @@ def save_index(index: BM25Index, base: str, version: str, series: int = 0,
 def load_index(spark: SparkSession, path: str) -> BM25Index:
     c = spark.read.parquet(f"{path}/corpus").first()
     return BM25Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"),
-                     int(c["n_docs"]), float(c["avgdl"]), c["variant"])
+                     int(c["n_docs"]), float(c["avgdl"]), c["variant"], spark.read.parquet(f"{path}/forward"))
 
 
 def load_latest(spark: SparkSession, base: str, series: int = 0) -> BM25Index:
