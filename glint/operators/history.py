@@ -103,27 +103,32 @@ def throttle(events: DataFrame, key: str = "symbol", ts: str = "timestamp", id_c
     """Greedy throttle (W11): accept a row if at least ``gap`` passed since the last
     *accepted* row of its key. Returns the accepted rows.
 
-    A row more than ``gap`` after its predecessor is always accepted, so the
-    history splits into independent runs at such gaps. Run starts come from a
-    chunked ``lag`` with carry-in; each row finds its run by an as-of join; the
-    sequential rule then runs per (key, chunk of the run start) in ``applyInPandas``.
+    A row at least ``gap`` after its predecessor is always accepted, so the
+    history splits into independent runs at such gaps. Predecessors and run
+    starts come from windows over (key, time chunk) with a carry-in from earlier
+    chunks (two small per-chunk tables); the sequential rule then runs per
+    (key, chunk of the run start) in ``applyInPandas``.
     """
     gap_us = gap_seconds * 1_000_000
-    e = events.select(F.col(key).alias("_k"), F.col(ts).alias("_ts"), F.col(id_col).alias("_id"))
+    e = events.select(F.col(key).alias("symbol"), F.col(ts).alias("_ts"), F.col(id_col).alias("_id"))
     e = e.withColumn("_t", F.unix_micros(F.col("_ts").cast("timestamp"))) \
          .withColumn("_c", chunk_of("_ts", chunk_seconds))
-    w = Window.partitionBy("_k", "_c").orderBy("_t", "_id")
+    w = Window.partitionBy("symbol", "_c").orderBy("_t", "_id")
+    before = Window.partitionBy("symbol").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    # Previous row's time; the first row of a chunk takes the last time of earlier chunks.
     e = e.withColumn("_prev", F.lag("_t").over(w))
-    last_in_chunk = e.groupBy("_k", "_c").agg(F.max("_t").alias("_mx"))
-    carry = last_in_chunk.withColumn(
-        "_pc", F.max("_mx").over(Window.partitionBy("_k").orderBy("_c")
-                                 .rowsBetween(Window.unboundedPreceding, -1))).select("_k", "_c", "_pc")
-    e = e.join(carry, ["_k", "_c"], "left").withColumn("_prev", F.coalesce("_prev", "_pc"))
-    starts = e.filter(F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= gap_us)) \
-        .select(F.col("_k").alias("symbol"), F.col("_ts").alias("timestamp"), F.col("_t").alias("_run"))
-    rows = e.select(F.col("_k").alias("symbol"), F.col("_ts").alias("timestamp"), "_t", "_id")
-    tagged = asof_join(rows, starts, chunk_seconds=chunk_seconds) \
-        .select("symbol", "_t", "_id", F.col("right._run").alias("_run"))
+    last_t = e.groupBy("symbol", "_c").agg(F.max("_t").alias("_mx")) \
+        .withColumn("_pc", F.max("_mx").over(before)).select("symbol", "_c", "_pc")
+    e = e.join(last_t, ["symbol", "_c"], "left").withColumn("_prev", F.coalesce("_prev", "_pc"))
+    # A run starts after a gap of at least ``gap``; every row finds the start of its run,
+    # across chunks through the latest start of earlier chunks.
+    e = e.withColumn("_s", F.when(F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= gap_us),
+                                  F.col("_t")))
+    e = e.withColumn("_run", F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    last_s = e.groupBy("symbol", "_c").agg(F.max("_s").alias("_ms")) \
+        .withColumn("_ps", F.max("_ms").over(before)).select("symbol", "_c", "_ps")
+    tagged = e.join(last_s, ["symbol", "_c"], "left") \
+        .select("symbol", "_t", "_id", F.coalesce("_run", "_ps").alias("_run"))
     # Runs are grouped by the chunk of their start: whole runs, few groups.
     tagged = tagged.withColumn("_rc", F.floor(F.col("_run") / F.lit(chunk_seconds * 1_000_000)))
     acc = tagged.groupBy("symbol", "_rc").applyInPandas(

@@ -70,13 +70,21 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "content",
     """Corpus statistics (A4). Okapi: ``idf = ln(N - df + 0.5) - ln(df + 0.5)``, a
     negative idf replaced by ``0.25 * mean(idf)`` (mean over all terms, negatives
     included). ``plus1``: ``ln(1 + (N - df + 0.5) / (df + 0.5))``."""
-    t = tokens if tokens is not None else spread(docs).select(F.col(doc_id).alias("doc_id"),
-                                                              tokenize(text).alias("tokens"))
-    t = t.persist(StorageLevel.MEMORY_AND_DISK)
-    c = t.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl")).first()
-    n, avgdl = int(c["n"]), float(c["avgdl"] or 0.0)
+    if tokens is None:
+        # Hash-partition the documents by id once: postings (grouped by doc and term) and
+        # the forward index (grouped by doc) then need no shuffle of their own.
+        par = max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
+        t = docs.repartition(par, F.col(doc_id)).select(F.col(doc_id).alias("doc_id"),
+                                                         tokenize(text).alias("tokens"))
+    else:
+        t = tokens
+    # Only the postings are cached; N is a row count and the average length is the
+    # sum of all term counts over N (documents without tokens count with length 0).
     post = term_freq(None, tokens=t).persist(StorageLevel.MEMORY_AND_DISK)
-    dfs = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = t.count()
+    total = post.agg(F.sum("tf")).first()[0] or 0
+    avgdl = float(total) / n if n else 0.0
+    dfs = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).persist(StorageLevel.MEMORY_AND_DISK)
     if variant == "okapi":
         raw = dfs.withColumn("raw", F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
         mean_idf = raw.agg(F.avg("raw")).first()[0] or 0.0
