@@ -73,3 +73,16 @@ def iso(ts) -> Column:
     c = _c(ts)
     return F.when(F.date_format(c, "SSSSSS") == "000000", F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")) \
         .otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+def with_defaults(df, defaults: dict):
+    """fill NULLs of the named columns with the reference's fallbacks
+    (importance 0.5, rerank 0.0, zero vector, error decision, no-insights text)."""
+    out = df
+    for name, value in defaults.items():
+        if isinstance(value, (list, tuple)):
+            lit = F.array(*[F.lit(v) for v in value]).cast(df.schema[name].dataType)
+        else:
+            lit = F.lit(value).cast(df.schema[name].dataType)
+        out = out.withColumn(name, F.coalesce(F.col(name), lit))
+    return out

@@ -114,3 +114,34 @@ def history_prompt(history_text, decision) -> F.Column:
         F.lit("\n</decision>\n\nPlease provide a brief context (2-3 sentences) that situates this trading "
               "decision within the overall history,\nfocusing on patterns, relationships, and significance. "
               "Answer with just the context."))
+
+
+def decide(analyses: DataFrame, decide_fn=None, sentiment_fn=None, text: str = "analysis_text") -> DataFrame:
+    """Decision record per analysis (U3 + V14 + F13): ``recommendation``, ``confidence``
+    (the model finished normally), ``sentiment`` (its answer split on ', ').
+
+    ``decide_fn(texts) -> [(text, finished)]`` and ``sentiment_fn(texts) -> [text]`` run in
+    batches on the executors; without them, or when a batch fails, the record is the
+    reference's error decision: 'Error analyzing trading opportunity', False, ['uncertain'].
+    """
+    from glint.functions.scalar import ERROR_DECISION, ERROR_SENTIMENT
+    from glint.functions.text import split_sentiment
+    from glint.operators.models import enrich
+
+    def as_text(fn):
+        if fn is None:
+            return None
+
+        def run(texts):
+            return ["\x1f".join([str(a), "1" if f else "0"]) for a, f in fn(texts)]
+        return run
+    d = enrich(analyses, text, as_text(decide_fn), "_d", "")
+    d = d.withColumn("recommendation", F.when(F.col("_d") == "", F.lit(ERROR_DECISION))
+                     .otherwise(F.substring_index("_d", "\x1f", 1)))
+    d = d.withColumn("confidence", F.coalesce(F.substring_index("_d", "\x1f", -1) == "1", F.lit(False))
+                     & (F.col("_d") != ""))
+    d = enrich(d, "recommendation", sentiment_fn, "_s", "")
+    failed = (F.col("_d") == "") | (F.col("_s") == "")      # a failed decision has no sentiment call
+    return (d.withColumn("sentiment", F.when(failed, F.array(F.lit(ERROR_SENTIMENT)))
+                         .otherwise(split_sentiment("_s")))
+            .drop("_d", "_s"))

@@ -168,3 +168,32 @@ def sentiment_split(spark, sf):
     c = B.table(spark, sf, "conversations")
     parts = split_sentiment("text")
     return c.select("conv_id", "turn", F.size(parts).alias("n_parts"), F.element_at(parts, 1).alias("first_part"))
+
+
+@register("analysis_assemble", f"""{ANALYSIS_SQL.split('t AS (SELECT symbol, trend')[0].rstrip().rstrip(',')}
+SELECT symbol, round(close, 9) AS close, round(sma_20, 9) AS sma_20, trend, volatility_level,
+       length(news_text)::BIGINT AS news_length, length(academic_text)::BIGINT AS academic_length,
+       length(financial_text)::BIGINT AS financial_length, length(memories_text)::BIGINT AS memories_length
+FROM a""")
+def analysis_assemble(spark, sf):
+    """One row per symbol joining indicators, context, research and past decisions,
+    each reduced per symbol before the join."""
+    a = _assembled(spark, sf)
+    return round_doubles(a.select(
+        "symbol", "close", "sma_20", "trend", "volatility_level",
+        F.length("news_text").cast("long").alias("news_length"),
+        F.length("academic_text").cast("long").alias("academic_length"),
+        F.length("financial_text").cast("long").alias("financial_length"),
+        F.length("memories_text").cast("long").alias("memories_length")))
+
+
+@register("trading_decision", f"""{ANALYSIS_SQL.split('t AS (SELECT symbol, trend')[0].rstrip().rstrip(',')}
+SELECT symbol, 'Error analyzing trading opportunity' AS recommendation, false AS confidence,
+       1::INTEGER AS n_sentiment, 'uncertain' AS first_sentiment
+FROM a""")
+def trading_decision(spark, sf):
+    """U3 + V14 + F13: the decision of each analysis; with no model reachable every
+    symbol gets the reference's error decision."""
+    d = A.decide(A.analysis_text(_assembled(spark, sf), B.NOW))
+    return d.select("symbol", "recommendation", "confidence", F.size("sentiment").alias("n_sentiment"),
+                    F.element_at("sentiment", 1).alias("first_sentiment"))
