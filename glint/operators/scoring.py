@@ -93,22 +93,31 @@ def _cell_fn(mode: str, k: int, k1: float, b: float, avgdl: float, scale: float,
         matched = np.bincount(flat, minlength=nq * nd).reshape(nq, nd) > 0
         dim = next((len(v) for v in list(drows["embedding"]) + list(qrows["q_vec"]) if v is not None), 0)
         sem = _matrix(list(qrows["q_vec"]), dim) @ _matrix(list(drows["embedding"]), dim).T
+        # Per-query time windows (both ends included); no window: every document.
+        dts = drows["_dts"].astype("float64").to_numpy()
+        qs_ = qrows["_qs"].astype("float64").to_numpy()[:, None]
+        qe_ = qrows["_qe"].astype("float64").to_numpy()[:, None]
+        with np.errstate(invalid="ignore"):
+            inwin = (np.isnan(qs_) | (dts[None, :] >= qs_)) & (np.isnan(qe_) | (dts[None, :] <= qe_))
         out = []
         for r in range(nq):
+            win = inwin[r]
+            if not win.any():
+                continue
             if mode == "max":
                 out.append(pd.DataFrame({"query_id": [qids[r]], "doc_id": [-1], "bm25": [0.0],
                                          "semantic": [0.0], "relevance_score": [0.0],
-                                         "max_bm25": [bm[r].max()], "max_sem": [sem[r].max()]}))
+                                         "max_bm25": [bm[r][win].max()], "max_sem": [sem[r][win].max()]}))
                 continue
             if mode == "hybrid":
                 mb = float(qrows["max_bm25"].iloc[r])
                 ms = float(qrows["max_sem"].iloc[r])
                 score = (w_bm25 * (bm[r] / mb if mb > 0 else 0.0 * bm[r])
                          + w_sem * (sem[r] / ms if ms > 0 else 0.0 * sem[r]))
-                cand = np.arange(nd)
+                cand = np.flatnonzero(win)
             else:                                   # bm25: documents sharing a term
                 score = bm[r]
-                cand = np.flatnonzero(matched[r])
+                cand = np.flatnonzero(matched[r] & win)
                 if len(cand) == 0:
                     continue
             key = np.round(-score[cand], 9)
@@ -129,8 +138,10 @@ def _sides(index: BM25Index, docs: DataFrame, queries: DataFrame, qterms: DataFr
     nq = queries.count()
     nqb = max(1, math.ceil(nq / QUERIES_PER_BLOCK))
     fwd = index.forward if index.forward is not None else forward_index(index.postings)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    dts = micros("timestamp") if "timestamp" in docs.columns else F.lit(None).cast("long")
     drows = docs.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"),
-                        keep.alias("keep"))
+                        keep.alias("keep"), dts.alias("_dts"))
     items_base = drows.join(fwd, "doc_id", "left")
     items = (items_base
              .withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.lit(nb)))
@@ -138,8 +149,11 @@ def _sides(index: BM25Index, docs: DataFrame, queries: DataFrame, qterms: DataFr
     qt = (qterms.join(index.terms.select("term", "idf"), "term")
           .select("query_id", "term", (F.col("qn") * F.col("idf")).alias("w"),
                   F.lit(None).cast("array<double>").alias("q_vec")))
+    qstart = micros("start") if "start" in queries.columns else F.lit(None).cast("long")
+    qend = micros("end") if "end" in queries.columns else F.lit(None).cast("long")
     qv = queries.select("query_id", F.lit(None).cast("string").alias("term"), F.lit(None).cast("double").alias("w"),
-                        F.col("embedding").cast("array<double>").alias("q_vec"))
+                        F.col("embedding").cast("array<double>").alias("q_vec"),
+                        qstart.alias("_qs"), qend.alias("_qe"))
     qs = qt.unionByName(qv, allowMissingColumns=True)
     if extra_q is not None:
         qs = qs.join(extra_q, "query_id", "left")
@@ -162,7 +176,10 @@ def _top(rows: DataFrame, k: int, score: str) -> DataFrame:
 def hybrid_topk(index: BM25Index, docs: DataFrame, queries: DataFrame, k: int = 5,
                 min_relevance: float = 0.5, w_bm25: float = 0.4, w_sem: float = 0.6,
                 start=None, end=None, query_text: str = "query") -> DataFrame:
-    """Hybrid retrieval, exact, in two block passes. ``docs``: ``doc_id, embedding[, timestamp]``."""
+    """Hybrid retrieval, exact, in two block passes. ``docs``: ``doc_id, embedding[, timestamp]``.
+
+    ``start``/``end`` restrict all queries to one window; columns ``start``/``end`` on
+    ``queries`` give each query its own window (maxima and top k within it)."""
     keep = F.lit(True)
     if start is not None and end is not None:
         keep = F.coalesce(F.col("timestamp").between(F.lit(start).cast("timestamp_ntz"),

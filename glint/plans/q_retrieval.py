@@ -301,3 +301,21 @@ def bm25_stemmed(spark, sf):
     """V2 + V8: the same retrieval with Porter-stemmed terms (no SQL stemmer to compare with;
     checked by unit tests against a plain-Python brute force)."""
     return _contextual(spark, sf, stem=True)
+
+
+@register("time_window_per_query", f"""WITH {S.DOCUMENTS}, {S.QUERIES},
+win AS (SELECT b.item_id AS query_id, date_trunc('day', e.ts) AS w_start,
+               date_trunc('day', e.ts) + INTERVAL 1 DAY AS w_end
+        FROM benchmark b JOIN events e ON e.event_id = b.item_id),
+{BM25_CORE}, {QT_PLAIN}, {bm25_sql('qt')}
+{HYBRID_TAIL.format(where="JOIN win ON win.query_id = q.query_id WHERE d.timestamp BETWEEN win.w_start AND win.w_end")}
+SELECT {HYBRID_COLS} FROM hits""")
+def time_window_per_query(spark, sf):
+    """F8 with a window per query: the day of the query's own event (start of day to the
+    next midnight, both included); maxima and top 5 within each window."""
+    ev = B.table(spark, sf, "events").select(F.col("event_id").alias("query_id"), "ts")
+    q = (B.queries(spark, sf).join(ev, "query_id", "left")
+         .withColumn("start", F.date_trunc("day", F.col("ts")).cast("timestamp_ntz"))
+         .withColumn("end", (F.date_trunc("day", F.col("ts")) + F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz"))
+         .drop("ts"))
+    return round_doubles(R.hybrid_scores(_index(spark, sf), B.documents(spark, sf), q, k=5, min_relevance=0.5))
