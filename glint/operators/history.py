@@ -83,18 +83,64 @@ def latest_per_key(df: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
             .select(key, "s.*"))
 
 
-def _throttle_group(pdf: pd.DataFrame, gap_us: int) -> pd.DataFrame:
-    """Greedy rule over the runs of one group; every run restarts the rule."""
-    pdf = pdf.sort_values(["_run", "_t", "_id"], kind="stable")
+def _chunk_walk(t: np.ndarray, start: int, gap_us: int, memo: dict) -> int:
+    """Exit state (last accepted time + gap) of the greedy chain from index ``start``
+    within one chunk; chains that meet share the memoised rest."""
+    path, k = [], start
+    while k < len(t) and k not in memo:
+        path.append(k)
+        k = int(np.searchsorted(t, t[k] + gap_us, side="left"))
+    end = memo[k] if k < len(t) else int(t[path[-1]]) + gap_us
+    for p in path:
+        memo[p] = end
+    return end
+
+
+def _throttle_summary(pdf: pd.DataFrame, gap_us: int, chunk_us: int) -> pd.DataFrame:
+    """Stage 1, per (key, chunk): the chunk's transfer function. Its possible first
+    accepted rows are the rows of its first ``gap`` and the first row after; each gets
+    the chunk's exit state (last accepted + gap). Consecutive candidates with the same
+    exit form one segment ``(_hi = last candidate time, _exit)``; chains usually merge,
+    so a chunk has few segments whatever its size."""
+    pdf = pdf.sort_values(["_t", "_id"], kind="stable")
+    t = pdf["_t"].to_numpy(dtype="int64")
+    c = int(pdf["_c"].iloc[0])
+    cs = c * chunk_us
+    last_cand = int(np.searchsorted(t, cs + gap_us, side="left"))
+    cands = list(range(0, min(last_cand + 1, len(t))))
+    memo: dict = {}
+    exits = np.asarray([_chunk_walk(t, i, gap_us, memo) for i in reversed(cands)][::-1], dtype="int64")
+    ends = np.flatnonzero(np.r_[exits[1:] != exits[:-1], True])      # last candidate of each run
+    return pd.DataFrame({"_c": c, "_hi": t[cands][ends], "_exit": exits[ends]})
+
+
+def _throttle_entries(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Stage 2, per key, over the segments: the threshold entering each chunk that
+    accepts something (NULL: the chunk's first row is accepted)."""
+    pdf = pdf.sort_values(["_c", "_hi"], kind="stable")
+    theta = None
+    out_c, out_th = [], []
+    for c, g in pdf.groupby("_c", sort=True):
+        hi = g["_hi"].to_numpy(dtype="int64")
+        i = 0 if theta is None else int(np.searchsorted(hi, theta, side="left"))
+        if i < len(hi):
+            out_c.append(c)
+            out_th.append(theta)
+            theta = int(g["_exit"].to_numpy()[i])
+    return pd.DataFrame({"_c": np.asarray(out_c, dtype="int64"),
+                         "_theta": pd.array(out_th, dtype="Int64")})
+
+
+def _throttle_accept(pdf: pd.DataFrame, gap_us: int) -> pd.DataFrame:
+    """Stage 3, per (key, chunk): the chain from the first row at or after the threshold."""
+    pdf = pdf.sort_values(["_t", "_id"], kind="stable")
     t = pdf["_t"].to_numpy(dtype="int64")
-    run = pdf["_run"].to_numpy(dtype="int64")
-    bounds = np.flatnonzero(np.r_[True, run[1:] != run[:-1], True])
     keep = np.zeros(len(t), dtype=bool)
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        i = lo
-        while i < hi:        # one step per accepted row, each a binary search
-            keep[i] = True
-            i = lo + int(np.searchsorted(t[lo:hi], t[i] + gap_us, side="left"))
+    theta = pdf["_theta"].iloc[0]
+    i = 0 if pd.isna(theta) else int(np.searchsorted(t, int(theta), side="left"))
+    while i < len(t):
+        keep[i] = True
+        i = int(np.searchsorted(t, t[i] + gap_us, side="left"))
     return pdf[keep][["_id"]]
 
 
@@ -103,34 +149,28 @@ def throttle(events: DataFrame, key: str = "symbol", ts: str = "timestamp", id_c
     """Greedy throttle (W11): accept a row if at least ``gap`` passed since the last
     *accepted* row of its key. Returns the accepted rows.
 
-    A row at least ``gap`` after its predecessor is always accepted, so the
-    history splits into independent runs at such gaps. Predecessors and run
-    starts come from windows over (key, time chunk) with a carry-in from earlier
-    chunks (two small per-chunk tables); the sequential rule then runs per
-    (key, chunk of the run start) in ``applyInPandas``.
+    The rule is sequential, but within a time chunk only the chunk's first ``gap``
+    can hold its first accepted row. So, with every group bounded by one (key, chunk):
+      1. per (key, chunk), each possible entry row gets the chunk's exit state
+         (last accepted + gap) by a memoised greedy walk, kept as segments of equal exit;
+      2. per key, a pass over the segments (a few per chunk) gives the threshold
+         entering each chunk;
+      3. per (key, chunk), the chain from the first row at or after it gives the
+         accepted rows.
+    A key with a third of all rows, even without any pause, is spread over its chunks.
     """
-    gap_us = gap_seconds * 1_000_000
+    gap_us, chunk_us = gap_seconds * 1_000_000, chunk_seconds * 1_000_000
     e = events.select(F.col(key).alias("symbol"), F.col(ts).alias("_ts"), F.col(id_col).alias("_id"))
     e = e.withColumn("_t", F.unix_micros(F.col("_ts").cast("timestamp"))) \
-         .withColumn("_c", chunk_of("_ts", chunk_seconds))
-    w = Window.partitionBy("symbol", "_c").orderBy("_t", "_id")
-    before = Window.partitionBy("symbol").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    # Previous row's time; the first row of a chunk takes the last time of earlier chunks.
-    e = e.withColumn("_prev", F.lag("_t").over(w))
-    last_t = e.groupBy("symbol", "_c").agg(F.max("_t").alias("_mx")) \
-        .withColumn("_pc", F.max("_mx").over(before)).select("symbol", "_c", "_pc")
-    e = e.join(last_t, ["symbol", "_c"], "left").withColumn("_prev", F.coalesce("_prev", "_pc"))
-    # A run starts after a gap of at least ``gap``; every row finds the start of its run,
-    # across chunks through the latest start of earlier chunks.
-    e = e.withColumn("_s", F.when(F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= gap_us),
-                                  F.col("_t")))
-    e = e.withColumn("_run", F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    last_s = e.groupBy("symbol", "_c").agg(F.max("_s").alias("_ms")) \
-        .withColumn("_ps", F.max("_ms").over(before)).select("symbol", "_c", "_ps")
-    tagged = e.join(last_s, ["symbol", "_c"], "left") \
-        .select("symbol", "_t", "_id", F.coalesce("_run", "_ps").alias("_run"))
-    # Runs are grouped by the chunk of their start: whole runs, few groups.
-    tagged = tagged.withColumn("_rc", F.floor(F.col("_run") / F.lit(chunk_seconds * 1_000_000)))
-    acc = tagged.groupBy("symbol", "_rc").applyInPandas(
-        lambda pdf: _throttle_group(pdf, gap_us), schema="_id long")
+         .withColumn("_c", F.floor(F.col("_t") / F.lit(chunk_us)).cast("long")) \
+         .select("symbol", "_c", "_t", "_id")
+    summary = e.groupBy("symbol", "_c").applyInPandas(
+        lambda pdf: _throttle_summary(pdf, gap_us, chunk_us).assign(symbol=pdf["symbol"].iloc[0]),
+        schema="_c long, _hi long, _exit long, symbol string")
+    entries = summary.groupBy("symbol").applyInPandas(
+        lambda pdf: _throttle_entries(pdf).assign(symbol=pdf["symbol"].iloc[0]),
+        schema="_c long, _theta long, symbol string")
+    tagged = e.join(entries, ["symbol", "_c"], "inner")   # a chunk without an entry accepts nothing
+    acc = tagged.groupBy("symbol", "_c").applyInPandas(
+        lambda pdf: _throttle_accept(pdf, gap_us), schema="_id long")
     return events.join(acc.withColumnRenamed("_id", id_col), id_col, "left_semi")

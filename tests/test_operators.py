@@ -197,3 +197,23 @@ def test_memory_stats_zero_filled_and_consolidate_twice(spark):
     c2 = M.consolidate(m).select("memory_type", "source_count", "importance", "content").collect()
     assert c1 == c2 and len(c1) == 1                      # one memory on a date: not consolidated
     assert c1[0]["content"] == "- a (Importance: 0.8000)\n- b (Importance: 0.2000)"
+
+
+@pytest.mark.parametrize("chunk", [600, 3600])
+def test_throttle_dense_stream_without_pauses(spark, chunk):
+    """No gap ever reaches the throttle gap, so the whole history is one run: it must
+    still be split over chunks and give the plain loop's answer (ties included)."""
+    random.seed(21)
+    t0 = dt.datetime(2024, 1, 1)
+    rows, t = [], 0
+    for i in range(3000):
+        t += random.choice([0, 7, 20, 45, 90, 180, 299])
+        rows.append((i, "HOT" if i % 7 else "cold", t0 + dt.timedelta(seconds=t)))
+    df = spark.createDataFrame(rows, "id long, symbol string, timestamp timestamp_ntz")
+    got = {r["id"] for r in H.throttle(df, gap_seconds=300, chunk_seconds=chunk).collect()}
+    want, last = set(), {}
+    for i, s, ts in sorted(rows, key=lambda r: (r[2], r[0])):
+        if s not in last or (ts - last[s]).total_seconds() >= 300:
+            want.add(i)
+            last[s] = ts
+    assert got == want
