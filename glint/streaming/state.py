@@ -27,15 +27,32 @@ IND_SCHEMA = ("symbol string, timestamp timestamp_ntz, close double, volume doub
               "volume_ratio double, trend string, late boolean")
 
 
-def _rolling(values: np.ndarray, width: int, fn) -> np.ndarray:
+def _windows(values: np.ndarray, width: int) -> np.ndarray:
+    """Row i: the ``width`` values ending at i, NaN-padded before the first row."""
+    padded = np.concatenate([np.full(width - 1, np.nan), values])
+    return np.lib.stride_tricks.sliding_window_view(padded, width)
+
+
+def _rolling_mean(values: np.ndarray, width: int) -> np.ndarray:
+    return np.nanmean(_windows(values, width), axis=1)
+
+
+def _frame_mean(values: np.ndarray, width: int) -> np.ndarray:
+    """Mean over each frame, computed the same way for every width, so equal frames
+    (the first rows, where sma_20 and sma_50 see the same bars) give equal numbers
+    and the trend comparison does not flip on rounding."""
     out = np.empty(len(values))
     for i in range(len(values)):
-        out[i] = fn(values[max(0, i - width + 1): i + 1])
+        out[i] = np.add.reduce(values[max(0, i - width + 1): i + 1]) / (i + 1 - max(0, i - width + 1))
     return out
 
 
-def _std(w: np.ndarray) -> float:
-    return float(np.std(w, ddof=1)) if len(w) > 1 else np.nan
+def _rolling_std(values: np.ndarray, width: int) -> np.ndarray:
+    w = _windows(values, width)
+    n = np.sum(~np.isnan(w), axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        out = np.nanstd(w, axis=1, ddof=1)
+    return np.where(n > 1, out, np.nan)
 
 
 def _indicator_state(key, pdfs, state):
@@ -54,10 +71,10 @@ def _indicator_state(key, pdfs, state):
     close = np.array(s_close + fresh["close"].astype(float).tolist())
     vol = np.array(s_vol + fresh["volume"].astype(float).tolist())
     n_old = len(s_ts)
-    sma20 = _rolling(close, SHORT + 1, np.mean)[n_old:]
-    sma50 = _rolling(close, LONG + 1, np.mean)[n_old:]
-    std20 = _rolling(close, SHORT + 1, _std)[n_old:]
-    avgv = _rolling(vol, SHORT + 1, np.mean)[n_old:]
+    sma20 = _frame_mean(close, SHORT + 1)[n_old:]
+    sma50 = _frame_mean(close, LONG + 1)[n_old:]
+    std20 = _rolling_std(close, SHORT + 1)[n_old:]
+    avgv = _rolling_mean(vol, SHORT + 1)[n_old:]
     c = close[n_old:]
     v = vol[n_old:]
     with np.errstate(divide="ignore", invalid="ignore"):
