@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glint.functions.vector import cosine, dot
-from glint.operators.scoring import hybrid_topk
+from glint.operators.scoring import bm25_topk, hybrid_topk
 from glint.operators.text_index import BM25Index, bm25_scores, query_terms, top_by
 from glint.operators.vectors import top_k
 
@@ -81,6 +81,6 @@ def contextual_retrieve(index: BM25Index, docs: DataFrame, queries: DataFrame, k
     ``fuse_nodes`` and cut to ``k`` again."""
     v = top_k(docs.select(F.col("doc_id").alias("item_id"), "embedding"), queries, k, "cosine")
     v = v.select("query_id", F.col("item_id").alias("node_id"), "score")
-    bm = bm25_scores(index, query_terms(queries, tokens=query_tokens))
-    b = top_by(bm, k, "bm25").select("query_id", F.col("doc_id").alias("node_id"), F.col("bm25").alias("score"))
+    b = bm25_topk(index, docs.select("doc_id"), queries.drop("embedding"), k, query_tokens=query_tokens) \
+        .select("query_id", F.col("doc_id").alias("node_id"), F.col("bm25").alias("score"))
     return fuse_nodes(v, b, 0.7, 0.3, k)

@@ -198,14 +198,15 @@ def hybrid_topk(index: BM25Index, docs: DataFrame, queries: DataFrame, k: int =
 
 
 def bm25_topk(index: BM25Index, docs: DataFrame, queries: DataFrame, k: int = 10,
-              query_text: str = "query") -> DataFrame:
+              query_text: str = "query", query_tokens: str | None = None) -> DataFrame:
     """Top ``k`` documents per query by BM25 (documents sharing a term), one block pass.
-    ``docs``: ``doc_id`` (vectors not needed)."""
+    ``docs``: ``doc_id`` (vectors not needed); ``query_tokens`` names a column of
+    already processed tokens (stop words removed, stemmed) instead of raw text."""
     if "embedding" not in docs.columns:
         docs = docs.withColumn("embedding", F.lit(None).cast("array<double>"))
     if "embedding" not in queries.columns:
         queries = queries.withColumn("embedding", F.lit(None).cast("array<double>"))
-    qterms = query_terms(queries, text=query_text)
+    qterms = query_terms(queries, text=query_text, tokens=query_tokens)
     avgdl = index.avgdl if index.avgdl > 0 else 1.0
     scale = K1 + 1 if index.variant == "okapi" else 1.0
     items, qs = _sides(index, docs, queries, qterms, F.lit(True))
