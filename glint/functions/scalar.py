@@ -86,3 +86,15 @@ def with_defaults(df, defaults: dict):
             lit = F.lit(value).cast(df.schema[name].dataType)
         out = out.withColumn(name, F.coalesce(F.col(name), lit))
     return out
+
+
+def ntz_micros(ts) -> Column:
+    """Microseconds since 1970-01-01 of a ``timestamp_ntz``, from its date and time parts,
+    so the result does not depend on the session time zone (a cast to ``timestamp``
+    would shift, or merge, wall-clock times around daylight-saving changes)."""
+    c = _c(ts)
+    return (F.unix_date(F.to_date(c)).cast("long") * F.lit(86_400_000_000)
+            + F.hour(c).cast("long") * F.lit(3_600_000_000)
+            + F.minute(c).cast("long") * F.lit(60_000_000)
+            + F.second(c).cast("long") * F.lit(1_000_000)
+            + F.date_format(c, "SSSSSS").cast("long"))

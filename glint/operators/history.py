@@ -15,11 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glint.functions.scalar import ntz_micros
+
 DAY = 86_400
 
 
 def chunk_of(ts: str, chunk_seconds: int):
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    micros = ntz_micros(ts)
     return F.floor(micros / F.lit(chunk_seconds * 1_000_000)).cast("long")
 
 
@@ -69,7 +71,7 @@ def retention(log: DataFrame, keep: int = 5, pattern: str = r"^rag_index_.*\.pkl
 def latest_snapshot(log: DataFrame, pattern: str = r"^rag_index_.*\.pkl$") -> DataFrame:
     """Newest snapshot per series (S8), ties by smallest name; a partial aggregate."""
     c = log.filter(F.col("name").rlike(pattern))
-    order = F.struct((-F.unix_micros(F.col("mtime").cast("timestamp"))).alias("a"), F.col("name").alias("b"))
+    order = F.struct((-ntz_micros("mtime")).alias("a"), F.col("name").alias("b"))
     return (c.groupBy("series")
             .agg(F.min_by(F.struct("name", "path", "mtime"), order).alias("s"))
             .select("series", "s.name", "s.path", "s.mtime"))
@@ -161,7 +163,7 @@ def throttle(events: DataFrame, key: str = "symbol", ts: str = "timestamp", id_c
     """
     gap_us, chunk_us = gap_seconds * 1_000_000, chunk_seconds * 1_000_000
     e = events.select(F.col(key).alias("symbol"), F.col(ts).alias("_ts"), F.col(id_col).alias("_id"))
-    e = e.withColumn("_t", F.unix_micros(F.col("_ts").cast("timestamp"))) \
+    e = e.withColumn("_t", ntz_micros("_ts")) \
          .withColumn("_c", F.floor(F.col("_t") / F.lit(chunk_us)).cast("long")) \
          .select("symbol", "_c", "_t", "_id")
     summary = e.groupBy("symbol", "_c").applyInPandas(

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glint.functions.scalar import ntz_micros
+
 from glint.operators.text_index import B as B_PARAM
 from glint.operators.text_index import K1, BM25Index, forward_index, query_terms
 
@@ -138,7 +140,7 @@ def _sides(index: BM25Index, docs: DataFrame, queries: DataFrame, qterms: DataFr
     nq = queries.count()
     nqb = max(1, math.ceil(nq / QUERIES_PER_BLOCK))
     fwd = index.forward if index.forward is not None else forward_index(index.postings)
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    micros = ntz_micros
     dts = micros("timestamp") if "timestamp" in docs.columns else F.lit(None).cast("long")
     drows = docs.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"),
                         keep.alias("keep"), dts.alias("_dts"))

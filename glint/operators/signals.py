@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glint.functions.scalar import ntz_micros
+
 BAR_COLS = ["symbol", "timestamp", "close", "volume"]
 
 # Trend labels in evaluation order and their strength.
@@ -61,7 +63,7 @@ def _with_indicators(df: DataFrame, part: list[str], short: int, long: int) -> D
 
 
 def _chunk_of(ts: str, chunk_seconds: int):
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    micros = ntz_micros(ts)
     return F.floor(micros / F.lit(chunk_seconds * 1_000_000)).cast("long")
 
 

@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glint.functions.scalar import ntz_micros
+
 from glint.operators import memory as M
 from glint.plans import bindings as B
 from glint.plans import sqlbind as S
@@ -38,10 +40,10 @@ def _message_files(spark, sf, symbol="user", mixed=True) -> str:
                  .when((F.col("event_type") == "error") & (F.col("value") < 5),
                        F.concat(F.lit('{"kind": "bar", "symbol": '), F.col("event_id")))
                  .otherwise(value))
-    lo, hi = ev.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))),
-                    F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    lo, hi = ev.agg(F.min(ntz_micros("ts")),
+                    F.max(ntz_micros("ts"))).first()
     width = (hi - lo) // N_FILES + 1
-    part = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(lo)) / F.lit(width))
+    part = F.floor((ntz_micros("ts") - F.lit(lo)) / F.lit(width))
     base = shared_dir(spark, "messages")
     msgs = ev.select(part.alias("_p"), value.alias("value"))
     for i in range(N_FILES):        # one after the other: the file source takes files by time
@@ -126,7 +128,7 @@ WHERE event_id IN (SELECT event_id FROM chain)""")
 def stream_throttle(spark, sf):
     """At most one accepted event per symbol per 5 minutes, state = last accepted time."""
     out, ck = shared_dir(spark, "thr"), shared_dir(spark, "ckpt")
-    bars = _bar_stream(spark, sf).withColumn("id", F.unix_micros(F.col("timestamp").cast("timestamp")))
+    bars = _bar_stream(spark, sf).withColumn("id", ntz_micros("timestamp"))
     s = ST.stream_throttle(bars.select("symbol", "timestamp", "id"), 300)
     _run(s.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
          .outputMode("append").trigger(availableNow=True).start())

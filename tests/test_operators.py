@@ -217,3 +217,22 @@ def test_throttle_dense_stream_without_pauses(spark, chunk):
             want.add(i)
             last[s] = ts
     assert got == want
+
+
+def test_throttle_ignores_session_time_zone(spark):
+    """Wall-clock times across a daylight-saving change keep their gaps."""
+    t0 = dt.datetime(2024, 3, 10, 1, 0)
+    rows = [(i, "A", t0 + dt.timedelta(minutes=4 * i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, symbol string, timestamp timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        got = {r["id"] for r in H.throttle(df, gap_seconds=300, chunk_seconds=1800).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    want, last = set(), None
+    for i, _, ts in rows:
+        if last is None or (ts - last).total_seconds() >= 300:
+            want.add(i)
+            last = ts
+    assert got == want
