@@ -146,8 +146,99 @@ def _throttle_accept(pdf: pd.DataFrame, gap_us: int) -> pd.DataFrame:
     return pdf[keep][["_id"]]
 
 
+def _apply_fn(hi: np.ndarray, ex: np.ndarray, theta):
+    """Apply a chunk-range function to an entering threshold (None: no constraint)."""
+    if len(hi) == 0:
+        return theta
+    if theta is None:
+        return int(ex[0])
+    i = int(np.searchsorted(hi, theta, side="left"))
+    return int(ex[i]) if i < len(hi) else theta
+
+
+def _compose(pdf: pd.DataFrame, level: int, chunk_us: int, gap_us: int) -> pd.DataFrame:
+    """Tree step: the function of a parent range from its two children.
+    Left segments are mapped through the right function; the right function's
+    segments beyond the left's last candidate cover the thresholds that pass
+    through the left range (only up to the first one past the parent's domain,
+    ``range start + gap``); consecutive equal exits are merged."""
+    parent = int(pdf["_node"].iloc[0]) >> 1
+    left = pdf[(pdf["_node"].to_numpy() & 1) == 0].sort_values("_hi")
+    right = pdf[(pdf["_node"].to_numpy() & 1) == 1].sort_values("_hi")
+    lh, le = left["_hi"].to_numpy(dtype="int64"), left["_exit"].to_numpy(dtype="int64")
+    rh, re_ = right["_hi"].to_numpy(dtype="int64"), right["_exit"].to_numpy(dtype="int64")
+    hi = list(lh)
+    ex = [_apply_fn(rh, re_, int(e)) for e in le]
+    bound = (parent << (level + 1)) * chunk_us + gap_us
+    last = lh[-1] if len(lh) else None
+    for h, e in zip(rh, re_):
+        if last is not None and h <= last:
+            continue
+        hi.append(int(h))
+        ex.append(int(e))
+        if h >= bound:
+            break
+    hi, ex = np.asarray(hi, dtype="int64"), np.asarray(ex, dtype="int64")
+    ends = np.flatnonzero(np.r_[ex[1:] != ex[:-1], True]) if len(ex) else np.array([], dtype=int)
+    return pd.DataFrame({"_node": parent, "_hi": hi[ends], "_exit": ex[ends]})
+
+
+def _descend(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Tree step down: thresholds entering the two children of one node."""
+    theta = pdf["_theta"].iloc[0]
+    theta = None if pd.isna(theta) else int(theta)
+    node = int(pdf["_parent"].iloc[0])
+    left = pdf[pdf["_node"] == 2 * node].sort_values("_hi")
+    out_n, out_t = [], []
+    has_right = bool((pdf["_node"] == 2 * node + 1).any())
+    if len(left):
+        out_n.append(2 * node)
+        out_t.append(theta)
+    if has_right:
+        out_n.append(2 * node + 1)
+        out_t.append(_apply_fn(left["_hi"].to_numpy(dtype="int64"), left["_exit"].to_numpy(dtype="int64"), theta)
+                     if len(left) else theta)
+    return pd.DataFrame({"_node": np.asarray(out_n, dtype="int64"), "_theta": pd.array(out_t, dtype="Int64")})
+
+
+def _entries_by_tree(summary: DataFrame, chunk_us: int, gap_us: int) -> DataFrame:
+    """Thresholds entering every chunk, by composing the chunk functions in a binary
+    tree over chunk numbers (up) and then handing thresholds down. Every group is one
+    tree node: a few segments, never a key's whole history. Level tables are written
+    to the shared folder, which also keeps the plans short."""
+    from glint.session import shared_dir
+    spark = summary.sparkSession
+    lvl = summary.select("symbol", F.col("_c").alias("_node"), "_hi", "_exit")
+    c_max = summary.agg(F.max("_c")).first()[0] or 0
+    depth = max(1, int(c_max).bit_length())
+    base = shared_dir(spark, "throttle-tree")
+    levels = []
+    for k in range(depth):
+        path = f"{base}/up{k}"
+        lvl.write.mode("overwrite").parquet(path)
+        lvl = spark.read.parquet(path)
+        levels.append(lvl)
+        def step(level):                   # one argument only: the group's rows
+            return lambda pdf: _compose(pdf.drop(columns=["_pk"], errors="ignore"), level, chunk_us, gap_us) \
+                .assign(symbol=pdf["symbol"].iloc[0])
+        lvl = lvl.groupBy("symbol", (F.col("_node").bitwiseAND(F.lit(-2))).alias("_pk")).applyInPandas(
+            step(k), schema="_node long, _hi long, _exit long, symbol string")
+    theta = lvl.select("symbol", "_node").distinct().withColumn("_theta", F.lit(None).cast("long"))
+    for k in reversed(range(depth)):
+        kids = levels[k].withColumn("_parent", F.shiftright("_node", 1))
+        j = kids.join(theta.withColumnRenamed("_node", "_parent"), ["symbol", "_parent"])
+        theta = j.groupBy("symbol", "_parent").applyInPandas(
+            lambda pdf: _descend(pdf).assign(symbol=pdf["symbol"].iloc[0]),
+            schema="_node long, _theta long, symbol string")
+        path = f"{base}/down{k}"
+        theta.write.mode("overwrite").parquet(path)
+        theta = spark.read.parquet(path)
+    return theta.select("symbol", F.col("_node").alias("_c"), "_theta")
+
+
 def throttle(events: DataFrame, key: str = "symbol", ts: str = "timestamp", id_col: str = "id",
-             gap_seconds: int = 300, chunk_seconds: int = DAY) -> DataFrame:
+             gap_seconds: int = 300, chunk_seconds: int = DAY,
+             max_segments_per_key: int = 2_000_000) -> DataFrame:
     """Greedy throttle (W11): accept a row if at least ``gap`` passed since the last
     *accepted* row of its key. Returns the accepted rows.
 
@@ -169,9 +260,19 @@ def throttle(events: DataFrame, key: str = "symbol", ts: str = "timestamp", id_c
     summary = e.groupBy("symbol", "_c").applyInPandas(
         lambda pdf: _throttle_summary(pdf, gap_us, chunk_us).assign(symbol=pdf["symbol"].iloc[0]),
         schema="_c long, _hi long, _exit long, symbol string")
-    entries = summary.groupBy("symbol").applyInPandas(
-        lambda pdf: _throttle_entries(pdf).assign(symbol=pdf["symbol"].iloc[0]),
-        schema="_c long, _theta long, symbol string")
+    # Size check: the per-key pass reads all segments of a key in one task. Within the
+    # bound it is one small job; beyond it the tree form keeps every group to one node.
+    from glint.session import shared_dir
+    path = shared_dir(events.sparkSession, "throttle-summary")
+    summary.write.mode("overwrite").parquet(path)
+    summary = events.sparkSession.read.parquet(path)
+    biggest = summary.groupBy("symbol").count().agg(F.max("count")).first()[0] or 0
+    if biggest <= max_segments_per_key:
+        entries = summary.groupBy("symbol").applyInPandas(
+            lambda pdf: _throttle_entries(pdf).assign(symbol=pdf["symbol"].iloc[0]),
+            schema="_c long, _theta long, symbol string")
+    else:
+        entries = _entries_by_tree(summary, chunk_us, gap_us)
     tagged = e.join(entries, ["symbol", "_c"], "inner")   # a chunk without an entry accepts nothing
     acc = tagged.groupBy("symbol", "_c").applyInPandas(
         lambda pdf: _throttle_accept(pdf, gap_us), schema="_id long")

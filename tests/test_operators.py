@@ -236,3 +236,23 @@ def test_throttle_ignores_session_time_zone(spark):
             want.add(i)
             last = ts
     assert got == want
+
+
+
+def test_throttle_tree_path_equals_single_pass(spark):
+    """Force the tree composition (no key passes the size check) on a dense stream."""
+    random.seed(33)
+    t0 = dt.datetime(2024, 1, 1)
+    rows, t = [], 0
+    for i in range(1500):
+        t += random.choice([0, 10, 60, 120, 299, 301, 900])
+        rows.append((i, "HOT" if i % 5 else "b", t0 + dt.timedelta(seconds=t)))
+    df = spark.createDataFrame(rows, "id long, symbol string, timestamp timestamp_ntz")
+    tree = {r["id"] for r in H.throttle(df, gap_seconds=300, chunk_seconds=1200,
+                                        max_segments_per_key=0).collect()}
+    want, last = set(), {}
+    for i, s, ts in sorted(rows, key=lambda r: (r[2], r[0])):
+        if s not in last or (ts - last[s]).total_seconds() >= 300:
+            want.add(i)
+            last[s] = ts
+    assert tree == want
