@@ -45,6 +45,12 @@ class BM25Index:
     forward: DataFrame | None = None     # doc_id, dl, terms[], tfs[]: one row per document
 
 
+def postings_of(forward: DataFrame) -> DataFrame:
+    """``doc_id, term, tf, dl`` back from the forward index."""
+    return (forward.select("doc_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
+            .select("doc_id", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"), "dl"))
+
+
 def forward_index(postings: DataFrame) -> DataFrame:
     """One row per document with its distinct terms and their counts (for block scoring:
     a document block ships as few rows, not one row per posting)."""

@@ -1,7 +1,7 @@
 """BM25 index snapshots as parquet tables.
 
-A snapshot is a folder ``<base>/rag_index_<version>`` holding ``postings``,
-``terms`` and a one-row ``corpus`` table, plus a row in ``<base>/_log`` (name,
+A snapshot is a folder ``<base>/rag_index_<version>`` holding the postings
+grouped by document (``forward``), ``terms`` and a one-row ``corpus`` table, plus a row in ``<base>/_log`` (name,
 path, mtime, series). Unlike a pickle of documents alone, the postings are
 stored, so a loaded index scores exactly like the one saved.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from glint.operators.history import latest_snapshot
-from glint.operators.text_index import BM25Index, forward_index
+from glint.operators.text_index import BM25Index, forward_index, postings_of
 
 
 def save_index(index: BM25Index, base: str, version: str, series: int = 0,
@@ -22,8 +22,9 @@ def save_index(index: BM25Index, base: str, version: str, series: int = 0,
     """Write the index tables and append one row to the snapshot log."""
     spark = index.postings.sparkSession
     path = f"{base.rstrip('/')}/rag_index_{version}"
-    index.postings.write.mode("overwrite").parquet(f"{path}/postings")
     index.terms.select("term", "df", "idf").write.mode("overwrite").parquet(f"{path}/terms")
+    # The postings are stored once, grouped by document (the forward index); the
+    # term-by-term form is derived from it on load.
     fwd = index.forward if index.forward is not None else forward_index(index.postings)
     fwd.write.mode("overwrite").parquet(f"{path}/forward")
     spark.createDataFrame([(index.n_docs, float(index.avgdl), index.variant)],
@@ -38,8 +39,9 @@ def save_index(index: BM25Index, base: str, version: str, series: int = 0,
 
 def load_index(spark: SparkSession, path: str) -> BM25Index:
     c = spark.read.parquet(f"{path}/corpus").first()
-    return BM25Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"),
-                     int(c["n_docs"]), float(c["avgdl"]), c["variant"], spark.read.parquet(f"{path}/forward"))
+    fwd = spark.read.parquet(f"{path}/forward")
+    return BM25Index(postings_of(fwd), spark.read.parquet(f"{path}/terms"),
+                     int(c["n_docs"]), float(c["avgdl"]), c["variant"], fwd)
 
 
 def load_latest(spark: SparkSession, base: str, series: int = 0) -> BM25Index:
