@@ -84,11 +84,15 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "content",
                                                          tokenize(text).alias("tokens"))
     else:
         t = tokens
-    # Only the postings are cached; N is a row count and the average length is the
-    # sum of all term counts over N (documents without tokens count with length 0).
-    post = term_freq(None, tokens=t).persist(StorageLevel.MEMORY_AND_DISK)
+    # Tokens are cached while the postings are built from them (tokenising, explode and
+    # aggregate in one stage is slower than in two); then only the postings stay cached.
+    # N is a row count; the average length is all term counts over N (documents
+    # without tokens count with length 0).
+    t = t.persist(StorageLevel.MEMORY_AND_DISK)
     n = t.count()
+    post = term_freq(None, tokens=t).persist(StorageLevel.MEMORY_AND_DISK)
     total = post.agg(F.sum("tf")).first()[0] or 0
+    t.unpersist()
     avgdl = float(total) / n if n else 0.0
     dfs = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).persist(StorageLevel.MEMORY_AND_DISK)
     if variant == "okapi":
