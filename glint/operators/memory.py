@@ -21,8 +21,10 @@ HIGH_IMPORTANCE = 0.8
 def memory_stats(memories: DataFrame, types: list[str] = MEMORY_TYPES) -> DataFrame:
     """Per type: count, average importance (0 when empty), count with importance >= 0.8.
 
-    Partial + final aggregate, then a left join from the 4-row type dimension
-    (a proven size: broadcast) so empty types appear with zeros (J8).
+    Partial + final aggregate (one row per type), then a left join from the 4-row
+    type dimension so empty types appear with zeros (J8). The dimension is the kept
+    side of the outer join, so it cannot be the broadcast side; AQE broadcasts the
+    measured aggregate instead.
     """
     spark = memories.sparkSession
     dim = spark.createDataFrame([(t,) for t in types], "memory_type string")
@@ -30,7 +32,7 @@ def memory_stats(memories: DataFrame, types: list[str] = MEMORY_TYPES) -> DataFr
         F.count(F.lit(1)).alias("count"),
         F.avg("importance").alias("avg_importance"),
         F.count_if(F.col("importance") >= HIGH_IMPORTANCE).alias("high_importance_count"))
-    return (F.broadcast(dim).join(agg, "memory_type", "left")
+    return (dim.join(agg, "memory_type", "left")
             .select("memory_type",
                     F.coalesce("count", F.lit(0).cast("long")).alias("count"),
                     F.coalesce("avg_importance", F.lit(0.0)).alias("avg_importance"),
