@@ -32,6 +32,7 @@ from glint.operators.text_index import K1, BM25Index, forward_index, query_terms
 
 POSTINGS_PER_BLOCK = 400_000
 QUERIES_PER_BLOCK = 256
+EXPAND_LIMIT = 4_000_000        # (posting, query) pairs expanded at once inside a cell
 
 OUT_SCHEMA = ("query_id long, doc_id long, bm25 double, semantic double, relevance_score double, "
               "max_bm25 double, max_sem double")
@@ -84,15 +85,27 @@ def _cell_fn(mode: str, k: int, k1: float, b: float, avgdl: float, scale: float,
         ok = pcode >= 0
         pcode, pdoc = pcode[ok], pdoc[ok]
         tfn = tf[ok] * scale / (tf[ok] + k1 * (1 - b + b * dl[ok] / avgdl))
-        # Expand each posting to the queries that share its term (vectorised), then sum.
+        # Expand each posting to the queries that share its term (vectorised) and sum,
+        # a slice of postings at a time so the expansion never exceeds EXPAND_LIMIT.
         rep = per_code[pcode]
-        total = int(rep.sum())
-        src = np.repeat(np.arange(len(pcode)), rep)
-        seg_start = np.repeat(offsets[pcode] - (np.cumsum(rep) - rep), rep) + np.arange(total)
-        flat = q_of[seg_start] * nd + pdoc[src]
-        contrib = w_of[seg_start] * tfn[src]
-        bm = np.bincount(flat, weights=contrib, minlength=nq * nd).reshape(nq, nd)
-        matched = np.bincount(flat, minlength=nq * nd).reshape(nq, nd) > 0
+        bm = np.zeros(nq * nd)
+        hits = np.zeros(nq * nd, dtype=np.int64)
+        cum = np.cumsum(rep)
+        lo = 0
+        while lo < len(pcode):
+            base_cum = cum[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(cum, base_cum + EXPAND_LIMIT, side="right")))
+            r = rep[lo:hi]
+            total = int(r.sum())
+            if total:
+                src = np.repeat(np.arange(lo, hi), r)
+                seg = np.repeat(offsets[pcode[lo:hi]] - (np.cumsum(r) - r), r) + np.arange(total)
+                flat = q_of[seg] * nd + pdoc[src]
+                bm += np.bincount(flat, weights=w_of[seg] * tfn[src], minlength=nq * nd)
+                hits += np.bincount(flat, minlength=nq * nd)
+            lo = hi
+        bm = bm.reshape(nq, nd)
+        matched = hits.reshape(nq, nd) > 0
         dim = next((len(v) for v in list(drows["embedding"]) + list(qrows["q_vec"]) if v is not None), 0)
         sem = _matrix(list(qrows["q_vec"]), dim) @ _matrix(list(drows["embedding"]), dim).T
         # Per-query time windows (both ends included); no window: every document.
