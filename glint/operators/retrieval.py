@@ -15,9 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glint.functions.vector import cosine, dot
+from glint.functions.vector import cosine
 from glint.operators.scoring import bm25_topk, hybrid_topk
-from glint.operators.text_index import BM25Index, bm25_scores, query_terms, top_by
+from glint.operators.text_index import BM25Index, top_by
 from glint.operators.vectors import top_k
 
 W_BM25 = 0.4

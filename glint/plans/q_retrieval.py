@@ -8,7 +8,6 @@ from glint.functions.text import enhance_query, tokenize, truncate_tokens
 from glint.operators import retrieval as R
 from glint.operators import text_index as T
 from glint.operators.scoring import bm25_topk
-from glint.operators.vectors import top_k
 from glint.plans import bindings as B
 from glint.plans import sqlbind as S
 from glint.plans.catalog import register, round_doubles

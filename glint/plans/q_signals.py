@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from glint.functions.text import session_label
 from glint.operators import signals
 from glint.operators.sets import filter_symbols, filter_watchlist

@@ -12,7 +12,6 @@ from glint.operators import memory as M
 from glint.plans import bindings as B
 from glint.plans import sqlbind as S
 from glint.plans.catalog import register, round_doubles
-from glint.plans.q_history import LATEST_SQL  # noqa: F401  (shape of the cache oracle)
 from glint.session import shared_dir
 from glint.streaming import market as MK
 from glint.streaming import state as ST
