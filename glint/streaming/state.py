@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from glint.functions.scalar import ntz_micros
 from glint.operators.history import latest_per_key
 
 SHORT, LONG = 20, 50
@@ -110,6 +111,11 @@ def stream_indicators(bars: DataFrame) -> DataFrame:
 
 def _throttle_state(gap_us: int):
     def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            # The watermark passed last accepted + gap: any later event is accepted
+            # whatever the state says, so the state can go.
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["timestamp", "id"], kind="stable")
         t = rows["timestamp"].astype("datetime64[us]").astype("int64").to_numpy()
@@ -121,17 +127,22 @@ def _throttle_state(gap_us: int):
             i = int(np.searchsorted(t, t[i] + gap_us, side="left"))
         if last is not None:
             state.update((last,))
+            # Event-time timeout in ms since the epoch (the event time column is UTC).
+            state.setTimeoutTimestamp((last + gap_us) // 1000)
         yield rows[keep][["symbol", "timestamp", "id"]]
     return fn
 
 
-def stream_throttle(events: DataFrame, gap_seconds: int = 300) -> DataFrame:
+def stream_throttle(events: DataFrame, gap_seconds: int = 300, delay: str = "10 minutes") -> DataFrame:
     """Accept an event when ``gap`` passed since the last accepted one of its
-    symbol; state is that one time per symbol. Rows older than the last accepted
-    one are never accepted."""
-    return events.groupBy("symbol").applyInPandasWithState(
+    symbol; state is that one time per symbol, dropped once the watermark (event time
+    minus ``delay``) passes it plus the gap. Rows older than the last accepted one are
+    never accepted."""
+    ev = (events.withColumn("_et", F.timestamp_micros(ntz_micros("timestamp")))   # zone-free event time
+          .withWatermark("_et", delay))
+    return ev.groupBy("symbol").applyInPandasWithState(
         _throttle_state(gap_seconds * 1_000_000), outputStructType="symbol string, timestamp timestamp_ntz, id long",
-        stateStructType="last long", outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
+        stateStructType="last long", outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_sink(path: str, key: str = "symbol", ts: str = "ts", tie: str = "event_id"):
