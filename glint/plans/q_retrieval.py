@@ -234,9 +234,11 @@ def index_roundtrip(spark, sf):
     scores equal those of the index before saving."""
     import datetime as dt
     from glint.sources.index_store import load_latest
-    d = B.table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    docs = B.table(spark, sf, "documents")
+    d = docs.select("doc_id", F.col("text").alias("content"))
     base = shared_dir(spark, "snapshots")
-    stale = T.build_index(d.filter(F.col("doc_id") % 2 == 0))      # an older, different index
+    stale = T.build_index(docs.filter(F.col("lang") == "en")          # an older index: English only
+                          .select("doc_id", F.col("text").alias("content")))
     save_index(stale, base, "old", mtime=dt.datetime(2024, 1, 1))
     save_index(T.build_index(d), base, "new", mtime=dt.datetime(2024, 1, 2))
     idx = load_latest(spark, base)
