@@ -98,7 +98,7 @@ def _chunk_walk(t: np.ndarray, start: int, gap_us: int, memo: dict) -> int:
     return end
 
 
-def _throttle_summary(pdf: pd.DataFrame, gap_us: int, chunk_us: int) -> pd.DataFrame:
+def _throttle_summary(pdf: pd.DataFrame, gap_us: int) -> pd.DataFrame:
     """Stage 1, per (key, chunk): the chunk's transfer function. Its possible first
     accepted rows are the rows of its first ``gap`` and the first row after; each gets
     the chunk's exit state (last accepted + gap). Consecutive candidates with the same
@@ -107,13 +107,14 @@ def _throttle_summary(pdf: pd.DataFrame, gap_us: int, chunk_us: int) -> pd.DataF
     pdf = pdf.sort_values(["_t", "_id"], kind="stable")
     t = pdf["_t"].to_numpy(dtype="int64")
     c = int(pdf["_c"].iloc[0])
-    cs = c * chunk_us
+    cs = c * int(pdf["_cu"].iloc[0])
     last_cand = int(np.searchsorted(t, cs + gap_us, side="left"))
     cands = list(range(0, min(last_cand + 1, len(t))))
     memo: dict = {}
     exits = np.asarray([_chunk_walk(t, i, gap_us, memo) for i in reversed(cands)][::-1], dtype="int64")
     ends = np.flatnonzero(np.r_[exits[1:] != exits[:-1], True])      # last candidate of each run
-    return pd.DataFrame({"_c": c, "_hi": t[cands][ends], "_exit": exits[ends]})
+    return pd.DataFrame({"_c": c, "_hi": t[cands][ends], "_exit": exits[ends],
+                         "_cu": int(pdf["_cu"].iloc[0])})
 
 
 def _throttle_entries(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -156,7 +157,7 @@ def _apply_fn(hi: np.ndarray, ex: np.ndarray, theta):
     return int(ex[i]) if i < len(hi) else theta
 
 
-def _compose(pdf: pd.DataFrame, level: int, chunk_us: int, gap_us: int) -> pd.DataFrame:
+def _compose(pdf: pd.DataFrame, level: int, gap_us: int) -> pd.DataFrame:
     """Tree step: the function of a parent range from its two children.
     Left segments are mapped through the right function; the right function's
     segments beyond the left's last candidate cover the thresholds that pass
@@ -169,6 +170,7 @@ def _compose(pdf: pd.DataFrame, level: int, chunk_us: int, gap_us: int) -> pd.Da
     rh, re_ = right["_hi"].to_numpy(dtype="int64"), right["_exit"].to_numpy(dtype="int64")
     hi = list(lh)
     ex = [_apply_fn(rh, re_, int(e)) for e in le]
+    chunk_us = int(pdf["_cu"].iloc[0])
     bound = (parent << (level + 1)) * chunk_us + gap_us
     last = lh[-1] if len(lh) else None
     for h, e in zip(rh, re_):
@@ -180,7 +182,7 @@ def _compose(pdf: pd.DataFrame, level: int, chunk_us: int, gap_us: int) -> pd.Da
             break
     hi, ex = np.asarray(hi, dtype="int64"), np.asarray(ex, dtype="int64")
     ends = np.flatnonzero(np.r_[ex[1:] != ex[:-1], True]) if len(ex) else np.array([], dtype=int)
-    return pd.DataFrame({"_node": parent, "_hi": hi[ends], "_exit": ex[ends]})
+    return pd.DataFrame({"_node": parent, "_hi": hi[ends], "_exit": ex[ends], "_cu": chunk_us})
 
 
 def _descend(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -201,14 +203,14 @@ def _descend(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"_node": np.asarray(out_n, dtype="int64"), "_theta": pd.array(out_t, dtype="Int64")})
 
 
-def _entries_by_tree(summary: DataFrame, chunk_us: int, gap_us: int) -> DataFrame:
+def _entries_by_tree(summary: DataFrame, gap_us: int) -> DataFrame:
     """Thresholds entering every chunk, by composing the chunk functions in a binary
     tree over chunk numbers (up) and then handing thresholds down. Every group is one
     tree node: a few segments, never a key's whole history. Level tables are written
     to the shared folder, which also keeps the plans short."""
     from glint.session import shared_dir
     spark = summary.sparkSession
-    lvl = summary.select("symbol", F.col("_c").alias("_node"), "_hi", "_exit")
+    lvl = summary.select("symbol", F.col("_c").alias("_node"), "_hi", "_exit", "_cu")
     c_max = summary.agg(F.max("_c")).first()[0] or 0
     depth = max(1, int(c_max).bit_length())
     base = shared_dir(spark, "throttle-tree")
@@ -219,10 +221,10 @@ def _entries_by_tree(summary: DataFrame, chunk_us: int, gap_us: int) -> DataFram
         lvl = spark.read.parquet(path)
         levels.append(lvl)
         def step(level):                   # one argument only: the group's rows
-            return lambda pdf: _compose(pdf.drop(columns=["_pk"], errors="ignore"), level, chunk_us, gap_us) \
+            return lambda pdf: _compose(pdf.drop(columns=["_pk"], errors="ignore"), level, gap_us) \
                 .assign(symbol=pdf["symbol"].iloc[0])
         lvl = lvl.groupBy("symbol", (F.col("_node").bitwiseAND(F.lit(-2))).alias("_pk")).applyInPandas(
-            step(k), schema="_node long, _hi long, _exit long, symbol string")
+            step(k), schema="_node long, _hi long, _exit long, _cu long, symbol string")
     theta = lvl.select("symbol", "_node").distinct().withColumn("_theta", F.lit(None).cast("long"))
     for k in reversed(range(depth)):
         kids = levels[k].withColumn("_parent", F.shiftright("_node", 1))
@@ -237,8 +239,8 @@ def _entries_by_tree(summary: DataFrame, chunk_us: int, gap_us: int) -> DataFram
 
 
 def throttle(events: DataFrame, key: str = "symbol", ts: str = "timestamp", id_col: str = "id",
-             gap_seconds: int = 300, chunk_seconds: int = DAY,
-             max_segments_per_key: int = 2_000_000) -> DataFrame:
+             gap_seconds: int = 300, chunk_seconds: int | None = None,
+             rows_per_chunk: int = 1_000_000, max_segments_per_key: int = 2_000_000) -> DataFrame:
     """Greedy throttle (W11): accept a row if at least ``gap`` passed since the last
     *accepted* row of its key. Returns the accepted rows.
 
@@ -247,22 +249,36 @@ def throttle(events: DataFrame, key: str = "symbol", ts: str = "timestamp", id_c
       1. per (key, chunk), each possible entry row gets the chunk's exit state
          (last accepted + gap) by a memoised greedy walk, kept as segments of equal exit;
       2. per key, a pass over the segments (a few per chunk) gives the threshold
-         entering each chunk;
+         entering each chunk, after a size check; beyond ``max_segments_per_key`` the
+         chunk functions are composed in a tree instead;
       3. per (key, chunk), the chain from the first row at or after it gives the
          accepted rows.
-    A key with a third of all rows, even without any pause, is spread over its chunks.
+    Chunk length is chosen per key so that a chunk holds about ``rows_per_chunk`` rows
+    (never under twice the gap), from a one-row-per-key table joined by a size-checked
+    broadcast; ``chunk_seconds`` fixes it instead. A key with a third of all rows, even
+    without any pause, is spread over its chunks.
     """
-    gap_us, chunk_us = gap_seconds * 1_000_000, chunk_seconds * 1_000_000
-    e = events.select(F.col(key).alias("symbol"), F.col(ts).alias("_ts"), F.col(id_col).alias("_id"))
-    e = e.withColumn("_t", ntz_micros("_ts")) \
-         .withColumn("_c", F.floor(F.col("_t") / F.lit(chunk_us)).cast("long")) \
-         .select("symbol", "_c", "_t", "_id")
+    from glint.operators.text_index import bounded_broadcast
+    from glint.session import shared_dir
+    gap_us = gap_seconds * 1_000_000
+    e = events.select(F.col(key).alias("symbol"), F.col(ts).alias("_ts"), F.col(id_col).alias("_id")) \
+        .withColumn("_t", ntz_micros("_ts"))
+    if chunk_seconds is not None:
+        e = e.withColumn("_cu", F.lit(chunk_seconds * 1_000_000).cast("long"))
+    else:
+        span = (e.groupBy("symbol")
+                .agg(F.count(F.lit(1)).alias("_n"), (F.max("_t") - F.min("_t") + 1).alias("_span"))
+                .select("symbol", F.greatest(F.lit(2 * gap_us),
+                                             F.ceil(F.col("_span") * F.lit(rows_per_chunk) / F.col("_n")))
+                        .cast("long").alias("_cu")))
+        e = e.join(bounded_broadcast(span), "symbol")
+    e = e.withColumn("_c", F.floor(F.col("_t") / F.col("_cu")).cast("long")) \
+         .select("symbol", "_c", "_cu", "_t", "_id")
     summary = e.groupBy("symbol", "_c").applyInPandas(
-        lambda pdf: _throttle_summary(pdf, gap_us, chunk_us).assign(symbol=pdf["symbol"].iloc[0]),
-        schema="_c long, _hi long, _exit long, symbol string")
+        lambda pdf: _throttle_summary(pdf, gap_us).assign(symbol=pdf["symbol"].iloc[0]),
+        schema="_c long, _hi long, _exit long, _cu long, symbol string")
     # Size check: the per-key pass reads all segments of a key in one task. Within the
     # bound it is one small job; beyond it the tree form keeps every group to one node.
-    from glint.session import shared_dir
     path = shared_dir(events.sparkSession, "throttle-summary")
     summary.write.mode("overwrite").parquet(path)
     summary = events.sparkSession.read.parquet(path)
@@ -272,7 +288,7 @@ def throttle(events: DataFrame, key: str = "symbol", ts: str = "timestamp", id_c
             lambda pdf: _throttle_entries(pdf).assign(symbol=pdf["symbol"].iloc[0]),
             schema="_c long, _theta long, symbol string")
     else:
-        entries = _entries_by_tree(summary, chunk_us, gap_us)
+        entries = _entries_by_tree(summary, gap_us)
     tagged = e.join(entries, ["symbol", "_c"], "inner")   # a chunk without an entry accepts nothing
     acc = tagged.groupBy("symbol", "_c").applyInPandas(
         lambda pdf: _throttle_accept(pdf, gap_us), schema="_id long")

@@ -256,3 +256,24 @@ def test_throttle_tree_path_equals_single_pass(spark):
             want.add(i)
             last[s] = ts
     assert tree == want
+
+
+
+@pytest.mark.parametrize("tree", [False, True])
+def test_throttle_adaptive_chunks(spark, tree):
+    """Chunk length from the data (about 40 rows per chunk here), both stage-2 paths."""
+    random.seed(44)
+    t0 = dt.datetime(2024, 1, 1)
+    rows, t = [], 0
+    for i in range(2500):
+        t += random.choice([0, 5, 30, 100, 250, 299, 310, 4000])
+        rows.append((i, "HOT" if i % 9 else "c", t0 + dt.timedelta(seconds=t)))
+    df = spark.createDataFrame(rows, "id long, symbol string, timestamp timestamp_ntz")
+    got = {r["id"] for r in H.throttle(df, gap_seconds=300, rows_per_chunk=40,
+                                       max_segments_per_key=0 if tree else 2_000_000).collect()}
+    want, last = set(), {}
+    for i, s, ts in sorted(rows, key=lambda r: (r[2], r[0])):
+        if s not in last or (ts - last[s]).total_seconds() >= 300:
+            want.add(i)
+            last[s] = ts
+    assert got == want
