@@ -25,10 +25,33 @@ def chunk_of(ts: str, chunk_seconds: int):
     return F.floor(micros / F.lit(chunk_seconds * 1_000_000)).cast("long")
 
 
+def with_chunks(df: DataFrame, key: str, ts: str, chunk_seconds: int | None,
+                rows_per_chunk: int = 1_000_000, min_seconds: int = 1, out: str = "_c") -> DataFrame:
+    """Add a time-chunk number per row. Fixed length when ``chunk_seconds`` is given;
+    otherwise each key gets a length holding about ``rows_per_chunk`` of its rows
+    (from a one-row-per-key table, joined by a size-checked broadcast, so the rows of
+    a hot key are not shuffled by key for it). Adds ``_cu``, the length in micros."""
+    from glint.operators.text_index import bounded_broadcast
+    t = ntz_micros(ts)
+    if chunk_seconds is not None:
+        df = df.withColumn("_cu", F.lit(chunk_seconds * 1_000_000).cast("long"))
+    else:
+        per_key = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"),
+                                       (F.max(t) - F.min(t) + 1).alias("_span"))
+                   .select(key, F.greatest(F.lit(min_seconds * 1_000_000),
+                                           F.ceil(F.col("_span") * F.lit(rows_per_chunk) / F.col("_n")))
+                           .cast("long").alias("_cu")))
+        df = df.join(bounded_broadcast(per_key), key)
+    return df.withColumn(out, F.floor(t / F.col("_cu")).cast("long"))
+
+
 def asof_join(left: DataFrame, right: DataFrame, key: str = "symbol", ts: str = "timestamp",
-              right_ts: str = "timestamp", chunk_seconds: int = DAY) -> DataFrame:
+              right_ts: str = "timestamp", chunk_seconds: int | None = DAY,
+              rows_per_chunk: int = 1_000_000) -> DataFrame:
     """For each left row, the last right row of the same key at or before its time.
 
+    ``chunk_seconds=None`` sizes the time chunks per key from the data.
+
     Left rows keep all columns; right columns are added as ``right`` (a struct, NULL
     when nothing precedes). A right row sorts before a left row at equal time.
     """
@@ -41,7 +64,7 @@ def asof_join(left: DataFrame, right: DataFrame, key: str = "symbol", ts: str =
                      F.lit(None).cast(r.schema["_r"].dataType).alias("_r"),
                      F.lit(1).alias("_side"), lstruct.alias("_l"))
     r = r.withColumn("_l", F.lit(None).cast(l_.schema["_l"].dataType))
-    u = r.unionByName(l_).withColumn("_c", chunk_of("_t", chunk_seconds))
+    u = with_chunks(r.unionByName(l_), "_k", "_t", chunk_seconds, rows_per_chunk).drop("_cu")
     w = Window.partitionBy("_k", "_c").orderBy("_t", "_side") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     u = u.withColumn("_in", F.last("_r", ignorenulls=True).over(w))
@@ -258,22 +281,12 @@ def throttle(events: DataFrame, key: str = "symbol", ts: str = "timestamp", id_c
     broadcast; ``chunk_seconds`` fixes it instead. A key with a third of all rows, even
     without any pause, is spread over its chunks.
     """
-    from glint.operators.text_index import bounded_broadcast
     from glint.session import shared_dir
     gap_us = gap_seconds * 1_000_000
     e = events.select(F.col(key).alias("symbol"), F.col(ts).alias("_ts"), F.col(id_col).alias("_id")) \
         .withColumn("_t", ntz_micros("_ts"))
-    if chunk_seconds is not None:
-        e = e.withColumn("_cu", F.lit(chunk_seconds * 1_000_000).cast("long"))
-    else:
-        span = (e.groupBy("symbol")
-                .agg(F.count(F.lit(1)).alias("_n"), (F.max("_t") - F.min("_t") + 1).alias("_span"))
-                .select("symbol", F.greatest(F.lit(2 * gap_us),
-                                             F.ceil(F.col("_span") * F.lit(rows_per_chunk) / F.col("_n")))
-                        .cast("long").alias("_cu")))
-        e = e.join(bounded_broadcast(span), "symbol")
-    e = e.withColumn("_c", F.floor(F.col("_t") / F.col("_cu")).cast("long")) \
-         .select("symbol", "_c", "_cu", "_t", "_id")
+    e = with_chunks(e, "symbol", "_ts", chunk_seconds, rows_per_chunk, min_seconds=2 * gap_seconds) \
+        .select("symbol", "_c", "_cu", "_t", "_id")
     summary = e.groupBy("symbol", "_c").applyInPandas(
         lambda pdf: _throttle_summary(pdf, gap_us).assign(symbol=pdf["symbol"].iloc[0]),
         schema="_c long, _hi long, _exit long, _cu long, symbol string")

@@ -67,7 +67,8 @@ def _chunk_of(ts: str, chunk_seconds: int):
     return F.floor(micros / F.lit(chunk_seconds * 1_000_000)).cast("long")
 
 
-def with_halo(bars: DataFrame, halo: int, chunk_seconds: int) -> DataFrame:
+def with_halo(bars: DataFrame, halo: int, chunk_seconds: int | None,
+              rows_per_chunk: int = 1_000_000) -> DataFrame:
     """Rows tagged with a target chunk ``_tchunk`` and ``_core``.
 
     Core rows belong to their own chunk; halo copies are the last ``halo`` rows
@@ -75,7 +76,8 @@ def with_halo(bars: DataFrame, halo: int, chunk_seconds: int) -> DataFrame:
     Every frame of ``rowsBetween(-halo, 0)`` inside a (symbol, _tchunk) partition
     then sees the same rows as over the whole symbol.
     """
-    b = bars.withColumn("_chunk", _chunk_of("timestamp", chunk_seconds))
+    from glint.operators.history import with_chunks
+    b = with_chunks(bars, "symbol", "timestamp", chunk_seconds, rows_per_chunk, out="_chunk").drop("_cu")
     b = b.withColumn("_rd", F.row_number().over(
         Window.partitionBy("symbol", "_chunk").orderBy(F.col("timestamp").desc())))
     # Small table: one row per (symbol, chunk).
@@ -100,15 +102,21 @@ def with_halo(bars: DataFrame, halo: int, chunk_seconds: int) -> DataFrame:
 
 
 def indicators(bars: DataFrame, short: int = 20, long: int = 50,
-               chunk_seconds: int | None = None) -> DataFrame:
+               chunk_seconds: int | None = None, split: bool | None = None,
+               rows_per_chunk: int = 1_000_000) -> DataFrame:
     """sma_20 over ``short``+1 rows, sma_50 over ``long``+1 rows (the
     reference's frames include the current row), sample stddev, average volume,
-    z-score and volume ratio (NULL on a zero or NULL divisor), trend label."""
+    z-score and volume ratio (NULL on a zero or NULL divisor), trend label.
+
+    ``chunk_seconds`` (or ``split=True`` with chunk length picked per symbol, about
+    ``rows_per_chunk`` rows per chunk) splits every symbol into time chunks with a halo."""
     bars = bars.select(*BAR_COLS)
-    if chunk_seconds is None:
+    if split is None:
+        split = chunk_seconds is not None
+    if not split:
         out = _with_indicators(bars, ["symbol"], short, long)
     else:
-        tagged = with_halo(bars, max(short, long), chunk_seconds)
+        tagged = with_halo(bars, max(short, long), chunk_seconds, rows_per_chunk)
         out = _with_indicators(tagged, ["symbol", "_tchunk"], short, long) \
             .filter(F.col("_core")).drop("_tchunk", "_core")
     return out

@@ -63,6 +63,9 @@ def test_asof_equals_pandas(spark):
     d = spark.createDataFrame(dec, "symbol string, timestamp timestamp_ntz, decision_id long")
     got = {r["decision_id"]: r["close"] for r in
            H.asof_join(d, b, chunk_seconds=3600).select("decision_id", "right.close").collect()}
+    adaptive = {r["decision_id"]: r["close"] for r in
+                H.asof_join(d, b, chunk_seconds=None, rows_per_chunk=30).select("decision_id", "right.close").collect()}
+    assert adaptive == got
     pb = pd.DataFrame(bars, columns=["symbol", "timestamp", "close"]).sort_values("timestamp")
     pd_ = pd.DataFrame(dec, columns=["symbol", "timestamp", "decision_id"]).sort_values("timestamp")
     want = pd.merge_asof(pd_, pb, on="timestamp", by="symbol", direction="backward")

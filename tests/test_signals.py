@@ -78,8 +78,9 @@ def test_chunked_halo_equals_plain(spark):
                                "symbol string, timestamp timestamp_ntz, close double, volume double")
     cols = ["symbol", "timestamp", "sma_20", "sma_50", "stddev_20", "avg_volume_20", "trend"]
     a = sorted(tuple(r) for r in signals.indicators(df).select(*cols).collect())
-    for chunk in (3600, 86_400):
-        b = sorted(tuple(r) for r in signals.indicators(df, chunk_seconds=chunk).select(*cols).collect())
+    variants = [dict(chunk_seconds=3600), dict(chunk_seconds=86_400), dict(split=True, rows_per_chunk=25)]
+    for kw in variants:
+        b = sorted(tuple(r) for r in signals.indicators(df, **kw).select(*cols).collect())
         assert len(a) == len(b)
         for x, y in zip(a, b):
             assert x[:2] == y[:2] and x[-1] == y[-1]
