@@ -145,12 +145,12 @@ def _cell_fn(mode: str, k: int, k1: float, b: float, avgdl: float, scale: float,
 
 
 def _sides(index: BM25Index, docs: DataFrame, queries: DataFrame, qterms: DataFrame,
-           keep, extra_q: DataFrame | None = None):
+           keep, extra_q: DataFrame | None = None, nq: int | None = None):
     n_docs = index.n_docs
     par = docs.sparkSession.sparkContext.defaultParallelism
     n_post = n_docs * max(1.0, index.avgdl)              # an upper bound on postings
     nb = max(par, math.ceil(n_post / POSTINGS_PER_BLOCK))   # bounded blocks, and every core busy
-    nq = queries.count()
+    nq = queries.count() if nq is None else nq
     nqb = max(1, math.ceil(nq / QUERIES_PER_BLOCK))
     fwd = index.forward if index.forward is not None else forward_index(index.postings)
     micros = ntz_micros
@@ -202,10 +202,11 @@ def hybrid_topk(index: BM25Index, docs: DataFrame, queries: DataFrame, k: int =
     qterms = query_terms(queries, text=query_text)
     avgdl = index.avgdl if index.avgdl > 0 else 1.0
     scale = K1 + 1 if index.variant == "okapi" else 1.0
-    items, qs = _sides(index, docs, queries, qterms, keep)
+    nq = queries.count()
+    items, qs = _sides(index, docs, queries, qterms, keep, nq=nq)
     mx = (_run(items, qs, _cell_fn("max", k, K1, B_PARAM, avgdl, scale, w_bm25, w_sem))
           .groupBy("query_id").agg(F.max("max_bm25").alias("max_bm25"), F.max("max_sem").alias("max_sem")))
-    items, qs = _sides(index, docs, queries, qterms, keep, extra_q=mx)
+    items, qs = _sides(index, docs, queries, qterms, keep, extra_q=mx, nq=nq)
     cand = _run(items, qs, _cell_fn("hybrid", k, K1, B_PARAM, avgdl, scale, w_bm25, w_sem))
     top = _top(cand, k, "relevance_score")
     return (top.filter(F.col("relevance_score") >= F.lit(min_relevance))

@@ -18,7 +18,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glint.functions.scalar import ntz_micros
 
 BAR_COLS = ["symbol", "timestamp", "close", "volume"]
 
@@ -62,11 +61,6 @@ def _with_indicators(df: DataFrame, part: list[str], short: int, long: int) -> D
                         .otherwise("NEUTRAL")))
 
 
-def _chunk_of(ts: str, chunk_seconds: int):
-    micros = ntz_micros(ts)
-    return F.floor(micros / F.lit(chunk_seconds * 1_000_000)).cast("long")
-
-
 def with_halo(bars: DataFrame, halo: int, chunk_seconds: int | None,
               rows_per_chunk: int = 1_000_000) -> DataFrame:
     """Rows tagged with a target chunk ``_tchunk`` and ``_core``.
