@@ -58,3 +58,66 @@ def test_decode_objects_lists_and_broken_records(spark):
     assert {r["key"] for r in enc} == {"A", "B"} and all(r["value"].startswith("{") for r in enc)
     back, _ = MK.decode_messages(MK.encode_messages(good).select("value"))
     assert back.count() == 3 and back.filter(F.col("timestamp").isNull()).count() == 0
+
+
+class FakeState:
+    """Stand-in for GroupState in direct tests of the state functions."""
+
+    def __init__(self, value=None, timed_out=False):
+        self.value, self.hasTimedOut, self.removed, self.timeout = value, timed_out, False, None
+
+    @property
+    def exists(self):
+        return self.value is not None
+
+    @property
+    def get(self):
+        return self.value
+
+    def update(self, v):
+        self.value = v
+
+    def remove(self):
+        self.value, self.removed = None, True
+
+    def setTimeoutTimestamp(self, ms):
+        self.timeout = ms
+
+
+def test_stream_indicators_state_and_late_rows():
+    import datetime as dt
+
+    import pandas as pd
+
+    from glint.streaming.state import _indicator_state
+    t0 = dt.datetime(2024, 1, 1)
+    b1 = pd.DataFrame({"symbol": "A", "timestamp": [t0 + dt.timedelta(minutes=i) for i in range(30)],
+                       "close": [float(i) for i in range(30)], "volume": 1.0})
+    st = FakeState()
+    out1 = next(_indicator_state(("A",), [b1], st))
+    assert len(st.value[0]) == 30 and not out1["late"].any()
+    b2 = pd.DataFrame({"symbol": "A", "timestamp": [t0 + dt.timedelta(minutes=30), t0 + dt.timedelta(minutes=5)],
+                       "close": [30.0, 99.0], "volume": 1.0})
+    out2 = next(_indicator_state(("A",), [b2], st))
+    fresh = out2[~out2["late"]].iloc[0]
+    assert fresh["sma_20"] == sum(range(10, 31)) / 21          # frame continues from state
+    assert out2["late"].sum() == 1 and pd.isna(out2[out2["late"]].iloc[0]["sma_20"])
+
+
+def test_stream_throttle_state_and_timeout():
+    import datetime as dt
+
+    import pandas as pd
+
+    from glint.streaming.state import _throttle_state
+    fn = _throttle_state(300 * 1_000_000)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = pd.DataFrame({"symbol": "A", "timestamp": [t0, t0 + dt.timedelta(seconds=100),
+                                                      t0 + dt.timedelta(seconds=400)], "id": [1, 2, 3]})
+    st = FakeState()
+    acc = next(fn(("A",), [rows], st))
+    assert list(acc["id"]) == [1, 3] and st.timeout is not None
+    more = pd.DataFrame({"symbol": "A", "timestamp": [t0 + dt.timedelta(seconds=500)], "id": [4]})
+    assert len(next(fn(("A",), [more], st))) == 0                # within 5 minutes of the last accepted
+    expired = FakeState(value=st.value, timed_out=True)
+    assert list(fn(("A",), [more.iloc[:0]], expired)) == [] and expired.removed
