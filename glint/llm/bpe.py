@@ -1,21 +1,21 @@
-"""Byte-level BPE encoding and decoding by merge replay.
-
-The words (pattern matches) of a block of documents are laid out as one list of
-tokens. An inverted index maps each mergeable token (its rank) to the positions
-where a pair that merges into it begins. Ranks are replayed in ascending order,
-a merge touches only its two neighbours, and every distinct word is replayed
-once per worker as long as the bounded cache holds it. Words do not influence
-each other, so blocks need no exchange.
-
-Defined cases: null text is empty text (no ids, no bytes); every other column,
-also null ones, passes through unchanged; an existing ``ids`` / ``decoded``
-column is replaced; repeated rows stay repeated; an empty table gives an empty
-table with the output schema.
+"""Byte-level BPE encoding and decoding by merge replay over a block of the corpus.
+
+The distinct words (pattern matches) of a block of documents are laid out as one array
+of tokens. An inverted index maps each mergeable pair, by the rank of what it merges
+into, to the positions where it begins. The ranks are replayed in ascending order; a
+rank merges at all of its positions at once, and only the neighbours that a merge
+touched are looked up and indexed anew. Words do not influence each other, so blocks need
+no exchange, and a worker replays a word once as long as its bounded table holds it.
+
+Defined cases: null text is empty text (no ids, no bytes); every other column, also null
+ones, passes through unchanged; an existing ``ids`` / ``decoded`` column is replaced;
+repeated rows stay repeated; an empty table gives an empty table with the output schema.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import heapq
 from collections.abc import Iterator
 
@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 
 from glint.llm.common import schema_with, slices
 
-BLOCK_BYTES = 1 << 21      # text per replayed block
-CACHE_WORDS = 400_000      # distinct words a worker remembers
+BLOCK_BYTES = 24 << 20     # text whose new words are replayed together
+SLICE_BYTES = 2 << 20      # text that is split into words at a time
+KNOWN_WORDS = 600_000      # distinct words a worker remembers
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -35,109 +36,187 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
 
 
+def spread_out(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions first[i] .. first[i] + size[i] - 1 of all i, one after another."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(first - (ends - size), size) + np.arange(total)
+
+
 class MergeReplay:
-    """Encoder of distinct words for one vocabulary."""
+    """Tables of one vocabulary, and the replay of its merges."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.vocab = {i: t for t, i in ranks.items()}
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[int, int] = {}
-        self.cache: dict[str, bytes] = {}
-
-    def _merged(self, a: int, b: int) -> int:
-        key = a << 32 | b
-        r = self.pairs.get(key)
-        if r is None:
-            r = self.pairs[key] = self.ranks.get(self.vocab[a] + self.vocab[b], -1)
-        return r
-
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word: lowest rank first, leftmost first within a word."""
-        single, merged = self.single, self._merged
-        tok: list[int] = []
-        starts: list[int] = []
-        nxt: list[int] = []
-        prv: list[int] = []
-        index: dict[int, list[int]] = {}
-        for w in words:
-            p, n = len(tok), len(w)
-            starts.append(p)
-            tok.extend([single[b] for b in w])
-            nxt.extend(range(p + 1, p + n))
-            nxt.append(-1)
-            prv.append(-1)
-            prv.extend(range(p, p + n - 1))
-            for i in range(p, p + n - 1):
-                r = merged(tok[i], tok[i + 1])
-                if r >= 0:
-                    index.setdefault(r, []).append(i)
-        heap = list(index)
-        heapq.heapify(heap)
+        top = max(ranks.values()) + 1
+        tokens = [b""] * top
+        for t, i in ranks.items():
+            tokens[i] = t
+        self.token_size = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.token_first = np.cumsum(self.token_size) - self.token_size
+        self.token_bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.shift = top
+        pairs = {}
+        for t, i in ranks.items():
+            for cut in range(1, len(t)):
+                a, b = ranks.get(t[:cut]), ranks.get(t[cut:])
+                if a is not None and b is not None:
+                    pairs[a * top + b] = i
+        self.pairs = pairs
+        self.keys = np.array(sorted(pairs), dtype=np.int64)
+        self.merged = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
+
+    def lookup(self, left, right) -> np.ndarray:
+        """Rank that each pair merges into, or -1."""
+        key = left * self.shift + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.merged[at], -1)
+
+    def one(self, word: bytes) -> list[int]:
+        """A word on its own: lowest rank first, leftmost first."""
+        tok = [int(self.single[b]) for b in word]
+        while len(tok) > 1:
+            found = [(self.pairs.get(a * self.shift + b, self.shift), i)
+                     for i, (a, b) in enumerate(zip(tok, tok[1:], strict=False))]
+            r, i = min(found)
+            if r == self.shift:
+                break
+            tok[i:i + 2] = [r]
+        return tok
+
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after another, and the number of ids of each word."""
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        raw = np.frombuffer(b"".join(words), dtype=np.uint8)
+        n = len(raw)
+        if not n:
+            return np.zeros(0, np.int64), size
+        start = np.cumsum(size) - size
+        tok = np.append(self.single[raw], -1)
+        nxt = np.append(np.arange(1, n + 1), n)            # n: no neighbour
+        nxt[start[size > 0] + size[size > 0] - 1] = n
+        prv = np.append(np.arange(-1, n - 1), n)
+        prv[start[size > 0]] = n
+        now = np.full(n + 1, -1, dtype=np.int64)           # rank of the pair that begins here
+        index: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+        odd: list[np.ndarray] = []
+
+        def add(pos: np.ndarray, rank: np.ndarray) -> None:
+            now[pos] = rank
+            ok = rank >= 0
+            pos, rank = pos[ok], rank[ok]
+            if not len(pos):
+                return
+            if len(pos) > 1:
+                order = np.argsort(rank, kind="stable")
+                pos, rank = pos[order], rank[order]
+                cuts = (np.flatnonzero(rank[1:] != rank[:-1]) + 1).tolist()
+            else:
+                cuts = []
+            a = 0
+            for b in [*cuts, len(pos)]:
+                r = int(rank[a])
+                held = index.get(r)
+                if held is None:
+                    index[r] = [pos[a:b]]
+                    heapq.heappush(heap, r)
+                else:
+                    held.append(pos[a:b])
+                a = b
+
+        pos = np.flatnonzero(nxt[:n] < n)
+        add(pos, self.lookup(tok[pos], tok[pos + 1]))
         while heap:
             r = heapq.heappop(heap)
-            places = index.pop(r, None)
-            if places is None:
+            held = index.pop(r)
+            p = held[0] if len(held) == 1 else np.unique(np.concatenate(held))
+            p = p[now[p] == r]                             # others lost a token to a lower rank
+            if not len(p):
                 continue
-            places.sort()
-            for at, i in enumerate(places):
-                j = nxt[i]
-                if tok[i] < 0 or j < 0 or merged(tok[i], tok[j]) != r:
-                    continue      # a neighbour's merge took this pair apart
-                tok[i], tok[j] = r, -1
-                k = nxt[i] = nxt[j]
-                lower = False
-                if k >= 0:
-                    prv[k] = i
-                    m = merged(r, tok[k])
-                    if m >= 0:
-                        if m not in index:
-                            index[m] = []
-                            heapq.heappush(heap, m)
-                        index[m].append(i)
-                        lower = m < r
-                h = prv[i]
-                if h >= 0:
-                    m = merged(tok[h], r)
-                    if m >= 0:
-                        if m not in index:
-                            index[m] = []
-                            heapq.heappush(heap, m)
-                        index[m].append(h)
-                        lower = lower or m < r
-                if lower:         # the new pair goes first; the rest of this rank waits
-                    index[r] = places[at + 1:]
-                    heapq.heappush(heap, r)
-                    break
-        out = []
-        for p in starts:
-            ids = []
-            while p >= 0:
-                ids.append(tok[p])
-                p = nxt[p]
-            out.append(ids)
-        return out
-
-    def learn(self, words: set[str]) -> None:
-        """Put the words that the cache lacks into it."""
-        todo = []
-        for w in words:
-            raw = w.encode("utf-8")
-            whole = self.ranks.get(raw)
-            if whole is not None:
-                self.cache[w] = whole.to_bytes(4, "little")
-            else:
-                todo.append((w, raw))
-        for (w, _), ids in zip(todo, self.replay([raw for _, raw in todo]), strict=True):
-            self.cache[w] = np.array(ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[list[str]]) -> list[bytes]:
-        """Ids (little-endian u32) of texts that are given as lists of words."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        self.learn(set().union(*texts).difference(self.cache) if texts else set())
-        get = self.cache.__getitem__
-        return [b"".join(map(get, t)) for t in texts]
+            if len(p) > 1:
+                chain = p[1:] == nxt[p[:-1]]
+                if chain.any():                            # overlapping pairs: every other one, from the left
+                    k = np.arange(len(p))
+                    head = np.maximum.accumulate(np.where(np.append(False, chain), 0, k))
+                    p = p[(k - head) % 2 == 0]
+            j = nxt[p]
+            after = nxt[j]
+            tok[p], tok[j], now[j], now[p] = r, -1, -1, -1
+            nxt[p], prv[after] = after, p
+            right = after < n
+            pr = p[right]
+            mr = self.lookup(np.int64(r), tok[after[right]])
+            before = prv[p]
+            pl = before[before < n]
+            ml = self.lookup(tok[pl], np.int64(r))
+            for pos, m in ((pr, mr), (pl, ml)):
+                low = (m >= 0) & (m < r)
+                if low.any():
+                    odd.append(pos[low])
+                add(pos, m)
+        alive = tok[:n] >= 0
+        flat = tok[:n][alive]
+        count = np.diff(np.append(0, np.cumsum(alive))[np.append(start, n)])
+        if odd:      # a merge made a pair of lower rank: such words are replayed on their own
+            parts = np.split(flat, np.cumsum(count)[:-1])
+            for w in np.unique(np.searchsorted(start, np.concatenate(odd), side="right") - 1).tolist():
+                parts[w] = np.array(self.one(words[w]), dtype=np.int64)
+                count[w] = len(parts[w])
+            flat = np.concatenate(parts)
+        return flat, count
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all ids one after another, and the number of bytes of each id."""
+        size = self.token_size[ids]
+        return self.token_bytes[spread_out(self.token_first[ids], size)], size
+
+
+@functools.lru_cache(maxsize=2)
+def tables(rank_file: bytes) -> MergeReplay:
+    """The tables of a vocabulary; a worker builds them once for all of its tasks."""
+    return MergeReplay(read_ranks(rank_file))
+
+
+class Words(dict):
+    """Word -> number in order of appearance; the ids of a word follow when it has been replayed."""
+
+    def __init__(self, replay: MergeReplay):
+        super().__init__()
+        self.replay, self.done = replay, 0
+        self.flat, self.first, self.count = (np.zeros(0, np.int64) for _ in range(3))
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = self.done + len(self.new)
+        self.new.append(word)
+        return at
+
+    def learn(self) -> None:
+        """Replay the words that came since the last call. A word that is a token needs no merge."""
+        if not self.new:
+            return
+        raw = [w.encode("utf-8") for w in self.new]
+        whole = np.array([self.replay.ranks.get(w, -1) for w in raw], dtype=np.int64)
+        flat, count = self.replay.replay([w if i < 0 else b"" for w, i in zip(raw, whole.tolist(), strict=True)])
+        first = np.cumsum(count) - count
+        token = np.flatnonzero(whole >= 0)
+        first[token], count[token] = len(flat) + np.arange(len(token)), 1
+        self.first = np.append(self.first, first + len(self.flat))
+        self.count = np.append(self.count, count)
+        self.flat = np.concatenate([self.flat, flat, whole[token]])
+        self.done += len(self.new)
+        self.new = []
+
+
+def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+    kept = [c for c in batch.schema.names if c.lower() != name.lower()]
+    return pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [values], [*kept, name])
+
+
+def _ends(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
 
 
 def encode_documents(docs: DataFrame, rank_file: bytes, pattern: str, text: str = "text",
@@ -153,35 +232,60 @@ def encode_documents(docs: DataFrame, rank_file: bytes, pattern: str, text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        words, replay = regex.compile(pattern).findall, MergeReplay(read_ranks(held.value))
+        split, replay = regex.compile(pattern).findall, tables(held.value)
+        words = Words(replay)
+
+        def coded(block: list) -> Iterator[pa.RecordBatch]:
+            words.learn()
+            for part, numbers, sizes in block:
+                count = words.count[numbers]
+                flat = words.flat[spread_out(words.first[numbers], count)].astype(np.int32)
+                doc = np.diff(np.append(0, np.cumsum(count))[np.append(0, np.cumsum(sizes))])
+                yield _with(part, ids, pa.ListArray.from_arrays(_ends(doc), pa.array(flat)))
+
+        block, size = [], 0
         for batch in batches:
-            for part in slices(batch, text, BLOCK_BYTES):
-                coded = replay.encode([words(t) if t else [] for t in part.column(text).to_pylist()])
-                flat = np.frombuffer(b"".join(coded), dtype="<u4").astype(np.int32)
-                ends = np.cumsum([0] + [len(c) // 4 for c in coded]).astype(np.int32)
-                kept = [c for c in part.schema.names if c.lower() != ids.lower()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in kept] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    [*kept, ids])
+            for part in slices(batch, text, SLICE_BYTES):
+                numbers, sizes = [], []
+                for t in part.column(text).to_pylist():
+                    found = split(t) if t else []
+                    sizes.append(len(found))
+                    numbers.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
+                block.append((part, np.concatenate(numbers), np.array(sizes, dtype=np.int64)))
+                size += part.column(text).nbytes
+                if size >= BLOCK_BYTES:
+                    yield from coded(block)
+                    block, size = [], 0
+                    if len(words) > KNOWN_WORDS:
+                        words = Words(replay)
+        yield from coded(block)
 
     return docs.mapInArrow(run, schema_with(docs, **{ids: T.ArrayType(T.IntegerType())}))
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and sizes of a list column; null lists are empty."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(zero_copy_only=False), sizes.astype(np.int64)
+
+
 def decode_documents(encoded: DataFrame, rank_file: bytes, ids: str = "ids",
                      decoded: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes that its ``ids`` stand for (null ids: no bytes) as ``decoded binary``."""
     held = encoded.sparkSession.sparkContext.broadcast(rank_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = {i: t for t, i in read_ranks(held.value).items()}
-        get = vocab.__getitem__
+        replay = tables(held.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                kept = [c for c in part.schema.names if c.lower() != decoded.lower()]
-                texts = [b"".join(map(get, x)) if x else b"" for x in part.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(texts, pa.binary())],
-                                                 [*kept, decoded])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                flat, sizes = _flat(part.column(ids))
+                raw, each = replay.decode(flat)
+                size = np.diff(np.append(0, np.cumsum(each))[np.append(0, np.cumsum(sizes))])
+                yield _with(part, decoded, pa.Array.from_buffers(
+                    pa.binary(), part.num_rows, [None, _ends(size).buffers()[1], pa.py_buffer(raw.tobytes())]))
 
     return encoded.mapInArrow(run, schema_with(encoded, **{decoded: T.BinaryType()}))
 
@@ -193,13 +297,9 @@ def token_digest(encoded: DataFrame, ids: str = "ids", digest: str = "ids_sha256
         import hashlib
 
         for batch in batches:
-            out = []
-            for x in batch.column(ids):
-                raw = b"" if not x.is_valid else x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-                out.append(hashlib.sha256(raw).hexdigest())
-            kept = [c for c in batch.schema.names if c.lower() != digest.lower()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(out, pa.string())],
-                                             [*kept, digest])
+            flat, sizes = _flat(batch.column(ids))
+            raw, ends = memoryview(flat.astype("<u4").tobytes()), (4 * np.cumsum(sizes)).tolist()
+            out = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip([0, *ends], ends, strict=False)]
+            yield _with(batch, digest, pa.array(out, pa.string()))
 
     return encoded.mapInArrow(run, schema_with(encoded, **{digest: T.StringType()}))
-
