@@ -80,3 +80,10 @@ def op7_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(docs).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glint.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
