@@ -87,3 +87,11 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glint.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glint.llm.toxicity import classify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "p_quality", "p_toxic", "toxic")
