@@ -95,3 +95,16 @@ def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "p_quality", "p_toxic", "toxic")
+
+
+@query
+def op5_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glint.llm.pii import KINDS, find_spans, joined, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_spans(docs, train(docs))
+    kinds = F.transform("base", lambda x: x["kind"])
+    count = [F.size(F.array_remove(kinds, k)).cast("long") for k in KINDS]
+    count = [(F.size("base") - n).alias(f"n_{k}") for n, k in zip(count, KINDS, strict=True)]
+    return found.select("doc_id", *count, F.sha2(joined("base"), 256).alias("base_sha256"),
+                        joined("found").alias("spans"))
