@@ -108,3 +108,19 @@ def op5_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = [(F.size("base") - n).alias(f"n_{k}") for n, k in zip(count, KINDS, strict=True)]
     return found.select("doc_id", *count, F.sha2(joined("base"), 256).alias("base_sha256"),
                         joined("found").alias("spans"))
+
+
+@query
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glint.llm.spotsigs import edited_text, fingerprint, likeness, signatures, with_next
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = with_next(docs.withColumn("sigs", signatures(F.col("text"))), ["text", "sigs"])
+    d = d.withColumn("edited", edited_text(F.col("text"), F.col("next.text")))
+    d = d.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
+                 F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "sigs",
+                 signatures(F.col("edited")).alias("edited_sigs"), F.col("next.sigs").alias("next_sigs"))
+    return d.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sigs")).alias("fingerprint"),
+                    fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
+                    likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
+                    likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
