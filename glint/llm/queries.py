@@ -112,15 +112,26 @@ def op5_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from glint.llm.spotsigs import edited_text, fingerprint, likeness, signatures, with_next
+    from glint.llm.spotsigs import add_signatures, edited_text, fingerprint, likeness, with_next
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    d = with_next(docs.withColumn("sigs", signatures(F.col("text"))), ["text", "sigs"])
+    d = with_next(docs, add_signatures, ["text", "sigs"])
     d = d.withColumn("edited", edited_text(F.col("text"), F.col("next.text")))
-    d = d.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
-                 F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "sigs",
-                 signatures(F.col("edited")).alias("edited_sigs"), F.col("next.sigs").alias("next_sigs"))
-    return d.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sigs")).alias("fingerprint"),
+    d = add_signatures(d.select("doc_id", "text", "edited", "sigs", F.col("next.sigs").alias("next_sigs")),
+                       "edited", "edited_sigs")
+    return d.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
+                    F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+                    fingerprint(F.col("sigs")).alias("fingerprint"),
                     fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
                     likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
                     likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
+
+
+@query
+def op6_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glint.llm.suffix_dedup import find_repeats
+
+    found = find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))

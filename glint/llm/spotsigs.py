@@ -1,7 +1,7 @@
 """Document fingerprints by spot signatures. DataFrame operations only.
 
-A spot is an anchor (a very common word) followed by a chain of content words; common words
-inside the chain are skipped. The set of a document's spot signatures is its fingerprint:
+A spot is an anchor (a very common word) followed by a chain of two content words; common
+words between these are skipped. The set of a document's spot signatures is its fingerprint:
 frequent words decide where signatures begin, so menus and numbers add little, and an edit
 changes only the spots that it touches.
 
@@ -18,6 +18,8 @@ and repeated rows follow each other; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,12 +31,22 @@ aber als am auch auf aus bei das dem den der des die ein eine einer er es für i
 und von war wie zu au aux avec ce ces dans de des du elle en est et il ils la le les leur mais ne nous ou par pas
 pour que qui se ses son sur un une al como con del el ella esta este las lo los más no para pero por sin su sus
 una y""".split()
-CHAIN = 2                      # content words after an anchor
-BIN_BYTES = 64 << 20           # text of a bin in which neighbours are looked up
+BIN_BYTES = 16 << 20           # text of a bin in which neighbours are looked up
+MOST_BINS = 4096               # beyond this many, bins grow instead (a window's sort spills)
+MARK = "\u0001"                # before an anchor; the normal form has no such character
 
 
-def _anchors() -> str:
-    return "|".join(sorted(set(ANCHORS)))
+def _trie(words: list[str]) -> str:
+    """A regular expression for a list of words that shares their beginnings."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    parts = [h + _trie(rest) for h, rest in sorted(heads.items())]
+    if not parts:
+        return ""
+    body = parts[0] if len(parts) == 1 and "" not in words else f"(?:{'|'.join(parts)})"
+    return body + "?" if "" in words else body
 
 
 def normal_form(text: Column) -> Column:
@@ -43,18 +55,29 @@ def normal_form(text: Column) -> Column:
                     F.lit(" "))
 
 
-def signatures(text: Column) -> Column:
-    """Sorted distinct 32-bit hashes (as long) of a text's spots."""
-    common = f"(?:(?:{_anchors()})\\x20)"
-    n = normal_form(text)
-    chain = f"(?:{common}*+[^\\x20]++\\x20){{{CHAIN}}}"
-    spots = F.regexp_extract_all(n, F.lit(f"(?<=\\x20)(?=((?:{_anchors()})\\x20{chain}))"), F.lit(1))
-    # only the chain's content words and its anchor count
-    inner = f"(?<=\\x20){common}"
-    spots = F.transform(spots, lambda x: F.regexp_replace(x, inner, ""))
-    whole = F.when(F.length(F.trim(n)) > 0, F.array(n)).otherwise(F.array().cast("array<string>"))
-    spots = F.when(F.size(spots) > 0, spots).otherwise(whole)
-    return F.array_sort(F.array_distinct(F.transform(spots, lambda x: F.xxhash64(x).bitwiseAND(F.lit(0xFFFFFFFF)))))
+def add_signatures(docs: DataFrame, text: str = "text", out: str = "sigs") -> DataFrame:
+    """``docs`` with ``out``: the sorted distinct 32-bit hashes (as long) of the spots of ``text``.
+
+    A run of common words is glued to the content word after it as mark, last common word, ``>``.
+    Words and glued words then agree in position, and a spot is a glued word with the next content word.
+    Every step is a column of its own, so that none is evaluated twice.
+    """
+    anchors = _trie(sorted(set(ANCHORS)))
+    d = without(docs, out, "__llm_n", "__llm_c", "__llm_s")
+    d = d.withColumn("__llm_n", F.regexp_replace(normal_form(F.col(text)), rf"(?<=\x20)(?:({anchors})\x20)++",
+                                                 MARK + "$1>"))
+    d = d.withColumn("__llm_c", F.split(F.regexp_replace("__llm_n", f"{MARK}[^>]*+>", ""), " "))
+
+    def spot(x: Column, i: Column) -> Column:
+        after = F.get("__llm_c", i + 1)
+        return F.when(x.startswith(MARK) & (F.get("__llm_c", i) != "") & (after != ""),
+                      F.xxhash64(x, after).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+    d = d.withColumn("__llm_s", F.array_compact(F.array_distinct(F.transform(F.split("__llm_n", " "), spot))))
+    whole = F.when(F.length(F.trim("__llm_n")) > 0, F.array(F.xxhash64("__llm_n").bitwiseAND(F.lit(0xFFFFFFFF)))) \
+        .otherwise(F.array().cast("array<bigint>"))
+    return d.withColumn(out, F.when(F.size("__llm_s") > 0, F.array_sort("__llm_s")).otherwise(whole)) \
+        .drop("__llm_n", "__llm_c", "__llm_s")
 
 
 def fingerprint(signature_set: Column) -> Column:
@@ -69,17 +92,17 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``docs`` with ``next``, a struct of ``columns`` of the next document (after the last: the first).
+def with_next(docs: DataFrame, derive: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
+    """``derive(docs)`` with ``next``, a struct of ``columns`` of the next document (after the last: the first).
 
-    Rows are dealt into bins of about BIN_BYTES by quantiles of doc_id; a window looks ahead in
+    ``derive`` adds columns row by row. Rows are dealt into bins of about BIN_BYTES by quantiles of doc_id; a window looks ahead in
     each bin, and the first row of each bin (one per bin) is the next of the last row before it.
     """
     d = without(docs, "next", "__llm_bin", "__llm_tie", "__llm_id")
     d = d.withColumn("__llm_id", F.col("doc_id").cast("long")).withColumn(
         "__llm_tie", F.xxhash64(F.coalesce("text", F.lit(""))))
     size, rows = docs.agg(F.sum(F.octet_length("text")), F.count("doc_id")).first()
-    bins = max(1, -(-(size or 0) // BIN_BYTES))
+    bins = min(MOST_BINS, max(1, -(-(size or 0) // BIN_BYTES)))
     cuts = []
     if bins > 1 and rows:
         cuts = sorted(set(docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / bins for i in range(1, bins)],
@@ -95,22 +118,26 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     else:
         at = F.lit(0)
     d = d.withColumn("__llm_bin", at.cast("int"))
+    # the first row of every bin: one row each, found by its key alone
+    key = F.struct(F.col("__llm_id").isNull().alias("z"), F.col("__llm_id").alias("i"), F.col("__llm_tie").alias("t"))
+    least = d.groupBy("__llm_bin").agg(F.min(key).alias("k"))
+    least = least.select(F.col("__llm_bin").alias("b"), F.col("k.i").alias("i"), F.col("k.t").alias("t")).collect()
+    least.sort()
+    spark = docs.sparkSession
+    before = {r["b"]: least[i - 1]["b"] for i, r in enumerate(least)}
+    rows = [F.struct(F.lit(r["b"]), F.lit(before[r["b"]]), F.lit(r["i"]), F.lit(r["t"])) for r in least]
+    of_bin = spark.range(1).select(F.inline(F.array(*rows).cast(
+        "array<struct<b:int,before:int,i:bigint,t:bigint>>")))
+    first = d.join(F.broadcast(of_bin), (F.col("__llm_bin") == F.col("b")) & F.col("__llm_tie").eqNullSafe(F.col("t"))
+                   & F.col("__llm_id").eqNullSafe(F.col("i"))).dropDuplicates(["b"])        # one row per bin
+    first = derive(first).select(F.col("before").alias("__llm_bin"), F.struct(*columns).alias("first"))
+    first = stored(first, "bin-first")
     order = [F.asc_nulls_last("__llm_id"), F.col("__llm_tie")]
-    ahead = F.lead(F.struct(*columns)).over(Window.partitionBy("__llm_bin").orderBy(*order))
-    # the first row of every bin: one row each
-    key = F.struct(F.col("__llm_id").isNull(), "__llm_id", "__llm_tie")
-    first = stored(d.groupBy("__llm_bin").agg(F.min_by(F.struct(*columns), key).alias("first")), "bin-first")
-    numbers = [r[0] for r in first.select("__llm_bin").orderBy("__llm_bin").collect()]      # one integer per bin
-    if numbers:
-        later = dict(zip(numbers, numbers[1:] + numbers[:1], strict=True))
-        before = {b: a for a, b in later.items()}
-        place = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-        first = first.select(F.element_at(place, F.col("__llm_bin")).alias("__llm_bin"), "first")
-    d = d.withColumn("next", ahead)
-    ends = d.filter("next is null").select("__llm_bin", *[F.col(f"`{c}`") for c in docs.columns]) \
-        .join(first, "__llm_bin").withColumnRenamed("first", "next")
-    cols = [F.col(f"`{c}`") for c in docs.columns if c != "next"]
-    return d.filter("next is not null").select(*cols, "next").unionByName(ends.select(*cols, "next"))
+    d = derive(d)
+    cols = [F.col(f"`{c}`") for c in d.columns if not c.startswith("__llm_")]
+    d = d.withColumn("next", F.lead(F.struct(*columns)).over(Window.partitionBy("__llm_bin").orderBy(*order)))
+    return (d.join(F.broadcast(first), "__llm_bin", "left")
+            .select(*cols, F.coalesce("next", "first").alias("next")))
 
 
 def edited_text(text: Column, following: Column) -> Column:
