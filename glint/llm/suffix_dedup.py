@@ -1,6 +1,6 @@
 """Removal of byte strings that also occur in an earlier document, by a phrase parse.
 
-A trigger is the least rolling hash of a 24-byte window among those inside a string of
+A trigger is the least rolling hash of a 20-byte window among those inside a string of
 ``length`` bytes. Consecutive strings with the same trigger make a phrase, so the parse
 depends on the text alone: phrases overlap by ``length - 1`` bytes, every string of
 ``length`` bytes lies in exactly one phrase of its document, and equal strings have equal
@@ -38,7 +38,7 @@ from glint.llm.bpe import spread_out
 from glint.llm.common import slices, total_bytes
 from glint.llm.words import BASE, BYTE, UNBASE, mix, powers, text_bytes
 
-GRAM = 24                     # bytes of the rolling window
+GRAM = 20                     # bytes of the rolling window
 BLOCK_BYTES = 12 << 20        # text of a block
 BUCKET_BYTES = 32 << 20       # text whose triggers meet in a task
 SLICE_BYTES = 1 << 20         # text that is hashed at a time
@@ -220,7 +220,12 @@ def find_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         first = np.cumsum(size) - size
         names, one, least = by_phrase(phrase, doc)
         of = np.searchsorted(names, phrase)
-        order = np.argsort(key[one], kind="stable")              # equal strings have equal triggers
+        # equal strings have equal triggers; where a trigger has one phrase there is nothing to compare
+        order = np.argsort(key[one], kind="stable")
+        k = key[one[order]]
+        alone = np.ones(len(k) + 1, dtype=bool)
+        alone[1:-1] = k[1:] != k[:-1]
+        order = order[~(alone[1:] & alone[:-1])]
         one, least_o = one[order], least[order]
         # the 8 bytes from each position as one big-endian number
         wide = np.zeros(len(raw) - 7, dtype=np.uint64)
@@ -228,7 +233,7 @@ def find_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             wide = wide << np.uint64(8) | raw[b:len(raw) - 7 + b]
         masks = np.zeros(len(one), dtype=np.uint64)
         k, done = key[one], 0
-        ends = np.append(np.flatnonzero(k[1:] != k[:-1]) + 1, len(k))      # ends of groups of equal triggers
+        ends = np.append(np.flatnonzero(k[1:] != k[:-1]) + 1, len(k)) if len(k) else k      # of equal triggers
         upto = np.cumsum(strings[one])
         while done < len(one):
             base = upto[done - 1] if done else 0
@@ -248,7 +253,7 @@ def find_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             hit = np.flatnonzero(earliest < least_o[own])
             np.bitwise_or.at(masks, own[hit], np.uint64(1) << offset[hit].astype(np.uint64))
             done = end
-        mask = np.empty(len(names), dtype=np.uint64)
+        mask = np.zeros(len(names), dtype=np.uint64)
         mask[order] = masks
         full = (np.uint64(1) << strings.astype(np.uint64)) - np.uint64(1)
         out = np.where(doc > least[of], full, mask[of])
