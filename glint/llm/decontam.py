@@ -8,7 +8,8 @@
    where Omega holds the items themselves and random columns. From the two sums (their size is
    terms x columns, whatever the corpus) come the leading right singular vectors; the span of
    the items is joined to them, so that truncation cannot lose an item.
-3. Each passage's cosine with each item in that space proposes candidates.
+3. Each passage's cosine with each item in that space, and the share of the item's own length
+   that the passage's projection on it reaches, propose candidates.
 4. A candidate is checked at the place of the passage that holds most of the item's weighted
    terms: the longest common subsequence of words must cover ``lcs`` of the item, and the
    item's answer must be there: the part behind an answer mark or the last question mark, or
@@ -147,13 +148,14 @@ def term_weights(texts: DataFrame, items: Items, common: float) -> tuple[np.ndar
     return weight, n
 
 
-def item_matrix(items: Items, weight: np.ndarray) -> np.ndarray:
-    """TF-IDF rows of the items, of unit length."""
+def item_matrix(items: Items, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """TF-IDF rows of the items, of unit length, and their lengths before."""
     x = np.zeros((len(items.ids), len(items.terms)))
     for i, w in enumerate(items.words):
         np.add.at(x[i], items.columns(w), 1)
     x *= weight
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    norm = np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    return x / norm, norm[:, 0]
 
 
 def latent_basis(texts: DataFrame, items: Items, weight: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -241,8 +243,8 @@ def check(item: np.ndarray, answer: np.ndarray, weight: np.ndarray, text: np.nda
     return share, float(np.isin(own, here).mean()) if len(own) else share
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, lcs: float = 0.6, answer: float = 0.5,
-                 common: float = 0.02) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.25, cover: float = 0.25, lcs: float = 0.6,
+                 answer: float = 0.5, common: float = 0.02) -> DataFrame:
     """doc_id, item_id, similarity (latent cosine), lcs_share, answer_share of each pair that passes."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -252,9 +254,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, lcs
         if not items.ids:
             continue
         weight, _ = term_weights(texts, items, common)
-        x = item_matrix(items, weight)
+        x, length = item_matrix(items, weight)
         basis = latent_basis(texts, items, weight, x)
-        found = _search(texts, items, weight, x, basis, (cosine, lcs, answer), schema)
+        found = _search(texts, items, weight, x, length, basis, (cosine, cover, lcs, answer), schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], schema)
@@ -264,16 +266,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, lcs
         "doc_id", "item_id", "b.similarity", "b.lcs_share", "b.answer_share")
 
 
-def _search(texts: DataFrame, items: Items, weight: np.ndarray, x: np.ndarray, basis: np.ndarray,
-            least: tuple[float, float, float], schema: str) -> DataFrame:
+def _search(texts: DataFrame, items: Items, weight: np.ndarray, x: np.ndarray, length: np.ndarray,
+            basis: np.ndarray, least: tuple[float, float, float, float], schema: str) -> DataFrame:
     z = x @ basis
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
     held = texts.sparkSession.sparkContext.broadcast((items, weight, (basis * weight[:, None]).astype(np.float32),
-                                                      z.astype(np.float32)))
-    cosine, lcs, answer = least
+                                                      z.astype(np.float32), length.astype(np.float32)))
+    cosine, cover, lcs, answer = least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, weight, rows, z = held.value
+        items, weight, rows, z, length = held.value
         own = [np.intersect1d(w, items.terms[weight > 0]) for w in items.words]
         for part, words, counts, cols in _text_slices(batches, items):
             cols = np.where(weight[cols] > 0, cols, -1) if len(weight) else cols
@@ -288,9 +290,10 @@ def _search(texts: DataFrame, items: Items, weight: np.ndarray, x: np.ndarray, b
             for a, b in zip(cuts, cuts[1:], strict=False):
                 head = a + np.flatnonzero(np.append(True, p[a + 1:b] != p[a:b - 1]))
                 latent = np.add.reduceat(rows[t[a:b]] * c[a:b, None].astype(np.float32), head - a, axis=0)
-                latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
                 near = latent @ z.T
-                for i, j in zip(*np.nonzero(near >= cosine), strict=True):
+                enough = near >= cover * length
+                near /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+                for i, j in zip(*np.nonzero(enough & (near >= cosine)), strict=True):
                     k = p[head[i]]
                     d = text[k]
                     whole = words[begin[d]:begin[d] + counts[d]]
