@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,36 +37,32 @@ from pyspark.sql import functions as F
 
 from glint.llm.bpe import spread_out
 from glint.llm.common import slices
-from glint.llm.words import PUNCT, hashed_words, text_bytes
 
 PASSAGE, STRIDE = 48, 24       # words
 ITEM_BLOCK = 512               # items that share a latent space
 RANK, EXTRA = 32, 8            # leading singular vectors, and random columns beyond them
 SLICE_BYTES = 2 << 20
+#: Words are runs of ASCII letters (A-Z as a-z), digits and bytes beyond ASCII.
+FOLD = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c > 127 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
 ANSWER = re.compile(r"(?i)(?:^|\n|\s)(?:answer|réponse|antwort|respuesta|a)\s*[:=]\s*")
 
 
 @dataclass
 class Items:
-    """A block of benchmark items as arrays."""
+    """A block of benchmark items."""
 
     ids: list[int]
-    words: list[np.ndarray]          # hashes in order
-    answers: list[np.ndarray]
-    terms: np.ndarray                # sorted distinct hashes
+    words: list[list[bytes]]
+    answers: list[list[bytes]]
+    terms: dict[bytes, int]          # word -> number
 
-    def columns(self, words: np.ndarray) -> np.ndarray:
+    def columns(self, words: list[bytes]) -> np.ndarray:
         """Term number of each word, -1 for others."""
-        if not len(self.terms):
-            return np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
-        return np.where(self.terms[at] == words, at, -1)
+        return np.fromiter(map(self.terms.get, words, repeat(-1)), np.int64, len(words))
 
 
-def _hashes(texts: list[str]) -> list[np.ndarray]:
-    raw, sizes = text_bytes(pa.array(texts, pa.string()))
-    words, counts = hashed_words(raw, sizes, PUNCT)
-    return np.split(words, np.cumsum(counts)[:-1]) if texts else []
+def split_words(text: str | None) -> list[bytes]:
+    return text.encode("utf-8").translate(FOLD).split() if text else []
 
 
 def read_items(benchmark: DataFrame) -> Iterator[Items]:
@@ -73,15 +70,14 @@ def read_items(benchmark: DataFrame) -> Iterator[Items]:
     held: list[tuple[int, str]] = []
 
     def block() -> Items:
-        words = _hashes([t for _, t in held])
+        words = [split_words(t) for _, t in held]
         tails = []
         for _, t in held:
             mark = list(ANSWER.finditer(t))
             tails.append(t[mark[-1].end():] if mark else t.rpartition("?")[2] if "?" in t else "")
-        ok = [i for i, w in enumerate(words) if len(w)]
-        answers = _hashes(tails)
-        all_words = np.concatenate([words[i] for i in ok]) if ok else np.zeros(0, np.uint64)
-        return Items([held[i][0] for i in ok], [words[i] for i in ok], [answers[i] for i in ok], np.unique(all_words))
+        ok = [i for i, w in enumerate(words) if w]
+        terms = {w: n for n, w in enumerate(sorted({w for x in words for w in x}))}
+        return Items([held[i][0] for i in ok], [words[i] for i in ok], [split_words(tails[i]) for i in ok], terms)
 
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter(
         "item_id is not null and text is not null").distinct().orderBy("item_id", "text")
@@ -117,9 +113,9 @@ def term_cells(cols: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[n
 def _text_slices(batches: Iterator[pa.RecordBatch], items: Items):
     for batch in batches:
         for part in slices(batch, "text", SLICE_BYTES):
-            raw, sizes = text_bytes(part.column("text"))
-            words, counts = hashed_words(raw, sizes, PUNCT)
-            yield part, words, counts, items.columns(words)
+            each = [split_words(t) for t in part.column("text").to_pylist()]
+            counts = np.array([len(x) for x in each], dtype=np.int64)
+            yield part, each, counts, items.columns(list(chain.from_iterable(each)))
 
 
 def term_weights(texts: DataFrame, items: Items, common: float) -> tuple[np.ndarray, int]:
@@ -209,9 +205,9 @@ def latent_basis(texts: DataFrame, items: Items, weight: np.ndarray, x: np.ndarr
     return q[:, np.abs(np.diag(r)) > 1e-9]
 
 
-def common_subsequence(a: list[int], b: list[int]) -> int:
+def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
     """Length of the longest common subsequence, all rows at once in the bits of an integer."""
-    where: dict[int, int] = {}
+    where: dict[bytes, int] = {}
     for i, w in enumerate(a):
         where[w] = where.get(w, 0) | 1 << i
     full = (1 << len(a)) - 1
@@ -224,23 +220,23 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
-def check(item: np.ndarray, answer: np.ndarray, weight: np.ndarray, text: np.ndarray, at: int,
-          own: np.ndarray) -> tuple[float, float]:
+def check(item: list[bytes], answer: list[bytes], text: list[bytes], at: int, own: frozenset) -> tuple[float, float]:
     """Shares of the item's words and of its answer at the best place near word ``at`` of ``text``.
 
-    ``own``: sorted hashes of the item's weighted terms."""
+    ``own``: the item's weighted terms."""
     n = len(item)
-    lo, hi = max(0, at - n), min(len(text), at + PASSAGE + n)
-    near = text[lo:hi]
-    hit = np.isin(near, own)
+    near = text[max(0, at - n):at + PASSAGE + n]
+    hit = np.fromiter((w in own for w in near), np.int64, len(near))
     span = min(len(near), n + max(4, n // 3))
     sums = np.cumsum(np.append(0, hit))
-    best = int(np.argmax(sums[span:] - sums[:len(sums) - span]))
+    held = sums[span:] - sums[:len(sums) - span]
+    best = np.flatnonzero(held == held.max())
+    best = int(best[len(best) // 2])                   # the middle of equally good places
     here = near[best:best + span]
-    share = common_subsequence(item.tolist(), here.tolist()) / n
-    if len(answer):
-        return share, common_subsequence(answer.tolist(), here.tolist()) / len(answer)
-    return share, float(np.isin(own, here).mean()) if len(own) else share
+    share = common_subsequence(item, here) / n
+    if answer:
+        return share, common_subsequence(answer, here) / len(answer)
+    return share, len(own.intersection(here)) / len(own) if own else share
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.25, cover: float = 0.25, lcs: float = 0.6,
@@ -271,16 +267,24 @@ def _search(texts: DataFrame, items: Items, weight: np.ndarray, x: np.ndarray, l
     z = x @ basis
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
     held = texts.sparkSession.sparkContext.broadcast((items, weight, (basis * weight[:, None]).astype(np.float32),
-                                                      z.astype(np.float32), length.astype(np.float32)))
+                                                      z.astype(np.float32), x, length))
     cosine, cover, lcs, answer = least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, weight, rows, z, length = held.value
-        own = [np.intersect1d(w, items.terms[weight > 0]) for w in items.words]
-        for part, words, counts, cols in _text_slices(batches, items):
-            cols = np.where(weight[cols] > 0, cols, -1) if len(weight) else cols
+        items, weight, rows, z, x, length = held.value
+        own = [frozenset(w for w in x if weight[items.terms[w]] > 0) for x in items.words]
+        # no item can get more of its length from a term than this
+        most = (x / length[:, None]).max(axis=0) * weight
+        for part, each, counts, cols in _text_slices(batches, items):
+            cols = np.where(weight[cols] > 0, cols, -1)
             text, first, size = passages(counts)
             p, t, c = term_cells(cols, first, size)
+            if not len(p):
+                continue
+            head = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+            able = np.add.reduceat(most[t] * c, head) >= cover
+            ok = np.repeat(able, np.diff(np.append(head, len(p))))
+            p, t, c = p[ok], t[ok], c[ok]
             if not len(p):
                 continue
             begin = np.cumsum(counts) - counts
@@ -296,8 +300,7 @@ def _search(texts: DataFrame, items: Items, weight: np.ndarray, x: np.ndarray, l
                 for i, j in zip(*np.nonzero(enough & (near >= cosine)), strict=True):
                     k = p[head[i]]
                     d = text[k]
-                    whole = words[begin[d]:begin[d] + counts[d]]
-                    got = check(items.words[j], items.answers[j], weight, whole, int(first[k] - begin[d]), own[j])
+                    got = check(items.words[j], items.answers[j], each[d], int(first[k] - begin[d]), own[j])
                     if got[0] >= lcs and got[1] >= answer:
                         out.append((doc_ids[int(d)].as_py(), items.ids[j], float(near[i, j]), *got))
             if out:
