@@ -2,14 +2,14 @@
 
 1. Texts become sets of hashed word shingles and signatures. Equal sets are one class; the
    class member with the smallest id stands for it, so exact copies cost one row each.
-2. Bands of the signature propose candidates: each member of a bucket against the bucket's
-   smallest id (a star, never all pairs of a bucket).
+2. Bands of the signature propose candidates: each class against the smallest id that shares
+   a bucket with it (one pair per class, never all pairs of a bucket).
 3. A candidate's signatures are compared batch by batch. With m of n equal values the
    posterior of the similarity under a uniform prior is Beta(m + 1, n - m + 1); the pair is
    dropped as soon as the chance that it reaches the threshold is below ``miss``.
 4. Survivors are verified on their full sets, and components are formed.
-5. Buckets whose members are still in several components may hide links that no star has
-   tested. There the members of different components are compared with each other, block
+5. Buckets whose members are in several components may hide links that have not been tested.
+   There the members of different components are compared with each other, block
    against block within tasks, by the same pruning; survivors are verified and joined in.
    Links inside a component change nothing, so the result has every link of the candidates.
 
@@ -83,7 +83,7 @@ def features(docs: DataFrame, words: int, hashes: int) -> DataFrame:
 
 
 def _band_rows(classes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(bucket, id) of each band of each class."""
+    """(bucket, id, component) of each band of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,14 +91,14 @@ def _band_rows(classes: DataFrame, bands: int, rows: int) -> DataFrame:
             if not n:
                 continue
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype="<u4").reshape(n, -1)
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
             for b in range(bands):
                 h = np.full(n, np.uint64(b + 1))
                 for c in range(b * rows, (b + 1) * rows):
                     h = mix(h + sig[:, c].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids)], ["bucket", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("id"), batch.column("component")],
+                                                 ["bucket", "id", "component"])
 
-    return classes.select("id", "sig").mapInArrow(run, "bucket long, id long")
+    return classes.select("id", "component", "sig").mapInArrow(run, "bucket long, id long, component long")
 
 
 def _prune(pairs: DataFrame, classes: DataFrame, num: int, den: int, hashes: int, batch: int,
@@ -129,9 +129,8 @@ def _prune(pairs: DataFrame, classes: DataFrame, num: int, den: int, hashes: int
 
 def _verify(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs whose full shingle sets have den * intersection >= num * union."""
-    pairs = stored(pairs, "survivors")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    one = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    one = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,18 +155,20 @@ def _verify(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -
     return both.select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long")
 
 
-def _across(bands: DataFrame, sizes: DataFrame, comp: DataFrame, classes: DataFrame, num: int, den: int,
-            hashes: int, batch: int, miss: float) -> DataFrame:
-    """Unpruned pairs of different components that share a bucket of three or more members."""
-    m = (bands.join(sizes.filter("n > 2").select("bucket", "n"), "bucket")
-         .join(comp.select("id", "component"), "id", "left")
-         .withColumn("component", F.coalesce("component", "id")))
-    mixed = m.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    m = m.join(mixed.select("bucket"), "bucket")
+def _across(classes: DataFrame, comp: DataFrame, bands: int, rows: int, num: int, den: int, batch: int,
+            miss: float) -> DataFrame:
+    """Pairs of different components that share a bucket and pass the pruning."""
+    labelled = stored(classes.join(comp, "id", "left").select("id", "n_shingles", "sig", F.coalesce(
+        "component", "id").alias("component")), "labelled")
+    m = _band_rows(labelled, bands, rows)
+    mixed = (m.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                     F.count(F.lit(1)).alias("n")).filter("lo < hi").select("bucket", "n"))
+    m = m.join(mixed, "bucket")
     blocks = F.ceil(F.col("n") / BLOCK)
     m = m.withColumn("k", F.pmod(F.xxhash64("id"), blocks)).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
     m = (m.select("bucket", "id", "component", "k", F.least("k", "j").alias("p"), F.greatest("k", "j").alias("q"))
-         .join(classes.select("id", "n_shingles", "sig"), "id"))
+         .join(labelled.select("id", "n_shingles", "sig"), "id"))
+    hashes = bands * rows
     least = least_matches(num, den, hashes, batch, miss)
 
     def cross(t: pa.Table) -> pa.Table:
@@ -209,16 +210,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
         feats.filter("n_shingles > 0 and doc_id is not null").groupBy("class_key")
         .agg(F.min("doc_id").alias("id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("sig").alias("sig")),
         "classes")
-    bands_t = _band_rows(classes, bands, rows)
-    sizes = bands_t.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stored(bands_t.join(sizes, "bucket"), "buckets")
-    pairs = members.filter("a <> id").select("a", F.col("id").alias("b")).distinct()
-    pruned = _prune(pairs, classes, num, den, hashes, batch, miss)
-    links = stored(_verify(pruned, docs, words, num, den), "links")
+    bands_t = _band_rows(classes.withColumn("component", F.col("id")), bands, rows)
+    least = bands_t.groupBy("bucket").agg(F.min("id").alias("a"))
+    # each document against the smallest id of all of its buckets; ids that share no bucket have none
+    pairs = (bands_t.join(least, "bucket").groupBy("id").agg(F.min(F.when(F.col("a") < F.col("id"), F.col("a"))).alias("a"))
+             .filter("a is not null").select("a", F.col("id").alias("b")))
+    pairs = stored(_prune(pairs, classes, num, den, hashes, batch, miss), "survivors")
+    links = stored(_verify(pairs, docs, words, num, den), "links")
     comp = stored(components(links), "components")
-    bucket_sizes = members.filter("a = id").select("bucket", "n")
-    more = _across(members.select("bucket", "id"), bucket_sizes, comp, classes, num, den, hashes, batch, miss)
-    more = stored(_verify(more.join(links, ["a", "b"], "left_anti"), docs, words, num, den), "links")
+    more = _across(classes, comp, bands, rows, num, den, batch, miss)
+    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "survivors")
+    more = stored(_verify(more, docs, words, num, den), "links")
     if not more.isEmpty():
         comp = stored(components(links.union(more)), "components")
     of_class = (classes.join(comp, "id", "left")

@@ -39,10 +39,10 @@ from glint.llm.common import slices, total_bytes
 from glint.llm.words import BASE, BYTE, UNBASE, mix, powers, text_bytes
 
 GRAM = 20                     # bytes of the rolling window
-BLOCK_BYTES = 12 << 20        # text of a block
-BUCKET_BYTES = 32 << 20       # text whose triggers meet in a task
+BLOCK_BYTES = 6 << 20         # text of a block
+BUCKET_BYTES = 12 << 20       # text whose triggers meet in a task
 SLICE_BYTES = 1 << 20         # text that is hashed at a time
-CHUNK = 1 << 20               # suffixes that are sorted at a time
+CHUNK = 1 << 18               # suffixes that are sorted at a time
 LAST = np.iinfo(np.int64).max
 
 
@@ -202,18 +202,23 @@ def find_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         phrase, doc, key, strings, bucket, size, raw = (np.concatenate(x) for x in zip(*found, strict=True))
         first = np.cumsum(size) - size
         phrase, one, doc = by_phrase(phrase, doc)
-        rows = []
+        import zstandard
+
+        rows, pack = [], zstandard.ZstdCompressor(level=1).compress
         for b, i in by_bucket(bucket[one], buckets):
             j = one[i]
             rows.append((b, block, phrase[i].tobytes(), doc[i].tobytes(), key[j].astype(np.uint32).tobytes(),
-                         strings[j].astype(np.uint8).tobytes(), raw[spread_out(first[j], size[j])].tobytes()))
+                         strings[j].astype(np.uint8).tobytes(), pack(raw[spread_out(first[j], size[j])].tobytes())))
         return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
     def marks(t: pa.Table) -> pa.Table:
         take = lambda c, kind: np.concatenate([np.frombuffer(x.as_buffer(), dtype=kind) for x in t.column(c)])
         phrase, doc, key = take("phrase", np.uint64), take("doc", np.int64), take("key", np.uint32)
         strings = take("strings", np.uint8).astype(np.int64)
-        raw = np.append(take("bytes", np.uint8), np.zeros(8, np.uint8))
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        raw = np.frombuffer(b"".join([unpack(x.as_py()) for x in t.column("bytes")] + [bytes(8)]), dtype=np.uint8)
         per_block = [len(x.as_buffer()) // 8 for x in t.column("phrase")]
         block = np.repeat(t.column("block").to_numpy(), per_block)
         size = strings + length - 1
