@@ -35,7 +35,7 @@ from glint.llm.components import components
 from glint.llm.words import SPACE, hashed_words, mix, shingles, text_bytes
 
 SLICE_BYTES = 2 << 20
-BLOCK = 1000               # members of a bucket that are compared with as many others at a time
+BLOCK = 500                # members of a bucket that are compared with as many others at a time
 
 
 @functools.lru_cache(maxsize=8)
@@ -83,7 +83,7 @@ def features(docs: DataFrame, words: int, hashes: int) -> DataFrame:
 
 
 def _band_rows(classes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(bucket, id, component) of each band of each class."""
+    """(bucket, band, id, component) of each band of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,10 +95,11 @@ def _band_rows(classes: DataFrame, bands: int, rows: int) -> DataFrame:
                 h = np.full(n, np.uint64(b + 1))
                 for c in range(b * rows, (b + 1) * rows):
                     h = mix(h + sig[:, c].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("id"), batch.column("component")],
-                                                 ["bucket", "id", "component"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(np.full(n, b, np.int32)), batch.column("id"),
+                     batch.column("component")], ["bucket", "band", "id", "component"])
 
-    return classes.select("id", "component", "sig").mapInArrow(run, "bucket long, id long, component long")
+    return classes.select("id", "component", "sig").mapInArrow(run, "bucket long, band int, id long, component long")
 
 
 def _prune(pairs: DataFrame, classes: DataFrame, num: int, den: int, hashes: int, batch: int,
@@ -127,9 +128,8 @@ def _prune(pairs: DataFrame, classes: DataFrame, num: int, den: int, hashes: int
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs whose full shingle sets have den * intersection >= num * union."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def _sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """id and full shingle set (sorted u64 values) of the documents in ``ids``."""
     one = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,25 +139,32 @@ def _verify(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -
                 out = [s.tobytes() for s in shingles(*hashed_words(raw, sizes, SPACE), words)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary())], ["id", "s"])
 
-    full = stored(one.mapInArrow(sets, "id long, s binary"), "shingle-sets")
+    return one.mapInArrow(sets, "id long, s binary")
+
+
+def _alike(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return den * both >= num * (len(x) + len(y) - both)
+
+
+def _verify(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose full shingle sets have den * intersection >= num * union."""
     both = (pairs.join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
             .join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a"))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for sa, sb in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (sa, sb))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(den * both >= num * (len(x) + len(y) - both))
+            ok = [_alike(*(np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in x), num, den)
+                  for x in zip(batch.column("sa"), batch.column("sb"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long")
 
 
-def _across(classes: DataFrame, comp: DataFrame, bands: int, rows: int, num: int, den: int, batch: int,
-            miss: float) -> DataFrame:
-    """Pairs of different components that share a bucket and pass the pruning."""
+def _across(classes: DataFrame, comp: DataFrame, full: DataFrame, bands: int, rows: int, num: int, den: int,
+            batch: int, miss: float) -> DataFrame:
+    """Links between components: all pairs of different components that share a bucket are tested where the
+    bucket's block is, each pair in its first common band; a pair that is connected by now is skipped."""
     labelled = stored(classes.join(comp, "id", "left").select("id", "n_shingles", "sig", F.coalesce(
         "component", "id").alias("component")), "labelled")
     m = _band_rows(labelled, bands, rows)
@@ -166,8 +173,8 @@ def _across(classes: DataFrame, comp: DataFrame, bands: int, rows: int, num: int
     m = m.join(mixed, "bucket")
     blocks = F.ceil(F.col("n") / BLOCK)
     m = m.withColumn("k", F.pmod(F.xxhash64("id"), blocks)).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    m = (m.select("bucket", "id", "component", "k", F.least("k", "j").alias("p"), F.greatest("k", "j").alias("q"))
-         .join(labelled.select("id", "n_shingles", "sig"), "id"))
+    m = (m.select("bucket", "band", "id", "component", "k", F.least("k", "j").alias("p"), F.greatest("k", "j").alias("q"))
+         .join(labelled.select("id", "n_shingles", "sig"), "id").join(full, "id"))
     hashes = bands * rows
     least = least_matches(num, den, hashes, batch, miss)
 
@@ -175,6 +182,9 @@ def _across(classes: DataFrame, comp: DataFrame, bands: int, rows: int, num: int
         n = t.num_rows
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype="<u4").reshape(n, -1)
         ids, comps, k, size = (t.column(c).to_numpy() for c in ("id", "component", "k", "n_shingles"))
+        comps = comps.copy()
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in t.column("s").to_pylist()]
+        band = t.column("band")[0].as_py()
         one_block = t.column("p")[0].as_py() == t.column("q")[0].as_py()
         found = []
         for i in range(n):
@@ -189,10 +199,17 @@ def _across(classes: DataFrame, comp: DataFrame, bands: int, rows: int, num: int
                 left, equal = left[equal >= low], equal[equal >= low]
                 if not len(left):
                     break
-            found.append((np.full(len(left), ids[i]), ids[left]))
-        return pa.table({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])})
+            if band and len(left):
+                same = (sig[left, :band * rows] == sig[i, :band * rows]).reshape(len(left), band, rows)
+                keep = ~same.all(axis=2).any(axis=1)
+                left, equal = left[keep], equal[keep]
+            for j in left[np.argsort(-equal, kind="stable")].tolist():       # the likeliest first
+                if comps[j] != comps[i] and _alike(sets[i], sets[j], num, den):
+                    found.append((ids[i], ids[j]))
+                    comps[comps == comps[j]] = comps[i]
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return m.groupBy("bucket", "p", "q").applyInArrow(cross, "a long, b long").distinct()
+    return m.groupBy("bucket", "p", "q").applyInArrow(cross, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (75, 100), bands: int = 32,
@@ -211,16 +228,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
         .agg(F.min("doc_id").alias("id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("sig").alias("sig")),
         "classes")
     bands_t = _band_rows(classes.withColumn("component", F.col("id")), bands, rows)
-    least = bands_t.groupBy("bucket").agg(F.min("id").alias("a"))
-    # each document against the smallest id of all of its buckets; ids that share no bucket have none
-    pairs = (bands_t.join(least, "bucket").groupBy("id").agg(F.min(F.when(F.col("a") < F.col("id"), F.col("a"))).alias("a"))
-             .filter("a is not null").select("a", F.col("id").alias("b")))
-    pairs = stored(_prune(pairs, classes, num, den, hashes, batch, miss), "survivors")
-    links = stored(_verify(pairs, docs, words, num, den), "links")
+    least = bands_t.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n"))
+    # each class against the smallest id of all of its buckets; n: the members of its largest bucket
+    near = stored(bands_t.join(least, "bucket").groupBy("id").agg(
+        F.min(F.when(F.col("a") < F.col("id"), F.col("a"))).alias("a"), F.max("n").alias("n")), "candidates")
+    full = stored(_sets(near.filter("n > 1").select(F.col("id").alias("doc_id")), docs, words), "shingle-sets")
+    pairs = near.filter("a is not null").select("a", F.col("id").alias("b"))
+    pairs = _prune(pairs, classes, num, den, hashes, batch, miss)
+    links = stored(_verify(pairs, full, num, den), "links")
     comp = stored(components(links), "components")
-    more = _across(classes, comp, bands, rows, num, den, batch, miss)
-    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "survivors")
-    more = stored(_verify(more, docs, words, num, den), "links")
+    more = stored(_across(classes, comp, full, bands, rows, num, den, batch, miss), "links")
     if not more.isEmpty():
         comp = stored(components(links.union(more)), "components")
     of_class = (classes.join(comp, "id", "left")
