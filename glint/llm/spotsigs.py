@@ -63,9 +63,8 @@ def add_signatures(docs: DataFrame, text: str = "text", out: str = "sigs") -> Da
     Every step is a column of its own, so that none is evaluated twice.
     """
     anchors = _trie(sorted(set(ANCHORS)))
-    d = without(docs, out, "__llm_n", "__llm_c", "__llm_s")
-    d = d.withColumn("__llm_n", F.regexp_replace(normal_form(F.col(text)), rf"(?<=\x20)(?:({anchors})\x20)++",
-                                                 MARK + "$1>"))
+    d = without(docs, out, "__llm_w", "__llm_n", "__llm_c", "__llm_s").withColumn("__llm_w", normal_form(F.col(text)))
+    d = d.withColumn("__llm_n", F.regexp_replace("__llm_w", rf"(?<=\x20)(?:({anchors})\x20)++", MARK + "$1>"))
     d = d.withColumn("__llm_c", F.split(F.regexp_replace("__llm_n", f"{MARK}[^>]*+>", ""), " "))
 
     def spot(x: Column, i: Column) -> Column:
@@ -74,10 +73,10 @@ def add_signatures(docs: DataFrame, text: str = "text", out: str = "sigs") -> Da
                       F.xxhash64(x, after).bitwiseAND(F.lit(0xFFFFFFFF)))
 
     d = d.withColumn("__llm_s", F.array_compact(F.array_distinct(F.transform(F.split("__llm_n", " "), spot))))
-    whole = F.when(F.length(F.trim("__llm_n")) > 0, F.array(F.xxhash64("__llm_n").bitwiseAND(F.lit(0xFFFFFFFF)))) \
+    whole = F.when(F.length(F.trim("__llm_w")) > 0, F.array(F.xxhash64("__llm_w").bitwiseAND(F.lit(0xFFFFFFFF)))) \
         .otherwise(F.array().cast("array<bigint>"))
     return d.withColumn(out, F.when(F.size("__llm_s") > 0, F.array_sort("__llm_s")).otherwise(whole)) \
-        .drop("__llm_n", "__llm_c", "__llm_s")
+        .drop("__llm_w", "__llm_n", "__llm_c", "__llm_s")
 
 
 def fingerprint(signature_set: Column) -> Column:
