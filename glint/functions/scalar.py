@@ -30,7 +30,9 @@ def clamp01(col) -> Column:
 
 def parse_score(col, default: float = DEFAULT_IMPORTANCE) -> Column:
     """Float from model text, trimmed and clamped; default when it does not parse."""
-    return F.coalesce(clamp01(F.trim(_c(col)).try_cast("double")), F.lit(default))
+    text = F.trim(_c(col))
+    plain = text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")     # not "1d", which a cast accepts
+    return F.coalesce(F.when(plain, clamp01(text.try_cast("double"))), F.lit(default))
 
 
 def resolve_importance(importance, scored) -> Column:

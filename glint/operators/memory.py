@@ -41,7 +41,7 @@ def memory_stats(memories: DataFrame, types: list[str] = MEMORY_TYPES) -> DataFr
 
 def filter_memories(memories: DataFrame, memory_type: str | None = None, min_importance: float = 0.0,
                     start=None, end=None) -> DataFrame:
-    """Importance ``>=`` bound (only when above 0), time range with both ends
+    """Importance ``>=`` bound (only when above 0), time range, each given end
     included (as timestamps), one type or all. Plain predicates, so they reach the
     parquet scan; on a stored table the type is a partition column and is pruned."""
     out = memories
@@ -49,9 +49,10 @@ def filter_memories(memories: DataFrame, memory_type: str | None = None, min_imp
         out = out.filter(F.col("memory_type") == memory_type)
     if min_importance > 0:
         out = out.filter(F.col("importance") >= F.lit(min_importance))
-    if start is not None and end is not None:
-        out = out.filter(F.col("timestamp").between(F.lit(start).cast("timestamp_ntz"),
-                                                    F.lit(end).cast("timestamp_ntz")))
+    if start is not None:
+        out = out.filter(F.col("timestamp") >= F.lit(start).cast("timestamp_ntz"))
+    if end is not None:
+        out = out.filter(F.col("timestamp") <= F.lit(end).cast("timestamp_ntz"))
     return out
 
 

@@ -15,9 +15,10 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
 
 from glint.functions.scalar import DEFAULT_IMPORTANCE, merge_metadata, parse_score, resolve_importance
 from glint.functions.text import tokenize
@@ -29,47 +30,77 @@ def _with_column(df: DataFrame, name: str, dtype) -> StructType:
     return StructType(fields + [StructField(name, dtype, True)])
 
 
+def _one_by_one(fn: Callable[[list], list], items: list, check: Callable, default) -> tuple[list, list[bool]]:
+    """(answers, failed) of ``fn`` over a batch. If the batch as a whole fails or an answer does not pass
+    ``check``, the items are tried one by one, and only those that fail on their own get ``default``."""
+    def tried(some: list) -> list:
+        got = list(fn(some))
+        if len(got) != len(some):
+            raise ValueError("one answer per item expected")
+        return [check(x) for x in got]
+
+    try:
+        return tried(items), [False] * len(items)
+    except Exception:
+        answers, failed = [], []
+        for x in items:
+            try:
+                answers += tried([x])
+                failed.append(False)
+            except Exception:
+                answers.append(default)
+                failed.append(True)
+        return answers, failed
+
+
 def embed(df: DataFrame, text: str = "content", fn: Callable[[list[str]], list] | None = None,
-          dim: int = 64, out: str = "embedding") -> DataFrame:
-    """Add a vector column. ``fn(texts) -> vectors``; a failing batch gets zero vectors."""
+          dim: int = 64, out: str = "embedding", failed: str | None = None) -> DataFrame:
+    """Add a vector column. ``fn(texts) -> vectors``; a text on which it fails gets a zero vector.
+    ``failed`` names a boolean column that marks such rows."""
     if fn is None:
         tok = df.withColumn("_tok", tokenize(text))
         tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim).transform(tok)
         nv = Normalizer(inputCol="_tf", outputCol="_nv", p=2.0).transform(tf)
-        return nv.withColumn(out, vector_to_array("_nv").cast("array<float>")).drop("_tok", "_tf", "_nv")
+        done = nv.withColumn(out, vector_to_array("_nv").cast("array<float>")).drop("_tok", "_tf", "_nv")
+        return done.withColumn(failed, F.lit(False)) if failed else done
 
     schema = _with_column(df, out, ArrayType(DoubleType()))
+    if failed:
+        schema = StructType([f for f in schema.fields if f.name != failed] + [StructField(failed, BooleanType(), True)])
+
+    def vector(v) -> list[float]:
+        v = list(map(float, v))
+        if len(v) != dim:
+            raise ValueError("embedding has the wrong length")
+        return v
 
     def run(batches):
         for pdf in batches:
             texts = pdf[text].fillna("").tolist()
-            try:
-                vecs = [list(map(float, v)) for v in fn(texts)]
-                if len(vecs) != len(texts) or any(len(v) != dim for v in vecs):
-                    raise ValueError("embedding batch has the wrong shape")
-            except Exception:
-                vecs = [[0.0] * dim for _ in texts]
-            yield pdf.assign(**{out: vecs})
+            vecs, bad = _one_by_one(fn, texts, vector, [0.0] * dim)
+            pdf = pdf.assign(**{out: vecs} | ({failed: bad} if failed else {}))
+            yield pdf[schema.names]
     return df.mapInPandas(run, schema).withColumn(out, F.col(out).cast("array<float>"))
 
 
 def enrich(df: DataFrame, prompt: str, fn: Callable[[list[str]], list[str]] | None, out: str,
-           default: str) -> DataFrame:
-    """Text-to-text per row in batches; no function or a failing batch gives ``default``."""
+           default: str, failed: str | None = None) -> DataFrame:
+    """Text-to-text per row in batches; without a function, and for each item on which it fails,
+    the answer is ``default``. ``failed`` names a boolean column that marks such rows."""
     if fn is None:
-        return df.withColumn(out, F.lit(default))
+        df = df.withColumn(out, F.lit(default))
+        return df.withColumn(failed, F.lit(True)) if failed else df
     schema = _with_column(df, out, StringType())
+    if failed:
+        schema = StructType([f for f in schema.fields if f.name != failed] + [StructField(failed, BooleanType(), True)])
 
     def run(batches):
         for pdf in batches:
             prompts = pdf[prompt].fillna("").tolist()
-            try:
-                answers = [None if a is None else str(a) for a in fn(prompts)]
-                if len(answers) != len(prompts):
-                    raise ValueError("answer batch has the wrong length")
-            except Exception:
-                answers = [default] * len(prompts)
-            yield pdf.assign(**{out: pd.Series(answers, dtype=object).fillna(default).tolist()})
+            answers, bad = _one_by_one(fn, prompts, lambda a: None if a is None else str(a), default)
+            pdf = pdf.assign(**{out: pd.Series(answers, dtype=object).fillna(default).tolist()}
+                             | ({failed: bad} if failed else {}))
+            yield pdf[schema.names]
     return df.mapInPandas(run, schema)
 
 
@@ -116,8 +147,10 @@ def append_memories(df: DataFrame, path: str, scorer=None, embedder=None, dim: i
     if idempotent:
         try:
             have = spark.read.parquet(path).select("id")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:                       # not the first write
             m = m.join(have, "id", "left_anti")
-        except Exception:           # first write: no table yet
-            pass
     m.write.mode("append").partitionBy("memory_type").parquet(path)
     return path

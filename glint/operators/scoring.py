@@ -196,9 +196,11 @@ def hybrid_topk(index: BM25Index, docs: DataFrame, queries: DataFrame, k: int =
     ``start``/``end`` restrict all queries to one window; columns ``start``/``end`` on
     ``queries`` give each query its own window (maxima and top k within it)."""
     keep = F.lit(True)
-    if start is not None and end is not None:
-        keep = F.coalesce(F.col("timestamp").between(F.lit(start).cast("timestamp_ntz"),
-                                                     F.lit(end).cast("timestamp_ntz")), F.lit(False))
+    if start is not None:
+        keep = keep & (F.col("timestamp") >= F.lit(start).cast("timestamp_ntz"))
+    if end is not None:
+        keep = keep & (F.col("timestamp") <= F.lit(end).cast("timestamp_ntz"))
+    keep = F.coalesce(keep, F.lit(False))
     qterms = query_terms(queries, text=query_text)
     avgdl = index.avgdl if index.avgdl > 0 else 1.0
     scale = K1 + 1 if index.variant == "okapi" else 1.0

@@ -43,12 +43,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def shared_dir(spark: SparkSession, sub: str | None = None) -> str:
     """Folder for written tables and checkpoints, shared by all executors.
 
-    Read from ``spark.checkpoint.dir`` (the cluster names it). Only when it is
-    unset, as in local tests, a scratch folder is created and registered.
+    Read from ``spark.checkpoint.dir`` (the cluster names it). Only on a local
+    master, as in tests, a scratch folder is created and registered when it is
+    unset; elsewhere executors would not see it, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="glint-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
     spark.sparkContext.setCheckpointDir(base)
@@ -59,12 +62,6 @@ def shared_dir(spark: SparkSession, sub: str | None = None) -> str:
     return path
 
 
-def cut_lineage(df):
-    """Reliable checkpoint (survives executor loss); never localCheckpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def spread(df):
     """Round-robin a DataFrame over the cluster when it has fewer partitions than
     cores (one big file, one row group). Inputs already split finer are left as

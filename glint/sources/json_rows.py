@@ -32,4 +32,4 @@ def from_json_rows(df: DataFrame, key: str, schema: str = EPISODE_SCHEMA) -> Dat
     """Parse ``json`` back to columns, with defaults for missing keys."""
     p = df.select(key, F.from_json("json", schema, {"mode": "PERMISSIVE"}).alias("r")).select(key, "r.*")
     return (p.withColumn("importance", F.coalesce("importance", F.lit(1.0)))
-            .withColumn("timestamp", F.to_timestamp_ntz(F.col("timestamp"))))
+            .withColumn("timestamp", F.col("timestamp").try_cast("timestamp_ntz")))     # malformed: NULL

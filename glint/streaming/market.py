@@ -40,7 +40,7 @@ def decode_messages(raw: DataFrame, value: str = "value") -> tuple[DataFrame, Da
         .otherwise(F.array(F.from_json(v, MESSAGE)))
     p = raw.select(F.col(value).alias("_raw"), msgs.alias("_m"))
     e = p.select("_raw", F.explode_outer("_m").alias("m"))
-    ts = F.to_timestamp_ntz(F.col("m.timestamp"))
+    ts = F.col("m.timestamp").try_cast("timestamp_ntz")
     ok = (F.col("m").isNotNull() & F.col("m.kind").isin(KINDS) & F.col("m.symbol").isNotNull()
           & ts.isNotNull())
     good = e.filter(ok).select("m.kind", "m.symbol", ts.alias("timestamp"), "m.close", "m.volume")

@@ -39,12 +39,14 @@ def _rolling_mean(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _frame_mean(values: np.ndarray, width: int) -> np.ndarray:
-    """Mean over each frame, computed the same way for every width, so equal frames
+    """Mean over the known values of each frame (as SQL ``avg``; NaN without any), computed the same way for every width, so equal frames
     (the first rows, where sma_20 and sma_50 see the same bars) give equal numbers
     and the trend comparison does not flip on rounding."""
     out = np.empty(len(values))
     for i in range(len(values)):
-        out[i] = np.add.reduce(values[max(0, i - width + 1): i + 1]) / (i + 1 - max(0, i - width + 1))
+        frame = values[max(0, i - width + 1): i + 1]
+        frame = frame[~np.isnan(frame)]
+        out[i] = np.add.reduce(frame) / len(frame) if len(frame) else np.nan
     return out
 
 
