@@ -48,7 +48,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents, with digests of the ids and of the bytes that they decode to."""
     ranks, pattern = rank_file()
     coded = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), ranks, pattern).drop("text")
-    done = bpe.token_digest(bpe.decode_documents(coded, ranks))
+    done = bpe.decode_documents(coded, ranks, digest="ids_sha256")
     return done.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256",
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 
 from glint.llm.common import schema_with, slices
 
-BLOCK_BYTES = 24 << 20     # text whose new words are replayed together
+BLOCK_BYTES = 12 << 20     # text whose new words are replayed together
 SLICE_BYTES = 2 << 20      # text that is split into words at a time
-KNOWN_WORDS = 600_000      # distinct words a worker remembers
+KNOWN_WORDS = 300_000      # distinct words a worker remembers
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -271,35 +271,31 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False), sizes.astype(np.int64)
 
 
-def decode_documents(encoded: DataFrame, rank_file: bytes, ids: str = "ids",
-                     decoded: str = "decoded") -> DataFrame:
-    """``encoded`` with the bytes that its ``ids`` stand for (null ids: no bytes) as ``decoded binary``."""
+def decode_documents(encoded: DataFrame, rank_file: bytes, ids: str = "ids", decoded: str = "decoded",
+                     digest: str | None = None) -> DataFrame:
+    """``encoded`` with the bytes that its ``ids`` stand for (null ids: no bytes) as ``decoded binary``.
+
+    ``digest`` names a further column: the hex SHA-256 of the ids as little-endian unsigned 32-bit integers.
+    """
     held = encoded.sparkSession.sparkContext.broadcast(rank_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
         replay = tables(held.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 flat, sizes = _flat(part.column(ids))
                 raw, each = replay.decode(flat)
                 size = np.diff(np.append(0, np.cumsum(each))[np.append(0, np.cumsum(sizes))])
-                yield _with(part, decoded, pa.Array.from_buffers(
+                out = _with(part, decoded, pa.Array.from_buffers(
                     pa.binary(), part.num_rows, [None, _ends(size).buffers()[1], pa.py_buffer(raw.tobytes())]))
-
-    return encoded.mapInArrow(run, schema_with(encoded, **{decoded: T.BinaryType()}))
-
-
-def token_digest(encoded: DataFrame, ids: str = "ids", digest: str = "ids_sha256") -> DataFrame:
-    """``encoded`` with the hex SHA-256 of its ids as little-endian unsigned 32-bit integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        for batch in batches:
-            flat, sizes = _flat(batch.column(ids))
-            raw, ends = memoryview(flat.astype("<u4").tobytes()), (4 * np.cumsum(sizes)).tolist()
-            out = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip([0, *ends], ends, strict=False)]
-            yield _with(batch, digest, pa.array(out, pa.string()))
-
-    return encoded.mapInArrow(run, schema_with(encoded, **{digest: T.StringType()}))
+                if digest:
+                    raw, ends = memoryview(flat.astype("<u4").tobytes()), (4 * np.cumsum(sizes)).tolist()
+                    hexes = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip([0, *ends], ends, strict=False)]
+                    out = _with(out, digest, pa.array(hexes, pa.string()))
+                yield out
+
+    new = {decoded: T.BinaryType()} | ({digest: T.StringType()} if digest else {})
+    return encoded.mapInArrow(run, schema_with(encoded, **new))

@@ -32,11 +32,11 @@ def rank_file(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[bytes, str]:
 
 @query
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from glint.llm.bpe import decode_documents, encode_documents, token_digest
+    from glint.llm.bpe import decode_documents, encode_documents
 
     ranks, pattern = rank_file()
     coded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
-    done = token_digest(decode_documents(coded.drop("text"), ranks))
+    done = decode_documents(coded.drop("text"), ranks, digest="ids_sha256")
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256",
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -34,7 +34,7 @@ from glint.llm.common import schema_with, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5)                 # lengths of the word beginnings that are features
-KNOWN_WORDS = 500_000             # words that a worker keeps hashed
+KNOWN_WORDS = 150_000             # words that a worker keeps hashed
 
 
 class WordFeatures(dict):
@@ -78,7 +78,8 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, n: int, extra: np.ndarray,
     keep = df >= 5                                    # too rare to tell anything
     place = np.cumsum(keep) - 1
     ok = keep[col]
-    rows, col, seen = rows[ok], place[col[ok]], seen[keep]
+    rows, col, seen = rows[ok], place[col[ok]].astype(np.int32), seen[keep]
+    del ok, place
     m, k = len(seen), extra.shape[1]
     scale = 1 / np.sqrt(np.maximum(1, np.bincount(col, minlength=m)) / n * 4)      # diagonal preconditioner
     scale = np.minimum(scale, 4.0)
@@ -154,14 +155,16 @@ def fitter(at: int, bits: int):
         model = int(pdf["model"].iloc[0])
         pdf = pdf.sort_values("doc_id", ignore_index=True)
         held = (pdf["fold"] == model).to_numpy()
-        xs = [np.frombuffer(x, dtype="<u4").astype(np.int64) for x in pdf["x"]]
+        xs = [np.frombuffer(x, dtype="<i4") for x in pdf["x"]]
         sizes = np.array([len(x) for x in xs])
-        rws, cols = np.repeat(np.arange(len(xs)), sizes), np.concatenate([*xs, np.zeros(0, np.int64)])
+        rws = np.repeat(np.arange(len(xs), dtype=np.int32), sizes)
+        cols = np.concatenate([*xs, np.zeros(0, np.int32)])
+        pdf = pdf.drop(columns="x")
         extra = np.array([list(p) for p in pdf["p"]], dtype=float).reshape(len(xs), at)
         y = (pdf["y"] > 0).to_numpy(dtype=float)
         use = ~held
         if use.any() and 0 < y[use].mean() < 1:
-            new = np.cumsum(use) - 1
+            new = (np.cumsum(use) - 1).astype(np.int32)
             on = use[rws]
             w, e, b = fit_logistic(new[rws[on]], cols[on], int(use.sum()), extra[use], y[use], bits)
         else:
@@ -179,7 +182,7 @@ def fitter(at: int, bits: int):
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("quality", "toxic"),
-                folds: int = 3, bits: int = 18, train_rows: int = 4000) -> list[Link]:
+                folds: int = 3, bits: int = 18, train_rows: int = 3000) -> list[Link]:
     """The models of all categories, in their order."""
     spark = docs.sparkSession
     rows = stored(training_rows(docs, labels, categories, folds, bits, train_rows), "toxicity-train")
