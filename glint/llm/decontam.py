@@ -2,7 +2,9 @@
 
 1. Documents are cut into overlapping passages of words. The terms are those of the benchmark
    items; their document frequencies are counted over all passages of all documents. A term
-   in more than ``common`` of the passages carries no weight.
+   in more than ``common`` of the passages carries no weight; items that keep weight on less
+   than WEIGHTED of their words (they are frequent themselves, or the table is small) are also
+   searched in a second space, where each of their terms has weight 1.
 2. A randomised SVD of the passages' TF-IDF matrix A is computed where the passages lie: for a
    block of items, every partition adds up its part of A^T A Omega and (A Omega)^T (A Omega),
    where Omega holds the items themselves and random columns. From the two sums (their size is
@@ -41,6 +43,7 @@ from glint.llm.common import slices
 PASSAGE, STRIDE = 48, 24       # words
 ITEM_BLOCK = 512               # items that share a latent space
 RANK, EXTRA = 32, 8            # leading singular vectors, and random columns beyond them
+WEIGHTED = 0.5                 # an item with less of its words weighted is searched by plain counts too
 SLICE_BYTES = 2 << 20
 #: Words are runs of ASCII letters (A-Z as a-z), digits and bytes beyond ASCII.
 FOLD = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c > 127 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
@@ -118,13 +121,23 @@ def _text_slices(batches: Iterator[pa.RecordBatch], items: Items):
             yield part, each, counts, items.columns(list(chain.from_iterable(each)))
 
 
-def term_weights(texts: DataFrame, items: Items, common: float) -> tuple[np.ndarray, int]:
-    """Weight of each term by its document frequency over all passages, and the passages."""
+@dataclass
+class View:
+    """Term weights, and the items' vectors that are searched by them."""
+
+    weight: np.ndarray
+    item: np.ndarray                 # item of each row
+    x: np.ndarray                    # TF-IDF rows of unit length
+    length: np.ndarray               # their lengths before
+
+
+def document_frequency(texts: DataFrame, items: Items) -> tuple[np.ndarray, int]:
+    """Passages that hold each term, and all passages."""
     m = len(items.terms)
     held = texts.sparkSession.sparkContext.broadcast(items)      # a block of items
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, df, n = held.value, np.zeros(m + 1, dtype=np.int64), 0
+        items, df = held.value, np.zeros(m + 1, dtype=np.int64)
         for _, _, counts, cols in _text_slices(batches, items):
             _, first, size = passages(counts)
             df[:m] += np.bincount(term_cells(cols, first, size)[1], minlength=m)
@@ -136,56 +149,64 @@ def term_weights(texts: DataFrame, items: Items, common: float) -> tuple[np.ndar
     rows = texts.select("text").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     for r in rows.collect():                                     # a row per term
         df[r["term"]] = r["df"]
-    n = max(1, int(df[m]))
-    weight = np.log((n + 1) / (df[:m] + 1))
-    weight[df[:m] > common * n] = 0
-    if not weight.any():
-        weight[:] = 1
-    return weight, n
+    return df[:m], max(1, int(df[m]))
 
 
-def item_matrix(items: Items, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """TF-IDF rows of the items, of unit length, and their lengths before."""
-    x = np.zeros((len(items.ids), len(items.terms)))
+def item_views(items: Items, df: np.ndarray, n: int, common: float) -> list[View]:
+    """The items by IDF, and those that keep too little of it once more by plain counts."""
+    count = np.zeros((len(items.ids), len(items.terms)))
     for i, w in enumerate(items.words):
-        np.add.at(x[i], items.columns(w), 1)
-    x *= weight
-    norm = np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    return x / norm, norm[:, 0]
-
-
-def latent_basis(texts: DataFrame, items: Items, weight: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Orthonormal columns (terms x latent): the items' span and the leading right singular vectors of A."""
-    m = len(weight)
+        np.add.at(count[i], items.columns(w), 1)
+    weight = np.where(df > common * n, 0, np.log((n + 1) / (df + 1)))
+    kept = count @ (weight > 0) / count.sum(axis=1)
+    poor = kept < WEIGHTED
+    out = []
+    for w, rows in ((weight, kept > 0), (count[poor].any(axis=0).astype(float), poor)):
+        if rows.any():
+            x = count[rows] * w
+            length = np.linalg.norm(x, axis=1)
+            out.append(View(w, np.flatnonzero(rows), x / length[:, None], length))
+    return out
+
+
+def latent_bases(texts: DataFrame, items: Items, views: list[View]) -> list[np.ndarray]:
+    """Orthonormal columns (terms x latent) of each view: the items' span and the leading right singular
+    vectors of A."""
+    m, columns = len(items.terms), RANK + EXTRA
     rng = np.random.default_rng(12345)
-    omega = rng.standard_normal((m, RANK + EXTRA))
-    omega[:, :EXTRA] += x.T @ rng.standard_normal((len(x), EXTRA))
-    spark = texts.sparkSession
-    held = spark.sparkContext.broadcast((items, weight, omega.astype(np.float32)))
-    columns = omega.shape[1]
+    omegas = []
+    for view in views:
+        omega = rng.standard_normal((m, columns))
+        omega[:, :EXTRA] += view.x.T @ rng.standard_normal((len(view.x), EXTRA))
+        omegas.append(omega.astype(np.float32))
+    held = texts.sparkSession.sparkContext.broadcast((items, [v.weight for v in views], omegas))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, weight, omega = held.value
-        y, g = np.zeros((m, columns)), np.zeros((columns, columns))
+        items, weights, omegas = held.value
+        sums = [(np.zeros((m, columns)), np.zeros((columns, columns))) for _ in weights]
+        some = np.any([w > 0 for w in weights], axis=0)
         for _, _, counts, cols in _text_slices(batches, items):
             _, first, size = passages(counts)
-            p, t, c = term_cells(cols, first, size)
-            ok = weight[t] > 0
-            p, t, v = p[ok], t[ok], (c[ok] * weight[t[ok]]).astype(np.float32)
-            if not len(p):
-                continue
-            head = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-            a = np.add.reduceat(omega[t] * v[:, None], head, axis=0)             # A Omega of this slice
-            norm = np.sqrt(np.add.reduceat(v * v, head))                         # passages of unit length
-            a /= norm[:, None]
-            g += a.T @ a
-            row = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(p))))
-            order = np.argsort(t, kind="stable")
-            start = np.flatnonzero(np.append(True, t[order][1:] != t[order][:-1]))
-            y[t[order][start]] += np.add.reduceat(a[row[order]] * (v / norm[row])[order, None], start, axis=0)
+            cells = term_cells(np.where(some[cols], cols, -1), first, size)
+            for weight, omega, (y, g) in zip(weights, omegas, sums, strict=True):
+                ok = weight[cells[1]] > 0
+                p, t = cells[0][ok], cells[1][ok]
+                v = (cells[2][ok] * weight[t]).astype(np.float32)
+                if not len(p):
+                    continue
+                head = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+                a = np.add.reduceat(omega[t] * v[:, None], head, axis=0)             # A Omega of this slice
+                norm = np.sqrt(np.add.reduceat(v * v, head))                         # passages of unit length
+                a /= norm[:, None]
+                g += a.T @ a
+                row = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(p))))
+                order = np.argsort(t, kind="stable")
+                start = np.flatnonzero(np.append(True, t[order][1:] != t[order][:-1]))
+                y[t[order][start]] += np.add.reduceat(a[row[order]] * (v / norm[row])[order, None], start, axis=0)
+        both = np.vstack([a for pair in sums for a in pair])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(m + columns)), pa.FixedSizeListArray.from_arrays(
-                pa.array(np.vstack([y, g]).ravel()), columns).cast(pa.list_(pa.float64()))], ["row", "v"])
+            [pa.array(np.arange(len(both))), pa.FixedSizeListArray.from_arrays(
+                pa.array(both.ravel()), columns).cast(pa.list_(pa.float64()))], ["row", "v"])
 
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
@@ -193,16 +214,19 @@ def latent_basis(texts: DataFrame, items: Items, weight: np.ndarray, x: np.ndarr
     parts = texts.select("text").mapInArrow(run, "row long, v array<double>")
     summed = (parts.select("row", array_to_vector("v").alias("v")).groupBy("row")
               .agg(Summarizer.sum(F.col("v")).alias("v")).select("row", vector_to_array("v").alias("v")))
-    total = np.zeros((m + columns, columns))
-    for r in summed.toLocalIterator():                           # terms + columns rows
-        total[r["row"]] = r["v"]
-    y, g = total[:m], total[m:]
-    # A^T A is about Y G^-1 Y^T: its eigenvectors are the right singular vectors of A
-    s, u = np.linalg.eigh((g + g.T) / 2)
-    ok = s > 1e-9 * max(s.max(), 1e-300)
-    v, _, _ = np.linalg.svd(y @ (u[:, ok] / np.sqrt(s[ok])), full_matrices=False)
-    q, r = np.linalg.qr(np.hstack([x.T, v[:, :RANK]]))
-    return q[:, np.abs(np.diag(r)) > 1e-9]
+    total = np.zeros((len(views), m + columns, columns))
+    for r in summed.toLocalIterator():                           # terms + columns rows of each view
+        total[divmod(r["row"], m + columns)] = r["v"]
+    out = []
+    for view, sums in zip(views, total, strict=True):
+        y, g = sums[:m], sums[m:]
+        # A^T A is about Y G^-1 Y^T: its eigenvectors are the right singular vectors of A
+        s, u = np.linalg.eigh((g + g.T) / 2)
+        ok = s > 1e-9 * max(s.max(), 1e-300)
+        v, _, _ = np.linalg.svd(y @ (u[:, ok] / np.sqrt(s[ok])), full_matrices=False)
+        q, r = np.linalg.qr(np.hstack([view.x.T, v[:, :RANK]]))
+        out.append(q[:, np.abs(np.diag(r)) > 1e-9])
+    return out
 
 
 def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
@@ -249,10 +273,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.25, co
     for items in read_items(benchmark):
         if not items.ids:
             continue
-        weight, _ = term_weights(texts, items, common)
-        x, length = item_matrix(items, weight)
-        basis = latent_basis(texts, items, weight, x)
-        found = _search(texts, items, weight, x, length, basis, (cosine, cover, lcs, answer), schema)
+        views = item_views(items, *document_frequency(texts, items), common)
+        found = _search(texts, items, views, latent_bases(texts, items, views), (cosine, cover, lcs, answer), schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], schema)
@@ -262,47 +284,65 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.25, co
         "doc_id", "item_id", "b.similarity", "b.lcs_share", "b.answer_share")
 
 
-def _search(texts: DataFrame, items: Items, weight: np.ndarray, x: np.ndarray, length: np.ndarray,
-            basis: np.ndarray, least: tuple[float, float, float, float], schema: str) -> DataFrame:
-    z = x @ basis
-    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-    held = texts.sparkSession.sparkContext.broadcast((items, weight, (basis * weight[:, None]).astype(np.float32),
-                                                      z.astype(np.float32), x, length))
+def _candidates(view: View, rows: np.ndarray, z: np.ndarray, p: np.ndarray, t: np.ndarray, c: np.ndarray,
+                cosine: float, cover: float) -> Iterator[tuple[int, int, float]]:
+    """(passage, item, cosine) of the proposals among the cells (p, t, c)."""
+    ok = view.weight[t] > 0
+    p, t, c = p[ok], t[ok], c[ok]
+    if not len(p):
+        return
+    # no item can get more of its length from a term than this
+    most = (view.x / view.length[:, None]).max(axis=0) * view.weight
+    head = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+    able = np.add.reduceat(most[t] * c, head) >= cover
+    ok = np.repeat(able, np.diff(np.append(head, len(p))))
+    p, t, c = p[ok], t[ok], c[ok]
+    if not len(p):
+        return
+    cuts = np.unique(np.searchsorted(p, np.arange(0, p[-1] + 4097, 4096)))   # a few thousand passages at a time
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        head = a + np.flatnonzero(np.append(True, p[a + 1:b] != p[a:b - 1]))
+        latent = np.add.reduceat(rows[t[a:b]] * c[a:b, None].astype(np.float32), head - a, axis=0)
+        near = latent @ z.T
+        enough = near >= cover * view.length
+        near /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+        for i, j in zip(*np.nonzero(enough & (near >= cosine)), strict=True):
+            yield int(p[head[i]]), int(view.item[j]), float(near[i, j])
+
+
+def _search(texts: DataFrame, items: Items, views: list[View], bases: list[np.ndarray],
+            least: tuple[float, float, float, float], schema: str) -> DataFrame:
+    spaces = []
+    for view, basis in zip(views, bases, strict=True):
+        z = view.x @ basis
+        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+        spaces.append((view, (basis * view.weight[:, None]).astype(np.float32), z.astype(np.float32)))
+    held = texts.sparkSession.sparkContext.broadcast((items, spaces))
     cosine, cover, lcs, answer = least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, weight, rows, z, x, length = held.value
-        own = [frozenset(w for w in x if weight[items.terms[w]] > 0) for x in items.words]
-        # no item can get more of its length from a term than this
-        most = (x / length[:, None]).max(axis=0) * weight
+        items, spaces = held.value
+        some = np.any([view.weight > 0 for view, *_ in spaces], axis=0)
+        terms: list[set] = [set() for _ in items.ids]               # the terms by which each item is searched
+        for view, *_ in spaces:
+            for i in view.item:
+                terms[i].update(w for w in items.words[i] if view.weight[items.terms[w]] > 0)
+        own = [frozenset(x) for x in terms]
         for part, each, counts, cols in _text_slices(batches, items):
-            cols = np.where(weight[cols] > 0, cols, -1)
             text, first, size = passages(counts)
-            p, t, c = term_cells(cols, first, size)
-            if not len(p):
-                continue
-            head = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-            able = np.add.reduceat(most[t] * c, head) >= cover
-            ok = np.repeat(able, np.diff(np.append(head, len(p))))
-            p, t, c = p[ok], t[ok], c[ok]
-            if not len(p):
-                continue
+            cells = term_cells(np.where(some[cols], cols, -1), first, size)
             begin = np.cumsum(counts) - counts
+            near: dict[tuple[int, int], float] = {}
+            for space in spaces:
+                for k, j, value in _candidates(*space, *cells, cosine, cover):
+                    near[k, j] = max(value, near.get((k, j), 0.0))
             doc_ids = part.column("doc_id")
             out = []
-            cuts = np.unique(np.searchsorted(p, np.arange(0, p[-1] + 4096, 4096)))   # a few thousand passages at a time
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                head = a + np.flatnonzero(np.append(True, p[a + 1:b] != p[a:b - 1]))
-                latent = np.add.reduceat(rows[t[a:b]] * c[a:b, None].astype(np.float32), head - a, axis=0)
-                near = latent @ z.T
-                enough = near >= cover * length
-                near /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-                for i, j in zip(*np.nonzero(enough & (near >= cosine)), strict=True):
-                    k = p[head[i]]
-                    d = text[k]
-                    got = check(items.words[j], items.answers[j], each[d], int(first[k] - begin[d]), own[j])
-                    if got[0] >= lcs and got[1] >= answer:
-                        out.append((doc_ids[int(d)].as_py(), items.ids[j], float(near[i, j]), *got))
+            for (k, j), value in near.items():
+                d = text[k]
+                got = check(items.words[j], items.answers[j], each[d], int(first[k] - begin[d]), own[j])
+                if got[0] >= lcs and got[1] >= answer:
+                    out.append((doc_ids[int(d)].as_py(), items.ids[j], value, *got))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[k] for r in out], kind) for k, kind in

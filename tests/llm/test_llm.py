@@ -310,6 +310,23 @@ def test_contamination(spark):
     assert common_subsequence(list("abcbdab"), list("bdcaba")) == 4
 
 
+def test_contamination_of_frequent_items(spark):
+    from glint.llm.decontam import contaminated
+
+    rng = random.Random(19)
+    say = lambda n: [f"x{rng.randrange(3000)}" for _ in range(n)]
+    items = [(i, " ".join(say(34))) for i in range(20)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, " ".join(say(rng.randint(30, 200)))) for i in range(120)]
+    rows += [(1000 + i, " ".join(say(50) + items[0][1].split() + say(50))) for i in range(60)]
+    rows += [(2000, " ".join(say(50) + items[3][1].split() + say(50)))]
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(docs(spark, rows), bench).collect()}
+    assert got == {(1000 + i, 0) for i in range(60)} | {(2000, 3)}     # an item in a third of the rows
+    few = [(0, " ".join(say(9)) + " " + items[5][1]), (1, items[5][1] + " " + " ".join(say(60))), (2, "x1 and x2")]
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(docs(spark, few), bench).collect()}
+    assert got == {(0, 5), (1, 5)}                                      # three documents
+
+
 def test_toxicity(spark):
     from glint.llm.toxicity import best_threshold, classify
 
