@@ -11,13 +11,15 @@
    terms x columns, whatever the corpus) come the leading right singular vectors; the span of
    the items is joined to them, so that truncation cannot lose an item.
 3. Each passage's cosine with each item in that space, and the share of the item's own length
-   that the passage's projection on it reaches, propose candidates.
+   that the passage's projection on it reaches, propose candidates. An item of more than LONG
+   words is compared by pieces of a passage's length, as no passage could hold its share.
 4. A candidate is checked at the place of the passage that holds most of the item's weighted
    terms: the longest common subsequence of words must cover ``lcs`` of the item, and the
    item's answer must be there: the part behind an answer mark or the last question mark, or
    else the item's weighted terms, ``answer`` of them.
 
-Items are a stated query set; they are taken in blocks of ITEM_BLOCK against all documents.
+Items are a stated query set; they are taken in blocks of at most ITEM_BLOCK items (fewer where
+they hold more than BLOCK_WORDS words) against all documents.
 
 Defined cases: null text has no words and matches nothing; items without words, without id or
 null match nothing; texts shorter than a passage are one passage; repeated rows and items are
@@ -42,6 +44,8 @@ from glint.llm.common import slices
 
 PASSAGE, STRIDE = 48, 24       # words
 ITEM_BLOCK = 512               # items that share a latent space
+LONG = 2 * PASSAGE             # words; longer items are searched piece by piece
+BLOCK_WORDS = ITEM_BLOCK * LONG
 RANK, EXTRA = 32, 8            # leading singular vectors, and random columns beyond them
 WEIGHTED = 0.5                 # an item with less of its words weighted is searched by plain counts too
 SLICE_BYTES = 2 << 20
@@ -71,6 +75,7 @@ def split_words(text: str | None) -> list[bytes]:
 def read_items(benchmark: DataFrame) -> Iterator[Items]:
     """The items in blocks, row by row from the table (the driver holds one block)."""
     held: list[tuple[int, str]] = []
+    size = 0
 
     def block() -> Items:
         words = [split_words(t) for _, t in held]
@@ -85,10 +90,12 @@ def read_items(benchmark: DataFrame) -> Iterator[Items]:
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter(
         "item_id is not null and text is not null").distinct().orderBy("item_id", "text")
     for r in rows.toLocalIterator():
-        held.append((r[0], r[1]))
-        if len(held) == ITEM_BLOCK:
+        more = len(split_words(r[1]))
+        if held and (len(held) == ITEM_BLOCK or size + more > BLOCK_WORDS):
             yield block()
-            held = []
+            held, size = [], 0
+        held.append((r[0], r[1]))
+        size += more
     if held:
         yield block()
 
@@ -126,7 +133,7 @@ class View:
     """Term weights, and the items' vectors that are searched by them."""
 
     weight: np.ndarray
-    item: np.ndarray                 # item of each row
+    item: np.ndarray                 # item of each row; a long item has a row per piece
     x: np.ndarray                    # TF-IDF rows of unit length
     length: np.ndarray               # their lengths before
 
@@ -152,10 +159,20 @@ def document_frequency(texts: DataFrame, items: Items) -> tuple[np.ndarray, int]
     return df[:m], max(1, int(df[m]))
 
 
+def pieces(words: list[bytes]) -> list[list[bytes]]:
+    """An item, or a long one's pieces of a passage's length that cover it (the last two may overlap)."""
+    n = len(words)
+    if n <= LONG:
+        return [words]
+    return [words[at:at + PASSAGE] for at in [*range(0, n - PASSAGE, PASSAGE), n - PASSAGE]]
+
+
 def item_views(items: Items, df: np.ndarray, n: int, common: float) -> list[View]:
-    """The items by IDF, and those that keep too little of it once more by plain counts."""
-    count = np.zeros((len(items.ids), len(items.terms)))
-    for i, w in enumerate(items.words):
+    """The items' pieces by IDF, and those that keep too little of it once more by plain counts."""
+    parts = [(i, x) for i, w in enumerate(items.words) for x in pieces(w)]
+    item = np.array([i for i, _ in parts])
+    count = np.zeros((len(parts), len(items.terms)))
+    for i, (_, w) in enumerate(parts):
         np.add.at(count[i], items.columns(w), 1)
     weight = np.where(df > common * n, 0, np.log((n + 1) / (df + 1)))
     kept = count @ (weight > 0) / count.sum(axis=1)
@@ -165,7 +182,7 @@ def item_views(items: Items, df: np.ndarray, n: int, common: float) -> list[View
         if rows.any():
             x = count[rows] * w
             length = np.linalg.norm(x, axis=1)
-            out.append(View(w, np.flatnonzero(rows), x / length[:, None], length))
+            out.append(View(w, item[rows], x / length[:, None], length))
     return out
 
 

@@ -327,6 +327,22 @@ def test_contamination_of_frequent_items(spark):
     assert got == {(0, 5), (1, 5)}                                      # three documents
 
 
+def test_contamination_of_long_items(spark):
+    from glint.llm.decontam import contaminated
+
+    rng = random.Random(29)
+    say = lambda n: [f"x{rng.randrange(9000)}" for _ in range(n)]
+    items = [(i, " ".join(say(n))) for i, n in enumerate((30, 97, 250, 400, 1000))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, " ".join(say(rng.randint(30, 1200)))) for i in range(100)]
+    rows += [(1000 + i, " ".join(say(70) + t.split() + say(50))) for i, t in items]
+    for i, t in items:                                    # a paraphrase: a quarter of the words replaced
+        rows.append((2000 + i, " ".join(w if k % 4 else "other" for k, w in enumerate(t.split()))))
+    rows.append((3000, " ".join(items[3][1].split()[:200])))              # half an item
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(docs(spark, rows), bench).collect()}
+    assert got == {(first + i, i) for i, _ in items for first in (1000, 2000)}
+
+
 def test_toxicity(spark):
     from glint.llm.toxicity import best_threshold, classify
 
