@@ -32,7 +32,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -136,6 +136,7 @@ class View:
     item: np.ndarray                 # item of each row; a long item has a row per piece
     x: np.ndarray                    # TF-IDF rows of unit length
     length: np.ndarray               # their lengths before
+    plain: bool                      # whether each word of the items has weight 1
 
 
 def document_frequency(texts: DataFrame, items: Items) -> tuple[np.ndarray, int]:
@@ -178,11 +179,11 @@ def item_views(items: Items, df: np.ndarray, n: int, common: float) -> list[View
     kept = count @ (weight > 0) / count.sum(axis=1)
     poor = kept < WEIGHTED
     out = []
-    for w, rows in ((weight, kept > 0), (count[poor].any(axis=0).astype(float), poor)):
+    for w, rows, plain in ((weight, kept > 0, False), (count[poor].any(axis=0).astype(float), poor, True)):
         if rows.any():
             x = count[rows] * w
             length = np.linalg.norm(x, axis=1)
-            out.append(View(w, item[rows], x / length[:, None], length))
+            out.append(View(w, item[rows], x / length[:, None], length, plain))
     return out
 
 
@@ -301,6 +302,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.25, co
         "doc_id", "item_id", "b.similarity", "b.lcs_share", "b.answer_share")
 
 
+def could_hold(pairs: np.ndarray, text: np.ndarray, p: np.ndarray, t: np.ndarray, c: np.ndarray, count: np.ndarray,
+               lcs: float) -> np.ndarray:
+    """Which (passage, item) pairs have a place near the passage that could pass the subsequence check.
+
+    The cells hold every word of the items. A place of S words starts in some passage k, and k, k + 2, ... of
+    its text cover it; what these have in common with the item, counted by word, bounds the subsequence.
+    ``count``: words of each item (items x terms)."""
+    passages_, n = len(text), count.sum(axis=1)
+    share = np.zeros((passages_, len(count)), dtype=np.int32)
+    by_term = np.ascontiguousarray(count.T.astype(np.int16))
+    cuts = np.unique(np.searchsorted(p, np.arange(0, passages_ + 512, 512)))
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        head = np.flatnonzero(np.append(True, p[a + 1:b] != p[a:b - 1]))
+        share[p[a + head]] = np.add.reduceat(np.minimum(by_term[t[a:b]], c[a:b, None].astype(np.int16)), head, axis=0,
+                                             dtype=np.int32)
+    start, last = np.searchsorted(text, text), np.searchsorted(text, text, "right") - 1
+    span = n + np.maximum(4, n // 3)
+    cover = -(-(span + STRIDE) // (2 * STRIDE))
+    total = np.zeros_like(share)
+    for i in range(int(cover.max())):
+        at = np.minimum(np.arange(passages_) + 2 * i, last)
+        total += share[at] * (cover > i)
+    good = np.zeros((passages_ + 1, len(count)), dtype=np.int32)
+    np.cumsum(total >= lcs * n, axis=0, out=good[1:])
+    k, j = pairs[:, 0], pairs[:, 1]
+    reach = -(-(PASSAGE + n[j]) // STRIDE) + 1
+    return good[np.minimum(k + reach, last[k]) + 1, j] > good[np.maximum(k - reach, start[k]), j]
+
+
 def _candidates(view: View, rows: np.ndarray, z: np.ndarray, p: np.ndarray, t: np.ndarray, c: np.ndarray,
                 cosine: float, cover: float) -> Iterator[tuple[int, int, float]]:
     """(passage, item, cosine) of the proposals among the cells (p, t, c)."""
@@ -345,13 +375,21 @@ def _search(texts: DataFrame, items: Items, views: list[View], bases: list[np.nd
             for i in view.item:
                 terms[i].update(w for w in items.words[i] if view.weight[items.terms[w]] > 0)
         own = [frozenset(x) for x in terms]
+        place = {j: i for i, j in enumerate(sorted({int(j) for v, *_ in spaces if v.plain for j in v.item}))}
+        count = np.zeros((len(place), len(items.terms)), dtype=np.int64)
+        for j, i in place.items():
+            np.add.at(count[i], items.columns(items.words[j]), 1)
         for part, each, counts, cols in _text_slices(batches, items):
             text, first, size = passages(counts)
             cells = term_cells(np.where(some[cols], cols, -1), first, size)
             begin = np.cumsum(counts) - counts
             near: dict[tuple[int, int], float] = {}
             for space in spaces:
-                for k, j, value in _candidates(*space, *cells, cosine, cover):
+                found = list(_candidates(*space, *cells, cosine, cover))
+                if found and space[0].plain:                       # common words propose much
+                    pairs = np.array([(k, place[j]) for k, j, _ in found])
+                    found = compress(found, could_hold(pairs, text, *cells, count, lcs))
+                for k, j, value in found:
                     near[k, j] = max(value, near.get((k, j), 0.0))
             doc_ids = part.column("doc_id")
             out = []
