@@ -4,20 +4,21 @@ without SQL must run and return rows."""
 import pytest
 
 import __spark_entry__ as E
+from glint.plans.catalog import ORACLE, QUERIES
 from tests.oracle_util import compare, duck
 
-KEYS = sorted(E.queries())
+KEYS = sorted(QUERIES)
 
 
 def test_every_query_has_sql_or_reason():
-    no_sql = set(KEYS) - set(E.oracle_sql())
+    no_sql = set(KEYS) - set(ORACLE)
     assert no_sql <= {"bm25_stemmed"}          # no SQL stemmer offline; brute force in test_operators
 
 
 @pytest.mark.parametrize("key", KEYS)
 def test_query_matches_oracle(spark, sf_small, key):
-    got = E.queries()[key](spark, sf_small).toPandas()
-    sql = E.oracle_sql().get(key)
+    got = QUERIES[key](spark, sf_small).toPandas()
+    sql = ORACLE.get(key)
     if sql is None:
         assert len(got) > 0
         return

@@ -6,8 +6,9 @@ import io
 import pytest
 
 import __spark_entry__ as E
+from glint.plans.catalog import QUERIES
 
-KEYS = sorted(E.queries())
+KEYS = sorted(QUERIES)
 
 
 def plan_of(df) -> str:
@@ -19,7 +20,7 @@ def plan_of(df) -> str:
 
 @pytest.mark.parametrize("key", KEYS)
 def test_no_cross_join(spark, sf_small, key):
-    plan = plan_of(E.queries()[key](spark, sf_small))
+    plan = plan_of(QUERIES[key](spark, sf_small))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
@@ -30,6 +31,6 @@ def test_flagship_one_exchange_and_group_limit(spark, sf_small):
 
 
 def test_filters_reach_the_scan(spark, sf_small):
-    plan = plan_of(E.queries()["memory_filter"](spark, sf_small))
+    plan = plan_of(QUERIES["memory_filter"](spark, sf_small))
     assert "PushedFilters: [IsNotNull(event_type), IsNotNull(ts), In(event_type" in plan
     assert "GreaterThanOrEqual(ts" in plan and "LessThanOrEqual(ts" in plan
