@@ -101,21 +101,18 @@ def with_next(docs: DataFrame, derive: Callable[[DataFrame], DataFrame], columns
     d = d.withColumn("__llm_id", F.col("doc_id").cast("long")).withColumn(
         "__llm_tie", F.xxhash64(F.coalesce("text", F.lit(""))))
     size, rows = docs.agg(F.sum(F.octet_length("text")), F.count("doc_id")).first()
-    bins = min(MOST_BINS, max(1, -(-(size or 0) // BIN_BYTES)))
+    bins = min(MOST_BINS, max(2, -(-(size or 0) // BIN_BYTES)))
     cuts = []
-    if bins > 1 and rows:
+    if rows:
         cuts = sorted(set(docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / bins for i in range(1, bins)],
                                                        20 * bins + 1000)).first()[0]))
     # two levels, so that a row looks at about twice the root of the number of bins
     span = max(1, int(len(cuts) ** 0.5))
     coarse = F.array(*[F.lit(c) for c in cuts[::span]]).cast("array<bigint>")
     fine = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
-    if cuts:
-        group = F.greatest(F.size(F.filter(coarse, lambda c: c <= F.col("__llm_id"))) - 1, F.lit(0))
-        near = F.filter(F.slice(fine, group * span + 1, F.lit(span)), lambda c: c <= F.col("__llm_id"))
-        at = F.when(F.col("__llm_id").isNull(), F.lit(len(cuts) + 1)).otherwise(group * span + F.size(near))
-    else:
-        at = F.lit(0)
+    group = F.greatest(F.size(F.filter(coarse, lambda c: c <= F.col("__llm_id"))) - 1, F.lit(0))
+    near = F.filter(F.slice(fine, group * span + 1, F.lit(span)), lambda c: c <= F.col("__llm_id"))
+    at = F.when(F.col("__llm_id").isNull(), F.lit(len(cuts) + 1)).otherwise(group * span + F.size(near))
     d = d.withColumn("__llm_bin", at.cast("int"))
     # the first row of every bin: one row each, found by its key alone
     key = F.struct(F.col("__llm_id").isNull().alias("z"), F.col("__llm_id").alias("i"), F.col("__llm_tie").alias("t"))
