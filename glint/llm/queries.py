@@ -142,3 +142,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glint.llm.decontam import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glint.llm.interpolation import DELETED, KEPT, TEST, score_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tenth = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10))
+    role = F.when(tenth == 0, TEST).when(tenth == 1, DELETED).otherwise(KEPT)
+    return score_documents(docs, role)
