@@ -152,3 +152,19 @@ def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     tenth = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10))
     role = F.when(tenth == 0, TEST).when(tenth == 1, DELETED).otherwise(KEPT)
     return score_documents(docs, role)
+
+
+def vocabulary_file(name: str) -> bytes:
+    """Bytes of a public vocabulary file."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glint.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"),
+                 vocabulary_file("piece_bpe_32k.model"))
