@@ -168,3 +168,36 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return align(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"),
                  vocabulary_file("piece_bpe_32k.model"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glint.llm.hard_negatives import mine, usable
+
+    rows = usable(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
+    label = F.when(F.col("item_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("item_id", label.alias("label"), F.transform("vec", lambda x: F.floor(256 * x)).alias("vec"))
+    return mine(rows, F.col("item_id") % 100 == 0, item_id="item_id", vec="vec")
+
+
+ORACLE["op12_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS item_id, a.label = c.label AS same,
+         CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, item_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, item_id) <= 5),
+n AS (
+  SELECT p.*, s.item_id AS negative_id, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.item_id) AS INTEGER) AS rank
+  FROM p JOIN s USING (anchor_id)
+  WHERE NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
