@@ -52,11 +52,11 @@ def matrix(vectors: pa.Array, dim: int) -> np.ndarray:
     """Rows of a list column, shorter ones filled up with zeros."""
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
     if len(flat) == len(vectors) * dim:
-        return flat.reshape(-1, dim)
+        return flat.reshape(len(vectors), dim)
     sizes = np.array([len(v) for v in vectors], dtype=np.int64)
     out = np.zeros(len(vectors) * dim)
     out[spread_out(np.arange(len(vectors)) * dim, sizes)] = flat
-    return out.reshape(-1, dim)
+    return out.reshape(len(vectors), dim)
 
 
 def spanning_tree(v: np.ndarray) -> list[tuple[int, int, float]]:
