@@ -1,17 +1,9 @@
-"""English stemming (Porter 1980) and stop words for the second BM25 retriever (V2).
-
-The stemmer is the published algorithm (M. F. Porter, "An algorithm for suffix
-stripping", Program 14(3), 1980). It runs in an Arrow-batched pandas UDF that
-stems each distinct token of a batch once; no rows pass through the driver.
-Tokens with characters outside a-z are left as they are.
-"""
+"""English stop words for the second BM25 retriever (V2); stems are in ``glint.functions.snowball``."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 # Spark's default English stop words (StopWordsRemover), in its order.
 STOP_WORDS = (
@@ -27,126 +19,6 @@ STOP_WORDS = (
     "couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's would"
 ).split()
 
-# Porter 1980 suffix rules, (suffix, replacement) per step.
-STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"),
-         ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
-         ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"),
-         ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
-STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""),
-         ("ness", "")]
-STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou",
-         "ism", "ate", "iti", "ous", "ive", "ize"]
-
-_VOWELS = set("aeiou")
-
-
-def _is_cons(w: str, i: int) -> bool:
-    ch = w[i]
-    if ch in _VOWELS:
-        return False
-    if ch == "y":
-        return i == 0 or not _is_cons(w, i - 1)
-    return True
-
-
-def _measure(stem: str) -> int:
-    """Number of vowel-consonant sequences in ``stem``."""
-    m, prev_vowel = 0, False
-    for i in range(len(stem)):
-        c = _is_cons(stem, i)
-        if c and prev_vowel:
-            m += 1
-        prev_vowel = not c
-    return m
-
-
-def _has_vowel(stem: str) -> bool:
-    return any(not _is_cons(stem, i) for i in range(len(stem)))
-
-
-def _double_cons(w: str) -> bool:
-    return len(w) >= 2 and w[-1] == w[-2] and _is_cons(w, len(w) - 1)
-
-
-def _cvc(w: str) -> bool:
-    return (len(w) >= 3 and _is_cons(w, len(w) - 3) and not _is_cons(w, len(w) - 2)
-            and _is_cons(w, len(w) - 1) and w[-1] not in "wxy")
-
-
-def _apply(w: str, rules, cond) -> str:
-    for suf, rep in sorted(rules, key=lambda r: -len(r[0])):
-        if w.endswith(suf):
-            stem = w[: len(w) - len(suf)]
-            return stem + rep if cond(stem, suf) else w
-    return w
-
-
-def porter(w: str) -> str:
-    if len(w) <= 2 or not w.isascii() or not w.isalpha():
-        return w
-    # step 1a
-    if w.endswith("sses"):
-        w = w[:-2]
-    elif w.endswith("ies"):
-        w = w[:-2]
-    elif w.endswith("ss"):
-        pass
-    elif w.endswith("s"):
-        w = w[:-1]
-    # step 1b
-    again = False
-    if w.endswith("eed"):
-        if _measure(w[:-3]) > 0:
-            w = w[:-1]
-    elif w.endswith("ed") and _has_vowel(w[:-2]):
-        w, again = w[:-2], True
-    elif w.endswith("ing") and _has_vowel(w[:-3]):
-        w, again = w[:-3], True
-    if again:
-        if w.endswith(("at", "bl", "iz")):
-            w += "e"
-        elif _double_cons(w) and w[-1] not in "lsz":
-            w = w[:-1]
-        elif _measure(w) == 1 and _cvc(w):
-            w += "e"
-    # step 1c
-    if w.endswith("y") and _has_vowel(w[:-1]):
-        w = w[:-1] + "i"
-    # steps 2 and 3
-    w = _apply(w, STEP2, lambda s, _: _measure(s) > 0)
-    w = _apply(w, STEP3, lambda s, _: _measure(s) > 0)
-    # step 4
-    w = _apply(w, [(s, "") for s in STEP4],
-               lambda s, suf: _measure(s) > 1 and (suf != "ion" or s.endswith(("s", "t"))))
-    # step 5a
-    if w.endswith("e"):
-        s = w[:-1]
-        m = _measure(s)
-        if m > 1 or (m == 1 and not _cvc(s)):
-            w = s
-    # step 5b
-    if _measure(w) > 1 and _double_cons(w) and w.endswith("l"):
-        w = w[:-1]
-    return w
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def stem_tokens(tokens: pd.Series) -> pd.Series:
-    """Stem every token; each distinct token of the Arrow batch is stemmed once."""
-    cache: dict[str, str] = {}
-
-    def one(arr):
-        if arr is None:
-            return None
-        out = []
-        for t in arr:
-            s = cache.get(t)
-            if s is None:
-                s = cache[t] = porter(t)
-            out.append(s)
-        return out
-    return tokens.map(one)
-
 
 def remove_stop_words(tokens) -> Column:
     """Drop English stop words, keeping repeats of the other tokens (JVM-side filter)."""

@@ -61,7 +61,7 @@ def search_memories(memories: DataFrame, queries: DataFrame, limit: int = 5, met
     """T4: nearest memories per query across all chosen types; same answer as the
     reference's per-type top-n followed by a merge. Distance is squared L2 by default."""
     m = filter_memories(memories, **filters).filter(F.col("embedding").isNotNull())
-    hits = top_k(m.select(F.col("memory_id").alias("item_id"), "embedding"), queries, limit, metric)
+    hits = top_k(m, queries, limit, metric, item_id="memory_id")
     return hits.select("query_id", "rank", F.col("item_id").alias("memory_id"),
                        F.col("score").alias("distance"))
 

@@ -5,9 +5,8 @@ Combined score per (query, doc): ``0.4 * bm25 / max_bm25 + 0.6 * sem / max_sem``
 (each term 0 when its maximum is not above 0), top ``k`` by it (ties by doc id),
 then kept when ``>= min_relevance``; optionally re-ranked by a second score.
 
-Exact without scoring all pairs as rows: both scores are computed per (document
-block, query block) cell in two passes, maxima first, then each cell's top k by
-the combined score (``glint.operators.scoring``).
+Exact without scoring all pairs as rows: blocks of queries are broadcast and the forward index is
+scanned twice, for the maxima and for the top k by the combined score (``glint.operators.scoring``).
 """
 
 from __future__ import annotations
@@ -16,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glint.functions.vector import cosine
-from glint.operators.scoring import bm25_topk, hybrid_topk
+from glint.operators.bm25 import bm25_topk
+from glint.operators.scoring import hybrid_topk
 from glint.operators.text_index import BM25Index, top_by
 from glint.operators.vectors import top_k
 
@@ -29,15 +29,15 @@ def _norm(score: str, mx: str):
     return F.when(F.col(mx) > 0, F.col(score) / F.col(mx)).otherwise(F.lit(0.0))
 
 
-def hybrid_scores(index: BM25Index, docs: DataFrame, queries: DataFrame, k: int = 5,
+def hybrid_scores(index: BM25Index, docs: DataFrame | None, queries: DataFrame, k: int = 5,
                   min_relevance: float = 0.5, w_bm25: float = W_BM25, w_sem: float = W_SEM,
                   start=None, end=None, query_text: str = "query") -> DataFrame:
     """``query_id, rank, doc_id, relevance_score, bm25, semantic`` after top-k and threshold.
 
-    ``docs``: ``doc_id, embedding[, timestamp]``; ``queries``: ``query_id, <query_text>,
-    embedding``. ``start``/``end`` keep documents whose timestamp is in the window (F8);
-    the index statistics stay those of the whole corpus. Scored in document x query
-    blocks (``glint.operators.scoring``): exact, no pair rows shuffled.
+    ``docs``: ``doc_id, embedding[, timestamp]``, or None when the index carries them; ``queries``:
+    ``query_id, <query_text>, embedding``. ``start``/``end`` keep documents whose timestamp is in the
+    window (F8; columns ``start``/``end`` of ``queries`` set one for each query); the index statistics
+    stay those of the whole corpus.
     """
     return hybrid_topk(index, docs, queries, k, min_relevance, w_bm25, w_sem, start, end, query_text)
 
@@ -75,12 +75,12 @@ def fuse_nodes(vector_hits: DataFrame, bm25_hits: DataFrame, wv: float = 0.7, wb
 
 
 def contextual_retrieve(index: BM25Index, docs: DataFrame, queries: DataFrame, k: int = 3,
-                        query_tokens: str = "tokens") -> DataFrame:
+                        query_tokens: str = "tokens", stems: bool = False) -> DataFrame:
     """T5: the vector retriever's top ``k`` (cosine) and the BM25 retriever's top ``k``
-    (``index`` built on the same token processing as ``query_tokens``), fused by
+    (``index`` built on the same token processing as ``query_tokens`` and ``stems``), fused by
     ``fuse_nodes`` and cut to ``k`` again."""
-    v = top_k(docs.select(F.col("doc_id").alias("item_id"), "embedding"), queries, k, "cosine")
+    v = top_k(docs, queries, k, "cosine", item_id="doc_id")
     v = v.select("query_id", F.col("item_id").alias("node_id"), "score")
-    b = bm25_topk(index, docs.select("doc_id"), queries.drop("embedding"), k, query_tokens=query_tokens) \
+    b = bm25_topk(index, queries, k, query_tokens=query_tokens, stems=stems) \
         .select("query_id", F.col("doc_id").alias("node_id"), F.col("bm25").alias("score"))
     return fuse_nodes(v, b, 0.7, 0.3, k)

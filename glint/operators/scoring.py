@@ -1,232 +1,207 @@
-"""Block-scored BM25 and hybrid retrieval: no (query, document, term) rows are shuffled.
+"""Hybrid keyword + vector scores by scans of the forward index.
 
-Documents are hashed into blocks by id; a block carries its postings (moved once,
-grouped by document, so a term found in every document causes no skew) and one
-row per document (its vector and whether it is in scope). Queries are hashed into
-query blocks and carry their weighted terms (``qn * idf``) and their vector. Each
-(document block, query block) cell meets once in a ``cogroup``; numpy builds the
-dense BM25 and dot-product matrices of the cell (``bincount`` over the matched
-postings, BLAS for the vectors) and emits only a few rows per query:
+Queries are dealt into blocks of a bounded size, in the order of their time windows; a block (weighted
+terms and vectors) is broadcast. Documents are never shuffled: a scan of the forward index, cut to the
+columns it needs and to the time span of the block's windows, scores its rows against the block
+in Arrow batches and keeps a few rows per query and task. Two scans per block:
 
-* ``max``   the cell's maximum of each score per query (pass 1 of hybrid);
-* ``hybrid`` the cell's top k by ``w_bm25 * bm25 / max_bm25 + w_sem * sem / max_sem``,
-  the maxima having come from pass 1 (pass 2);
-* ``bm25``  the cell's top k by BM25 among documents sharing a term.
+* maxima of both scores per query, over the documents of the query's window;
+* the task's top k by ``w_bm25 * bm25 / max_bm25 + w_sem * sem / max_sem``.
 
 A global ``row_number`` over the emitted rows gives the exact answer.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glint.functions.scalar import ntz_micros
+from glint.operators.text_index import K1, RANK_PLACES, B, BM25Index, query_terms, top_by
+from glint.operators.vectors import best, matrix
 
-from glint.operators.text_index import B as B_PARAM
-from glint.operators.text_index import K1, BM25Index, forward_index, query_terms
-
-POSTINGS_PER_BLOCK = 400_000
 QUERIES_PER_BLOCK = 256
-EXPAND_LIMIT = 4_000_000        # (posting, query) pairs expanded at once inside a cell
-
-OUT_SCHEMA = ("query_id long, doc_id long, bm25 double, semantic double, relevance_score double, "
-              "max_bm25 double, max_sem double")
-
-
-def _matrix(vals, dim):
-    out = np.zeros((len(vals), dim))
-    for i, v in enumerate(vals):
-        if v is not None and len(v):
-            out[i] = np.asarray(v, dtype=np.float64)
-    return out
-
-
-def _cell_fn(mode: str, k: int, k1: float, b: float, avgdl: float, scale: float,
-             w_bm25: float, w_sem: float):
-    def fn(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        cols = ["query_id", "doc_id", "bm25", "semantic", "relevance_score", "max_bm25", "max_sem"]
-        empty = pd.DataFrame({c: pd.Series([], dtype="int64" if c in ("query_id", "doc_id") else "float64")
-                              for c in cols})
-        drows = items[items["keep"].astype("boolean").fillna(False).astype(bool)]
-        qrows = queries[queries["term"].isna()]
-        if len(drows) == 0 or len(qrows) == 0:
-            return empty
-        ids = drows["doc_id"].to_numpy(dtype="int64")
-        qids = qrows["query_id"].to_numpy(dtype="int64")
-        nd, nq = len(ids), len(qids)
-        qpos = pd.Series(np.arange(nq), index=qids)
-        qt = queries[queries["term"].notna()]
-        qt = qt[qt["query_id"].isin(qids)]
-        # Query terms of the cell as a CSR table: code -> (query position, weight).
-        qcat = pd.Categorical(qt["term"])
-        vocab = qcat.categories
-        qcode = np.asarray(qcat.codes, dtype=np.int64)
-        order = np.argsort(qcode, kind="stable")
-        q_of = qpos.loc[qt["query_id"].to_numpy()].to_numpy()[order]
-        w_of = qt["w"].to_numpy(dtype="float64")[order]
-        per_code = np.bincount(qcode, minlength=len(vocab))
-        offsets = np.concatenate([[0], np.cumsum(per_code)])[:-1]
-        # Postings of the cell's documents (from the per-document arrays), kept when
-        # some query of the cell has the term; tf is turned into the BM25 term factor.
-        terms = [t if t is not None else [] for t in drows["terms"]]
-        lens = np.array([len(t) for t in terms], dtype=np.int64)
-        all_terms = np.concatenate([np.asarray(t, dtype=object) for t in terms]) if lens.sum() else \
-            np.array([], dtype=object)
-        tf = np.concatenate([np.asarray(t if t is not None else [], dtype="float64") for t in drows["tfs"]]) \
-            if lens.sum() else np.array([], dtype="float64")
-        dl = np.repeat(drows["dl"].fillna(0).to_numpy(dtype="float64"), lens)
-        pdoc = np.repeat(np.arange(nd), lens)
-        pcode = np.asarray(pd.Categorical(all_terms, categories=vocab).codes, dtype=np.int64)
-        ok = pcode >= 0
-        pcode, pdoc = pcode[ok], pdoc[ok]
-        tfn = tf[ok] * scale / (tf[ok] + k1 * (1 - b + b * dl[ok] / avgdl))
-        # Expand each posting to the queries that share its term (vectorised) and sum,
-        # a slice of postings at a time so the expansion never exceeds EXPAND_LIMIT.
-        rep = per_code[pcode]
-        bm = np.zeros(nq * nd)
-        hits = np.zeros(nq * nd, dtype=np.int64)
-        cum = np.cumsum(rep)
-        lo = 0
-        while lo < len(pcode):
-            base_cum = cum[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(cum, base_cum + EXPAND_LIMIT, side="right")))
-            r = rep[lo:hi]
-            total = int(r.sum())
-            if total:
-                src = np.repeat(np.arange(lo, hi), r)
-                seg = np.repeat(offsets[pcode[lo:hi]] - (np.cumsum(r) - r), r) + np.arange(total)
-                flat = q_of[seg] * nd + pdoc[src]
-                bm += np.bincount(flat, weights=w_of[seg] * tfn[src], minlength=nq * nd)
-                hits += np.bincount(flat, minlength=nq * nd)
+EXPAND_LIMIT = 4_000_000        # (posting, query) pairs expanded at once
+ROWS_AT_ONCE = 4096             # documents scored at once
+
+SCORES = "query_id long, doc_id long, bm25 double, semantic double, relevance_score double"
+MAXIMA = "query_id long, max_bm25 double, max_sem double"
+
+
+@dataclass
+class QueryBlock:
+    """Queries that a scan serves: ids, vectors, windows (micros, NaN: open), and query terms by code."""
+
+    ids: np.ndarray
+    vectors: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    vocabulary: pd.Index
+    first: np.ndarray            # where the (query, weight) pairs of each term begin, and the end
+    query: np.ndarray
+    weight: np.ndarray
+    avgdl: float
+    scale: float
+
+    def bm25(self, rows: pd.DataFrame) -> np.ndarray:
+        """Scores of all (query, document): each posting goes to the queries that share its term."""
+        nq, nd = len(self.ids), len(rows)
+        lens = rows["terms"].map(len).to_numpy()
+        doc = np.repeat(np.arange(nd), lens)
+        terms = np.concatenate([np.asarray(t, dtype=object) for t in rows["terms"]]) if lens.sum() else np.array([], object)
+        tf = np.concatenate([np.asarray(t, dtype=float) for t in rows["tfs"]]) if lens.sum() else np.zeros(0)
+        code = self.vocabulary.get_indexer(terms)
+        ok = code >= 0
+        code, doc, tf = code[ok], doc[ok], tf[ok]
+        length = rows["dl"].to_numpy(dtype=float)[doc]
+        part = tf * self.scale / (tf + K1 * (1 - B + B * length / self.avgdl))
+        size = (self.first[1:] - self.first[:-1])[code]
+        upto = np.append(0, np.cumsum(size))
+        out, lo = np.zeros(nq * nd), 0
+        while lo < len(code):
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + EXPAND_LIMIT, side="right")) - 1)
+            n = size[lo:hi]
+            pair = np.repeat(self.first[code[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            posting = np.repeat(np.arange(lo, hi), n)
+            out += np.bincount(self.query[pair] * nd + doc[posting], self.weight[pair] * part[posting], nq * nd)
             lo = hi
-        bm = bm.reshape(nq, nd)
-        matched = hits.reshape(nq, nd) > 0
-        dim = next((len(v) for v in list(drows["embedding"]) + list(qrows["q_vec"]) if v is not None), 0)
-        sem = _matrix(list(qrows["q_vec"]), dim) @ _matrix(list(drows["embedding"]), dim).T
-        # Per-query time windows (both ends included); no window: every document.
-        dts = drows["_dts"].astype("float64").to_numpy()
-        qs_ = qrows["_qs"].astype("float64").to_numpy()[:, None]
-        qe_ = qrows["_qe"].astype("float64").to_numpy()[:, None]
+        return out.reshape(nq, nd)
+
+    def inside(self, micros: np.ndarray) -> np.ndarray:
+        """Which documents lie in which query's window; an open side admits all, a document without time none."""
+        t = micros.astype(float)[None, :]
         with np.errstate(invalid="ignore"):
-            inwin = (np.isnan(qs_) | (dts[None, :] >= qs_)) & (np.isnan(qe_) | (dts[None, :] <= qe_))
-        out = []
-        for r in range(nq):
-            win = inwin[r]
-            if not win.any():
-                continue
-            if mode == "max":
-                out.append(pd.DataFrame({"query_id": [qids[r]], "doc_id": [-1], "bm25": [0.0],
-                                         "semantic": [0.0], "relevance_score": [0.0],
-                                         "max_bm25": [bm[r][win].max()], "max_sem": [sem[r][win].max()]}))
-                continue
-            if mode == "hybrid":
-                mb = float(qrows["max_bm25"].iloc[r])
-                ms = float(qrows["max_sem"].iloc[r])
-                score = (w_bm25 * (bm[r] / mb if mb > 0 else 0.0 * bm[r])
-                         + w_sem * (sem[r] / ms if ms > 0 else 0.0 * sem[r]))
-                cand = np.flatnonzero(win)
-            else:                                   # bm25: documents sharing a term
-                score = bm[r]
-                cand = np.flatnonzero(matched[r] & win)
-                if len(cand) == 0:
-                    continue
-            key = np.round(-score[cand], 9)
-            order = cand[np.lexsort((ids[cand], key))][:k]
-            out.append(pd.DataFrame({"query_id": qids[r], "doc_id": ids[order], "bm25": bm[r][order],
-                                     "semantic": sem[r][order], "relevance_score": score[order],
-                                     "max_bm25": 0.0, "max_sem": 0.0}))
-        return pd.concat(out, ignore_index=True) if out else empty
-    return fn
-
-
-def _sides(index: BM25Index, docs: DataFrame, queries: DataFrame, qterms: DataFrame,
-           keep, extra_q: DataFrame | None = None, nq: int | None = None):
-    n_docs = index.n_docs
-    par = docs.sparkSession.sparkContext.defaultParallelism
-    n_post = n_docs * max(1.0, index.avgdl)              # an upper bound on postings
-    nb = max(par, math.ceil(n_post / POSTINGS_PER_BLOCK))   # bounded blocks, and every core busy
-    nq = queries.count() if nq is None else nq
-    nqb = max(1, math.ceil(nq / QUERIES_PER_BLOCK))
-    fwd = index.forward if index.forward is not None else forward_index(index.postings)
-    micros = ntz_micros
-    dts = micros("timestamp") if "timestamp" in docs.columns else F.lit(None).cast("long")
-    drows = docs.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"),
-                        keep.alias("keep"), dts.alias("_dts"))
-    items_base = drows.join(fwd, "doc_id", "left")
-    items = (items_base
-             .withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.lit(nb)))
-             .withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nqb - 1).cast("long")))))
-    qt = (qterms.join(index.terms.select("term", "idf"), "term")
-          .select("query_id", "term", (F.col("qn") * F.col("idf")).alias("w"),
-                  F.lit(None).cast("array<double>").alias("q_vec")))
-    qstart = micros("start") if "start" in queries.columns else F.lit(None).cast("long")
-    qend = micros("end") if "end" in queries.columns else F.lit(None).cast("long")
-    qv = queries.select("query_id", F.lit(None).cast("string").alias("term"), F.lit(None).cast("double").alias("w"),
-                        F.col("embedding").cast("array<double>").alias("q_vec"),
-                        qstart.alias("_qs"), qend.alias("_qe"))
-    qs = qt.unionByName(qv, allowMissingColumns=True)
-    if extra_q is not None:
-        qs = qs.join(extra_q, "query_id", "left")
-    else:
-        qs = qs.withColumn("max_bm25", F.lit(0.0)).withColumn("max_sem", F.lit(0.0))
-    qs = (qs.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(nqb)))
-          .withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long")))))
-    return items, qs
-
-
-def _run(items, qs, fn):
-    return items.groupBy("_b", "_qb").cogroup(qs.groupBy("_b", "_qb")).applyInPandas(fn, schema=OUT_SCHEMA)
-
-
-def _top(rows: DataFrame, k: int, score: str) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.round(F.col(score), 9).desc(), F.col("doc_id"))
-    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def hybrid_topk(index: BM25Index, docs: DataFrame, queries: DataFrame, k: int = 5,
+            return ((np.isnan(self.starts)[:, None] | (t >= self.starts[:, None]))
+                    & (np.isnan(self.ends)[:, None] | (t <= self.ends[:, None])))
+
+    def scored(self, batches: Iterator[pd.DataFrame]):
+        """(documents, bm25, semantic, inside) of slices of the scanned rows."""
+        for pdf in batches:
+            for at in range(0, len(pdf), ROWS_AT_ONCE):
+                rows = pdf.iloc[at:at + ROWS_AT_ONCE]
+                sem = self.vectors @ matrix(rows["embedding"], self.vectors.shape[1]).T
+                yield rows["doc_id"].to_numpy(), self.bm25(rows), sem, self.inside(rows["_t"].to_numpy(dtype=float))
+
+
+def query_blocks(index: BM25Index, queries: DataFrame, qterms: DataFrame) -> Iterator[tuple[QueryBlock, float, float]]:
+    """Blocks of at most ``QUERIES_PER_BLOCK`` queries in the order of their windows, each with its time span.
+
+    A block reaches the driver and is broadcast: its queries' vectors and terms bound its size.
+    """
+    w = qterms.join(index.terms.select("term", "idf"), "term").groupBy("query_id").agg(
+        F.collect_list("term").alias("_terms"), F.collect_list(F.col("qn") * F.col("idf")).alias("_w"))
+    micros = lambda c: (ntz_micros(c) if c in queries.columns else F.lit(None).cast("long")).alias(f"_{c}")
+    q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), micros("start"),
+                       micros("end")).join(w, "query_id", "left").orderBy("_start", "_end", "query_id")
+    scale = K1 + 1 if index.variant == "okapi" else 1.0
+    rows: list = []
+
+    def block(rows: list) -> tuple[QueryBlock, float, float]:
+        pairs = pd.DataFrame([(t, i, x) for i, r in enumerate(rows) for t, x in zip(r["_terms"] or [], r["_w"] or [],
+                                                                                    strict=True)],
+                             columns=["term", "query", "weight"]).sort_values("term", kind="stable")
+        vocabulary = pd.Index(pairs["term"].unique(), dtype=object)
+        first = np.append(0, np.cumsum(pairs.groupby("term", sort=False).size().to_numpy(dtype=np.int64)))
+        number = lambda k: np.array([np.nan if r[k] is None else r[k] for r in rows], dtype=float)
+        starts, ends = number("_start"), number("_end")
+        dim = max((len(r["embedding"]) for r in rows if r["embedding"] is not None), default=0)
+        made = QueryBlock(np.array([r["query_id"] for r in rows], dtype=np.int64),
+                          matrix(pd.Series([r["embedding"] for r in rows]), dim), starts, ends, vocabulary, first,
+                          pairs["query"].to_numpy(dtype=np.int64), pairs["weight"].to_numpy(dtype=float),
+                          index.avgdl if index.avgdl > 0 else 1.0, scale)
+        return made, starts.min(), ends.max()               # NaN: some window is open on that side
+
+    for r in q.toLocalIterator():
+        rows.append(r)
+        if len(rows) == QUERIES_PER_BLOCK:
+            yield block(rows)
+            rows = []
+    if rows:
+        yield block(rows)
+
+
+def documents_between(docs: DataFrame, start: float, end: float) -> DataFrame:
+    """Rows whose ``timestamp`` can lie in a window; the bounds are plain literals, so they reach the scan."""
+    for bound, op in ((start, "__ge__"), (end, "__le__")):
+        if not np.isnan(bound):
+            at = np.datetime64(int(bound), "us").item()
+            docs = docs.filter(getattr(F.col("timestamp"), op)(F.lit(at).cast("timestamp_ntz")))
+    return docs
+
+
+def _maxima(held):
+    def run(batches):
+        block = held.value
+        best = np.full((2, len(block.ids)), -np.inf)
+        for _, bm, sem, inside in block.scored(batches):
+            for i, s in enumerate((bm, sem)):
+                best[i] = np.maximum(best[i], np.where(inside, s, -np.inf).max(axis=1, initial=-np.inf))
+        seen = best[0] > -np.inf
+        yield pd.DataFrame({"query_id": block.ids[seen], "max_bm25": best[0][seen], "max_sem": best[1][seen]})
+    return run
+
+
+def _top(held, k: int, w_bm25: float, w_sem: float):
+    def run(batches):
+        block, most = held.value                            # maxima per query; not above 0: the score counts as 0
+        kept: dict[int, list[np.ndarray]] = {}              # per query: ids, bm25, semantic, combined
+        for ids, bm, sem, inside in block.scored(batches):
+            share = [np.where(m > 0, s / np.where(m > 0, m, 1.0), 0.0)
+                     for s, m in ((bm, most[0][:, None]), (sem, most[1][:, None]))]
+            score = w_bm25 * share[0] + w_sem * share[1]
+            for q in range(len(block.ids)):
+                at = np.flatnonzero(inside[q])
+                if len(at):
+                    at = at[best(np.round(-score[q, at], RANK_PLACES), ids[at], k)]
+                    new = [ids[at], bm[q, at], sem[q, at], score[q, at]]
+                    if q in kept:
+                        new = [np.append(x, y) for x, y in zip(kept[q], new, strict=True)]
+                        at = best(np.round(-new[3], RANK_PLACES), new[0], k)
+                        new = [x[at] for x in new]
+                    kept[q] = new
+        if kept:
+            n = [len(x[0]) for x in kept.values()]
+            cols = [np.concatenate(c) for c in zip(*kept.values(), strict=True)]
+            yield pd.DataFrame(dict(zip([f.split()[0] for f in SCORES.split(", ")],
+                                        [np.repeat(block.ids[list(kept)], n), *cols], strict=True)))
+    return run
+
+
+def hybrid_topk(index: BM25Index, docs: DataFrame | None, queries: DataFrame, k: int = 5,
                 min_relevance: float = 0.5, w_bm25: float = 0.4, w_sem: float = 0.6,
                 start=None, end=None, query_text: str = "query") -> DataFrame:
-    """Hybrid retrieval, exact, in two block passes. ``docs``: ``doc_id, embedding[, timestamp]``.
+    """Hybrid retrieval, exact. ``docs``: ``doc_id, embedding[, timestamp]``, joined to the index by id; None when
+    the index carries these columns itself.
 
     ``start``/``end`` restrict all queries to one window; columns ``start``/``end`` on
     ``queries`` give each query its own window (maxima and top k within it)."""
-    keep = F.lit(True)
-    if start is not None:
-        keep = keep & (F.col("timestamp") >= F.lit(start).cast("timestamp_ntz"))
-    if end is not None:
-        keep = keep & (F.col("timestamp") <= F.lit(end).cast("timestamp_ntz"))
-    keep = F.coalesce(keep, F.lit(False))
-    qterms = query_terms(queries, text=query_text)
-    avgdl = index.avgdl if index.avgdl > 0 else 1.0
-    scale = K1 + 1 if index.variant == "okapi" else 1.0
-    nq = queries.count()
-    items, qs = _sides(index, docs, queries, qterms, keep, nq=nq)
-    mx = (_run(items, qs, _cell_fn("max", k, K1, B_PARAM, avgdl, scale, w_bm25, w_sem))
-          .groupBy("query_id").agg(F.max("max_bm25").alias("max_bm25"), F.max("max_sem").alias("max_sem")))
-    items, qs = _sides(index, docs, queries, qterms, keep, extra_q=mx, nq=nq)
-    cand = _run(items, qs, _cell_fn("hybrid", k, K1, B_PARAM, avgdl, scale, w_bm25, w_sem))
-    top = _top(cand, k, "relevance_score")
-    return (top.filter(F.col("relevance_score") >= F.lit(min_relevance))
+    rows = index.forward if docs is None else docs.select("doc_id", *[c for c in ("embedding", "timestamp") if c in docs.columns]) \
+        .join(index.forward.select("doc_id", "dl", "terms", "tfs"), "doc_id")
+    for name, given in (("start", start), ("end", end)):
+        if given is not None:
+            queries = queries.withColumn(name, F.lit(given).cast("timestamp_ntz"))
+    timed = "timestamp" in rows.columns
+    found, send = [], rows.sparkSession.sparkContext.broadcast
+    for block, least, most in query_blocks(index, queries, query_terms(queries, text=query_text)):
+        part = documents_between(rows, least, most) if timed else rows
+        part = part.select("doc_id", "dl", "terms", "tfs", F.col("embedding").cast("array<double>").alias("embedding"),
+                           (ntz_micros("timestamp") if timed else F.lit(None).cast("long")).alias("_t"))
+        mx = part.mapInPandas(_maxima(send(block)), MAXIMA).groupBy("query_id").agg(
+            F.max("max_bm25").alias("b"), F.max("max_sem").alias("s")).collect()       # a row per query of the block
+        at = {q: i for i, q in enumerate(block.ids.tolist())}
+        maxima = np.full((2, len(at)), -1.0)
+        for r in mx:
+            maxima[:, at[r["query_id"]]] = r["b"], r["s"]
+        found.append(part.mapInPandas(_top(send((block, maxima)), k, w_bm25, w_sem), SCORES))
+    if not found:
+        found = [rows.sparkSession.createDataFrame([], SCORES)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return (top_by(out, k, "relevance_score").filter(F.col("relevance_score") >= F.lit(min_relevance))
             .select("query_id", "rank", "doc_id", "relevance_score", "bm25", "semantic"))
-
-
-def bm25_topk(index: BM25Index, docs: DataFrame, queries: DataFrame, k: int = 10,
-              query_text: str = "query", query_tokens: str | None = None) -> DataFrame:
-    """Top ``k`` documents per query by BM25 (documents sharing a term), one block pass.
-    ``docs``: ``doc_id`` (vectors not needed); ``query_tokens`` names a column of
-    already processed tokens (stop words removed, stemmed) instead of raw text."""
-    if "embedding" not in docs.columns:
-        docs = docs.withColumn("embedding", F.lit(None).cast("array<double>"))
-    if "embedding" not in queries.columns:
-        queries = queries.withColumn("embedding", F.lit(None).cast("array<double>"))
-    qterms = query_terms(queries, text=query_text, tokens=query_tokens)
-    avgdl = index.avgdl if index.avgdl > 0 else 1.0
-    scale = K1 + 1 if index.variant == "okapi" else 1.0
-    items, qs = _sides(index, docs, queries, qterms, F.lit(True))
-    cand = _run(items, qs, _cell_fn("bm25", k, K1, B_PARAM, avgdl, scale, 0.0, 0.0))
-    return _top(cand, k, "bm25").select("query_id", "rank", "doc_id", "bm25")

@@ -1,14 +1,9 @@
 """BM25 index as tables, and scoring as joins.
 
-Index tables:
-  postings ``doc_id, term, tf, dl`` (document length kept on each posting, so
-  scoring needs no join with a lengths table), terms ``term, df, idf``, and the
-  corpus scalars ``n_docs, avgdl`` (plus the idf floor for Okapi).
-
-Scoring joins query terms to postings on ``term``. A common term has a posting
-for nearly every document, so the query side is broadcast after a size check
-(postings are never shuffled by term then); beyond the bound the join is
-shuffled and AQE splits the hot term's partition.
+The index is one row per document (``forward``: ``doc_id, dl, terms[], tfs[]`` and carried columns),
+counted in place: a document is one row, so its terms are sorted and run-length counted inside the
+row and nothing is shuffled. Only the document frequency of a term (``terms``: ``term, df, idf``) is a
+shuffle, after a partial aggregate. ``postings`` (``doc_id, term, tf, dl``) is the forward index exploded.
 """
 
 from __future__ import annotations
@@ -16,119 +11,140 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from glint.functions.snowball import stem_counts
 from glint.functions.text import tokenize
-from glint.session import spread
 
 K1 = 1.5
 B = 0.75
 EPSILON = 0.25
-MAX_BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 32 << 20
 RANK_PLACES = 9
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` only when it has at most ``max_rows`` rows (checked)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def row_bytes(schema: T.StructType) -> Column:
+    """About how many bytes a row takes, from its own values."""
+    def of(c: Column, t: T.DataType) -> Column:
+        if isinstance(t, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        if isinstance(t, T.ArrayType):
+            fixed = not isinstance(t.elementType, (T.StringType, T.BinaryType))
+            n = F.when(c.isNull(), 0).otherwise(F.size(c)) * 8 if fixed else F.aggregate(
+                F.coalesce(c, F.array().cast(t)), F.lit(0), lambda a, x: a + F.coalesce(F.octet_length(x), F.lit(0)) + 16)
+            return n + 16
+        return F.lit(8)
+    total = F.lit(16)
+    for f in schema.fields:
+        total = total + of(F.col(f"`{f.name}`"), f.dataType)
+    return total
+
+
+def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` only when its rows take at most ``max_bytes`` (measured on its own values; the rows
+    are kept for the join, so the input runs once)."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    size = df.agg(F.sum(row_bytes(df.schema))).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 @dataclass
 class BM25Index:
-    postings: DataFrame
-    terms: DataFrame
+    forward: DataFrame                   # doc_id, dl, terms[], tfs[], carried columns: one row per document
+    terms: DataFrame                     # term, df, idf
     n_docs: int
     avgdl: float
     variant: str = "okapi"
-    forward: DataFrame | None = None     # doc_id, dl, terms[], tfs[]: one row per document
+    maxima: DataFrame | None = None      # term, block, top_tf, least_dl (glint.operators.bm25)
+
+    @property
+    def postings(self) -> DataFrame:
+        return postings_of(self.forward)
+
+
+def postings_of(forward: DataFrame, *more: str) -> DataFrame:
+    """``doc_id, term, tf, dl`` (and columns ``more``) from the forward index."""
+    return (forward.select("doc_id", "dl", *more, F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
+            .select("doc_id", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"), "dl", *more))
+
+
+def count_terms(tokens) -> Column:
+    """Struct ``dl, terms, tfs`` of an array of tokens: its size, its distinct tokens in order, and how often each
+    occurs. Sorted once, then the places where a token differs from the one before it are taken."""
+    def counted(t: Column) -> Column:
+        n = F.size(t)
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
+                          lambda i: (n > 0) & ((i == 0) | (F.get(t, i) != F.get(t, F.greatest(i - 1, F.lit(0))))))
+
+        def cut(s: Column) -> Column:
+            tfs = F.transform(s, lambda at, i: (F.coalesce(F.get(s, i + 1), n) - at).cast("long"))
+            return F.struct(n.alias("dl"), F.transform(s, lambda at: F.get(t, at)).alias("terms"), tfs.alias("tfs"))
+        return F.get(F.transform(F.array(starts), cut), F.lit(0))
+    c = F.col(tokens) if isinstance(tokens, str) else tokens
+    return F.get(F.transform(F.array(F.array_sort(F.coalesce(c, F.array().cast("array<string>")))), counted), F.lit(0))
 
 
-def postings_of(forward: DataFrame) -> DataFrame:
-    """``doc_id, term, tf, dl`` back from the forward index."""
-    return (forward.select("doc_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
-            .select("doc_id", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"), "dl"))
+def forward_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "content", tokens: str | None = None,
+                 carry: tuple = ()) -> DataFrame:
+    """Forward index of ``docs``; no shuffle. ``tokens`` names a column of tokens to use instead of the text."""
+    counts = count_terms(F.col(tokens) if tokens else tokenize(text))
+    return (docs.select(F.col(doc_id).alias("doc_id"), *carry, counts.alias("_c"))
+            .select("doc_id", "_c.dl", "_c.terms", "_c.tfs", *carry))
 
 
-def forward_index(postings: DataFrame) -> DataFrame:
-    """One row per document with its distinct terms and their counts (for block scoring:
-    a document block ships as few rows, not one row per posting)."""
-    g = postings.groupBy("doc_id").agg(F.first("dl").alias("dl"),
-                                       F.collect_list(F.struct("term", "tf")).alias("_p"))
-    return g.select("doc_id", "dl", F.transform("_p", lambda x: x["term"]).alias("terms"),
-                    F.transform("_p", lambda x: x["tf"]).alias("tfs"))
+def stem_forward(forward: DataFrame) -> DataFrame:
+    """The forward index by Snowball stems: each distinct term is stemmed once and joined back. Lengths stay."""
+    p = stem_counts(postings_of(forward), ["doc_id"], "tf", ("dl",))
+    rows = p.groupBy("doc_id").agg(F.first("dl").alias("dl"), F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("_p"))
+    rows = rows.select("doc_id", "dl", F.col("_p.term").alias("terms"), F.col("_p.tf").alias("tfs"))
+    return rows.unionByName(forward.filter(F.size("terms") == 0).select("doc_id", "dl", "terms", "tfs"))
 
 
-def term_freq(docs: DataFrame, doc_id: str = "doc_id", text: str = "content",
-              tokens: DataFrame | None = None) -> DataFrame:
+def term_freq(docs: DataFrame, doc_id: str = "doc_id", text: str = "content") -> DataFrame:
     """Postings ``doc_id, term, tf, dl`` (A3). Documents without tokens have no
     postings but still count in ``n_docs`` and the average length."""
-    t = tokens if tokens is not None else spread(docs).select(F.col(doc_id).alias("doc_id"),
-                                                              tokenize(text).alias("tokens"))
-    t = t.withColumn("dl", F.size("tokens"))
-    return (t.select("doc_id", "dl", F.explode("tokens").alias("term"))
-            .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
+    return postings_of(forward_rows(docs, doc_id, text))
 
 
-def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "content", variant: str = "okapi",
-                tokens: DataFrame | None = None) -> BM25Index:
-    """Corpus statistics (A4). Okapi: ``idf = ln(N - df + 0.5) - ln(df + 0.5)``, a
-    negative idf replaced by ``0.25 * mean(idf)`` (mean over all terms, negatives
-    included). ``plus1``: ``ln(1 + (N - df + 0.5) / (df + 0.5))``."""
-    if tokens is None:
-        # Hash-partition the documents by id once: postings (grouped by doc and term) and
-        # the forward index (grouped by doc) then need no shuffle of their own.
-        par = max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
-        t = docs.repartition(par, F.col(doc_id)).select(F.col(doc_id).alias("doc_id"),
-                                                         tokenize(text).alias("tokens"))
-    else:
-        t = tokens
-    # Tokens are cached while the postings are built from them (tokenising, explode and
-    # aggregate in one stage is slower than in two); then only the postings stay cached.
-    # N is a row count; the average length is all term counts over N (documents
-    # without tokens count with length 0).
-    t = t.persist(StorageLevel.MEMORY_AND_DISK)
-    n = t.count()
-    post = term_freq(None, tokens=t).persist(StorageLevel.MEMORY_AND_DISK)
-    total = post.agg(F.sum("tf")).first()[0] or 0
-    t.unpersist()
-    avgdl = float(total) / n if n else 0.0
-    dfs = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).persist(StorageLevel.MEMORY_AND_DISK)
-    if variant == "okapi":
-        raw = dfs.withColumn("raw", F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-        mean_idf = raw.agg(F.avg("raw")).first()[0] or 0.0
-        terms = raw.withColumn("idf", F.when(F.col("raw") < 0, F.lit(EPSILON * mean_idf))
-                               .otherwise(F.col("raw"))).drop("raw")
-    elif variant == "plus1":
-        terms = dfs.withColumn("idf", F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    else:
+def with_idf(dfs: DataFrame, n: int, variant: str) -> DataFrame:
+    """``term, df, idf``. Okapi: ``idf = ln(N - df + 0.5) - ln(df + 0.5)``, a negative idf replaced by
+    ``0.25 * mean(idf)`` (mean over all terms, negatives included). ``plus1``:
+    ``ln(1 + (N - df + 0.5) / (df + 0.5))``."""
+    if variant == "plus1":
+        return dfs.withColumn("idf", F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    if variant != "okapi":
         raise ValueError(variant)
-    return BM25Index(post, terms, n, avgdl, variant, forward_index(post))
+    raw = dfs.withColumn("raw", F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+    mean_idf = raw.agg(F.avg("raw")).first()[0] or 0.0
+    return raw.withColumn("idf", F.when(F.col("raw") < 0, F.lit(EPSILON * mean_idf)).otherwise(F.col("raw"))).drop("raw")
 
 
-def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "query",
-                tokens: str | None = None) -> DataFrame:
-    """``query_id, term, qn``: repeated query terms count repeatedly (V7)."""
-    tok = F.col(tokens) if tokens else tokenize(text)
-    return (queries.select(F.col(query_id).alias("query_id"), F.explode(tok).alias("term"))
-            .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qn")))
+def index_of(forward: DataFrame, variant: str = "okapi") -> BM25Index:
+    """Corpus statistics (A4) of a forward index, which is kept while they are computed."""
+    forward = forward.persist(StorageLevel.MEMORY_AND_DISK)
+    n, total = forward.agg(F.count(F.lit(1)), F.sum("dl")).first()
+    dfs = (forward.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+           .persist(StorageLevel.MEMORY_AND_DISK))
+    return BM25Index(forward, with_idf(dfs, n, variant), n, float(total or 0) / n if n else 0.0, variant)
+
 
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "content", variant: str = "okapi",
+                tokens: str | None = None, carry: tuple = (), stems: bool = False) -> BM25Index:
+    """Index of ``docs`` (A3, A4), one pass over them. ``carry``: columns kept in the forward index, so that
+    retrieval reads one table; ``stems``: index Snowball stems instead of terms (without ``carry``)."""
+    forward = forward_rows(docs, doc_id, text, tokens, carry)
+    return index_of(stem_forward(forward) if stems else forward, variant)
 
-def bm25_scores(index: BM25Index, qterms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """``query_id, doc_id, bm25`` for every document sharing a term with the query.
 
-    Documents sharing no term score 0 and are not listed.
-    """
-    q = bounded_broadcast(qterms.join(index.terms.select("term", "idf"), "term"))
-    avgdl = index.avgdl if index.avgdl > 0 else 1.0
-    # Okapi (first retriever) scales tf by k1 + 1; the plus1 variant (second
-    # retriever, Lucene form) does not. The ranking is the same, the values differ.
-    scale = k1 + 1 if index.variant == "okapi" else 1.0
-    part = (F.col("qn") * F.col("idf") * F.col("tf") * F.lit(scale)
-            / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl))))
-    return (index.postings.join(q, "term")
-            .groupBy("query_id", "doc_id").agg(F.sum(part).alias("bm25")))
+def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "query",
+                tokens: str | None = None, stems: bool = False) -> DataFrame:
+    """``query_id, term, qn``: repeated query terms count repeatedly (V7); ``stems``: by Snowball stem."""
+    tok = F.col(tokens) if tokens else tokenize(text)
+    q = (queries.select(F.col(query_id).alias("query_id"), F.explode(tok).alias("term"))
+         .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qn")))
+    return stem_counts(q, ["query_id"], "qn") if stems else q
 
 
 def top_by(df: DataFrame, k: int, score: str, part: str = "query_id", tie: str = "doc_id") -> DataFrame:

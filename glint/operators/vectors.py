@@ -1,150 +1,274 @@
-"""Exact vector search as a blocked scan, mean pooling, filling missing vectors.
+"""Exact vector search by scans and by stored cells, mean pooling, filling missing vectors.
 
 (J3, T4, A5, A8, J6, V3-V5.)
 
-Exact search needs every (item, query) score, but never as rows: items are
-hashed into item blocks and queries into query blocks; each (item block, query
-block) cell meets once in a ``cogroup`` and scores its block with numpy, emitting
-only its top-k per query (plus the block maximum). A global ``row_number`` over
-these few candidates gives the exact top-k. Rows emitted are bounded by
-k x blocks x queries, never items x queries; a block is bounded by
-``rows_per_block`` whatever the key distribution; no cross join.
+Items are never shuffled and never paired with queries as rows. Queries are broadcast in blocks of a bounded
+size; a scan of the items scores Arrow batches against the block and a task sends only its best k per query,
+so the rows sent are bounded by k x tasks x queries. A global ``row_number`` over them is exact.
+
+``build_cells`` stores items in cells around pivots, with each cell's radius. A search then reads the cells
+nearest to each query first; the k-th best score found is a threshold, and by the triangle inequality a cell whose
+best possible score does not reach it is not read (the cell is a partition column, so it is pruned before the scan).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HIGHER_IS_BETTER = {"dot": True, "cosine": True, "l2sq": False}
+QUERY_BYTES = 16 << 20       # query vectors of a block
+QUERIES_PER_BLOCK = 1024
+ROWS_AT_ONCE = 4096          # items scored at once
+PIVOT_SAMPLE = 20_000        # rows on which the pivots are fitted; every row is stored and searched
+PROBES = 2                   # cells of a query that set its threshold
+PLACES = 9
+
+HITS = "query_id long, item_id long, score double"
 
 
-def _matrix(col: pd.Series, dim: int | None) -> np.ndarray:
-    vals = list(col)
-    if dim is None:
-        dim = next((len(v) for v in vals if v is not None), 0)
-    out = np.zeros((len(vals), dim), dtype=np.float64)
-    for i, v in enumerate(vals):
-        if v is not None and len(v):
-            out[i] = np.asarray(v, dtype=np.float64)
+def matrix(vectors: pd.Series, dim: int) -> np.ndarray:
+    """Rows of a vector column; a missing vector is all zeros, a shorter one is filled up with zeros."""
+    out = np.zeros((len(vectors), dim))
+    for i, v in enumerate(vectors):
+        if v is not None and dim:
+            out[i, :len(v)] = v
     return out
 
 
-def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+def scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of all (query, item); a cosine with a zero vector is 0."""
     if metric == "dot":
         return q @ x.T
     if metric == "cosine":
-        qn = np.linalg.norm(q, axis=1)
-        xn = np.linalg.norm(x, axis=1)
-        den = np.outer(qn, xn)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            s = np.where(den > 0, (q @ x.T) / np.where(den > 0, den, 1.0), 0.0)
-        return s
+        den = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1))
+        return np.where(den > 0, (q @ x.T) / np.where(den > 0, den, 1.0), 0.0)
     if metric == "l2sq":
-        out = np.empty((q.shape[0], x.shape[0]))
-        for i in range(q.shape[0]):       # one query at a time keeps memory at items x dim
+        out = np.empty((len(q), len(x)))
+        for i in range(len(q)):               # one query at a time keeps memory at items x dim
             d = x - q[i]
             out[i] = np.einsum("ij,ij->i", d, d)
         return out
     raise ValueError(metric)
 
 
-def _block_fn(k: int, metric: str, exhaustive: bool):
-    better_high = HIGHER_IS_BETTER[metric]
-
-    def fn(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
-                              "item_id": pd.Series([], dtype="int64"),
-                              "score": pd.Series([], dtype="float64"),
-                              "block_best": pd.Series([], dtype="float64")})
-        if len(items) == 0 or len(queries) == 0:
-            return empty
-        ids = items["_iid"].to_numpy(dtype="int64")
-        dim = next((len(v) for v in list(items["_ivec"]) + list(queries["_qvec"]) if v is not None), 0)
-        x = _matrix(items["_ivec"], dim)      # a missing vector scores as zeros
-        q = _matrix(queries["_qvec"], dim)
-        s = _scores(q, x, metric)
-        # smaller key = better; compared at 9 places like the final ranking
-        key = np.round(-s if better_high else s, 9)
-        out_q, out_i, out_s, out_b = [], [], [], []
-        for r, qid in enumerate(queries["_qid"].to_numpy(dtype="int64")):
-            row = key[r]
-            if exhaustive or len(row) <= k:
-                sel = np.arange(len(row))
-            else:
-                kth = np.partition(row, k - 1)[k - 1]
-                sel = np.flatnonzero(row <= kth)      # keeps every tie at the boundary
-            order = sel[np.lexsort((ids[sel], row[sel]))]
-            if not exhaustive:
-                order = order[:k]
-            best = float(s[r].max() if better_high else s[r].min())
-            out_q.append(np.full(len(order), qid, dtype="int64"))
-            out_i.append(ids[order])
-            out_s.append(s[r][order])
-            out_b.append(np.full(len(order), best))
-        return pd.DataFrame({"query_id": np.concatenate(out_q), "item_id": np.concatenate(out_i),
-                             "score": np.concatenate(out_s), "block_best": np.concatenate(out_b)})
-    return fn
-
-
-def block_scan(items: DataFrame, queries: DataFrame, k: int, metric: str = "dot",
-               item_id: str = "item_id", item_vec: str = "embedding",
-               query_id: str = "query_id", query_vec: str = "embedding",
-               item_blocks: int | None = None, query_blocks: int | None = None,
-               rows_per_block: int = 20_000, queries_per_block: int = 256,
-               exhaustive: bool = False) -> DataFrame:
-    """Per (item block, query block): the block's best ``k`` items per query.
-
-    Returns ``query_id, item_id, score, block_best``. With ``exhaustive`` every
-    score is returned (only for exact fallbacks on degenerate inputs).
-    Block counts come from row counts unless given.
-    """
-    it = items.select(F.col(item_id).alias("_iid"), F.col(item_vec).alias("_ivec"))
-    qs = queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).alias("_qvec"))
-    if item_blocks is None:
-        item_blocks = max(1, math.ceil(it.count() / rows_per_block))
-    if query_blocks is None:
-        query_blocks = max(1, math.ceil(qs.count() / queries_per_block))
-    it = (it.withColumn("_b", F.pmod(F.xxhash64("_iid"), F.lit(item_blocks)))
-          .withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long")))))
-    qs = (qs.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(query_blocks)))
-          .withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(item_blocks - 1).cast("long")))))
-    return (it.groupBy("_b", "_qb").cogroup(qs.groupBy("_b", "_qb"))
-            .applyInPandas(_block_fn(k, metric, exhaustive),
-                           schema="query_id long, item_id long, score double, block_best double"))
-
-
-def top_k(items: DataFrame, queries: DataFrame, k: int, metric: str = "dot", **kw) -> DataFrame:
-    """Exact top-k items per query: ``query_id, rank, item_id, score, best``.
-
-    ``best`` is the best score over all items (the per-query maximum of A5 for
-    similarity metrics). Ties break by smaller item id.
-    """
-    cand = block_scan(items, queries, k, metric, **kw)
-    asc = not HIGHER_IS_BETTER[metric]
-    order = F.round("score", 9).asc() if asc else F.round("score", 9).desc()
-    w = Window.partitionBy("query_id").orderBy(order, F.col("item_id"))
-    best = F.min("block_best") if asc else F.max("block_best")
+def best(key: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` smallest keys in order, ties by smaller id."""
+    near = np.arange(len(key)) if len(key) <= k else np.flatnonzero(key <= np.partition(key, k - 1)[k - 1])
+    return near[np.lexsort((ids[near], key[near]))[:k]]
+
+
+def scan(held, k: int, metric: str):
+    """Pandas function over ``item_id, embedding[, cell]``: a task's best ``k`` items of each query.
+
+    ``held``: broadcast (query ids, vectors, cells of each query or None)."""
+    sign = -1.0 if HIGHER_IS_BETTER[metric] else 1.0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qids, q, open_to = held.value
+        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for pdf in batches:
+            groups = [(None, pdf)] if open_to is None else pdf.groupby("cell", sort=False)
+            for cell, rows in groups:
+                who = np.arange(len(qids)) if cell is None else np.flatnonzero(open_to[:, cell])
+                for at in range(0, len(rows) if len(who) else 0, ROWS_AT_ONCE):
+                    part = rows.iloc[at:at + ROWS_AT_ONCE]
+                    ids = part["item_id"].to_numpy(dtype=np.int64)
+                    s = scores(q[who], matrix(part["embedding"], q.shape[1]), metric)
+                    key = np.round(sign * s, PLACES)
+                    for i, n in enumerate(who.tolist()):
+                        top = best(key[i], ids, k)
+                        new = ids[top], s[i, top]
+                        if n in kept:
+                            new = np.append(kept[n][0], new[0]), np.append(kept[n][1], new[1])
+                            top = best(np.round(sign * new[1], PLACES), new[0], k)
+                            new = new[0][top], new[1][top]
+                        kept[n] = new
+        if kept:
+            size = [len(i) for i, _ in kept.values()]
+            yield pd.DataFrame({"query_id": np.repeat(qids[list(kept)], size),
+                                "item_id": np.concatenate([i for i, _ in kept.values()]),
+                                "score": np.concatenate([s for _, s in kept.values()])})
+    return run
+
+
+def query_blocks(queries: DataFrame, query_id: str, query_vec: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (ids, vectors) of at most ``QUERY_BYTES``; one block at a time is on the driver."""
+    rows, size = [], 0
+
+    def block():
+        dim = max((len(r["v"]) for r in rows if r["v"] is not None), default=0)
+        return np.array([r["i"] for r in rows], dtype=np.int64), matrix(pd.Series([r["v"] for r in rows]), dim)
+    for r in queries.select(F.col(query_id).cast("long").alias("i"),
+                            F.col(query_vec).cast("array<double>").alias("v")).toLocalIterator():
+        rows.append(r)
+        size += 8 * len(r["v"] or [])
+        if size >= QUERY_BYTES or len(rows) == QUERIES_PER_BLOCK:
+            yield block()
+            rows, size = [], 0
+    if rows:
+        yield block()
+
+
+def _items(items: DataFrame, item_id: str, item_vec: str, *more: str) -> DataFrame:
+    return items.select(F.col(item_id).cast("long").alias("item_id"),
+                        F.col(item_vec).cast("array<double>").alias("embedding"), *more)
+
+
+def _ranked(hits: DataFrame, k: int, metric: str) -> DataFrame:
+    """``query_id, rank, item_id, score, best``; ``best`` is the best score over all items."""
+    order = F.round("score", PLACES)
+    w = Window.partitionBy("query_id").orderBy(order.desc() if HIGHER_IS_BETTER[metric] else order.asc(), "item_id")
+    top = F.max("score") if HIGHER_IS_BETTER[metric] else F.min("score")
     wb = Window.partitionBy("query_id")
-    return (cand.withColumn("best", best.over(wb))
-            .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "item_id", "score", "best"))
+    return (hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .withColumn("best", top.over(wb)).select("query_id", "rank", "item_id", "score", "best"))
 
 
-def mean_pool(chunks: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
-    """Mean of the vectors of each key, position by position.
+def _union(parts: list[DataFrame], spark: SparkSession) -> DataFrame:
+    if not parts:
+        return spark.createDataFrame([], HITS)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
 
-    ``posexplode`` + an algebraic ``avg`` (partial aggregation, skew-safe), then
-    one short array of ``dim`` values per key.
+def top_k(items: DataFrame, queries: DataFrame, k: int, metric: str = "dot", item_id: str = "item_id",
+          item_vec: str = "embedding", query_id: str = "query_id", query_vec: str = "embedding") -> DataFrame:
+    """Exact top-k items per query by a scan: ``query_id, rank, item_id, score, best``.
+
+    ``best`` is the best score over all items (the per-query maximum of A5). Ties break by smaller item
+    id; a missing vector counts as zeros. Filters on ``items`` reach its scan.
     """
-    e = chunks.select(key, F.posexplode(F.col(vec).cast("array<double>")).alias("pos", "x"))
-    per = e.groupBy(key, "pos").agg(F.avg("x").alias("x"))
-    return per.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias(vec))
+    send, rows = items.sparkSession.sparkContext.broadcast, _items(items, item_id, item_vec)
+    found = [rows.mapInPandas(scan(send((ids, q, None)), k, metric), HITS)
+             for ids, q in query_blocks(queries, query_id, query_vec)]
+    return _ranked(_union(found, items.sparkSession), k, metric)
+
+
+# --- stored cells -----------------------------------------------------------------------------------------
+
+def fit_pivots(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
+    """Pivots by a few rounds of k-means from evenly spread rows; any pivots give exact results."""
+    pivots = sample[np.linspace(0, len(sample) - 1, min(cells, len(sample))).astype(int)].copy()
+    for _ in range(rounds):
+        near = nearest(sample, pivots)[0]
+        for c in range(len(pivots)):
+            if (near == c).any():
+                pivots[c] = sample[near == c].mean(axis=0)
+    return pivots
+
+
+def nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest pivot of each row, and the distance to it."""
+    d = np.maximum((x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2 * x @ pivots.T, 0)
+    at = d.argmin(axis=1)
+    return at, np.linalg.norm(x - pivots[at], axis=1)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def build_cells(items: DataFrame, path: str, metric: str = "l2sq", cells: int = 64, item_id: str = "item_id",
+                item_vec: str = "embedding", carry: tuple = ()) -> str:
+    """Store ``items`` in ``path``: ``items`` (``item_id, embedding``, columns ``carry``) by ``cell``, and ``cells``
+    (``cell, pivot, radius, n``). Pivots come from at most ``PIVOT_SAMPLE`` rows; all rows are stored. For cosine
+    the cells are those of the unit vectors. A cell that holds many rows is several files."""
+    rows = _items(items, item_id, item_vec, *carry)
+    dim = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    dim = max(dim, 0)                                       # size of a null vector is -1
+    sample = rows.filter(F.col("embedding").isNotNull()).orderBy(F.xxhash64("item_id"), "item_id").limit(PIVOT_SAMPLE)
+    x = matrix(sample.select("embedding").toPandas()["embedding"], dim)
+    pivots = fit_pivots(_unit(x) if metric == "cosine" else x, cells) if len(x) else np.zeros((1, dim))
+    held = items.sparkSession.sparkContext.broadcast(pivots)
+    schema = T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())])
+
+    def assign(batches):
+        for pdf in batches:
+            v = matrix(pdf["embedding"], dim)
+            cell, away = nearest(_unit(v) if metric == "cosine" else v, held.value)
+            yield pdf.assign(cell=cell.astype(np.int32), away=away)
+    dealt = rows.mapInPandas(assign, schema).repartitionByRange("cell", F.xxhash64("item_id"))
+    dealt.write.partitionBy("cell").parquet(f"{path}/items")
+    stored = items.sparkSession.read.schema(dealt.schema).parquet(f"{path}/items")
+    meta = stored.groupBy("cell").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n"))
+    table = items.sparkSession.createDataFrame([(i, p.tolist()) for i, p in enumerate(pivots)], "cell int, pivot array<double>")
+    meta.join(table, "cell").write.parquet(f"{path}/cells")
+    return path
+
+
+def reachable(q: np.ndarray, pivots: np.ndarray, radius: np.ndarray, metric: str) -> np.ndarray:
+    """The best score that an item of each cell can have for each query (rounded outwards), as a key: smaller is
+    better. dot: q.x <= q.p + |q| r; cosine: the same on unit vectors; l2sq: (max(0, |q - p| - r))^2."""
+    if metric == "l2sq":
+        d = np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2 * q @ pivots.T, 0))
+        return np.maximum(d - radius[None, :] - 1e-6 * (1 + d), 0) ** 2
+    u = _unit(q) if metric == "cosine" else q
+    most = u @ pivots.T + np.linalg.norm(u, axis=1)[:, None] * radius[None, :]
+    if metric == "cosine":
+        most = np.maximum(most, 0.0)                        # zero vectors score 0
+    return -(most + 1e-9 * (1 + np.abs(most)))
+
+
+def search_cells(spark: SparkSession, path: str, queries: DataFrame, k: int, metric: str = "l2sq", where=None,
+                 query_id: str = "query_id", query_vec: str = "embedding", report: list | None = None) -> DataFrame:
+    """As ``top_k`` over stored cells, reading only those that can hold a result. ``where``: a condition on the
+    stored columns. ``report`` gets the numbers of (query, cell) searches done and of all."""
+    meta = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()        # a row per cell
+    if not meta:
+        return _ranked(_union([], spark), k, metric)
+    stored = spark.read.parquet(f"{path}/items")
+    stored = stored if where is None else stored.filter(where)
+    send, sign = spark.sparkContext.broadcast, -1.0 if HIGHER_IS_BETTER[metric] else 1.0
+    found = []
+    cells = np.array([r["cell"] for r in meta])
+    radius = np.array([r["radius"] for r in meta])
+    pivots = np.array([r["pivot"] for r in meta])
+
+    def search(ids, q, chosen):
+        open_to = np.zeros((len(ids), cells.max() + 1), dtype=bool)
+        open_to[:, cells] = chosen
+        some = stored.filter(F.col("cell").isin(cells[chosen.any(axis=0)].tolist()))
+        return some.select("item_id", "embedding", "cell").mapInPandas(scan(send((ids, q, open_to)), k, metric), HITS)
+
+    for ids, q in query_blocks(queries, query_id, query_vec):
+        q = np.pad(q, ((0, 0), (0, max(0, pivots.shape[1] - q.shape[1]))))[:, :max(pivots.shape[1], q.shape[1])]
+        p = np.pad(pivots, ((0, 0), (0, q.shape[1] - pivots.shape[1])))
+        bound = reachable(q, p, radius, metric)
+        first = np.zeros(bound.shape, dtype=bool)
+        np.put_along_axis(first, np.argsort(bound, axis=1, kind="stable")[:, :PROBES], True, axis=1)
+        near = search(ids, q, first)
+        hits = _ranked(near, k, metric).select("query_id", "item_id", "score", "rank").collect()    # k per query
+        least = np.full(len(ids), math.inf)
+        at = {i: n for n, i in enumerate(ids.tolist())}
+        for r in hits:
+            if r["rank"] == k:
+                least[at[r["query_id"]]] = sign * r["score"]
+        rest = ~first & (bound <= least[:, None] + 1e-8 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))[:, None])
+        if report is not None:
+            report.append((int(first.sum() + rest.sum()), first.size))
+        found.append(spark.createDataFrame([(r["query_id"], r["item_id"], r["score"]) for r in hits], HITS))
+        if rest.any():
+            found.append(search(ids, q, rest))
+    return _ranked(_union(found, spark), k, metric)
+
+
+def mean_pool(chunks: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
+    """Mean of the vectors of each key, position by position (A8): one partial and one final aggregate of the
+    vectors themselves; rows without a vector do not count."""
+    v = chunks.filter(F.col(vec).isNotNull()).select(key, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
+    return v.groupBy(key).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias(vec))
 
 
 def fill_embeddings(docs: DataFrame, embed_fn, text: str = "content", vec: str = "embedding") -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from glint.functions.text import enhance_query, tokenize, truncate_tokens
 from glint.operators import retrieval as R
 from glint.operators import text_index as T
-from glint.operators.scoring import bm25_topk
+from glint.operators.bm25 import bm25_topk
 from glint.plans import bindings as B
 from glint.plans import sqlbind as S
 from glint.plans.catalog import register, round_doubles
@@ -22,7 +24,7 @@ tf AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl
 c AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS avgdl FROM toks),
 dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 raw AS (SELECT term, df, ln(c.n - df + 0.5) - ln(df + 0.5) AS r FROM dfs, c),
-idf AS (SELECT term, df, CASE WHEN r < 0 THEN (SELECT 0.25 * avg(r) FROM raw) ELSE r END AS idf FROM raw)"""
+idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * avg(r) OVER () ELSE r END AS idf FROM raw)"""
 
 
 def bm25_sql(qsrc: str) -> str:
@@ -44,11 +46,9 @@ def _index(spark, sf, variant="okapi"):
     the shared folder (S7) and loaded from there (S8) by every retrieval query."""
     key = (id(spark), sf, variant)
     if key not in _SNAPSHOTS:
-        d = B.table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
-        idx = T.build_index(d, variant=variant)
-        base = shared_dir(spark, "bm25")
-        _SNAPSHOTS[key] = save_index(idx, base, version=variant)
-        idx.postings.unpersist()
+        idx = T.build_index(B.documents(spark, sf), variant=variant, carry=("content", "metadata", "timestamp", "embedding"))
+        _SNAPSHOTS[key] = save_index(idx, shared_dir(spark, "bm25"), variant, dt.datetime.fromisoformat(B.NOW))
+        idx.forward.unpersist()
     return load_index(spark, _SNAPSHOTS[key])
 
 
@@ -73,8 +73,7 @@ def bm25_okapi(spark, sf):
     """Top 10 documents per benchmark query by Okapi BM25."""
     idx = _index(spark, sf)
     q = B.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    docs = B.table(spark, sf, "documents").select("doc_id")
-    return round_doubles(bm25_topk(idx, docs, q, 10))
+    return round_doubles(bm25_topk(idx, q, 10))
 
 
 @register("truncate_tokens", f"""WITH {TOK_DOCS}
@@ -151,8 +150,7 @@ SELECT {HYBRID_COLS} FROM hits"""
 
 def _hybrid(spark, sf, k=5, min_relevance=0.5):
     idx = _index(spark, sf)
-    return R.hybrid_scores(idx, B.documents(spark, sf), B.queries(spark, sf), k=k,
-                           min_relevance=min_relevance)
+    return R.hybrid_scores(idx, None, B.queries(spark, sf), k=k, min_relevance=min_relevance)
 
 
 @register("hybrid_retrieve", HYBRID_SQL)
@@ -221,8 +219,8 @@ SELECT {HYBRID_COLS} FROM hits""")
 def time_window_retrieve(spark, sf):
     """F8: documents of a time window only, query text enriched with the period."""
     idx = _index(spark, sf)
-    return round_doubles(R.hybrid_scores(idx, B.documents(spark, sf), _enhanced_queries(spark, sf),
-                                         k=5, min_relevance=0.5, start=WINDOW[0], end=WINDOW[1]))
+    return round_doubles(R.hybrid_scores(idx, None, _enhanced_queries(spark, sf), k=5, min_relevance=0.5,
+                                         start=WINDOW[0], end=WINDOW[1]))
 
 
 @register("index_roundtrip", f"""WITH {BM25_CORE}, {QT_PLAIN}, {bm25_sql('qt')}
@@ -232,7 +230,6 @@ FROM bm QUALIFY rank <= 10""")
 def index_roundtrip(spark, sf):
     """Build, save two snapshots, load the newest by modified time, score; the
     scores equal those of the index before saving."""
-    import datetime as dt
     from glint.sources.index_store import load_latest
     docs = B.table(spark, sf, "documents")
     d = docs.select("doc_id", F.col("text").alias("content"))
@@ -243,37 +240,37 @@ def index_roundtrip(spark, sf):
     save_index(T.build_index(d), base, "new", mtime=dt.datetime(2024, 1, 2))
     idx = load_latest(spark, base)
     q = B.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return round_doubles(bm25_topk(idx, d.select("doc_id"), q, 10))
-
-
-def _ctx_tokens(df, text, stem):
-    from glint.functions.stem import remove_stop_words, stem_tokens
-    t = remove_stop_words(tokenize(text))
-    return stem_tokens(t) if stem else t
+    return round_doubles(bm25_topk(idx, q, 10))
 
 
 def _contextual(spark, sf, stem):
-    from glint.session import spread
-    docs = spread(B.documents(spark, sf))
-    toks = docs.select("doc_id", _ctx_tokens(docs, "content", stem).alias("tokens"))
-    idx = T.build_index(None, variant="plus1", tokens=toks)
+    from glint.functions.stem import remove_stop_words
+
+    docs = B.documents(spark, sf)
+    idx = T.build_index(docs.withColumn("tokens", remove_stop_words(tokenize("content"))), variant="plus1",
+                        tokens="tokens", stems=stem)
     q = B.queries(spark, sf)
-    q = q.withColumn("tokens", _ctx_tokens(q, "query", stem))
-    return round_doubles(R.contextual_retrieve(idx, docs, q, k=3))
+    q = q.withColumn("tokens", remove_stop_words(tokenize("query")))
+    return round_doubles(R.contextual_retrieve(idx, docs, q, k=3, stems=stem))
 
 
 _SW = ", ".join("'" + w.replace("'", "''") + "'" for w in __import__("glint.functions.stem", fromlist=["x"]).STOP_WORDS)
 
 
-@register("contextual_retrieve", f"""WITH {S.DOCUMENTS}, {S.QUERIES},
+def contextual_sql(stems: str) -> str:
+    """Both retrievers and their fusion; ``stems`` is SQL for a table ``stems`` (term, stem)."""
+    return f"""WITH {S.DOCUMENTS}, {S.QUERIES},
 toks AS (SELECT doc_id, list_filter({S.tokens('content')}, lambda x: x NOT IN ({_SW})) AS t FROM docs),
-tf AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl
+plain AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl
        FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM toks) GROUP BY 1, 2),
-c AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS avgdl FROM toks),
-idf AS (SELECT term, ln(1 + (c.n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, c GROUP BY term, c.n),
-qt AS (SELECT query_id, term, count(*) AS qn FROM (
+asked AS (SELECT query_id, term, count(*) AS qn FROM (
          SELECT query_id, unnest(list_filter({S.tokens('query')}, lambda x: x NOT IN ({_SW}))) AS term FROM queries)
        GROUP BY 1, 2),
+{stems}
+tf AS (SELECT doc_id, stem AS term, sum(tf) AS tf, any_value(dl) AS dl FROM plain JOIN stems USING (term) GROUP BY 1, 2),
+c AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS avgdl FROM toks),
+idf AS (SELECT term, ln(1 + (c.n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, c GROUP BY term, c.n),
+qt AS (SELECT query_id, stem AS term, sum(qn) AS qn FROM asked JOIN stems USING (term) GROUP BY 1, 2),
 bm AS (SELECT qt.query_id, tf.doc_id AS node_id,
               sum(qt.qn * idf.idf * tf.tf / (tf.tf + 1.5 * (0.25 + 0.75 * tf.dl / c.avgdl))) AS score
        FROM qt JOIN idf USING (term) JOIN tf USING (term), c GROUP BY 1, 2),
@@ -290,17 +287,22 @@ f AS (SELECT coalesce(vt.query_id, bt.query_id) AS query_id, coalesce(vt.node_id
       FROM vt FULL OUTER JOIN bt ON vt.query_id = bt.query_id AND vt.node_id = bt.node_id)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, node_id)::INTEGER AS rank,
        node_id, round(score, 9) AS score, round(vector_score, 9) AS vector_score, round(bm25_score, 9) AS bm25_score
-FROM f QUALIFY rank <= 3""")
+FROM f QUALIFY rank <= 3"""
+
+
+TERMS_SQL = "all_terms AS (SELECT DISTINCT term FROM plain UNION SELECT DISTINCT term FROM asked),"
+
+
+@register("contextual_retrieve", contextual_sql(f"{TERMS_SQL}\nstems AS (SELECT term, term AS stem FROM all_terms),"))
 def contextual_retrieve(spark, sf):
     """J1/A6/T5 + V8: cosine top 3 and BM25 (ln(1 + ...) idf, stop words removed) top 3,
-    fused 0.7 / 0.3, top 3. Stemming off here so DuckDB can check it."""
+    fused 0.7 / 0.3, top 3, without stemming."""
     return _contextual(spark, sf, stem=False)
 
 
-@register("bm25_stemmed")
+@register("bm25_stemmed", contextual_sql(f"{TERMS_SQL}\n{S.stems('all_terms')},"))
 def bm25_stemmed(spark, sf):
-    """V2 + V8: the same retrieval with Porter-stemmed terms (no SQL stemmer to compare with;
-    checked by unit tests against a plain-Python brute force)."""
+    """V2 + V8: the same retrieval by Snowball English stems, each distinct term stemmed once and joined back."""
     return _contextual(spark, sf, stem=True)
 
 
@@ -319,4 +321,50 @@ def time_window_per_query(spark, sf):
          .withColumn("start", F.date_trunc("day", F.col("ts")).cast("timestamp_ntz"))
          .withColumn("end", (F.date_trunc("day", F.col("ts")) + F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz"))
          .drop("ts"))
-    return round_doubles(R.hybrid_scores(_index(spark, sf), B.documents(spark, sf), q, k=5, min_relevance=0.5))
+    return round_doubles(R.hybrid_scores(_index(spark, sf), None, q, k=5, min_relevance=0.5))
+
+
+@register("index_refresh", f"""WITH final AS (
+  SELECT doc_id, text || CASE WHEN source IN ('src1', 'src2') THEN ' (rev)' ELSE '' END AS text FROM documents
+  WHERE lang <> 'fr'),
+{BM25_CORE.replace(TOK_DOCS, TOK_DOCS.replace('FROM documents', 'FROM final'))}
+SELECT term, df::BIGINT AS df, round(idf, 9) AS idf, c.n::BIGINT AS n_docs, round(c.avgdl, 9) AS avgdl FROM idf, c""")
+def index_refresh(spark, sf):
+    """An index table built without the German documents, then refreshed twice by deltas: the German ones
+    and a revision of two sources come in, the French ones go. Its statistics are those of a new index."""
+    from glint.sources import index_table as IT
+
+    docs = B.table(spark, sf, "documents").select("doc_id", "lang", "source", F.col("text").alias("content"))
+    base = shared_dir(spark, "index-table")
+    IT.create(docs.filter(F.col("lang") != "de"), base)
+    IT.refresh(spark, base, docs.filter(F.col("lang") == "de"))
+    revised = docs.filter(F.col("source").isin("src1", "src2") & (F.col("lang") != "fr")).withColumn(
+        "content", F.concat("content", F.lit(" (rev)")))
+    IT.refresh(spark, base, revised, removed=docs.filter(F.col("lang") == "fr"))
+    idx = IT.load(spark, base)
+    return round_doubles(idx.terms.select("term", "df", "idf", F.lit(idx.n_docs).cast("long").alias("n_docs"),
+                                          F.lit(idx.avgdl).alias("avgdl")))
+
+
+_CELLS: dict = {}
+
+
+@register("vector_cells", f"""WITH {S.QUERIES},
+s AS (SELECT q.query_id, e.vec_id AS item_id,
+             list_sum(list_transform(list_zip(q.embedding, e.embedding::DOUBLE[]),
+                                     lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS score
+      FROM queries q CROSS JOIN embeddings e WHERE q.embedding IS NOT NULL AND e.label >= 2)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), item_id)::INTEGER AS rank,
+       item_id, round(score, 9) AS score
+FROM s QUALIFY rank <= 10""")
+def vector_cells(spark, sf):
+    """Exact nearest vectors with a condition on a stored column, from cells around pivots; only the cells
+    that can hold a result are read."""
+    from glint.operators import vectors as V
+
+    key = (id(spark), sf)
+    if key not in _CELLS:
+        _CELLS[key] = V.build_cells(B.table(spark, sf, "embeddings"), shared_dir(spark, "cells"), "l2sq",
+                                    item_id="vec_id", carry=("label",))
+    q = B.queries(spark, sf).filter(F.col("embedding").isNotNull())
+    return round_doubles(V.search_cells(spark, _CELLS[key], q, 10, "l2sq", F.col("label") >= 2).drop("best"))

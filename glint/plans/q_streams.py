@@ -4,6 +4,8 @@ sink read back; the oracle is the SQL of the batch twin (S2, S3, X1-X6)."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from glint.functions.scalar import ntz_micros
@@ -198,12 +200,9 @@ SELECT memory_type, strftime(date, '%Y-%m-%d') AS date, source_count, round(impo
        length(txt)::BIGINT AS text_length, sha256(txt) AS text_sha256
 FROM g""")
 def maintenance_jobs(spark, sf):
-    """Run-once jobs over the stored tables: consolidation of the memory table
-    (fed by the stream) and an index refresh with snapshot retention."""
+    """The consolidation job over the memory table that the stream feeds."""
     path = _stream_memories(spark, sf, 500.0)
     out = ST.consolidate_job(spark, path, shared_dir(spark, "consolidated"))
-    docs = B.table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
-    ST.refresh_index_job(docs, shared_dir(spark, "snapshots"), "v1").count()
     c = spark.read.parquet(out)
     return round_doubles(c.select("memory_type", F.date_format("date", "yyyy-MM-dd").alias("date"),
                                   "source_count", "importance",
@@ -211,4 +210,29 @@ def maintenance_jobs(spark, sf):
                                   F.sha2("content", 256).alias("text_sha256")))
 
 
-__all__ = ["M"]
+
+_LANGS = ["en", "de", "fr", "es"]
+
+
+@register("index_maintenance", """WITH l AS (
+  SELECT * FROM (VALUES (0, 'en'), (1, 'de'), (2, 'fr'), (3, 'es')) t(n, lang)),
+s AS (SELECT n, count(doc_id) AS n_docs FROM l LEFT JOIN documents USING (lang) GROUP BY n)
+SELECT 'rag_index_v' || n || '.pkl' AS name, TIMESTAMP '2024-01-30 00:00:00' + n * INTERVAL 4 HOUR AS mtime,
+       n_docs::BIGINT AS n_docs, n < 2 AS expired FROM s""")
+def index_maintenance(spark, sf):
+    """The refresh job every four hours (here on the documents of one language after another): what each
+    snapshot holds, and which of them the retention of two gives up."""
+    docs = B.table(spark, sf, "documents").select("doc_id", "lang", F.col("text").alias("content"))
+    base, gone = shared_dir(spark, "snapshots"), None
+    start = dt.datetime(2024, 1, 30)
+    for n, lang in enumerate(_LANGS):
+        gone = ST.refresh_index_job(docs.filter(F.col("lang") == lang), base, f"v{n}", start + dt.timedelta(hours=4 * n), 2)
+    log = spark.read.parquet(f"{base}/_log")
+    held = None
+    for n in range(len(_LANGS)):
+        corpus = spark.read.parquet(f"{base}/rag_index_v{n}/corpus").select(
+            F.lit(f"rag_index_v{n}.pkl").alias("name"), "n_docs")
+        held = corpus if held is None else held.unionByName(corpus)
+    gone = gone.select("name", F.lit(True).alias("expired"))
+    return (log.select("name", "mtime").join(held, "name").join(gone, "name", "left")
+            .withColumn("expired", F.coalesce("expired", F.lit(False))))

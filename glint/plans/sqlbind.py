@@ -86,3 +86,66 @@ CONTEXT_COLS = """CASE trend WHEN 'STRONG_UPTREND' THEN 1.0 WHEN 'UPTREND' THEN
   CASE WHEN close > sma_20 * 1.05 THEN 'STRONG_POSITIVE' WHEN close < sma_20 * 0.95 THEN 'STRONG_NEGATIVE'
        WHEN close > sma_20 THEN 'POSITIVE' WHEN close < sma_20 THEN 'NEGATIVE'
        ELSE 'NEUTRAL' END AS price_momentum"""
+
+
+def stems(terms: str) -> str:
+    """CTEs that end in ``stems`` (term, stem): Snowball English over the column ``term`` of ``terms``, step by step."""
+    from glint.functions import snowball as P
+
+    vowel = "[aeiouy]"
+    short = "regexp_matches({0}, '[^aeiouy][aeiouy][^aeiouywxY]$|^[aeiouy][^aeiouy]$')"
+
+    def cut(n, more=""):
+        return f"left(w, length(w) - {n}) || '{more}'" if more else f"left(w, length(w) - {n})"
+
+    def longest(rules, allowed):
+        lines = [f"WHEN ends_with(w, '{x}') THEN CASE WHEN {allowed(x)} THEN {cut(len(x), y)} ELSE w END"
+                 for x, y in sorted(rules, key=lambda r: -len(r[0]))]
+        return "CASE WHEN stop THEN w " + " ".join(lines) + " ELSE w END"
+
+    def region(name):
+        return lambda x: f"length(w) - {len(x)} >= {name}"
+    r1, r2 = region("r1"), region("r2")
+    prefixes = "|".join(P.R1_PREFIXES)
+    first_region = "^[^aeiouy]*[aeiouy]+[^aeiouy]"
+    known = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.EXCEPTIONS.items())
+    done = ", ".join(f"'{x}'" for x in P.AFTER_1A)
+    before = {"ogi": " AND ends_with(w, 'logi')", "li": f" AND regexp_matches(w, '[{P.LI_ENDING}]li$')"}
+    step1b = longest([("eedly", "ee"), ("eed", "ee")], r1)
+    step2 = longest(P.STEP2, lambda x: r1(x) + before.get(x, ""))
+    step3 = longest(P.STEP3, lambda x: r1(x) + (" AND " + r2(x) if x == "ative" else ""))
+    step4 = longest([(x, "") for x in P.STEP4],
+                    lambda x: r2(x) + (" AND regexp_matches(w, '[st]ion$')" if x == "ion" else ""))
+    keep = "term, r1, r2, stop"
+    return f"""p0 AS (SELECT term, regexp_replace(regexp_replace(regexp_replace(term, '^''', ''), '^y', 'Y'),
+                                   '({vowel})y', '\\1Y', 'g') AS w FROM {terms}),
+p1 AS (SELECT *, CASE WHEN regexp_matches(w, '^({prefixes})') THEN length(regexp_extract(w, '^({prefixes})'))
+                      WHEN regexp_matches(w, '{first_region}') THEN length(regexp_extract(w, '{first_region}'))
+                      ELSE length(w) END AS r1 FROM p0),
+p2 AS (SELECT *, CASE WHEN regexp_matches(substr(w, r1 + 1), '{first_region}')
+                      THEN r1 + length(regexp_extract(substr(w, r1 + 1), '{first_region}'))
+                      ELSE length(w) END AS r2 FROM p1),
+p3 AS (SELECT term, r1, r2, regexp_replace(w, '(''s''|''s|'')$', '') AS w FROM p2),
+p4 AS (SELECT term, r1, r2, CASE WHEN ends_with(w, 'sses') THEN {cut(2)}
+         WHEN ends_with(w, 'ied') OR ends_with(w, 'ies') THEN CASE WHEN length(w) > 4 THEN {cut(2)} ELSE {cut(1)} END
+         WHEN ends_with(w, 'us') OR ends_with(w, 'ss') THEN w
+         WHEN regexp_matches(w, '(?s){vowel}.+s$') THEN {cut(1)} ELSE w END AS w FROM p3),
+p5 AS (SELECT *, w IN ({done}) AS stop FROM p4),
+p6 AS (SELECT *, CASE WHEN stop OR regexp_matches(w, '(eedly|eed)$') THEN NULL
+         WHEN regexp_matches(w, '(?s){vowel}.*ingly$') THEN {cut(5)} WHEN regexp_matches(w, '(?s){vowel}.*edly$') THEN {cut(4)}
+         WHEN regexp_matches(w, '(?s){vowel}.*ing$') THEN {cut(3)} WHEN regexp_matches(w, '(?s){vowel}.*ed$') THEN {cut(2)}
+         END AS rest FROM p5),
+p7 AS (SELECT {keep}, CASE WHEN rest IS NULL THEN {step1b}
+         WHEN regexp_matches(rest, '(at|bl|iz)$') THEN rest || 'e'
+         WHEN regexp_matches(rest, '({"|".join(P.DOUBLES)})$') THEN left(rest, length(rest) - 1)
+         WHEN length(rest) <= r1 AND {short.format('rest')} THEN rest || 'e' ELSE rest END AS w FROM p6),
+p8 AS (SELECT {keep}, CASE WHEN NOT stop AND regexp_matches(w, '(?s).[^aeiouy][yY]$') THEN {cut(1, 'i')} ELSE w END AS w
+       FROM p7),
+p9 AS (SELECT {keep}, {step2} AS w FROM p8),
+p10 AS (SELECT {keep}, {step3} AS w FROM p9),
+p11 AS (SELECT {keep}, {step4} AS w FROM p10),
+p12 AS (SELECT term, CASE WHEN stop THEN w
+         WHEN ends_with(w, 'e') AND (length(w) - 1 >= r2 OR (length(w) - 1 >= r1 AND NOT {short.format(cut(1))})) THEN {cut(1)}
+         WHEN ends_with(w, 'll') AND length(w) - 1 >= r2 THEN {cut(1)} ELSE w END AS w FROM p11),
+stems AS (SELECT term, CASE WHEN length(term) <= 2 THEN term
+         ELSE CASE term {known} ELSE replace(w, 'Y', 'y') END END AS stem FROM p12)"""

@@ -62,6 +62,13 @@ def shared_dir(spark: SparkSession, sub: str | None = None) -> str:
     return path
 
 
+def written(df, name: str):
+    """Write ``df`` to the shared folder and read it back: computed once, lineage cut, lost executors survived."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df):
     """Round-robin a DataFrame over the cluster when it has fewer partitions than
     cores (one big file, one row group). Inputs already split finer are left as

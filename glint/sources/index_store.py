@@ -1,9 +1,9 @@
 """BM25 index snapshots as parquet tables.
 
-A snapshot is a folder ``<base>/rag_index_<version>`` holding the postings
-grouped by document (``forward``), ``terms`` and a one-row ``corpus`` table, plus a row in ``<base>/_log`` (name,
-path, mtime, series). Unlike a pickle of documents alone, the postings are
-stored, so a loaded index scores exactly like the one saved.
+A snapshot is a folder ``<base>/rag_index_<version>`` holding the index grouped by document
+(``forward``, with the carried document columns), ``terms``, the block maxima (``maxima``) and a one-row
+``corpus`` table, plus a row in ``<base>/_log`` (name, path, mtime, series). A loaded index scores
+exactly like the one saved.
 """
 
 from __future__ import annotations
@@ -13,25 +13,22 @@ import datetime as _dt
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from glint.operators.bm25 import term_maxima
 from glint.operators.history import latest_snapshot
-from glint.operators.text_index import BM25Index, forward_index, postings_of
+from glint.operators.text_index import BM25Index
 
 
-def save_index(index: BM25Index, base: str, version: str, series: int = 0,
-               mtime: _dt.datetime | None = None) -> str:
-    """Write the index tables and append one row to the snapshot log."""
-    spark = index.postings.sparkSession
+def save_index(index: BM25Index, base: str, version: str, mtime: _dt.datetime, series: int = 0) -> str:
+    """Write the index tables and append one row to the snapshot log. ``mtime`` is the time of the snapshot."""
+    spark = index.forward.sparkSession
     path = f"{base.rstrip('/')}/rag_index_{version}"
     index.terms.select("term", "df", "idf").write.mode("overwrite").parquet(f"{path}/terms")
-    # The postings are stored once, grouped by document (the forward index); the
-    # term-by-term form is derived from it on load.
-    fwd = index.forward if index.forward is not None else forward_index(index.postings)
-    fwd.write.mode("overwrite").parquet(f"{path}/forward")
+    index.forward.write.mode("overwrite").parquet(f"{path}/forward")
+    term_maxima(index).write.mode("overwrite").parquet(f"{path}/maxima")
     spark.createDataFrame([(index.n_docs, float(index.avgdl), index.variant)],
                           "n_docs long, avgdl double, variant string") \
         .write.mode("overwrite").parquet(f"{path}/corpus")
-    when = mtime or _dt.datetime.now()
-    spark.createDataFrame([(f"rag_index_{version}.pkl", path, when, series)],
+    spark.createDataFrame([(f"rag_index_{version}.pkl", path, mtime, series)],
                           "name string, path string, mtime timestamp_ntz, series long") \
         .write.mode("append").parquet(f"{base.rstrip('/')}/_log")
     return path
@@ -39,9 +36,8 @@ def save_index(index: BM25Index, base: str, version: str, series: int = 0,
 
 def load_index(spark: SparkSession, path: str) -> BM25Index:
     c = spark.read.parquet(f"{path}/corpus").first()
-    fwd = spark.read.parquet(f"{path}/forward")
-    return BM25Index(postings_of(fwd), spark.read.parquet(f"{path}/terms"),
-                     int(c["n_docs"]), float(c["avgdl"]), c["variant"], fwd)
+    return BM25Index(spark.read.parquet(f"{path}/forward"), spark.read.parquet(f"{path}/terms"),
+                     int(c["n_docs"]), float(c["avgdl"]), c["variant"], spark.read.parquet(f"{path}/maxima"))
 
 
 def load_latest(spark: SparkSession, base: str, series: int = 0) -> BM25Index:

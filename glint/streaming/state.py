@@ -12,6 +12,8 @@ indicators, or, for the throttle, not accepted.
 
 from __future__ import annotations
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -183,17 +185,14 @@ def consolidate_job(spark, memory_path: str, out_path: str) -> str:
     return out_path
 
 
-def refresh_index_job(docs: DataFrame, base: str, version: str, keep: int = 5):
-    """Rebuild the BM25 index, save it as a snapshot, and list snapshots beyond
+def refresh_index_job(docs: DataFrame, base: str, version: str, mtime: dt.datetime, keep: int = 5):
+    """Rebuild the BM25 index, save it as a snapshot of time ``mtime``, and list snapshots beyond
     the newest ``keep`` (W10) for the caller to delete."""
     from glint.operators.history import retention
     from glint.operators.text_index import build_index
     from glint.sources.index_store import save_index
     spark = docs.sparkSession
-    save_index(build_index(docs), base, version)
+    save_index(build_index(docs), base, version, mtime)
     log = spark.read.parquet(f"{base.rstrip('/')}/_log")
     return retention(log, keep=keep)
 
-
-__all__ = ["stream_indicators", "stream_throttle", "latest_sink", "read_latest", "memories_sink",
-           "consolidate_job", "refresh_index_job", "F"]

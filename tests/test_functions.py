@@ -1,4 +1,4 @@
-"""Scalar functions: formatting, scores, metadata, session label, stemmer, tokens."""
+"""Scalar functions: formatting, scores, metadata, session label, tokens."""
 
 import datetime as dt
 import random
@@ -8,7 +8,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from glint.functions import scalar as SC
-from glint.functions.stem import porter
 from glint.functions.text import fmt_fixed, session_label, tokenize
 
 
@@ -58,13 +57,3 @@ def test_tokenize(spark):
     df = spark.createDataFrame([("Don't STOP, 42x!",), ("",)], "t string")
     got = [r[0] for r in df.select(tokenize("t")).collect()]
     assert got == [["don", "'", "t", "stop", ",", "42x", "!"], []]
-
-
-def test_porter_published_examples():
-    pairs = {"caresses": "caress", "ponies": "poni", "agreed": "agre", "motoring": "motor",
-             "hopping": "hop", "filing": "file", "happy": "happi", "relational": "relat",
-             "conditional": "condit", "vietnamization": "vietnam", "hopefulness": "hope",
-             "triplicate": "triplic", "adoption": "adopt", "adjustment": "adjust", "probate": "probat",
-             "controll": "control", "generalizations": "gener", "oscillators": "oscil"}
-    assert {w: porter(w) for w in pairs} == pairs
-    assert porter("héllo") == "héllo" and porter("42") == "42"

@@ -10,7 +10,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from glint.functions.stem import STOP_WORDS, porter, remove_stop_words, stem_tokens
+from glint.operators.bm25 import bm25_topk
+from glint.functions.stem import STOP_WORDS, remove_stop_words
 from glint.functions.text import tokenize
 from glint.operators import history as H
 from glint.operators import memory as M
@@ -33,7 +34,7 @@ def test_block_topk_equals_brute_force(spark, metric):
     items, idf = _vectors(spark, 300, 8, 1)
     qs, qdf = _vectors(spark, 12, 8, 2, with_null=False)
     qdf = qdf.withColumnRenamed("item_id", "query_id")
-    got = V.top_k(idf, qdf, 5, metric, item_blocks=7, query_blocks=3).collect()
+    got = V.top_k(idf, qdf, 5, metric).collect()
     x = np.array([v if v is not None else [0.0] * 8 for _, v in items])
     for qid, qv in qs:
         q = np.array(qv)
@@ -115,12 +116,15 @@ def test_fusion_does_not_depend_on_row_order(spark):
     assert top[3] == pytest.approx(0.7 * 0.7 + 0.3 * 2.0) and top[4] == 1.0
 
 
+from tests.test_snowball import plain  # noqa: E402
+
+
 def _brute_bm25(docs, queries, plus1, stem):
     def toks(t):
         import regex
         out = regex.findall(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]", t.lower())
         if stem:
-            out = [porter(w) for w in out if w not in STOP_WORDS]
+            out = [plain(w) for w in out if w not in STOP_WORDS]
         return out
     dt_ = {i: toks(t) for i, t in docs}
     n = len(dt_)
@@ -157,14 +161,12 @@ def test_bm25_equals_brute_force(spark, plus1, stem):
     queries = [(q, " ".join(random.choice(WORDS) for _ in range(4))) for q in range(5)]
     d = spark.createDataFrame(docs, "doc_id long, content string")
     q = spark.createDataFrame(queries, "query_id long, query string")
+    tokens = "tokens" if stem else None
     if stem:
-        dt_ = d.select("doc_id", stem_tokens(remove_stop_words(tokenize("content"))).alias("tokens"))
-        q = q.withColumn("tokens", stem_tokens(remove_stop_words(tokenize("query"))))
-        idx = T.build_index(None, variant="plus1", tokens=dt_)
-        got = T.bm25_scores(idx, T.query_terms(q, tokens="tokens")).collect()
-    else:
-        idx = T.build_index(d, variant="plus1" if plus1 else "okapi")
-        got = T.bm25_scores(idx, T.query_terms(q)).collect()
+        d = d.withColumn("tokens", remove_stop_words(tokenize("content")))
+        q = q.withColumn("tokens", remove_stop_words(tokenize("query")))
+    idx = T.build_index(d, variant="plus1" if plus1 else "okapi", tokens=tokens, stems=stem)
+    got = bm25_topk(idx, q, 1000, query_tokens=tokens, stems=stem).collect()
     want = _brute_bm25(docs, queries, plus1, stem)
     mine = {(r["query_id"], r["doc_id"]): r["bm25"] for r in got}
     assert set(mine) == set(want)
@@ -177,12 +179,12 @@ def test_index_save_load_same_scores(spark, tmp_path):
     docs = spark.createDataFrame([(i, " ".join(WORDS[i % 7: i % 7 + 5])) for i in range(40)], "doc_id long, content string")
     q = spark.createDataFrame([(0, "market price"), (1, "strong trading volume")], "query_id long, query string")
     idx = T.build_index(docs)
-    before = sorted(tuple(r) for r in T.bm25_scores(idx, T.query_terms(q)).collect())
+    before = sorted(tuple(r) for r in bm25_topk(idx, q, 100).collect())
     save_index(idx, str(tmp_path), "a", mtime=dt.datetime(2024, 1, 1))
     save_index(T.build_index(docs.limit(3)), str(tmp_path), "b", mtime=dt.datetime(2023, 1, 1))  # older
-    after = sorted(tuple(r) for r in T.bm25_scores(load_latest(spark, str(tmp_path)), T.query_terms(q)).collect())
-    assert [r[:2] for r in before] == [r[:2] for r in after]
-    assert [r[2] for r in before] == pytest.approx([r[2] for r in after], rel=1e-12)  # sum order may differ
+    after = sorted(tuple(r) for r in bm25_topk(load_latest(spark, str(tmp_path)), q, 100).collect())
+    assert [r[:3] for r in before] == [r[:3] for r in after]
+    assert [r[3] for r in before] == pytest.approx([r[3] for r in after], rel=1e-12)  # sum order may differ
 
 
 def test_memory_stats_zero_filled_and_consolidate_twice(spark):
