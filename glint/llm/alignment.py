@@ -7,7 +7,9 @@ the cut by the lengths of the tokens' decoded bytes. A text whose decoded bytes
 text has no tokens; spans that disagree with the decoded bytes (trimmed ones) give way to them.
 
 The tokens between two cuts that both tokenizers share are a group; every token of one is linked with
-every token of the other. The number of documents that hold a pair of ids is counted over the whole
+every token of the other. Both tokenizers end a token before a single space between two other
+characters (checked: one splits into words first, the other's vocabulary has no such piece), so texts are cut there and a worker encodes and groups each distinct
+part once, as long as its bounded table holds it. The number of documents that hold a pair of ids is counted over the whole
 corpus: a block of documents is encoded once and written with its distinct pairs, the pairs are
 summed by a grouping (partial sums first), and the totals come back to the blocks by a join.
 
@@ -22,7 +24,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
+import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +41,7 @@ from glint.llm.interpolation import pack, unpack
 
 BLOCK_BYTES = 16 << 20     # text whose pairs are counted together
 SLICE_BYTES = 1 << 20      # text that is encoded at a time
+KNOWN_PARTS = 300_000      # distinct parts of texts that a worker remembers
 PAIRS_AT_ONCE = 4_000_000  # links that are spread out at a time
 
 BLOCK_ROWS = ("block long, ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, "
@@ -54,7 +60,12 @@ def byte_letters() -> dict[str, int]:
 
 
 class Coder:
-    """A tokenizer with the decoded bytes of its ids: ``encode`` gives ids and span ends of each text."""
+    """A tokenizer with the decoded bytes of its ids: ``encode`` gives ids and span ends of each text.
+
+    ``apart``: no token holds a space after another character, so a text may be cut before a single space.
+    """
+
+    apart = False
 
     def __init__(self, token_bytes: list[bytes]):
         self.token_bytes = token_bytes
@@ -80,6 +91,9 @@ class ByteLevel(Coder):
         for name, i in self.coder.get_vocab(with_added_tokens=True).items():
             names[i] = name
         super().__init__([bytes(letter[c] for c in n) for n in names])
+        words = json.loads(file)
+        pre = words.get("pre_tokenizer") or {}
+        self.apart = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not words.get("normalizer")
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         found = self.coder.encode_batch([" " + t for t in texts], add_special_tokens=False)
@@ -103,6 +117,7 @@ class Pieces(Coder):
         super().__init__([bytes([int(p[3:5], 16)]) if self.coder.is_byte(i) else
                           p.replace("▁", " ").encode() for i, p in zip(n, map(self.coder.id_to_piece, n),
                                                                             strict=True)])
+        self.apart = all(b" " not in t.lstrip(b" ") for t in self.token_bytes)
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         # ids and spans of the library's proto, as plain lists (it no longer hands out immutable protos)
@@ -151,23 +166,23 @@ def _digits(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Aligned:
-    """Groups and links of the texts of a slice."""
+    """Groups and links of parts of texts (each stands after a space)."""
 
     def __init__(self, a: Coder, b: Coder):
         self.a, self.b = a, b
         self.bits = max(1, (len(b.token_bytes) - 1).bit_length())
         self.digits, self.width = _digits(max(len(a.token_bytes), len(b.token_bytes)))
-
-    def texts(self, texts: list) -> tuple[dict[str, np.ndarray], list[str], np.ndarray, np.ndarray]:
-        """Numbers by text, digests, and the distinct (text << 40 | pair) codes with their numbers of links."""
-        n = len(texts)
-        there = [i for i, t in enumerate(texts) if t]
-        given = [texts[i] for i in there]
-        raws = [b" " + t.encode() for t in given]
-        sides, good = [], np.ones(len(there), dtype=bool)
+        self.split = re.compile(r"(?<=\S) (?=\S)").split if a.apart and b.apart else lambda t: [t]
+
+    def parts(self, parts: list[str]) -> tuple[dict[str, np.ndarray], list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Of each part whether both tokenizers keep its bytes, its numbers, and its groups as ``a1,a2|b1;a3|b2,b3``;
+        and the distinct pairs of all parts in order, their numbers of links, and the pairs of each part."""
+        n = len(parts)
+        raws = [b" " + t.encode() for t in parts]
+        sides, good = [], np.ones(n, dtype=bool)
         for tok in (self.a, self.b):
-            ids, spans = tok.encode(given)
-            good &= np.array(tok.checked(ids, raws), dtype=bool) if given else good
+            ids, spans = tok.encode(parts)
+            good &= np.array(tok.checked(ids, raws), dtype=bool)
             sides.append((tok, ids, spans))
         raw = np.frombuffer(b"".join(raws), dtype=np.uint8)
         sizes = np.array([len(r) for r in raws], dtype=np.int64)
@@ -175,31 +190,24 @@ class Aligned:
         keep = np.flatnonzero(good).tolist()
         flat = []
         for tok, ids, spans in sides:
-            count = np.zeros(len(there), dtype=np.int64)
+            count = np.zeros(n, dtype=np.int64)
             count[keep] = [len(ids[i]) for i in keep]
-            text = np.repeat(np.arange(len(there)), count)
-            i, s = (np.fromiter((x for k in keep for x in of[k]), np.int64, int(count.sum())) for of in (ids, spans))
-            flat.append((i, token_ends(tok, i, s, text, raw, first, good), text, count))
-        (a, ends_a, text_a, n_a), (b, ends_b, text_b, n_b) = flat
+            text = np.repeat(np.arange(n), count)
+            i, s = (np.fromiter(chain.from_iterable(of[k] for k in keep), np.int64, int(count.sum())) for of in (ids, spans))
+            flat.append((i, token_ends(tok, i, s, text, raw, first, good), count))
+        (a, ends_a, n_a), (b, ends_b, n_b) = flat
         shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
         in_a, in_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
         size_a, size_b = np.bincount(in_a, minlength=len(shared)), np.bincount(in_b, minlength=len(shared))
-        of_text = np.searchsorted(first, shared - 1, side="right") - 1
-        per = lambda v: np.bincount(of_text, v, len(there)).astype(np.int64)
-        out = {"n_a": n_a, "n_b": n_b, "n_groups": per(np.ones(len(shared))), "n_links": per(size_a * size_b)}
-        numbers = {}
-        for name, v in out.items():
-            numbers[name] = np.zeros(n, dtype=np.int64)
-            numbers[name][there] = v
-        digests = [""] * n
-        written = self._digests(a, b, in_a, in_b, size_a, size_b, n_a + n_b, good)
-        for i, d in zip(there, written, strict=True):
-            digests[i] = d
-        at = np.array(there, dtype=np.int64)
-        return numbers, digests, *self._pairs(a, b, size_a, size_b, at[of_text])
-
-    def _digests(self, a, b, in_a, in_b, size_a, size_b, tokens, good) -> list[str]:
-        """SHA-256 of each text's groups as ``a1,a2|b1;a3|b2,b3``."""
+        of_part = np.searchsorted(first, shared - 1, side="right") - 1
+        per = lambda v: np.bincount(of_part, v, n).astype(np.int64)
+        numbers = {"ok": good, "n_a": n_a, "n_b": n_b, "n_groups": per(np.ones(len(shared))),
+                   "n_links": per(size_a * size_b)}
+        codes, times = self._pairs(a, b, size_a, size_b, of_part)
+        return (numbers, self._lines(a, b, in_a, in_b, size_a, size_b, n_a + n_b), codes & PAIR, times,
+                np.bincount(codes >> 40, minlength=n))
+
+    def _lines(self, a, b, in_a, in_b, size_a, size_b, tokens) -> list[bytes]:
         through_a, through_b = np.cumsum(size_a), np.cumsum(size_b)
         ids = np.zeros(len(a) + len(b), dtype=np.int64)
         mark = np.full(len(ids), ord(","), dtype=np.uint8)
@@ -212,8 +220,7 @@ class Aligned:
         rows[np.arange(len(ids)), width] = mark
         line = rows[np.arange(rows.shape[1]) <= width[:, None]].tobytes()
         ends = np.append(0, np.cumsum(width + 1))[np.append(0, np.cumsum(tokens))].tolist()
-        return [hashlib.sha256(line[i:j - 1]).hexdigest() if ok else ""
-                for i, j, ok in zip(ends, ends[1:], good.tolist(), strict=False)]
+        return [line[i:j - 1] if i < j else b"" for i, j in zip(ends, ends[1:], strict=False)]
 
     def _pairs(self, a, b, size_a, size_b, text) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (text << 40 | a << bits | b) of all links, sorted, and how many links each stands for."""
@@ -245,6 +252,54 @@ def _tallied(codes: np.ndarray, times: np.ndarray | None = None) -> tuple[np.nda
 
 
 PAIR = (1 << 40) - 1
+NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
+
+
+class Known(dict):
+    """Part of a text -> its number in order of appearance; what ``Aligned`` says of it follows on ``learn``."""
+
+    def __init__(self, work: Aligned):
+        super().__init__()
+        self.work, self.new = work, []
+        self.numbers = {k: np.zeros(0, np.int64) for k in ("ok", *NUMBERS)}
+        self.lines: list[bytes] = []
+        self.codes, self.times, self.first, self.count = (np.zeros(0, np.int64) for _ in range(4))
+
+    def __missing__(self, part: str) -> int:
+        self[part] = at = len(self.lines) + len(self.new)
+        self.new.append(part)
+        return at
+
+    def learn(self) -> None:
+        for at in range(0, len(self.new), 20_000):
+            numbers, lines, codes, times, count = self.work.parts(self.new[at:at + 20_000])
+            self.numbers = {k: np.append(v, numbers[k]) for k, v in self.numbers.items()}
+            self.lines += lines
+            self.first = np.append(self.first, len(self.codes) + np.cumsum(count) - count)
+            self.count = np.append(self.count, count)
+            self.codes, self.times = np.append(self.codes, codes), np.append(self.times, times)
+        self.new = []
+
+    def texts(self, texts: list) -> tuple[dict[str, np.ndarray], list[str], np.ndarray, np.ndarray]:
+        """Numbers by text, digests, and the distinct (text << 40 | pair) of all texts with their links."""
+        at = [list(map(self.__getitem__, self.work.split(t))) if t else [] for t in texts]
+        self.learn()
+        size = np.array([len(x) for x in at], dtype=np.int64)
+        part = np.fromiter(chain.from_iterable(at), np.int64, int(size.sum()))
+        ends = np.cumsum(size)
+
+        def per_text(v: np.ndarray) -> np.ndarray:
+            upto = np.append(0, np.cumsum(v[part]))
+            return upto[ends] - upto[ends - size]
+        good = (per_text(1 - self.numbers["ok"]) == 0) & (size > 0)
+        numbers = {k: per_text(self.numbers[k]) * good for k in NUMBERS}
+        line = self.lines.__getitem__
+        digests = [hashlib.sha256(b";".join(map(line, x))).hexdigest() if ok else ""
+                   for x, ok in zip(at, good.tolist(), strict=True)]
+        text = np.repeat(np.arange(len(texts)), size)
+        part, text = part[good[text]], text[good[text]]
+        place = spread_out(self.first[part], self.count[part])
+        return numbers, digests, *_tallied((np.repeat(text, self.count[part]) << 40) | self.codes[place], self.times[place])
 
 
 def encode_blocks(docs: DataFrame, file_a: bytes, file_b: bytes) -> DataFrame:
@@ -253,7 +308,7 @@ def encode_blocks(docs: DataFrame, file_a: bytes, file_b: bytes) -> DataFrame:
 
     def run(batches):
         work = Aligned(coder(ByteLevel, held.value[0]), coder(Pieces, held.value[1]))
-        task, number = TaskContext.get().partitionId(), 0
+        task, number, known = TaskContext.get().partitionId(), 0, Known(work)
 
         def row(parts):
             ids, numbers, digests, codes, times = zip(*parts, strict=True)
@@ -266,7 +321,7 @@ def encode_blocks(docs: DataFrame, file_a: bytes, file_b: bytes) -> DataFrame:
             one = {"block": (task << 32) + number, "ids": sum(ids, []), "digests": sum(digests, []),
                    "sizes": np.bincount(text, minlength=n), "place": pack(np.searchsorted(distinct, pair)),
                    "times": pack(np.concatenate(times)), "codes": distinct, "held": docs_of}
-            one |= {k: np.concatenate([x[k] for x in numbers]) for k in numbers[0]}
+            one |= {k: np.concatenate([x[k] for x in numbers]) for k in NUMBERS}
             types = {"block": pa.int64(), "digests": pa.list_(pa.string()), "place": pa.binary(), "times": pa.binary()}
             names = [f.split()[0] for f in BLOCK_ROWS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([one[k]], types.get(k, pa.list_(pa.int64()))) for k in names],
@@ -275,8 +330,10 @@ def encode_blocks(docs: DataFrame, file_a: bytes, file_b: bytes) -> DataFrame:
         parts, size = [], 0
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                parts.append((part.column("doc_id").to_pylist(), *work.texts(part.column("text").to_pylist())))
+                parts.append((part.column("doc_id").to_pylist(), *known.texts(part.column("text").to_pylist())))
                 size += part.column("text").nbytes
+                if len(known) > KNOWN_PARTS:
+                    known = Known(work)
                 if size >= BLOCK_BYTES:
                     yield row(parts)
                     parts, size, number = [], 0, number + 1

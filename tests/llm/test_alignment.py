@@ -72,7 +72,8 @@ def texts():
     rng = random.Random(3)
     hard = ["<|endoftext|> and <s> </s> <0x41> <unk>", "▁ low line", "é" * 40, "漢字かな交じり文 한국어", "🙂👩‍👩‍👧 x",
             "é combining ﬁ ①", "   spaces  \t\n\r\n", "a" * 300, " lead and trail ", "\x00\x01\x7f",
-            "ﷺ\U0001F468\U0001F3FD", "=" * 200, "0123456789" * 20, "ελληνικά русский עברית", "﻿ bom"]
+            "ﷺ\U0001F468\U0001F3FD", "=" * 200, "0123456789" * 20, "ελληνικά русский עברית", "﻿ bom", "a\x1cb \x1c c\u2003 d \u00a0e\u3000 f  g",
+            "one two\u2581three four", " x", "x ", "  ", "a b"]
     made = ["".join(rng.choice("abc dé漢🙂 \n\t.,'sTh=1" + "▁" * (n % 5 == 0))
                     for _ in range(rng.randint(0, 60))) for n in range(150)]
     return hard + made + ["the same text over and over again"] * 30
@@ -82,6 +83,7 @@ def test_alignment_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(al, "SLICE_BYTES", 300)
     monkeypatch.setattr(al, "BLOCK_BYTES", 900)
     monkeypatch.setattr(al, "PAIRS_AT_ONCE", 7)
+    monkeypatch.setattr(al, "KNOWN_PARTS", 60)
     df = docs(spark, ODD + texts())
     got = [tuple(r) for r in al.align(df, vocabulary_file(FILE_A), vocabulary_file(FILE_B)).collect()]
     want = brute([(r["doc_id"], r["text"]) for r in df.collect()])
