@@ -41,7 +41,7 @@ from glint.llm.interpolation import pack, unpack
 
 BLOCK_BYTES = 16 << 20     # text whose pairs are counted together
 SLICE_BYTES = 1 << 20      # text that is encoded at a time
-KNOWN_PARTS = 300_000      # distinct parts of texts that a worker remembers
+KNOWN_PARTS = 600_000      # distinct parts of texts that a worker remembers
 PAIRS_AT_ONCE = 4_000_000  # links that are spread out at a time
 
 BLOCK_ROWS = ("block long, ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, "
@@ -70,11 +70,18 @@ class Coder:
     def __init__(self, token_bytes: list[bytes]):
         self.token_bytes = token_bytes
         self.size = np.array([len(t) for t in token_bytes], dtype=np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.all_bytes = np.frombuffer(b"".join(token_bytes), dtype=np.uint8)
 
-    def checked(self, ids: list[list[int]], raws: list[bytes]) -> list[bool]:
-        """Whether the decoded bytes of each text are those of the text."""
-        part = self.token_bytes.__getitem__
-        return [b"".join(map(part, i)) == raw for i, raw in zip(ids, raws, strict=True)]
+    def same_bytes(self, ids: np.ndarray, part: np.ndarray, raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether the decoded bytes of the tokens of each part are its bytes; the parts lie one after another in ``raw``."""
+        n = len(sizes)
+        size = self.size[ids]
+        good = np.bincount(part, size, n) == sizes
+        of = good[part]
+        decoded = self.all_bytes[spread_out(self.first[ids[of]], size[of])]
+        owner = np.repeat(np.arange(n), np.where(good, sizes, 0))
+        return good & (np.bincount(owner, decoded != raw[np.repeat(good, sizes)], n) == 0)
 
 
 class ByteLevel(Coder):
@@ -179,22 +186,21 @@ class Aligned:
         and the distinct pairs of all parts in order, their numbers of links, and the pairs of each part."""
         n = len(parts)
         raws = [b" " + t.encode() for t in parts]
-        sides, good = [], np.ones(n, dtype=bool)
-        for tok in (self.a, self.b):
-            ids, spans = tok.encode(parts)
-            good &= np.array(tok.checked(ids, raws), dtype=bool)
-            sides.append((tok, ids, spans))
         raw = np.frombuffer(b"".join(raws), dtype=np.uint8)
         sizes = np.array([len(r) for r in raws], dtype=np.int64)
         first = np.cumsum(sizes) - sizes
-        keep = np.flatnonzero(good).tolist()
+        good, sides = np.ones(n, dtype=bool), []
+        for tok in (self.a, self.b):
+            ids, spans = tok.encode(parts)
+            text = np.repeat(np.arange(n), [len(x) for x in ids])
+            ids, spans = (np.fromiter(chain.from_iterable(x), np.int64, len(text)) for x in (ids, spans))
+            good &= tok.same_bytes(ids, text, raw, sizes)
+            sides.append((tok, ids, spans, text))
         flat = []
-        for tok, ids, spans in sides:
-            count = np.zeros(n, dtype=np.int64)
-            count[keep] = [len(ids[i]) for i in keep]
-            text = np.repeat(np.arange(n), count)
-            i, s = (np.fromiter(chain.from_iterable(of[k] for k in keep), np.int64, int(count.sum())) for of in (ids, spans))
-            flat.append((i, token_ends(tok, i, s, text, raw, first, good), count))
+        for tok, ids, spans, text in sides:
+            of = good[text]
+            ids, spans, text = ids[of], spans[of], text[of]
+            flat.append((ids, token_ends(tok, ids, spans, text, raw, first, good), np.bincount(text, minlength=n)))
         (a, ends_a, n_a), (b, ends_b, n_b) = flat
         shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
         in_a, in_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
