@@ -45,37 +45,59 @@ def with_chunks(df: DataFrame, key: str, ts: str, chunk_seconds: int | None,
     return df.withColumn(out, F.floor(t / F.col("_cu")).cast("long"))
 
 
+def with_pieces(df: DataFrame, key: str, ts: str, rows_per_piece: int = 1_000_000, out: str = "_c") -> DataFrame:
+    """Add ``out``, the ordered piece of its key that a row belongs to: pieces are cut at quantiles of the key's times,
+    so a burst is split by rows and not by time. Rows of equal time share a piece.
+
+    One scan counts the rows per key; only keys with more than one piece are scanned again for their cuts (a sketch
+    per key, merged from partial ones). The cuts join by a size-checked broadcast.
+    """
+    from glint.operators.text_index import bounded_broadcast
+    t = ntz_micros(ts)
+    big = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_piece)
+    big = big.withColumn("_parts", F.ceil(F.col("_n") / F.lit(rows_per_piece)).cast("int")).select(key, "_parts")
+    most = big.agg(F.max("_parts")).first()[0]
+    if most is None:
+        return df.withColumn(out, F.lit(0).cast("long"))
+    cuts = (df.join(bounded_broadcast(big), key).groupBy(key).agg(
+        F.first("_parts").alias("_parts"),
+        F.percentile_approx(t, [i / most for i in range(1, most)], max(10_000, 20 * most)).alias("_q")))
+    # of the quantiles taken for the largest key, every key uses as many as it has pieces
+    some = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_parts") - 1, F.lit(1))),
+                       lambda i: F.get("_q", F.floor(i * F.lit(most) / F.col("_parts")).cast("int") - 1))
+    cuts = cuts.select(key, F.array_sort(F.array_distinct(some)).alias("_cuts"))
+    d = df.join(bounded_broadcast(cuts), key, "left").withColumn("_at", t)
+    piece = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<bigint>")), lambda c: c < F.col("_at")))
+    return d.withColumn(out, piece.cast("long")).drop("_cuts", "_at")
+
+
 def asof_join(left: DataFrame, right: DataFrame, key: str = "symbol", ts: str = "timestamp",
-              right_ts: str = "timestamp", chunk_seconds: int | None = DAY,
-              rows_per_chunk: int = 1_000_000) -> DataFrame:
+              right_ts: str = "timestamp", rows_per_piece: int = 1_000_000, tie: str | None = None) -> DataFrame:
     """For each left row, the last right row of the same key at or before its time.
 
-    ``chunk_seconds=None`` sizes the time chunks per key from the data.
-
     Left rows keep all columns; right columns are added as ``right`` (a struct, NULL
-    when nothing precedes). A right row sorts before a left row at equal time.
+    when nothing precedes). A right row sorts before a left row at equal time; of right rows of
+    equal time the one with the highest ``tie`` column (or else the highest row) counts.
+
+    Both sides are shuffled once, by key and ordered piece (``with_pieces``). A piece hands its last right
+    row on to the later pieces of its key through a table of one row per piece.
     """
-    rcols = [c for c in right.columns]
-    r = right.select(F.col(key).alias("_k"), F.col(right_ts).alias("_t"),
-                     F.struct(*[F.col(c) for c in rcols]).alias("_r"),
-                     F.lit(0).alias("_side"), F.lit(None).alias("_l"))
-    lstruct = F.struct(*[F.col(c) for c in left.columns])
-    l_ = left.select(F.col(key).alias("_k"), F.col(ts).alias("_t"),
-                     F.lit(None).cast(r.schema["_r"].dataType).alias("_r"),
-                     F.lit(1).alias("_side"), lstruct.alias("_l"))
-    r = r.withColumn("_l", F.lit(None).cast(l_.schema["_l"].dataType))
-    u = with_chunks(r.unionByName(l_), "_k", "_t", chunk_seconds, rows_per_chunk).drop("_cu")
-    w = Window.partitionBy("_k", "_c").orderBy("_t", "_side") \
+    r = right.select(F.col(key).alias("_k"), F.col(right_ts).alias("_t"), F.struct(*right.columns).alias("_r"),
+                     F.lit(0).alias("_side"))
+    l_ = left.select(F.col(key).alias("_k"), F.col(ts).alias("_t"), F.struct(*left.columns).alias("_l"),
+                     F.lit(1).alias("_side"))
+    u = with_pieces(r.unionByName(l_, allowMissingColumns=True), "_k", "_t", rows_per_piece)
+    last = F.col(f"_r.{tie}") if tie else F.col("_r")
+    w = Window.partitionBy("_k", "_c").orderBy("_t", "_side", last) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     u = u.withColumn("_in", F.last("_r", ignorenulls=True).over(w))
-    # Carry-in: last right row of every earlier chunk (one row per key and chunk).
-    last_r = (u.groupBy("_k", "_c")
-              .agg(F.max_by("_r", F.when(F.col("_side") == 0, F.struct("_t"))).alias("_lr")))
+    # What a piece hands on: the right row that its last row sees (no shuffle: same partitioning).
+    end = F.max_by("_in", F.struct("_t", "_side", last.alias("_o")))
+    handed = u.groupBy("_k", "_c").agg(end.alias("_lr"))
     wc = Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    carry = last_r.withColumn("_carry", F.last("_lr", ignorenulls=True).over(wc)).select("_k", "_c", "_carry")
-    out = (u.filter(F.col("_side") == 1).join(carry, ["_k", "_c"], "left")
-           .select("_l.*", F.coalesce("_in", "_carry").alias("right")))
-    return out
+    carry = handed.withColumn("_carry", F.last("_lr", ignorenulls=True).over(wc)).select("_k", "_c", "_carry")
+    return (u.filter(F.col("_side") == 1).join(carry, ["_k", "_c"], "left")
+            .select("_l.*", F.coalesce("_in", "_carry").alias("right")))
 
 
 def retention(log: DataFrame, keep: int = 5, pattern: str = r"^rag_index_.*\.pkl$") -> DataFrame:
@@ -170,100 +192,9 @@ def _throttle_accept(pdf: pd.DataFrame, gap_us: int) -> pd.DataFrame:
     return pdf[keep][["_id"]]
 
 
-def _apply_fn(hi: np.ndarray, ex: np.ndarray, theta):
-    """Apply a chunk-range function to an entering threshold (None: no constraint)."""
-    if len(hi) == 0:
-        return theta
-    if theta is None:
-        return int(ex[0])
-    i = int(np.searchsorted(hi, theta, side="left"))
-    return int(ex[i]) if i < len(hi) else theta
-
-
-def _compose(pdf: pd.DataFrame, level: int, gap_us: int) -> pd.DataFrame:
-    """Tree step: the function of a parent range from its two children.
-    Left segments are mapped through the right function; the right function's
-    segments beyond the left's last candidate cover the thresholds that pass
-    through the left range (only up to the first one past the parent's domain,
-    ``range start + gap``); consecutive equal exits are merged."""
-    parent = int(pdf["_node"].iloc[0]) >> 1
-    left = pdf[(pdf["_node"].to_numpy() & 1) == 0].sort_values("_hi")
-    right = pdf[(pdf["_node"].to_numpy() & 1) == 1].sort_values("_hi")
-    lh, le = left["_hi"].to_numpy(dtype="int64"), left["_exit"].to_numpy(dtype="int64")
-    rh, re_ = right["_hi"].to_numpy(dtype="int64"), right["_exit"].to_numpy(dtype="int64")
-    hi = list(lh)
-    ex = [_apply_fn(rh, re_, int(e)) for e in le]
-    chunk_us = int(pdf["_cu"].iloc[0])
-    bound = (parent << (level + 1)) * chunk_us + gap_us
-    last = lh[-1] if len(lh) else None
-    for h, e in zip(rh, re_):
-        if last is not None and h <= last:
-            continue
-        hi.append(int(h))
-        ex.append(int(e))
-        if h >= bound:
-            break
-    hi, ex = np.asarray(hi, dtype="int64"), np.asarray(ex, dtype="int64")
-    ends = np.flatnonzero(np.r_[ex[1:] != ex[:-1], True]) if len(ex) else np.array([], dtype=int)
-    return pd.DataFrame({"_node": parent, "_hi": hi[ends], "_exit": ex[ends], "_cu": chunk_us})
-
-
-def _descend(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Tree step down: thresholds entering the two children of one node."""
-    theta = pdf["_theta"].iloc[0]
-    theta = None if pd.isna(theta) else int(theta)
-    node = int(pdf["_parent"].iloc[0])
-    left = pdf[pdf["_node"] == 2 * node].sort_values("_hi")
-    out_n, out_t = [], []
-    has_right = bool((pdf["_node"] == 2 * node + 1).any())
-    if len(left):
-        out_n.append(2 * node)
-        out_t.append(theta)
-    if has_right:
-        out_n.append(2 * node + 1)
-        out_t.append(_apply_fn(left["_hi"].to_numpy(dtype="int64"), left["_exit"].to_numpy(dtype="int64"), theta)
-                     if len(left) else theta)
-    return pd.DataFrame({"_node": np.asarray(out_n, dtype="int64"), "_theta": pd.array(out_t, dtype="Int64")})
-
-
-def _entries_by_tree(summary: DataFrame, gap_us: int) -> DataFrame:
-    """Thresholds entering every chunk, by composing the chunk functions in a binary
-    tree over chunk numbers (up) and then handing thresholds down. Every group is one
-    tree node: a few segments, never a key's whole history. Level tables are written
-    to the shared folder, which also keeps the plans short."""
-    from glint.session import shared_dir
-    spark = summary.sparkSession
-    lvl = summary.select("symbol", F.col("_c").alias("_node"), "_hi", "_exit", "_cu")
-    c_max = summary.agg(F.max("_c")).first()[0] or 0
-    depth = max(1, int(c_max).bit_length())
-    base = shared_dir(spark, "throttle-tree")
-    levels = []
-    for k in range(depth):
-        path = f"{base}/up{k}"
-        lvl.write.mode("overwrite").parquet(path)
-        lvl = spark.read.parquet(path)
-        levels.append(lvl)
-        def step(level):                   # one argument only: the group's rows
-            return lambda pdf: _compose(pdf.drop(columns=["_pk"], errors="ignore"), level, gap_us) \
-                .assign(symbol=pdf["symbol"].iloc[0])
-        lvl = lvl.groupBy("symbol", (F.col("_node").bitwiseAND(F.lit(-2))).alias("_pk")).applyInPandas(
-            step(k), schema="_node long, _hi long, _exit long, _cu long, symbol string")
-    theta = lvl.select("symbol", "_node").distinct().withColumn("_theta", F.lit(None).cast("long"))
-    for k in reversed(range(depth)):
-        kids = levels[k].withColumn("_parent", F.shiftright("_node", 1))
-        j = kids.join(theta.withColumnRenamed("_node", "_parent"), ["symbol", "_parent"])
-        theta = j.groupBy("symbol", "_parent").applyInPandas(
-            lambda pdf: _descend(pdf).assign(symbol=pdf["symbol"].iloc[0]),
-            schema="_node long, _theta long, symbol string")
-        path = f"{base}/down{k}"
-        theta.write.mode("overwrite").parquet(path)
-        theta = spark.read.parquet(path)
-    return theta.select("symbol", F.col("_node").alias("_c"), "_theta")
-
-
 def throttle(events: DataFrame, key: str = "symbol", ts: str = "timestamp", id_col: str = "id",
              gap_seconds: int = 300, chunk_seconds: int | None = None,
-             rows_per_chunk: int = 1_000_000, max_segments_per_key: int = 2_000_000) -> DataFrame:
+             rows_per_chunk: int = 1_000_000) -> DataFrame:
     """Greedy throttle (W11): accept a row if at least ``gap`` passed since the last
     *accepted* row of its key. Returns the accepted rows.
 
@@ -271,9 +202,8 @@ def throttle(events: DataFrame, key: str = "symbol", ts: str = "timestamp", id_c
     can hold its first accepted row. So, with every group bounded by one (key, chunk):
       1. per (key, chunk), each possible entry row gets the chunk's exit state
          (last accepted + gap) by a memoised greedy walk, kept as segments of equal exit;
-      2. per key, a pass over the segments (a few per chunk) gives the threshold
-         entering each chunk, after a size check; beyond ``max_segments_per_key`` the
-         chunk functions are composed in a tree instead;
+      2. per key, a pass over the segments (a few for each chunk of ``rows_per_chunk`` rows, 24 bytes each)
+         gives the threshold entering each chunk;
       3. per (key, chunk), the chain from the first row at or after it gives the
          accepted rows.
     Chunk length is chosen per key so that a chunk holds about ``rows_per_chunk`` rows
@@ -281,7 +211,6 @@ def throttle(events: DataFrame, key: str = "symbol", ts: str = "timestamp", id_c
     broadcast; ``chunk_seconds`` fixes it instead. A key with a third of all rows, even
     without any pause, is spread over its chunks.
     """
-    from glint.session import shared_dir
     gap_us = gap_seconds * 1_000_000
     e = events.select(F.col(key).alias("symbol"), F.col(ts).alias("_ts"), F.col(id_col).alias("_id")) \
         .withColumn("_t", ntz_micros("_ts"))
@@ -290,18 +219,9 @@ def throttle(events: DataFrame, key: str = "symbol", ts: str = "timestamp", id_c
     summary = e.groupBy("symbol", "_c").applyInPandas(
         lambda pdf: _throttle_summary(pdf, gap_us).assign(symbol=pdf["symbol"].iloc[0]),
         schema="_c long, _hi long, _exit long, _cu long, symbol string")
-    # Size check: the per-key pass reads all segments of a key in one task. Within the
-    # bound it is one small job; beyond it the tree form keeps every group to one node.
-    path = shared_dir(events.sparkSession, "throttle-summary")
-    summary.write.mode("overwrite").parquet(path)
-    summary = events.sparkSession.read.parquet(path)
-    biggest = summary.groupBy("symbol").count().agg(F.max("count")).first()[0] or 0
-    if biggest <= max_segments_per_key:
-        entries = summary.groupBy("symbol").applyInPandas(
-            lambda pdf: _throttle_entries(pdf).assign(symbol=pdf["symbol"].iloc[0]),
-            schema="_c long, _theta long, symbol string")
-    else:
-        entries = _entries_by_tree(summary, gap_us)
+    entries = summary.groupBy("symbol").applyInPandas(
+        lambda pdf: _throttle_entries(pdf).assign(symbol=pdf["symbol"].iloc[0]),
+        schema="_c long, _theta long, symbol string")
     tagged = e.join(entries, ["symbol", "_c"], "inner")   # a chunk without an entry accepts nothing
     acc = tagged.groupBy("symbol", "_c").applyInPandas(
         lambda pdf: _throttle_accept(pdf, gap_us), schema="_id long")

@@ -9,8 +9,6 @@ from glint.plans import bindings as B
 from glint.plans import sqlbind as S
 from glint.plans.catalog import register, round_doubles
 
-# One day per chunk: a hot symbol is spread over as many tasks as it has days.
-DAY = 86_400
 
 
 @register("bar_scan", f"""WITH {S.BARS_EVT}
@@ -54,16 +52,16 @@ def indicators(spark, sf):
 {S.indicator_select('bars')}
 SELECT {S.IND_COLS} FROM ind""")
 def indicators_history(spark, sf):
-    """Indicators over the whole history, every symbol split into day chunks with a halo."""
-    return round_doubles(signals.indicators(B.bars(spark, sf, "user_id"), chunk_seconds=DAY))
+    """Indicators over the whole history, every symbol cut into ordered pieces with a halo."""
+    return round_doubles(signals.indicators(B.bars(spark, sf, "user_id"), split=True))
 
 
 @register("indicators_history_hot", f"""WITH {S.BARS_EVT},
 {S.indicator_select('bars')}
 SELECT {S.IND_COLS} FROM ind""")
 def indicators_history_hot(spark, sf):
-    """Same, with five long series (each a fifth of all rows), chunked by day."""
-    return round_doubles(signals.indicators(B.bars(spark, sf), chunk_seconds=DAY))
+    """Same, with five long series (each a fifth of all rows), in pieces of 500 rows."""
+    return round_doubles(signals.indicators(B.bars(spark, sf), split=True, rows_per_piece=500))
 
 
 @register("latest_indicators", f"""WITH {S.BARS_EVT},

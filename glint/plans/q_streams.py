@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from glint.functions.scalar import ntz_micros
 
-from glint.operators import memory as M
 from glint.plans import bindings as B
 from glint.plans import sqlbind as S
 from glint.plans.catalog import register, round_doubles
 from glint.session import shared_dir
+from glint.streaming import cache as CA
 from glint.streaming import market as MK
 from glint.streaming import state as ST
 
@@ -143,14 +143,13 @@ SELECT symbol, ts, round(close, 9) AS close FROM m
 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, close DESC) = 1
   AND ts > TIMESTAMP '{B.NOW}' - INTERVAL 3600 SECOND""")
 def stream_latest(spark, sf):
-    """Newest message per symbol kept by micro-batch, served when younger than 1 h."""
+    """Newest message per symbol as keyed state that expires, served from the state when younger than 1 h."""
     src = _message_files(spark, sf)
-    out, ck = shared_dir(spark, "cache"), shared_dir(spark, "ckpt")
+    ck = shared_dir(spark, "ckpt")
     good, _ = MK.decode_messages(MK.read_market_stream(spark, "text", src))
     rows = good.select("symbol", F.col("timestamp").alias("ts"), "close")
-    _run(rows.writeStream.foreachBatch(ST.latest_sink(out, "symbol", "ts", "close"))
-         .option("checkpointLocation", ck).trigger(availableNow=True).start())
-    return round_doubles(ST.read_latest(spark, out, B.NOW, 3600, "symbol", "ts", "close"))
+    _run(CA.start_cache(rows, ck, "symbol", "ts", "close", 3600, lag_seconds=7200))
+    return round_doubles(CA.read_cache(spark, ck, B.NOW, 3600).select("symbol", "ts", "close"))
 
 
 def _memory_files(spark, sf, scale=100.0) -> str:

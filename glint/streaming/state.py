@@ -1,4 +1,4 @@
-"""Keyed state over bar streams.
+"""Keyed state over bar streams.
 
 State per symbol is small and bounded: the last accepted time (throttle) or the
 last 50 bars (indicators). Rows of one symbol in one micro-batch form one group,
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from glint.functions.scalar import ntz_micros
-from glint.operators.history import latest_per_key
 
 SHORT, LONG = 20, 50
 
@@ -41,15 +40,16 @@ def _rolling_mean(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _frame_mean(values: np.ndarray, width: int) -> np.ndarray:
-    """Mean over the known values of each frame (as SQL ``avg``; NaN without any), computed the same way for every width, so equal frames
-    (the first rows, where sma_20 and sma_50 see the same bars) give equal numbers
+    """Mean over the known values of each frame (as SQL ``avg``; NaN without any). Values are added from the oldest
+    to the newest, so equal frames (the first rows, where sma_20 and sma_50 see the same bars) give equal numbers
     and the trend comparison does not flip on rounding."""
-    out = np.empty(len(values))
-    for i in range(len(values)):
-        frame = values[max(0, i - width + 1): i + 1]
-        frame = frame[~np.isnan(frame)]
-        out[i] = np.add.reduce(frame) / len(frame) if len(frame) else np.nan
-    return out
+    frames = _windows(values, width)
+    total, known = np.zeros(len(values)), np.zeros(len(values))
+    for j in range(width):
+        here = ~np.isnan(frames[:, j])
+        total += np.where(here, frames[:, j], 0.0)
+        known += here
+    return np.divide(total, known, out=np.full(len(values), np.nan), where=known > 0)
 
 
 def _rolling_std(values: np.ndarray, width: int) -> np.ndarray:
@@ -149,22 +149,6 @@ def stream_throttle(events: DataFrame, gap_seconds: int = 300, delay: str = "10
         stateStructType="last long", outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout)
 
 
-def latest_sink(path: str, key: str = "symbol", ts: str = "ts", tie: str = "event_id"):
-    """X4 sink for ``foreachBatch``: each micro-batch writes its newest row per key
-    under ``path/batch=<id>`` (overwrite, so a replayed batch is written once)."""
-    def run(df: DataFrame, batch_id: int):
-        latest_per_key(df, key, ts, tie).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-    return run
-
-
-def read_latest(spark, path: str, now, ttl_seconds: int = 3600, key: str = "symbol", ts: str = "ts",
-                tie: str = "event_id") -> DataFrame:
-    """X4 read side: newest row per key over all batches, younger than the TTL at ``now``."""
-    from glint.operators.sets import fresh_only
-    rows = spark.read.parquet(path).drop("batch")
-    return fresh_only(latest_per_key(rows, key, ts, tie), ts, now, ttl_seconds)
-
-
 def memories_sink(path: str, **kw):
     """X5 sink for ``foreachBatch``: score, embed and append memories, skipping ids
     already stored, so a replayed micro-batch adds nothing."""

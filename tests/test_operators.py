@@ -63,9 +63,9 @@ def test_asof_equals_pandas(spark):
     b = spark.createDataFrame(bars, "symbol string, timestamp timestamp_ntz, close double")
     d = spark.createDataFrame(dec, "symbol string, timestamp timestamp_ntz, decision_id long")
     got = {r["decision_id"]: r["close"] for r in
-           H.asof_join(d, b, chunk_seconds=3600).select("decision_id", "right.close").collect()}
+           H.asof_join(d, b).select("decision_id", "right.close").collect()}
     adaptive = {r["decision_id"]: r["close"] for r in
-                H.asof_join(d, b, chunk_seconds=None, rows_per_chunk=30).select("decision_id", "right.close").collect()}
+                H.asof_join(d, b, rows_per_piece=30).select("decision_id", "right.close").collect()}
     assert adaptive == got
     pb = pd.DataFrame(bars, columns=["symbol", "timestamp", "close"]).sort_values("timestamp")
     pd_ = pd.DataFrame(dec, columns=["symbol", "timestamp", "decision_id"]).sort_values("timestamp")
@@ -244,29 +244,8 @@ def test_throttle_ignores_session_time_zone(spark):
 
 
 
-def test_throttle_tree_path_equals_single_pass(spark):
-    """Force the tree composition (no key passes the size check) on a dense stream."""
-    random.seed(33)
-    t0 = dt.datetime(2024, 1, 1)
-    rows, t = [], 0
-    for i in range(1500):
-        t += random.choice([0, 10, 60, 120, 299, 301, 900])
-        rows.append((i, "HOT" if i % 5 else "b", t0 + dt.timedelta(seconds=t)))
-    df = spark.createDataFrame(rows, "id long, symbol string, timestamp timestamp_ntz")
-    tree = {r["id"] for r in H.throttle(df, gap_seconds=300, chunk_seconds=1200,
-                                        max_segments_per_key=0).collect()}
-    want, last = set(), {}
-    for i, s, ts in sorted(rows, key=lambda r: (r[2], r[0])):
-        if s not in last or (ts - last[s]).total_seconds() >= 300:
-            want.add(i)
-            last[s] = ts
-    assert tree == want
-
-
-
-@pytest.mark.parametrize("tree", [False, True])
-def test_throttle_adaptive_chunks(spark, tree):
-    """Chunk length from the data (about 40 rows per chunk here), both stage-2 paths."""
+def test_throttle_adaptive_chunks(spark):
+    """Chunk length from the data (about 40 rows per chunk here)."""
     random.seed(44)
     t0 = dt.datetime(2024, 1, 1)
     rows, t = [], 0
@@ -274,11 +253,49 @@ def test_throttle_adaptive_chunks(spark, tree):
         t += random.choice([0, 5, 30, 100, 250, 299, 310, 4000])
         rows.append((i, "HOT" if i % 9 else "c", t0 + dt.timedelta(seconds=t)))
     df = spark.createDataFrame(rows, "id long, symbol string, timestamp timestamp_ntz")
-    got = {r["id"] for r in H.throttle(df, gap_seconds=300, rows_per_chunk=40,
-                                       max_segments_per_key=0 if tree else 2_000_000).collect()}
+    got = {r["id"] for r in H.throttle(df, gap_seconds=300, rows_per_chunk=40).collect()}
     want, last = set(), {}
     for i, s, ts in sorted(rows, key=lambda r: (r[2], r[0])):
         if s not in last or (ts - last[s]).total_seconds() >= 300:
             want.add(i)
             last[s] = ts
     assert got == want
+
+
+def test_asof_bursts_ties_and_handed_rows(spark):
+    """Most rows in one burst, many rows of equal time, keys without right rows, pieces without right rows."""
+    random.seed(12)
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda: t0 + dt.timedelta(seconds=random.choice([random.randint(0, 30), random.randint(0, 100_000)]))
+    left = [(i, random.choice(["HOT", "HOT", "HOT", "a", "none"]), at()) for i in range(600)]
+    right = [(i, random.choice(["HOT", "a", "b"]), at(), float(i)) for i in range(150)]
+    ld = spark.createDataFrame(left, "id long, symbol string, timestamp timestamp_ntz")
+    rd = spark.createDataFrame(right, "rid long, symbol string, timestamp timestamp_ntz, close double")
+    want = {}
+    for i, s, t in left:
+        best = max(((r[2], r[0]) for r in right if r[1] == s and r[2] <= t), default=None)
+        want[i] = best and best[1]
+    for rows in (7, 40, 1_000_000):
+        got = {r["id"]: r["rid"] for r in H.asof_join(ld, rd, rows_per_piece=rows, tie="rid").select("id", "right.rid").collect()}
+        assert got == want
+
+
+def test_pieces_split_a_burst_by_rows(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("HOT", t0 + dt.timedelta(microseconds=i)) for i in range(4000)] + [("HOT", t0 + dt.timedelta(days=d)) for d in range(1, 90)]
+    df = spark.createDataFrame(rows + [("b", t0)], "symbol string, timestamp timestamp_ntz")
+    sizes = {(r["symbol"], r["_c"]): r["n"] for r in H.with_pieces(df, "symbol", "timestamp", 500).groupBy(
+        "symbol", "_c").agg(F.count("*").alias("n")).collect()}
+    hot = [n for (s, _), n in sizes.items() if s == "HOT"]
+    assert len(hot) >= 8 and max(hot) <= 700 and sum(hot) == 4089
+    spans = H.with_pieces(df, "symbol", "timestamp", 500).groupBy("symbol", "_c").agg(
+        F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).filter("symbol = 'HOT'").orderBy("_c").collect()
+    assert all(x["hi"] < y["lo"] for x, y in zip(spans, spans[1:], strict=False))
+
+
+def test_asof_shuffles_each_side_once(spark, sf_small):
+    from glint.plans.catalog import QUERIES
+    from tests.test_plans import plan_of
+
+    tree = plan_of(QUERIES["asof_context"](spark, sf_small)).split("\n\n")[0]
+    assert tree.count("Scan parquet") <= 4 and ("ReusedExchange" in tree or tree.count("Exchange (") <= 4)

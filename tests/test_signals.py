@@ -78,7 +78,8 @@ def test_chunked_halo_equals_plain(spark):
                                "symbol string, timestamp timestamp_ntz, close double, volume double")
     cols = ["symbol", "timestamp", "sma_20", "sma_50", "stddev_20", "avg_volume_20", "trend"]
     a = sorted(tuple(r) for r in signals.indicators(df).select(*cols).collect())
-    variants = [dict(chunk_seconds=3600), dict(chunk_seconds=86_400), dict(split=True, rows_per_chunk=25)]
+    variants = [dict(chunk_seconds=3600), dict(chunk_seconds=86_400), dict(split=True, rows_per_piece=25),
+                dict(split=True, rows_per_piece=90), dict(split=True)]
     for kw in variants:
         b = sorted(tuple(r) for r in signals.indicators(df, **kw).select(*cols).collect())
         assert len(a) == len(b)
@@ -93,3 +94,22 @@ def test_newest_bars_group_limit(spark):
     out = signals.newest_bars(df, 10)
     assert {r["symbol"]: r["n"] for r in out.groupBy("symbol").agg(F.count("*").alias("n")).collect()} == \
         {"A": 10, "B": 3}
+
+
+def test_pieces_with_equal_times_equal_the_plain_windows(spark):
+    """Bars of equal time (ordered by id), a symbol of one row, pieces shorter than a frame."""
+    import random
+    random.seed(9)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, "H" if i % 4 else "C", t0 + dt.timedelta(minutes=random.randint(0, 60)), random.uniform(1, 9), None if i % 11 == 0
+             else float(i % 5)) for i in range(300)] + [(999, "one", t0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, symbol string, timestamp timestamp_ntz, close double, volume double")
+    cols = ["symbol", "timestamp", "close", "sma_20", "sma_50", "stddev_20", "avg_volume_20", "trend"]
+    key = lambda r: (r[0], r[1], r[2])
+    a = sorted((tuple(r) for r in signals.indicators(df).select(*cols).collect()), key=key)
+    for n in (10, 60):
+        b = sorted((tuple(r) for r in signals.indicators(df, split=True, rows_per_piece=n).select(*cols).collect()), key=key)
+        assert [x[:3] + x[-1:] for x in a] == [x[:3] + x[-1:] for x in b]
+        for x, y in zip(a, b, strict=True):
+            assert [v is None for v in x] == [v is None for v in y]
+            assert [v for v in x[3:-1] if v is not None] == pytest.approx([v for v in y[3:-1] if v is not None], rel=1e-9)
