@@ -7,11 +7,13 @@ emotions array<string>, embedding array<float>``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glint.functions.text import collect_text, fmt_fixed
+from glint.operators.history import with_pieces
 from glint.operators.vectors import top_k
+from glint.session import written
 
 # The memory types, all of which appear in statistics.
 MEMORY_TYPES = ["trading_decision", "market_event", "research_insight", "performance_metric"]
@@ -73,43 +75,62 @@ def memory_line(content, importance) -> F.Column:
 
 
 def consolidation_prompt(date, memories_text) -> F.Column:
+    # Fixed value: text that asks a model for a summary (an interface; V19).
     return F.concat(F.lit("Analyze these trading memories from "), F.date_format(date, "yyyy-MM-dd"),
                     F.lit(" and create a consolidated insight:\n\nMemories:\n"), memories_text,
                     F.lit("\n\nCreate a concise summary that captures the key patterns and insights."))
 
 
-def consolidate(memories: DataFrame, summarizer=None, include_consolidated: bool = False) -> DataFrame:
-    """A2: per (type, date) with at least 2 memories, one consolidated memory.
+def consolidate(memories: DataFrame, summarizer=None, include_consolidated: bool = False,
+                memory_type: str | None = None, rows_per_piece: int = 10_000, fan: int = 16) -> DataFrame:
+    """A2: per (type, date) with at least 2 memories, one consolidated memory; ``memory_type`` takes one type only.
 
-    Its text is the day's lines in time order (or a summary of them by
-    ``summarizer``, a function DataFrame -> DataFrame over column ``prompt`` adding
-    ``summary``); importance is the day's maximum, timestamp is midnight.
-    Earlier consolidated memories are left out unless asked for.
+    Importance is the day's maximum, timestamp is midnight. Earlier consolidated memories are left out unless asked
+    for. A day's memories are cut into ordered pieces of about ``rows_per_piece`` rows. Without a ``summarizer`` the
+    text is the day's lines in time order: pieces are joined first, and only the last step sees a whole day. A
+    ``summarizer`` (DataFrame -> DataFrame over column ``prompt`` adding ``summary``) is given one piece at a time, then
+    the summaries of ``fan`` neighbouring pieces, and so on up to the day, so that no text grows with the day.
     """
     m = memories
+    if memory_type is not None:
+        m = m.filter(F.col("memory_type") == memory_type)
     if not include_consolidated:
         m = m.filter(F.coalesce(F.col("metadata")["type"], F.lit("")) != "consolidated_memory")
-    g = (m.groupBy("memory_type", F.to_date("timestamp").alias("date"))
-         .agg(F.count(F.lit(1)).alias("source_count"),
-              F.max("importance").alias("importance"),
+    m = m.withColumn("date", F.to_date("timestamp"))
+    m = m.withColumn("_day", F.concat_ws("|", F.coalesce("memory_type", F.lit("")), "date"))
+    g = (with_pieces(m, "_day", "timestamp", rows_per_piece, "_piece").groupBy("memory_type", "date", "_piece")
+         .agg(F.count(F.lit(1)).alias("source_count"), F.max("importance").alias("importance"),
               collect_text(memory_line(F.col("content"), F.col("importance")),
-                           F.col("timestamp"), F.col("memory_id")).alias("memories_text"))
-         .filter(F.col("source_count") >= 2))
-    g = (g.withColumn("timestamp", F.to_timestamp_ntz(F.col("date")))
-         .withColumn("metadata", F.create_map(
-             F.lit("type"), F.lit("consolidated_memory"),
-             F.lit("source_count"), F.col("source_count").cast("string"),
-             F.lit("date"), F.date_format("date", "yyyy-MM-dd")))
-         .withColumn("prompt", consolidation_prompt(F.col("date"), F.col("memories_text"))))
-    if summarizer is not None:
-        g = summarizer(g).withColumn("content", F.col("summary")).drop("summary")
+                           F.col("timestamp"), F.col("memory_id")).alias("memories_text")))
+    whole = Window.partitionBy("memory_type", "date")
+    g = g.withColumn("_all", F.sum("source_count").over(whole)).filter(F.col("_all") >= 2).drop("_all")
+
+    def joined(level: DataFrame, text: str, piece) -> DataFrame:
+        return level.groupBy("memory_type", "date", piece.alias("_up")).agg(
+            F.sum("source_count").alias("source_count"), F.max("importance").alias("importance"),
+            collect_text(F.col(text), F.col("_piece")).alias("memories_text")).withColumnRenamed("_up", "_piece")
+
+    if summarizer is None:
+        g = joined(g, "memories_text", F.lit(0).cast("long")).withColumn("content", F.col("memories_text"))
     else:
-        g = g.withColumn("content", F.col("memories_text"))
-    return g
+        while True:
+            asked = g.withColumn("prompt", consolidation_prompt(F.col("date"), F.col("memories_text")))
+            g = written(summarizer(asked), "consolidation")
+            if (g.agg(F.max("_piece")).first()[0] or 0) == 0:
+                break
+            g = joined(g, "summary", F.floor(F.col("_piece") / F.lit(fan)))
+        g = g.withColumn("content", F.col("summary")).drop("summary")
+    g = g.drop("_piece")
+    return (g.withColumn("timestamp", F.to_timestamp_ntz(F.col("date")))
+            .withColumn("metadata", F.create_map(
+                F.lit("type"), F.lit("consolidated_memory"),
+                F.lit("source_count"), F.col("source_count").cast("string"),
+                F.lit("date"), F.date_format("date", "yyyy-MM-dd"))))
 
 
 def importance_prompt(memory_type, content, context) -> F.Column:
     """Text that asks a model for an importance in [0, 1]."""
+    # Fixed value: the text is an interface.
     return F.concat(F.lit("Analyze the importance of this trading-related memory (0.0 to 1.0):\n\nType: "),
                     memory_type, F.lit("\nContent: "), content,
                     F.lit("\nContext: "), F.coalesce(context, F.lit("None")),

@@ -11,14 +11,18 @@ scanned twice, for the maxima and for the top k by the combined score (``glint.o
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glint.functions.text import tokenize, truncate_tokens
 from glint.functions.vector import cosine
 from glint.operators.bm25 import bm25_topk
+from glint.operators.models import embed
 from glint.operators.scoring import hybrid_topk
 from glint.operators.text_index import BM25Index, top_by
 from glint.operators.vectors import top_k
+from glint.session import written
 
 W_BM25 = 0.4
 W_SEM = 0.6
@@ -53,6 +57,46 @@ def rerank(hits: DataFrame, doc_vecs: DataFrame, query_vecs: DataFrame) -> DataF
     return j.withColumn("rerank_rank", F.row_number().over(w))
 
 
+def encoded(texts: DataFrame, encoder, dim: int, cache: str | None = None) -> DataFrame:
+    """``sha, vector`` of the distinct ``sha, text`` rows. With ``cache``, a folder of vectors by content hash, only texts
+    that it does not hold reach the encoder, and theirs are added to it."""
+    spark = texts.sparkSession
+    new, known = texts, None
+    if cache is not None:
+        try:
+            known = spark.read.parquet(cache)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        if known is not None:
+            new = texts.join(known.select("sha"), "sha", "left_anti")
+    made = embed(new, "text", encoder, dim, "vector").select("sha", F.col("vector").cast("array<double>").alias("vector"))
+    if cache is None:
+        return made
+    made.write.mode("append").parquet(cache)
+    return spark.read.parquet(cache).join(texts.select("sha"), "sha", "left_semi").dropDuplicates(["sha"])
+
+
+def rerank_by_encoder(hits: DataFrame, docs: DataFrame, queries: DataFrame, encoder=None, dim: int = 64,
+                      cache: str | None = None, max_tokens: int = 512, query_text: str = "query") -> DataFrame:
+    """T3 + V9: kept rows scored by a second encoder and re-sorted; adds ``reranking_score`` and ``rerank_rank``.
+
+    Two stages: only the texts of the hits (``docs``: ``doc_id, content``) and of their queries, cut to ``max_tokens``
+    tokens, reach ``encoder`` (texts -> vectors of ``dim``; without one, feature hashing), each distinct text once.
+    """
+    def cut(text: str):
+        return F.array_join(truncate_tokens(tokenize(text), max_tokens), " ").alias("text")
+    d = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", cut("content"))
+    q = queries.join(hits.select("query_id").distinct(), "query_id", "left_semi").select("query_id", cut(query_text))
+    d, q = (x.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("sha", F.sha2("text", 256)) for x in (d, q))
+    d, q = written(d, "rerank-docs"), written(q, "rerank-queries")
+    texts = d.select("sha", "text").unionByName(q.select("sha", "text")).dropDuplicates(["sha"])
+    vectors = encoded(texts, encoder, dim, cache)
+    dv = d.join(vectors, "sha").select("doc_id", F.col("vector").alias("embedding"))
+    qv = q.join(vectors, "sha").select("query_id", F.col("vector").alias("embedding"))
+    return rerank(hits, dv, qv)
+
+
 def high_relevance(hits: DataFrame, bound: float = HIGH_RELEVANCE) -> DataFrame:
     """relevance or rerank score at least ``bound``; missing scores count as 0."""
     return hits.filter((F.coalesce("relevance_score", F.lit(0.0)) >= bound)

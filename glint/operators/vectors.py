@@ -1,6 +1,4 @@
-"""Exact vector search by scans and by stored cells, mean pooling, filling missing vectors.
-
-(J3, T4, A5, A8, J6, V3-V5.)
+"""Exact vector search by scans and by stored cells, mean pooling.
 
 Items are never shuffled and never paired with queries as rows. Queries are broadcast in blocks of a bounded
 size; a scan of the items scores Arrow batches against the block and a task sends only its best k per query,
@@ -269,15 +267,3 @@ def mean_pool(chunks: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
     vectors themselves; rows without a vector do not count."""
     v = chunks.filter(F.col(vec).isNotNull()).select(key, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
     return v.groupBy(key).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias(vec))
-
-
-def fill_embeddings(docs: DataFrame, embed_fn, text: str = "content", vec: str = "embedding") -> DataFrame:
-    """Keep stored vectors; compute the missing ones with ``embed_fn`` (J6 + U1).
-
-    ``embed_fn(DataFrame) -> DataFrame`` adds column ``vec`` (see glint.operators.models).
-    Only rows without a vector reach the embedder. Adds ``vector_source``.
-    """
-    have = docs.filter(F.col(vec).isNotNull()).withColumn("vector_source", F.lit("stored"))
-    missing = docs.filter(F.col(vec).isNull()).drop(vec)
-    filled = embed_fn(missing).withColumn("vector_source", F.lit("computed"))
-    return have.unionByName(filled.select(*have.columns))

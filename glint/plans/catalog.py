@@ -44,3 +44,4 @@ from glint.plans import q_retrieval  # noqa: E402,F401
 from glint.plans import q_assemble  # noqa: E402,F401
 from glint.plans import q_models  # noqa: E402,F401
 from glint.plans import q_streams  # noqa: E402,F401
+from glint.plans import q_chain  # noqa: E402,F401

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from glint.operators import memory as M
 from glint.operators import models as MD
-from glint.operators.vectors import fill_embeddings
 from glint.functions.vector import norm
 from glint.plans import bindings as B
 from glint.plans import sqlbind as S
@@ -25,7 +24,7 @@ def fill_embeddings_q(spark, sf):
     """J6 + U1: stored vectors kept, missing ones computed by the default embedder
     (feature hashing, L2-normalised; only rows without a vector are embedded)."""
     d = B.documents(spark, sf).select("doc_id", "content", "embedding")
-    out = fill_embeddings(d, lambda df: MD.embed(df, "content", None, 64))
+    out = MD.fill_embeddings(d)
     return out.select("doc_id", "vector_source", F.size("embedding").alias("dim"),
                       F.round(norm("embedding"), 6).alias("norm"))
 

@@ -13,6 +13,7 @@ from glint.operators.bm25 import bm25_topk
 from glint.plans import bindings as B
 from glint.plans import sqlbind as S
 from glint.plans.catalog import register, round_doubles
+from glint.plans.standins import letter_counts
 from glint.session import shared_dir
 from glint.sources.index_store import load_index, save_index
 
@@ -187,6 +188,36 @@ def high_relevance(spark, sf):
     return round_doubles(R.high_relevance(_reranked(spark, sf)))
 
 
+def letters_sql(text: str) -> str:
+    """The same vector of the first 512 tokens of ``text``."""
+    cut = f"array_to_string(({S.tokens(text)})[1:512], ' ')"
+    return f"list_transform(range(26), lambda i: (length({cut}) - length(replace({cut}, chr((97 + i)::INTEGER), '')))::DOUBLE)"
+
+
+def encoder_sql(hits: str) -> str:
+    """CTE ``rr``: the rows of ``hits`` (query_id, doc_id, rank) with ``reranking_score`` by ``letter_counts``."""
+    return f"""qv AS (SELECT query_id, {letters_sql('query')} AS qe FROM queries
+        WHERE query_id IN (SELECT query_id FROM {hits})),
+dv AS (SELECT doc_id, {letters_sql('content')} AS de FROM docs WHERE doc_id IN (SELECT doc_id FROM {hits})),
+rr AS (SELECT h.*, CASE WHEN list_sum(qe) > 0 AND list_sum(de) > 0
+                        THEN list_cosine_similarity(qe, de) ELSE 0.0 END AS reranking_score
+       FROM {hits} h JOIN dv USING (doc_id) JOIN qv USING (query_id))"""
+
+
+@register("rerank_encoder", f"""WITH {S.DOCUMENTS}, {S.QUERIES}, {BM25_CORE}, {QT_PLAIN}, {bm25_sql('qt')}
+{HYBRID_TAIL.format(where='')}, {encoder_sql('hits')}
+SELECT {HYBRID_COLS}, round(reranking_score, 9) AS reranking_score,
+       row_number() OVER (PARTITION BY query_id ORDER BY round(reranking_score, 9) DESC, rank)::INTEGER AS rerank_rank
+FROM rr""")
+def rerank_encoder(spark, sf):
+    """T3 + V9: the hits of hybrid retrieval, cut to 512 tokens, re-ranked by a plugged second encoder; vectors are
+    kept by content hash."""
+    hits = _hybrid(spark, sf)
+    docs = B.documents(spark, sf).select("doc_id", "content")
+    return round_doubles(R.rerank_by_encoder(hits, docs, B.queries(spark, sf).select("query_id", "query"), letter_counts, 26,
+                                             shared_dir(spark, "encoder-vectors")))
+
+
 WINDOW = ("2024-01-01 12:00:00", "2024-01-02 12:00:00")
 ENH_SQL = f"""'Context: Market Context: - Current Time: ' || strftime(TIMESTAMP '{B.NOW}', '%Y-%m-%d %H:%M:%S')
   || ' - Trading Session: ' || CASE WHEN hour(TIMESTAMP '{B.NOW}') BETWEEN 9 AND 16

@@ -199,17 +199,18 @@ SELECT memory_type, strftime(date, '%Y-%m-%d') AS date, source_count, round(impo
        length(txt)::BIGINT AS text_length, sha256(txt) AS text_sha256
 FROM g""")
 def maintenance_jobs(spark, sf):
-    """The consolidation job over the memory table that the stream feeds."""
+    """The consolidation job over the memory table that the stream feeds, storing its results there."""
+    from glint.sources.memories import read_memories
     path = _stream_memories(spark, sf, 500.0)
-    out = ST.consolidate_job(spark, path, shared_dir(spark, "consolidated"))
-    c = spark.read.parquet(out)
-    return round_doubles(c.select("memory_type", F.date_format("date", "yyyy-MM-dd").alias("date"),
-                                  "source_count", "importance",
+    for _ in range(2):                 # the second run finds nothing new
+        ST.consolidate_job(spark, path)
+    c = read_memories(spark, path).filter(F.col("metadata")["type"] == "consolidated_memory")
+    return round_doubles(c.select("memory_type", F.col("metadata")["date"].alias("date"),
+                                  F.col("metadata")["source_count"].cast("long").alias("source_count"), "importance",
                                   F.length("content").cast("long").alias("text_length"),
                                   F.sha2("content", 256).alias("text_sha256")))
 
 
-
 _LANGS = ["en", "de", "fr", "es"]
 
 

@@ -1,4 +1,4 @@
-"""The memory table on disk: one parquet dataset partitioned by ``memory_type``."""
+"""The memory table on disk: one parquet dataset in folders by ``memory_type`` and day."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def read_memories(spark: SparkSession, path: str, memory_type: str | None = None) -> DataFrame:
     """All memories, or one type; the type filter prunes partitions."""
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(path).drop("day")
     return df if memory_type is None else df.filter(F.col("memory_type") == memory_type)
 
 

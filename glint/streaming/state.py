@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from glint.functions.scalar import ntz_micros
+from glint.session import written
 
 SHORT, LONG = 20, 50
 
@@ -159,14 +160,18 @@ def memories_sink(path: str, **kw):
     return run
 
 
-def consolidate_job(spark, memory_path: str, out_path: str) -> str:
-    """Run-once consolidation of the memory table; the schedule belongs to the caller."""
+def consolidate_job(spark, memory_path: str, summarizer=None, memory_type: str | None = None) -> None:
+    """Run-once consolidation of the memory table; the schedule belongs to the caller. The consolidated memories
+    are stored in the same table, marked in their metadata, and are not consolidated again; a second run over the
+    same memories stores nothing."""
     from glint.operators.memory import consolidate
+    from glint.operators.models import append_memories
     from glint.sources.memories import read_memories
-    c = consolidate(read_memories(spark, memory_path))
-    c.select("memory_type", "date", "source_count", "importance", "timestamp", "content") \
-        .write.mode("overwrite").parquet(out_path)
-    return out_path
+    c = consolidate(read_memories(spark, memory_path), summarizer, memory_type=memory_type)
+    rows = c.select(F.lit(None).cast("long").alias("memory_id"), "memory_type", "content", "timestamp", "importance",
+                    "metadata", F.lit(None).cast("string").alias("context"),
+                    F.lit(None).cast("array<string>").alias("emotions"))
+    append_memories(written(rows, "consolidated"), memory_path)
 
 
 def refresh_index_job(docs: DataFrame, base: str, version: str, mtime: dt.datetime, keep: int = 5):
