@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from glint.llm.common import schema_with, slices
+from glint.llm.common import releasing, schema_with, slices
 
 BLOCK_BYTES = 12 << 20     # text whose new words are replayed together
 SLICE_BYTES = 2 << 20      # text that is split into words at a time
@@ -55,7 +55,7 @@ class MergeReplay:
         self.token_size = np.array([len(t) for t in tokens], dtype=np.int64)
         self.token_first = np.cumsum(self.token_size) - self.token_size
         self.token_bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
-        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.shift = top
         pairs = {}
         for t, i in ranks.items():
@@ -63,26 +63,24 @@ class MergeReplay:
                 a, b = ranks.get(t[:cut]), ranks.get(t[cut:])
                 if a is not None and b is not None:
                     pairs[a * top + b] = i
-        self.pairs = pairs
         self.keys = np.array(sorted(pairs), dtype=np.int64)
-        self.merged = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
+        self.merged = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int32)
 
     def lookup(self, left, right) -> np.ndarray:
         """Rank that each pair merges into, or -1."""
-        key = left * self.shift + right
+        key = np.asarray(left, dtype=np.int64) * self.shift + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.merged[at], -1)
 
     def one(self, word: bytes) -> list[int]:
         """A word on its own: lowest rank first, leftmost first."""
-        tok = [int(self.single[b]) for b in word]
+        tok = self.single[np.frombuffer(word, dtype=np.uint8)].tolist()
         while len(tok) > 1:
-            found = [(self.pairs.get(a * self.shift + b, self.shift), i)
-                     for i, (a, b) in enumerate(zip(tok, tok[1:], strict=False))]
-            r, i = min(found)
-            if r == self.shift:
+            rank = self.lookup(np.array(tok[:-1]), np.array(tok[1:]))
+            if rank.max() < 0:
                 break
-            tok[i:i + 2] = [r]
+            i = int(np.argmin(np.where(rank < 0, self.shift, rank)))
+            tok[i:i + 2] = [int(rank[i])]
         return tok
 
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,12 +91,13 @@ class MergeReplay:
         if not n:
             return np.zeros(0, np.int64), size
         start = np.cumsum(size) - size
-        tok = np.append(self.single[raw], -1)
-        nxt = np.append(np.arange(1, n + 1), n)            # n: no neighbour
+        place = np.int32                                   # a block is far below 2 GB
+        tok = np.append(self.single[raw], place(-1))
+        nxt = np.append(np.arange(1, n + 1, dtype=place), place(n))            # n: no neighbour
         nxt[start[size > 0] + size[size > 0] - 1] = n
-        prv = np.append(np.arange(-1, n - 1), n)
+        prv = np.append(np.arange(-1, n - 1, dtype=place), place(n))
         prv[start[size > 0]] = n
-        now = np.full(n + 1, -1, dtype=np.int64)           # rank of the pair that begins here
+        now = np.full(n + 1, -1, dtype=place)              # rank of the pair that begins here
         index: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
         odd: list[np.ndarray] = []
@@ -106,7 +105,7 @@ class MergeReplay:
         def add(pos: np.ndarray, rank: np.ndarray) -> None:
             now[pos] = rank
             ok = rank >= 0
-            pos, rank = pos[ok], rank[ok]
+            pos, rank = pos[ok].astype(place), rank[ok]
             if not len(pos):
                 return
             if len(pos) > 1:
@@ -260,7 +259,7 @@ def encode_documents(docs: DataFrame, rank_file: bytes, pattern: str, text: str
                         words = Words(replay)
         yield from coded(block)
 
-    return docs.mapInArrow(run, schema_with(docs, **{ids: T.ArrayType(T.IntegerType())}))
+    return docs.mapInArrow(releasing(run), schema_with(docs, **{ids: T.ArrayType(T.IntegerType())}))
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -298,4 +297,4 @@ def decode_documents(encoded: DataFrame, rank_file: bytes, ids: str = "ids", dec
                 yield out
 
     new = {decoded: T.BinaryType()} | ({digest: T.StringType()} if digest else {})
-    return encoded.mapInArrow(run, schema_with(encoded, **new))
+    return encoded.mapInArrow(releasing(run), schema_with(encoded, **new))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,3 +57,38 @@ def slices(batch, column: str, most: int):
         held += n
     if start < len(sizes):
         yield batch.slice(start)
+
+
+def give_back() -> None:
+    """Return freed memory of this worker to the system: workers outlive their tasks, and the next stage
+    needs the memory too."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):          # another C library
+        pass
+
+
+def releasing(run):
+    """The batch function ``run``, whose memory is given back when its task ends."""
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return tidied
+
+
+def releasing_group(fit):
+    """The group function ``fit``, whose memory is given back when it returns (for few groups only)."""
+    @functools.wraps(fit)
+    def tidied(rows):
+        try:
+            return fit(rows)
+        finally:
+            give_back()
+    return tidied

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glint.llm.bpe import spread_out
-from glint.llm.common import slices
+from glint.llm.common import releasing, slices
 
 PASSAGE, STRIDE = 48, 24       # words
 ITEM_BLOCK = 512               # items that share a latent space
@@ -154,7 +154,7 @@ def document_frequency(texts: DataFrame, items: Items) -> tuple[np.ndarray, int]
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["term", "df"])
 
     df = np.zeros(m + 1, dtype=np.int64)
-    rows = texts.select("text").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    rows = texts.select("text").mapInArrow(releasing(run), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     for r in rows.collect():                                     # a row per term
         df[r["term"]] = r["df"]
     return df[:m], max(1, int(df[m]))
@@ -229,7 +229,7 @@ def latent_bases(texts: DataFrame, items: Items, views: list[View]) -> list[np.n
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    parts = texts.select("text").mapInArrow(run, "row long, v array<double>")
+    parts = texts.select("text").mapInArrow(releasing(run), "row long, v array<double>")
     summed = (parts.select("row", array_to_vector("v").alias("v")).groupBy("row")
               .agg(Summarizer.sum(F.col("v")).alias("v")).select("row", vector_to_array("v").alias("v")))
     total = np.zeros((len(views), m + columns, columns))
@@ -404,7 +404,7 @@ def _search(texts: DataFrame, items: Items, views: list[View], bases: list[np.nd
                      enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))],
                     ["doc_id", "item_id", "similarity", "lcs_share", "answer_share"])
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(releasing(run), schema)
 
 
 def without_contamination(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glint.llm.common import slices, stored
+from glint.llm.common import releasing, slices, stored
 from glint.llm.components import components
 from glint.llm.words import SPACE, hashed_words, mix, shingles, text_bytes
 
@@ -79,7 +79,7 @@ def features(docs: DataFrame, words: int, hashes: int) -> DataFrame:
                     ["doc_id", "n_shingles", "class_key", "sig"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_shingles long, class_key binary, sig binary")
+        releasing(run), "doc_id long, n_shingles long, class_key binary, sig binary")
 
 
 def _band_rows(classes: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -99,7 +99,7 @@ def _band_rows(classes: DataFrame, bands: int, rows: int) -> DataFrame:
                     [pa.array(h.view(np.int64)), pa.array(np.full(n, b, np.int32)), batch.column("id"),
                      batch.column("component")], ["bucket", "band", "id", "component"])
 
-    return classes.select("id", "component", "sig").mapInArrow(run, "bucket long, band int, id long, component long")
+    return classes.select("id", "component", "sig").mapInArrow(releasing(run), "bucket long, band int, id long, component long")
 
 
 def _prune(pairs: DataFrame, classes: DataFrame, num: int, den: int, hashes: int, batch: int,
@@ -125,7 +125,7 @@ def _prune(pairs: DataFrame, classes: DataFrame, num: int, den: int, hashes: int
             yield pa.RecordBatch.from_arrays([rb.column("a").take(pa.array(left)), rb.column("b").take(pa.array(left))],
                                              ["a", "b"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(releasing(run), "a long, b long")
 
 
 def _sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -139,7 +139,7 @@ def _sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
                 out = [s.tobytes() for s in shingles(*hashed_words(raw, sizes, SPACE), words)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary())], ["id", "s"])
 
-    return one.mapInArrow(sets, "id long, s binary")
+    return one.mapInArrow(releasing(sets), "id long, s binary")
 
 
 def _alike(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
@@ -158,7 +158,7 @@ def _verify(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
                   for x in zip(batch.column("sa"), batch.column("sb"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(releasing(exact), "a long, b long")
 
 
 def _across(classes: DataFrame, comp: DataFrame, full: DataFrame, bands: int, rows: int, num: int, den: int,

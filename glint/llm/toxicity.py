@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glint.llm.common import schema_with, stored
+from glint.llm.common import releasing, releasing_group, schema_with, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5)                 # lengths of the word beginnings that are features
@@ -143,7 +143,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...
     schema = T.StructType([T.StructField("doc_id", T.LongType()),
                            *[T.StructField(c, T.IntegerType()) for c in categories],
                            T.StructField("x", T.BinaryType())])
-    rows = rows.select("doc_id", "text", *categories).mapInArrow(run, schema)
+    rows = rows.select("doc_id", "text", *categories).mapInArrow(releasing(run), schema)
     rows = rows.dropDuplicates(["doc_id"])
     return rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds)).cast("int"))
 
@@ -193,7 +193,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...]
         models = models.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(folds))))     # folds: all rows
 
         done = stored(models.groupBy("model").applyInPandas(
-            fitter(at, bits), "doc_id long, prob double, y double, model int, weights binary"), "toxicity-fit")
+            releasing_group(fitter(at, bits)), "doc_id long, prob double, y double, model int, weights binary"), "toxicity-fit")
         oof = done.filter("weights is null")
         final = done.filter("weights is not null").collect()
         scored = oof.select("prob", "y").toPandas()             # at most train_rows rows
@@ -266,7 +266,7 @@ def score_chain(docs: DataFrame, chain: list[Link], text: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(p) for p in probs],
                                              [*kept, *names])
 
-    return docs.mapInArrow(run, schema_with(docs, **{n: T.DoubleType() for n in names}))
+    return docs.mapInArrow(releasing(run), schema_with(docs, **{n: T.DoubleType() for n in names}))
 
 
 def classify(docs: DataFrame, labels: DataFrame, category: str = "toxic", **how) -> DataFrame:
