@@ -3,9 +3,12 @@
 The standard library's streaming parser turns a page into lines (the text of one
 block) without building a tree. Each line has a text-to-tag ratio; the ratios are
 smoothed with a Gaussian, and a two-cluster threshold separates content lines from
-the rest. The region (article, main or other container) that holds most of the
-content text is the article; all of its lines are kept, short ones too. Parts that
-are boilerplate by their element or their class, id or role never become lines.
+the rest. Candidate regions compete by the text of their content lines: sibling
+articles together, a main, or the container with most content and its neighbours that are
+content too; articles and mains get a bonus, no more. All lines of the winner are kept, short
+ones too, but runs of lines that are links alone. Parts that are boilerplate by their element or
+their class, id or role never become lines. Of equal candidates the more special one wins (articles,
+then main), and of equal containers the first on the page; a page is read whole, however long.
 
 Defined cases: null html is empty html, whose text is empty; markup that is cut off
 or never closed ends with the page; all other columns pass through; an existing
@@ -33,13 +36,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 DROPPED = frozenset("""aside audio button canvas datalist dialog footer form head iframe label menu nav
 noscript object option script select style svg template textarea title video""".split())
 REGIONS = frozenset("article main section div td body".split())
+SIGMA = 1.0                   # of the Gaussian, in lines
+REST = 0.25                   # weight of text that is not in a content line
+BONUS = {"article": 1.5, "main": 1.2, None: 1.0}
+LINKS = (3, 0.8)              # lines of a run of links, and their share of link text
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Parts of class, id and role values that mark boilerplate.
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|"
     r"copyright|disqus|footer|gdpr|header|masthead|menu|modal|nav\w*|newsletter|notices?|notification|pagination|"
     r"popup|promo\w*|related|replies|reply|responses|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|"
-    r"subscription|toolbar|widget|complementary|contentinfo|search|alert|dialog)(?:$|[\s_-])", re.I)
+    r"subscription|toolbar|widget|complementary|contentinfo|search(?!-results?)|alert|dialog)(?:$|[\s_-])", re.I)
 
 
 class PageLines(HTMLParser):
@@ -146,8 +153,9 @@ class PageLines(HTMLParser):
                 self.link += len(data)
 
 
-def content_lines(lines: list, sigma: float = 1.0) -> np.ndarray:
+def content_lines(lines: list) -> np.ndarray:
     """Marks of the lines whose smoothed text-to-tag ratio is in the upper cluster."""
+    sigma = SIGMA
     ratio = np.array([max(0, len(t) - link) / max(1, tags) for t, tags, link, _ in lines], dtype=float)
     reach = np.arange(-int(3 * sigma), int(3 * sigma) + 1)
     kernel = np.exp(-reach ** 2 / (2 * sigma * sigma))
@@ -175,6 +183,7 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     content = content_lines(lines)
+    value = [(len(t) - link) * (1.0 if hit else REST) for (t, _, link, _), hit in zip(lines, content, strict=True)]
 
     def ancestors(r: int) -> list[int]:
         out = []
@@ -184,25 +193,56 @@ def main_text(html: str | None) -> str:
         return out
 
     up = [ancestors(r) for *_, r in lines]
-    for kind in ("article", "main", None):
-        weight: dict[int, float] = {}
-        for (text, _, link, _), near, hit in zip(lines, up, content, strict=True):
-            found = [r for r in near if page.regions[r][0] == kind]
-            key = found[-1] if found else near[0] if kind is None else -1     # outermost of the kind
-            if key >= 0:
-                weight[key] = weight.get(key, 0) + (len(text) - link) * (1.0 if hit else 0.25)
-        if weight:
-            break
-    best = max(weight, key=lambda r: (weight[r], -r))
-    if kind is not None:
-        return "\n\n".join(t for (t, *_), near in zip(lines, up, strict=True) if best in near)
-    # no semantic region: widen the container while what is around it is content too
-    region = {best}
-    for r, w in weight.items():
+    inside: dict[int, float] = {}             # of a region with all that is in it
+    own: dict[int, float] = {}                # of the lines that are directly in it
+    holds: set[int] = set()                   # regions with a content line
+    for v, near, hit in zip(value, up, content, strict=True):
+        own[near[0]] = own.get(near[0], 0.0) + v
+        for r in near:
+            inside[r] = inside.get(r, 0.0) + v
+        holds.update(near if hit else ())
+
+    def outermost(kind: str) -> list[int]:
+        found = [[r for r in near if page.regions[r][0] == kind] for near in up]
+        return sorted({f[-1] for f in found if f})
+
+    candidates: list[tuple[float, str | None, set[int]]] = []
+    siblings: dict[int, list[int]] = {}
+    for r in outermost("article"):
+        siblings.setdefault(page.regions[r][1], []).append(r)
+    for group in siblings.values():
+        best = max(inside[r] for r in group)
+        kept = {r for r in group if inside[r] == best or (r in holds and inside[r] >= 0.1 * best)}
+        candidates.append((sum(inside[r] for r in kept), "article", kept))
+    candidates += [(inside[r], "main", {r}) for r in outermost("main")]
+    # the container with most text of its own, and the others that are content too
+    best = max(own, key=lambda r: (own[r], -r))
+    wide = {best}
+    for r, w in own.items():
         marks = [hit for (*_, at), hit in zip(lines, content, strict=True) if at == r]
-        if w >= 0.2 * weight[best] and np.mean(marks) >= 0.5:
-            region.add(r)
-    return "\n\n".join(t for (t, *_, at) in lines if at in region)
+        if w >= 0.2 * own[best] and np.mean(marks) >= 0.5:
+            wide.add(r)
+    candidates.append((sum(own[r] for r in wide), None, wide))
+    order = ("article", "main", None)
+    _, kind, chosen = max(candidates, key=lambda c: (c[0] * BONUS[c[1]], -order.index(c[1]), -min(c[2])))
+    mine = [i for i, near in enumerate(up) if (near[0] in chosen if kind is None else chosen.intersection(near))]
+    return "\n\n".join(lines[i][0] for i in without_link_lists(lines, mine))
+
+
+def without_link_lists(lines: list, at: list[int]) -> list[int]:
+    """The lines ``at`` without runs of lines that are links alone (lists of further reading, menus)."""
+    least, share = LINKS
+    out: list[int] = []
+    run: list[int] = []
+    for i in [*at, -1]:
+        if i >= 0 and lines[i][2] >= share * len(lines[i][0]):
+            run.append(i)
+            continue
+        out += run if len(run) < least else []
+        run = []
+        if i >= 0:
+            out.append(i)
+    return out
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", out: str = "main_text") -> DataFrame:
