@@ -4,8 +4,11 @@ Base rules find e-mail addresses, IP addresses, card and phone numbers; their sp
 stay. High-recall generators propose further, possibly overlapping spans (written-out
 addresses, numbers with other separators). Boosted trees score each candidate by features
 of its format and context. They are trained on a bounded sample of documents (``train_docs``,
-least hash of doc_id): a candidate that a base rule confirms is a positive, any other a
-negative. Per kind, the least score at which held-out candidates reach ``precision`` is the
+least hash of doc_id), each taken three times: as it is, where a candidate that a base rule confirms is a
+positive and any other a negative, and with its addresses and phone numbers rewritten in place into forms
+that no base rule finds (spelt-out addresses, national numbers), where these are the positives and
+what else the generators propose the negatives, and with phone numbers replaced by numbers that are nobody's
+(plain runs, years, dates, amounts), all negatives. Per kind, the least score at which held-out candidates reach ``precision`` is the
 threshold; a candidate at or above it that overlaps no base span becomes a span.
 
 The trees become one SQL expression, so that scoring runs inside the scan's stage: no
@@ -38,7 +41,24 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 IP_OK = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
 # Generators with high recall.
 LOOSE_EMAIL = (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?(?:@|[\[(]at[\])])\x20?[A-Za-z0-9-]++"
-               r"(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]++)++")
+               r"(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)++")
+# Forms that training rewrites spans into: (kind, SQL over x.m, the match, and d, its digits).
+FORMS = (
+    ("email", "concat(substring_index(x.m, '@', 1), ' [at] ', replace(substring_index(x.m, '@', -1), '.', ' [dot] '))"),
+    ("email", "concat(substring_index(x.m, '@', 1), '(at)', replace(substring_index(x.m, '@', -1), '.', '(dot)'))"),
+    ("email", "concat(substring_index(x.m, '@', 1), ' @ ', substring_index(x.m, '@', -1))"),
+    ("phone", "concat('(', substring(d, 2, 3), ') ', substring(d, 5, 3), '-', substring(d, 8))"),
+    ("phone", "concat('00', substring(d, 1, 2), ' ', substring(d, 3, 2), ' ', substring(d, 5))"),
+    ("phone", "concat('0', substring(d, 3, 3), '/', substring(d, 6))"),
+)
+# Numbers that are nobody's: plain runs, spans of years, dates, grouped amounts, version-like ones.
+DECOYS = (
+    ("phone", "substring(d, 1, 9)"),
+    ("phone", "concat('19', substring(d, 2, 2), '-20', substring(d, 4, 2))"),
+    ("phone", "concat('20', substring(d, 2, 2), '-0', substring(d, 4, 1), '-1', substring(d, 5, 1))"),
+    ("phone", "concat(substring(d, 2, 1), ' ', substring(d, 3, 3), ' ', substring(d, 6, 3), ' ', substring(d, 3, 3))"),
+    ("phone", "concat(substring(d, 2, 4), ' (', substring(d, 5, 4), ') ', substring(d, 3, 2), '.', substring(d, 6, 1))"),
+)
 LOOSE_NUMBER = r"[+(]{0,2}[0-9](?:[\x20().\-/]{0,2}[0-9]){6,}+"
 CONTEXT = r"(?i)(?:tel|phone|call|mobile|fax|mail|contact|card|visa|credit|account|address|host|server|\bip\b)"
 
@@ -131,10 +151,59 @@ def candidates(text: Column) -> Column:
 
     long_run = lambda x: F.length(digits(x["m"])) >= 13
     return F.concat(rows(mail, lambda x: F.lit("email")),
-                    rows(number, lambda x: F.when(long_run(x) & ~x["m"].startswith("+"), "card").otherwise("phone")),
+                    rows(number, lambda x: F.when(long_run(x) & ~x["m"].rlike(r"^[+(]|^00"), "card").otherwise("phone")),
                     rows(ip, lambda x: F.lit("ip")))
 
 
+def rewritten(text: str, spans: str, forms: tuple = FORMS) -> Column:
+    """struct<out string, at int, got array<struct<kind, s, e>>>: column ``text`` with the ``spans`` (array<struct<s, e, m,
+    kind>>, in order) of the kinds of ``forms`` in other forms, chosen by hash, and where these stand."""
+    new = "CASE "
+    for kind in sorted({k for k, _ in forms}):
+        mine = [sql.replace("d,", "regexp_replace(x.m, '[^0-9]', ''),") for k, sql in forms if k == kind]
+        for i, sql in enumerate(mine):
+            new += f"WHEN x.kind = '{kind}' AND pmod(xxhash64(x.m), {len(mine)}) = {i} THEN {sql} "
+    new += "ELSE x.m END"
+    state = f"struct<out:string,at:int,got:{SPANS}>"
+    begins = "length(acc.out) + x.s - acc.at"
+    return F.expr(f"""aggregate(`{spans}`, CAST(named_struct('out', '', 'at', 0, 'got', array()) AS {state}),
+        (acc, x) -> IF(x.s < acc.at, acc, CAST(named_struct(
+            'out', concat(acc.out, substring(`{text}`, acc.at + 1, x.s - acc.at), {new}), 'at', x.e,
+            'got', concat(acc.got, CAST(array(named_struct('kind', x.kind, 's', {begins}, 'e', {begins} + length({new})))
+                                        AS {SPANS}))) AS {state})),
+        acc -> CAST(named_struct('out', concat(acc.out, substring(`{text}`, acc.at + 1, length(`{text}`))), 'at', acc.at,
+                                 'got', acc.got) AS {state}))""")
+
+
+def rewritable(base: dict[str, Column]) -> Column:
+    """The base spans of the kinds of FORMS with their kind, in order."""
+    def named(kind: str) -> Column:
+        return F.transform(base[kind], lambda x: F.struct(x["s"], x["e"], x["m"], F.lit(kind).alias("kind")))
+    return F.array_sort(F.concat(*[named(k) for k in sorted({k for k, _ in FORMS})]))
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, kind, f, label of the candidates of ``docs`` (doc_id, text) as they are and rewritten."""
+    base = base_spans(F.col("text"))
+    sure = F.concat(*[_tagged(base[k], k) for k in KINDS])
+    found = rewritable(base)
+    plain = docs.select("doc_id", "text", sure.alias("sure"))
+    alone = F.size(base["email"]) + F.size(base["ip"]) + F.size(base["card"]) == 0       # nothing but phone numbers
+    other = docs.select("doc_id", "text", found.alias("found"), alone.alias("alone")).filter(F.size("found") > 0)
+    moved = other.withColumn("r", rewritten("text", "found")).select(
+        "doc_id", F.col("r.out").alias("text"), F.col("r.got").alias("sure"))
+    decoys = other.filter("alone").select("doc_id", rewritten("text", "found", DECOYS)["out"].alias("text"),
+                                          F.array().cast(SPANS).alias("sure"))
+
+    def rows(some: DataFrame) -> DataFrame:
+        same = F.exists("sure", lambda b: (b["s"] == F.col("x.s")) & (b["e"] == F.col("x.e")) & (b["kind"] == F.col("x.kind")))
+        part = F.exists("sure", lambda b: (b["s"] < F.col("x.e")) & (F.col("x.s") < b["e"]))      # neither one nor the other
+        return (some.select("doc_id", "sure", F.explode(candidates(F.col("text"))).alias("x"))
+                .select("doc_id", "x.kind", "x.f", same.cast("double").alias("label"), part.alias("part"))
+                .filter((F.col("label") == 1) | ~F.col("part")).drop("part"))
+    return rows(plain).unionByName(rows(moved)).unionByName(rows(decoys))
+
+
 def _tree_sql(lines: list[str], at: int) -> tuple[str, int]:
     """The CASE expression of the tree whose description begins at line ``at``, and the line after it."""
     line = lines[at].strip()
@@ -166,11 +235,7 @@ def train(docs: DataFrame, train_docs: int = 10_000, precision: float = 0.99) ->
     ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     text = F.coalesce(F.col("text"), F.lit(""))
     some = docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), "doc_id").filter(text.rlike("[0-9@]"))
-    base = base_spans(F.col("text"))
-    sure = F.concat(*[_tagged(base[k], k) for k in KINDS])
-    rows = (some.select("doc_id", sure.alias("sure"), F.explode(candidates(F.col("text"))).alias("x"))
-            .select("doc_id", "x.kind", "x.s", "x.f", F.exists("sure", lambda b: (b["s"] == F.col("x.s")) & (
-                b["e"] == F.col("x.e")) & (b["kind"] == F.col("x.kind"))).cast("double").alias("label")))
+    rows = labelled(some)
     rows = (rows.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(4)) == 0)
             .withColumn("v", array_to_vector("f")).cache())
     classes = {(r["held"], r["label"]) for r in rows.select("held", "label").distinct().collect()}
@@ -188,7 +253,7 @@ def train(docs: DataFrame, train_docs: int = 10_000, precision: float = 0.99) ->
         for i, (p, label) in enumerate(own, 1):
             hit += label
             if hit / i >= precision and (i == len(own) or own[i][0] < p):
-                best = p
+                best = p - 1e-9          # the SQL form adds up in another order
         thresholds[kind] = best
     return model_sql(model.toDebugString), thresholds
 
