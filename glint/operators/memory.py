@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glint.functions.scalar import day, midnight
 from glint.functions.text import collect_text, fmt_fixed
 from glint.operators.history import with_pieces
 from glint.operators.vectors import top_k
@@ -96,7 +97,7 @@ def consolidate(memories: DataFrame, summarizer=None, include_consolidated: bool
         m = m.filter(F.col("memory_type") == memory_type)
     if not include_consolidated:
         m = m.filter(F.coalesce(F.col("metadata")["type"], F.lit("")) != "consolidated_memory")
-    m = m.withColumn("date", F.to_date("timestamp"))
+    m = m.withColumn("date", day("timestamp"))
     m = m.withColumn("_day", F.concat_ws("|", F.coalesce("memory_type", F.lit("")), "date"))
     g = (with_pieces(m, "_day", "timestamp", rows_per_piece, "_piece").groupBy("memory_type", "date", "_piece")
          .agg(F.count(F.lit(1)).alias("source_count"), F.max("importance").alias("importance"),
@@ -121,7 +122,7 @@ def consolidate(memories: DataFrame, summarizer=None, include_consolidated: bool
             g = joined(g, "summary", F.floor(F.col("_piece") / F.lit(fan)))
         g = g.withColumn("content", F.col("summary")).drop("summary")
     g = g.drop("_piece")
-    return (g.withColumn("timestamp", F.to_timestamp_ntz(F.col("date")))
+    return (g.withColumn("timestamp", midnight("date"))
             .withColumn("metadata", F.create_map(
                 F.lit("type"), F.lit("consolidated_memory"),
                 F.lit("source_count"), F.col("source_count").cast("string"),

@@ -59,7 +59,7 @@ def embed(df: DataFrame, text: str = "content", fn: Callable[[list[str]], list]
     ``failed`` names a boolean column that marks such rows. ``keep`` names a column whose vectors are kept: only rows
     without one reach the embedder, in the same pass."""
     if fn is None:
-        tokens = tokenize(text)
+        tokens = F.coalesce(tokenize(text), F.array().cast("array<string>"))
         if keep:
             tokens = F.when(F.col(keep).isNull(), tokens).otherwise(F.array().cast("array<string>"))
         tok = df.withColumn("_tok", tokens)

@@ -177,11 +177,9 @@ def tokens_incremental(cache: DataFrame, docs: DataFrame, doc_id: str = "doc_id"
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"),
                     F.sha2(F.col(text), 256).alias("content_sha"))
-    hit = d.join(cache.select("content_sha", "tokens"), "content_sha", "inner") \
-        .select("doc_id", "content_sha", "tokens", F.lit(True).alias("from_cache"))
-    miss = d.join(cache.select("content_sha"), "content_sha", "left_anti") \
-        .select("doc_id", "content_sha", tokenize("_text").alias("tokens"), F.lit(False).alias("from_cache"))
-    return hit.unionByName(miss)
+    j = d.join(cache.select("content_sha", F.col("tokens").alias("_known")), "content_sha", "left")
+    return j.select("doc_id", "content_sha", F.when(F.col("_known").isNull(), tokenize("_text")).otherwise(F.col("_known"))
+                    .alias("tokens"), F.col("_known").isNotNull().alias("from_cache"))
 
 
 def token_cache(docs: DataFrame, text: str = "content") -> DataFrame:

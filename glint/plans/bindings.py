@@ -2,7 +2,7 @@
 
 Each function reads whole tables (projection and filters reach the scan) and
 returns the input shape an operator expects. The same bindings are spelled in
-SQL in ``glint.plans.oracle`` for the DuckDB check.
+SQL in ``glint.plans.sqlbind`` for the DuckDB check.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ MEMORY_TYPE_OF_EVENT = {
     "purchase": "trading_decision",
     "view": "market_event",
     "click": "research_insight",
+    "signup": "performance_metric",
+    "error": "market_event",
 }
 MEMORY_TYPES = ["trading_decision", "market_event", "research_insight", "performance_metric"]
 
@@ -49,7 +51,7 @@ def watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def memories(spark: SparkSession, sf_dir: str, importance_scale: float = 100.0) -> DataFrame:
-    """Memory table from ``events``; purchases, views and clicks are memories."""
+    """Memory table from ``events``."""
     ev = table(spark, sf_dir, "events")
     mt = F.create_map(*[x for k, v in MEMORY_TYPE_OF_EVENT.items() for x in (F.lit(k), F.lit(v))])
     emo = F.array(*[F.lit(s) for s in EMOTION_LISTS])

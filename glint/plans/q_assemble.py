@@ -11,6 +11,7 @@ from glint.operators import signals
 from glint.plans import bindings as B
 from glint.plans import sqlbind as S
 from glint.plans.catalog import register, round_doubles
+from glint.plans.standins import plain_decision, plain_sentiment
 
 ITEMS_SQL = """items AS (
   SELECT d.doc_id AS item_id,
@@ -187,13 +188,13 @@ def analysis_assemble(spark, sf):
         F.length("memories_text").cast("long").alias("memories_length")))
 
 
-@register("trading_decision", f"""{ANALYSIS_SQL.split('t AS (SELECT symbol, trend')[0].rstrip().rstrip(',')}
-SELECT symbol, 'Error analyzing trading opportunity' AS recommendation, false AS confidence,
-       1::INTEGER AS n_sentiment, 'uncertain' AS first_sentiment
-FROM a""")
+@register("trading_decision", ANALYSIS_SQL[:ANALYSIS_SQL.rindex("SELECT symbol, trend")] + """
+SELECT symbol, CASE WHEN contains(txt, 'UPTREND') THEN 'BUY' ELSE 'HOLD' END || ' ' || length(txt) AS recommendation,
+       true AS confidence, CASE WHEN contains(txt, 'UPTREND') THEN 2 ELSE 1 END::INTEGER AS n_sentiment,
+       CASE WHEN contains(txt, 'UPTREND') THEN 'confident' ELSE 'cautious' END AS first_sentiment
+FROM t""")
 def trading_decision(spark, sf):
-    """U3 + V14 + F13: the decision of each analysis; with no model reachable every
-    symbol gets the reference's error decision."""
-    d = A.decide(A.analysis_text(_assembled(spark, sf), B.NOW))
+    """U3 + V14 + F13: the decision of each analysis and its sentiment, by functions that stand in for a model."""
+    d = A.decide(A.analysis_text(_assembled(spark, sf), B.NOW), plain_decision, plain_sentiment)
     return d.select("symbol", "recommendation", "confidence", F.size("sentiment").alias("n_sentiment"),
                     F.element_at("sentiment", 1).alias("first_sentiment"))

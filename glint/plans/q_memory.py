@@ -11,7 +11,10 @@ from glint.operators import vectors as V
 from glint.plans import bindings as B
 from glint.plans import sqlbind as S
 from glint.plans.catalog import register, round_doubles
-from glint.sources.json_rows import from_json_rows, to_json_rows
+from glint.functions.vector import norm
+from glint.session import shared_dir
+from glint.sources.json_rows import DOCUMENT_SCHEMA, from_json_rows, to_json_rows
+from glint.sources.memories import read_bars
 
 
 @register("memory_stats", f"""WITH {S.memories()},
@@ -163,3 +166,41 @@ def mean_pool(spark, sf):
     """One mean vector per label, shown position by position."""
     pooled = V.mean_pool(B.table(spark, sf, "embeddings"), "label")
     return round_doubles(pooled.select("label", F.posexplode("embedding").alias("pos", "x")))
+
+
+@register("json_documents", f"""WITH {S.DOCUMENTS}
+SELECT doc_id, sha256(content) AS content_sha, lang, source, len(embedding)::INTEGER AS dim,
+       round(sqrt(list_sum(list_transform(embedding, lambda x: x * x))), 6) AS norm FROM docs""")
+def json_documents(spark, sf):
+    """Documents (text, metadata, vector or none) to JSON text and back."""
+    d = B.documents(spark, sf).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    back = from_json_rows(to_json_rows(d, "doc_id", DOCUMENT_SCHEMA), "doc_id", DOCUMENT_SCHEMA)
+    return back.select("doc_id", F.sha2("content", 256).alias("content_sha"), F.col("metadata")["lang"].alias("lang"),
+                       F.col("metadata")["source"].alias("source"),
+                       F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dim"),
+                       F.when(F.col("embedding").isNotNull(), F.round(norm("embedding"), 6)).alias("norm"))
+
+
+@register("bar_files", f"""WITH {S.BARS_USR}
+SELECT symbol, "timestamp", round(close, 9) AS close, round(volume, 9) AS volume FROM bars""")
+def bar_files(spark, sf):
+    """Bars written as JSON lines by another system, read back as the bar table."""
+    path = shared_dir(spark, "bar-files")
+    b = B.bars(spark, sf, "user_id")
+    b.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).write.json(path)
+    return round_doubles(read_bars(spark, path, "json"))
+
+
+@register("defaults", f"""WITH {S.DOCUMENTS}, {S.memories()}
+SELECT m.memory_id, round(coalesce(CASE WHEN m.importance < 0.1 THEN NULL ELSE m.importance END, 0.5), 9) AS importance,
+       coalesce(d.content, 'No highly relevant historical insights found.') IS DISTINCT FROM d.content AS no_insights,
+       CASE WHEN d.embedding IS NULL THEN 2 ELSE len(d.embedding) END::INTEGER AS dim
+FROM memories m LEFT JOIN docs d ON d.doc_id = m.memory_id""")
+def defaults(spark, sf):
+    """missing importance, insights and vectors take the fallbacks."""
+    m = B.memories(spark, sf).select("memory_id", F.when(F.col("importance") >= 0.1, F.col("importance")).alias("importance"))
+    d = B.documents(spark, sf).select(F.col("doc_id").alias("memory_id"), F.col("content").alias("insights"), "embedding")
+    out = SC.with_defaults(m.join(d, "memory_id", "left"), {
+        "importance": SC.DEFAULT_IMPORTANCE, "insights": SC.NO_INSIGHTS, "embedding": [0.0, 0.0]})
+    return round_doubles(out.select("memory_id", "importance", (F.col("insights") == SC.NO_INSIGHTS).alias("no_insights"),
+                                    F.size("embedding").alias("dim")))

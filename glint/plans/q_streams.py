@@ -70,13 +70,22 @@ WHERE event_type IN ('view', 'signup', 'error') AND NOT (event_type = 'error' AN
 def stream_ingest(spark, sf):
     """S2 + X1: decode records (objects and lists; broken ones quarantined), keep bars of
     monitored symbols, append them to the bar table."""
+    return round_doubles(spark.read.parquet(_ingested(spark, sf)[0]).drop("batch"))
+
+
+def _ingested(spark, sf) -> tuple[str, str]:
     src = _message_files(spark, sf)
     out, ck = shared_dir(spark, "bars"), shared_dir(spark, "ckpt")
     raw = MK.read_market_stream(spark, "text", src)
-    q, qb = MK.ingest_bars(raw, B.watchlist(spark, sf), out, ck, quarantine=out + "_bad")
-    _run(q)
-    _run(qb)
-    return round_doubles(spark.read.parquet(out))
+    _run(MK.ingest_bars(raw, B.watchlist(spark, sf), out, ck, quarantine=out + "_bad"))
+    return out, out + "_bad"
+
+
+@register("stream_quarantine", """SELECT '{"kind": "bar", "symbol": ' || event_id AS value FROM events
+WHERE event_type = 'error' AND value < 5""")
+def stream_quarantine(spark, sf):
+    """The broken records of the same stream, kept apart as they came."""
+    return spark.read.parquet(_ingested(spark, sf)[1]).drop("batch")
 
 
 @register("stream_publish", """SELECT CASE event_type WHEN 'click' THEN 'trade' WHEN 'purchase' THEN 'quote'

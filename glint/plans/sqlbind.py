@@ -20,7 +20,9 @@ def memories(scale: float = 100.0) -> str:
   SELECT event_id AS memory_id,
          CASE event_type WHEN 'purchase' THEN 'trading_decision'
                          WHEN 'view' THEN 'market_event'
-                         WHEN 'click' THEN 'research_insight' END AS memory_type,
+                         WHEN 'click' THEN 'research_insight'
+                         WHEN 'signup' THEN 'performance_metric'
+                         WHEN 'error' THEN 'market_event' END AS memory_type,
          event_type || ' ' || props AS content,
          ts AS "timestamp",
          least(1.0::DOUBLE, value / {scale}::DOUBLE) AS importance,
@@ -28,7 +30,7 @@ def memories(scale: float = 100.0) -> str:
          json_extract_string(props, '$.k') AS k,
          props AS context,
          user_id
-  FROM events WHERE event_type IN ('purchase', 'view', 'click'))"""
+  FROM events)"""
 
 
 DOCUMENTS = """docs AS (

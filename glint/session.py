@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -37,9 +38,25 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python workers import it (Spark distributes the archive)."""
+    home = os.path.dirname(os.path.abspath(__file__))
+    if any(f.endswith("/glint.zip") for f in spark.sparkContext.listFiles):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="glint-ship-"), "glint.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(home):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(home)))
+    spark.sparkContext.addPyFile(archive)
+
+
 def shared_dir(spark: SparkSession, sub: str | None = None) -> str:
     """Folder for written tables and checkpoints, shared by all executors.
 

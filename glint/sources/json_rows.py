@@ -13,6 +13,8 @@ EPISODE_SCHEMA = ("content string, memory_type string, timestamp string, "
                   "metadata map<string,string>, importance double, context string, "
                   "emotions array<string>, embedding array<float>")
 
+DOCUMENT_SCHEMA = "content string, metadata map<string,string>, embedding array<double>"
+
 
 def to_json_rows(df: DataFrame, key: str, schema: str = EPISODE_SCHEMA) -> DataFrame:
     """``key, json``: the record's fields (those present) as one JSON text; times as ISO text."""
@@ -31,5 +33,8 @@ def to_json_rows(df: DataFrame, key: str, schema: str = EPISODE_SCHEMA) -> DataF
 def from_json_rows(df: DataFrame, key: str, schema: str = EPISODE_SCHEMA) -> DataFrame:
     """Parse ``json`` back to columns, with defaults for missing keys."""
     p = df.select(key, F.from_json("json", schema, {"mode": "PERMISSIVE"}).alias("r")).select(key, "r.*")
-    return (p.withColumn("importance", F.coalesce("importance", F.lit(1.0)))
-            .withColumn("timestamp", F.col("timestamp").try_cast("timestamp_ntz")))     # malformed: NULL
+    if "importance" in p.columns:
+        p = p.withColumn("importance", F.coalesce("importance", F.lit(1.0)))
+    if "timestamp" in p.columns:
+        p = p.withColumn("timestamp", F.col("timestamp").try_cast("timestamp_ntz"))     # malformed: NULL
+    return p

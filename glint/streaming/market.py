@@ -26,6 +26,7 @@ def read_market_stream(spark: SparkSession, fmt: str, path: str | None = None,
     one file per micro-batch, oldest first."""
     opts = dict(options or {})
     if fmt == "kafka":
+        opts.setdefault("maxOffsetsPerTrigger", "1000000")      # bounds the rows of a micro-batch, and of a key in it
         return (spark.readStream.format("kafka").options(**opts).load()
                 .select(F.col("value").cast("string").alias("value")))
     opts.setdefault("maxFilesPerTrigger", "1")
@@ -70,18 +71,20 @@ def write_market_stream(df: DataFrame, fmt: str, checkpoint: str, path: str | No
 
 def ingest_bars(raw: DataFrame, watchlist: DataFrame | None, path: str, checkpoint: str,
                 quarantine: str | None = None):
-    """Decode, keep bars of monitored symbols, append to the bar table.
+    """Decode, keep bars of monitored symbols, add them to the bar table; broken records go to ``quarantine``.
 
-    The watchlist is a static table joined to each micro-batch (stream-static semi join).
+    One source and one decode feed both sinks: a micro-batch is decoded once and written twice, each under its batch
+    id (a replayed batch replaces itself). The watchlist is a static table joined to each micro-batch.
     """
-    good, bad = decode_messages(raw)
-    bars = good.filter(F.col("kind") == "bar").select("symbol", "timestamp", "close", "volume")
-    if watchlist is not None:
-        bars = bars.join(watchlist.select("symbol"), "symbol", "left_semi")
-    q = (bars.writeStream.format("parquet").option("path", path)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    qb = None
-    if quarantine:
-        qb = (bad.writeStream.format("parquet").option("path", quarantine)
-              .option("checkpointLocation", checkpoint + "_bad").trigger(availableNow=True).start())
-    return q, qb
+    def write(df: DataFrame, batch_id: int) -> None:
+        df = df.persist()
+        good, bad = decode_messages(df)
+        bars = good.filter(F.col("kind") == "bar").select("symbol", "timestamp", "close", "volume")
+        if watchlist is not None:
+            bars = bars.join(watchlist.select("symbol"), "symbol", "left_semi")
+        bars.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if quarantine:
+            bad.write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
+        df.unpersist()
+    return (raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
