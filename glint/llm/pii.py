@@ -183,25 +183,23 @@ def rewritable(base: dict[str, Column]) -> Column:
 
 
 def labelled(docs: DataFrame) -> DataFrame:
-    """doc_id, kind, f, label of the candidates of ``docs`` (doc_id, text) as they are and rewritten."""
+    """doc_id, kind, f, label of the candidates of ``docs`` (doc_id, text) as they are, rewritten, and with decoys; one
+    scan, in which a document becomes up to three texts with the spans that are sure in each."""
     base = base_spans(F.col("text"))
-    sure = F.concat(*[_tagged(base[k], k) for k in KINDS])
-    found = rewritable(base)
-    plain = docs.select("doc_id", "text", sure.alias("sure"))
     alone = F.size(base["email"]) + F.size(base["ip"]) + F.size(base["card"]) == 0       # nothing but phone numbers
-    other = docs.select("doc_id", "text", found.alias("found"), alone.alias("alone")).filter(F.size("found") > 0)
-    moved = other.withColumn("r", rewritten("text", "found")).select(
-        "doc_id", F.col("r.out").alias("text"), F.col("r.got").alias("sure"))
-    decoys = other.filter("alone").select("doc_id", rewritten("text", "found", DECOYS)["out"].alias("text"),
-                                          F.array().cast(SPANS).alias("sure"))
-
-    def rows(some: DataFrame) -> DataFrame:
-        same = F.exists("sure", lambda b: (b["s"] == F.col("x.s")) & (b["e"] == F.col("x.e")) & (b["kind"] == F.col("x.kind")))
-        part = F.exists("sure", lambda b: (b["s"] < F.col("x.e")) & (F.col("x.s") < b["e"]))      # neither one nor the other
-        return (some.select("doc_id", "sure", F.explode(candidates(F.col("text"))).alias("x"))
-                .select("doc_id", "x.kind", "x.f", same.cast("double").alias("label"), part.alias("part"))
-                .filter((F.col("label") == 1) | ~F.col("part")).drop("part"))
-    return rows(plain).unionByName(rows(moved)).unionByName(rows(decoys))
+    d = docs.select("doc_id", "text", F.concat(*[_tagged(base[k], k) for k in KINDS]).alias("sure"),
+                    rewritable(base).alias("found"), alone.alias("alone"))
+    moved, decoy = rewritten("text", "found"), rewritten("text", "found", DECOYS)
+    shape = f"struct<text:string,sure:{SPANS}>"
+    some = F.when(F.size("found") > 0, F.struct(moved["out"].alias("text"), moved["got"].alias("sure")).cast(shape))
+    none = F.when((F.size("found") > 0) & F.col("alone"),
+                  F.struct(decoy["out"].alias("text"), F.array().cast(SPANS).alias("sure")).cast(shape))
+    texts = F.array_compact(F.array(F.struct("text", "sure").cast(shape), some, none))
+    v = d.select("doc_id", F.explode(texts).alias("v")).select("doc_id", "v.sure", F.explode(candidates(F.col("v.text"))).alias("x"))
+    same = F.exists("sure", lambda b: (b["s"] == F.col("x.s")) & (b["e"] == F.col("x.e")) & (b["kind"] == F.col("x.kind")))
+    part = F.exists("sure", lambda b: (b["s"] < F.col("x.e")) & (F.col("x.s") < b["e"]))      # neither one nor the other
+    return (v.select("doc_id", "x.kind", "x.f", same.cast("double").alias("label"), part.alias("part"))
+            .filter((F.col("label") == 1) | ~F.col("part")).drop("part"))
 
 
 def _tree_sql(lines: list[str], at: int) -> tuple[str, int]:
