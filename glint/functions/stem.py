@@ -22,6 +22,5 @@ STOP_WORDS = (
 
 def remove_stop_words(tokens) -> Column:
     """Drop English stop words, keeping repeats of the other tokens (JVM-side filter)."""
-    sw = F.array(*[F.lit(w) for w in STOP_WORDS])
     col = F.col(tokens) if isinstance(tokens, str) else tokens
-    return F.filter(col, lambda t: ~F.array_contains(sw, t))
+    return F.filter(col, lambda t: ~t.isin(STOP_WORDS))          # a hash set, once optimised

@@ -1,43 +1,30 @@
-"""Top k documents by BM25 as joins on the query vocabulary, with block bounds.
+"""Top k documents by BM25 as joins on the query vocabulary, with score bounds.
 
-Documents are dealt into blocks by a hash of their id. For each (term, block) the index holds the highest
-term frequency and the least document length, from which a score can be bounded whatever the
-average length is now (``maxima``, one row per term and block). A search then is
+For each term the index holds its highest frequency and the least length of a document that has it, from which
+a term's share of a score can be bounded whatever the average length is now. A search then is
 
-1. bounds: query terms joined with the maxima, summed per (query, block);
-2. a threshold round: the few blocks of highest bound per query are scored; the k-th best score so far is
-   a threshold that every result must reach;
-3. only blocks whose bound reaches the threshold are scored, and the top k taken.
+1. a threshold round: the few terms of highest bound per query are scored; the k-th best partial score is a
+   threshold that every result must reach;
+2. the terms of least bound that together stay below the threshold are left aside: a document that has no other
+   term cannot reach it. Documents with another term get their partial score from these terms;
+3. only documents whose partial score and the bounds of the terms left aside reach the threshold (raised by the
+   partial scores) are scored in full, and the top k taken.
 
-Only postings of query terms move; the result is exact, because a bound is never below a score.
+Only postings of query terms move, those of common words only for the few documents of step 3. The result is
+exact, because a bound is never below a score. This suits queries with rare terms; where every query shares a
+term with most documents the bounds leave little out, and the scan (``glint.operators.scoring``) is the plan.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glint.operators.text_index import K1, B, BM25Index, bounded_broadcast, postings_of, query_terms, top_by
 from glint.session import written
 
-DOCS_PER_BLOCK = 64
-PROBES = 4                  # blocks of a query that set its threshold
-
-
-def _block(n_blocks: int) -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks))
-
-
-def n_blocks(index: BM25Index) -> int:
-    return max(1, math.ceil(index.n_docs / DOCS_PER_BLOCK))
-
-
-def term_maxima(index: BM25Index) -> DataFrame:
-    """``term, block, top_tf, least_dl``: partial aggregate, then one shuffle."""
-    p = postings_of(index.forward.withColumn("block", _block(n_blocks(index))), "block")
-    return p.groupBy("term", "block").agg(F.max("tf").alias("top_tf"), F.min("dl").alias("least_dl"))
+LEADING = 4                 # terms of a query that set its first threshold
+SLACK = 1e-8                # scores are ranked at 9 places
 
 
 def impact(index: BM25Index, tf: str, dl: str) -> Column:
@@ -50,44 +37,58 @@ def impact(index: BM25Index, tf: str, dl: str) -> Column:
 
 
 def query_weights(index: BM25Index, qterms: DataFrame) -> DataFrame:
-    """``query_id, term, w``: query terms that the corpus knows, with their count times idf."""
-    return qterms.join(index.terms.select("term", "idf"), "term").select(
-        "query_id", "term", (F.col("qn") * F.col("idf")).alias("w"))
-
-
-def block_bounds(index: BM25Index, weights: DataFrame) -> DataFrame:
-    """``query_id, block, bound``: no document of the block scores more (a term with negative weight may be absent)."""
-    maxima = index.maxima if index.maxima is not None else term_maxima(index)
-    most = F.greatest(F.col("w") * impact(index, "top_tf", "least_dl"), F.lit(0.0))
-    return maxima.join(weights, "term").groupBy("query_id", "block").agg(F.sum(most).alias("bound"))
-
-
-def block_scores(index: BM25Index, weights: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``query_id, doc_id, bm25`` of the documents in the ``chosen`` (query_id, block) that share a term."""
-    vocabulary = bounded_broadcast(weights.select("term").distinct())
-    blocks = bounded_broadcast(chosen.select("block").distinct())
-    rows = index.forward.select("doc_id", "dl", "terms", "tfs", _block(n_blocks(index)).alias("block"))
-    cut = postings_of(rows.join(blocks, "block", "left_semi"), "block").join(vocabulary, "term", "left_semi")
-    wanted = bounded_broadcast(chosen.select("query_id", "block").join(weights, "query_id"))
-    part = F.col("w") * impact(index, "tf", "dl")
-    return cut.join(wanted, ["block", "term"]).groupBy("query_id", "doc_id").agg(F.sum(part).alias("bm25"))
-
-
-def surviving_blocks(index: BM25Index, weights: DataFrame, k: int, probes: int = PROBES) -> DataFrame:
-    """``query_id, block`` of the blocks that can hold one of a query's top ``k``."""
-    bounds = written(block_bounds(index, weights), "bm25-bounds")
-    w = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), F.col("block"))
-    first = bounds.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= probes)
-    scored = block_scores(index, weights, first.select("query_id", "block"))
-    by_score = Window.partitionBy("query_id").orderBy(F.col("bm25").desc())
-    least = scored.withColumn("_n", F.row_number().over(by_score)).filter(F.col("_n") == k).select(
-        "query_id", F.col("bm25").alias("least"))
-    slack = F.greatest(F.abs("least"), F.lit(1.0)) * 1e-8       # scores are ranked at 9 places
-    return bounds.join(least, "query_id", "left").filter(
-        F.col("least").isNull() | (F.col("bound") >= F.col("least") - slack)).select("query_id", "block")
-
-
-def bm25_topk(index: BM25Index, queries: DataFrame, k: int = 10, query_text: str = "query",
+    """``query_id, term, w, most, below``: query terms that the corpus knows, with count times idf, the most that the
+    term adds to a score (0 or more), and what all of the query's terms take away at most (0 or less)."""
+    bound = F.col("w") * impact(index, "top_tf", "least_dl")
+    w = qterms.join(index.terms.select("term", "idf", "top_tf", "least_dl"), "term").withColumn(
+        "w", F.col("qn") * F.col("idf"))
+    return w.select("query_id", "term", "w", F.greatest(bound, F.lit(0.0)).alias("most"),
+                    F.sum(F.least(bound, F.lit(0.0))).over(Window.partitionBy("query_id")).alias("below"))
+
+
+def scores_of(index: BM25Index, weights: DataFrame) -> DataFrame:
+    """``query_id, doc_id, score``: sums over the terms in ``weights`` of the documents that have one of them."""
+    wanted = bounded_broadcast(weights.select("query_id", "term", "w"))
+    p = postings_of(index.forward).join(wanted, "term")
+    return p.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * impact(index, "tf", "dl")).alias("score"))
+
+
+def thresholds(partial: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    """``query_id, least``: a score that a query's top ``k`` reach for certain; no row for fewer documents."""
+    by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc())
+    below = weights.groupBy("query_id").agg(F.first("below").alias("below"))
+    kth = partial.withColumn("_n", F.row_number().over(by_score)).filter(F.col("_n") == k)
+    kth = kth.join(below, "query_id").withColumn("least", F.col("score") + F.col("below"))
+    return kth.select("query_id", (F.col("least") - F.greatest(F.abs("least"), F.lit(1.0)) * SLACK).alias("least"))
+
+
+def split_terms(weights: DataFrame, first: DataFrame) -> DataFrame:
+    """``weights`` with ``aside``: the terms of least bound whose bounds together stay below the query's threshold."""
+    upto = F.sum("most").over(Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow))
+    return (weights.join(first, "query_id", "left").withColumn("aside", F.coalesce(upto < F.col("least"), F.lit(False)))
+            .drop("least"))
+
+
+def survivors(partial: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    """``query_id, doc_id, score``: of the documents with a partial score those that can be in the top ``k``."""
+    rest = weights.groupBy("query_id").agg(F.sum(F.when(F.col("aside"), F.col("most")).otherwise(0.0)).alias("rest"))
+    j = partial.join(bounded_broadcast(rest), "query_id").join(thresholds(partial, weights, k), "query_id", "left")
+    return j.filter(F.col("least").isNull() | (F.col("score") + F.col("rest") >= F.col("least"))).select(
+        "query_id", "doc_id", "score")
+
+
+def completed(index: BM25Index, weights: DataFrame, left: DataFrame) -> DataFrame:
+    """``query_id, doc_id, bm25``: the partial scores of ``left`` with the terms left aside added."""
+    aside = bounded_broadcast(weights.filter("aside").select("query_id", "term", "w"))
+    mine = bounded_broadcast(left.select("query_id", "doc_id"))
+    docs = index.forward.select("doc_id", "dl", "terms", "tfs").join(mine.select("doc_id").distinct(), "doc_id", "left_semi")
+    p = postings_of(docs).join(aside, "term").join(mine, ["query_id", "doc_id"], "left_semi")
+    part = p.select("query_id", "doc_id", (F.col("w") * impact(index, "tf", "dl")).alias("score"))
+    return left.unionByName(part).groupBy("query_id", "doc_id").agg(F.sum("score").alias("bm25"))
+
+
+def bm25_join(index: BM25Index, queries: DataFrame, k: int = 10, query_text: str = "query",
               query_tokens: str | None = None, stems: bool = False) -> DataFrame:
     """``query_id, rank, doc_id, bm25``: the top ``k`` documents per query among those sharing a term.
 
@@ -95,6 +96,9 @@ def bm25_topk(index: BM25Index, queries: DataFrame, k: int = 10, query_text: str
     """
     weights = written(query_weights(index, query_terms(queries, text=query_text, tokens=query_tokens, stems=stems)),
                       "bm25-weights")
-    scores = block_scores(index, weights, surviving_blocks(index, weights, k))
+    lead = Window.partitionBy("query_id").orderBy(F.col("most").desc(), "term")
+    leading = weights.withColumn("_n", F.row_number().over(lead)).filter(F.col("_n") <= LEADING)
+    weights = written(split_terms(weights, thresholds(scores_of(index, leading), weights, k)), "bm25-weights")
+    partial = written(scores_of(index, weights.filter("NOT aside")), "bm25-partial")
+    scores = completed(index, weights, written(survivors(partial, weights, k), "bm25-left"))
     return top_by(scores, k, "bm25").select("query_id", "rank", "doc_id", "bm25")
-

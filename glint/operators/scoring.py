@@ -1,4 +1,4 @@
-"""Hybrid keyword + vector scores by scans of the forward index.
+"""Keyword and hybrid scores by scans of the forward index.
 
 Queries are dealt into blocks of a bounded size, in the order of their time windows; a block (weighted
 terms and vectors) is broadcast. Documents are never shuffled: a scan of the forward index, cut to the
@@ -48,8 +48,9 @@ class QueryBlock:
     avgdl: float
     scale: float
 
-    def bm25(self, rows: pd.DataFrame) -> np.ndarray:
-        """Scores of all (query, document): each posting goes to the queries that share its term."""
+    def bm25(self, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of all (query, document), and how many terms they share: each posting goes to the queries that share
+        its term."""
         nq, nd = len(self.ids), len(rows)
         lens = rows["terms"].map(len).to_numpy()
         doc = np.repeat(np.arange(nd), lens)
@@ -62,15 +63,17 @@ class QueryBlock:
         part = tf * self.scale / (tf + K1 * (1 - B + B * length / self.avgdl))
         size = (self.first[1:] - self.first[:-1])[code]
         upto = np.append(0, np.cumsum(size))
-        out, lo = np.zeros(nq * nd), 0
+        out, shared, lo = np.zeros(nq * nd), np.zeros(nq * nd, dtype=np.int64), 0
         while lo < len(code):
             hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + EXPAND_LIMIT, side="right")) - 1)
             n = size[lo:hi]
             pair = np.repeat(self.first[code[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             posting = np.repeat(np.arange(lo, hi), n)
-            out += np.bincount(self.query[pair] * nd + doc[posting], self.weight[pair] * part[posting], nq * nd)
+            at = self.query[pair] * nd + doc[posting]
+            out += np.bincount(at, self.weight[pair] * part[posting], nq * nd)
+            shared += np.bincount(at, minlength=nq * nd)
             lo = hi
-        return out.reshape(nq, nd)
+        return out.reshape(nq, nd), shared.reshape(nq, nd)
 
     def inside(self, micros: np.ndarray) -> np.ndarray:
         """Which documents lie in which query's window; an open side admits all, a document without time none."""
@@ -85,7 +88,7 @@ class QueryBlock:
             for at in range(0, len(pdf), ROWS_AT_ONCE):
                 rows = pdf.iloc[at:at + ROWS_AT_ONCE]
                 sem = self.vectors @ matrix(rows["embedding"], self.vectors.shape[1]).T
-                yield rows["doc_id"].to_numpy(), self.bm25(rows), sem, self.inside(rows["_t"].to_numpy(dtype=float))
+                yield rows["doc_id"].to_numpy(), self.bm25(rows)[0], sem, self.inside(rows["_t"].to_numpy(dtype=float))
 
 
 def query_blocks(index: BM25Index, queries: DataFrame, qterms: DataFrame) -> Iterator[tuple[QueryBlock, float, float]]:
@@ -96,8 +99,8 @@ def query_blocks(index: BM25Index, queries: DataFrame, qterms: DataFrame) -> Ite
     w = qterms.join(index.terms.select("term", "idf"), "term").groupBy("query_id").agg(
         F.collect_list("term").alias("_terms"), F.collect_list(F.col("qn") * F.col("idf")).alias("_w"))
     micros = lambda c: (ntz_micros(c) if c in queries.columns else F.lit(None).cast("long")).alias(f"_{c}")
-    q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), micros("start"),
-                       micros("end")).join(w, "query_id", "left").orderBy("_start", "_end", "query_id")
+    vec = F.col("embedding") if "embedding" in queries.columns else F.lit(None)
+    q = queries.select("query_id", vec.cast("array<double>").alias("embedding"), micros("start"), micros("end")).join(w, "query_id", "left").orderBy("_start", "_end", "query_id")
     scale = K1 + 1 if index.variant == "okapi" else 1.0
     rows: list = []
 
@@ -172,6 +175,52 @@ def _top(held, k: int, w_bm25: float, w_sem: float):
     return run
 
 
+def _top_bm25(held, k: int):
+    def run(batches):
+        block = held.value
+        kept: dict[int, list[np.ndarray]] = {}              # per query: ids, scores
+        for pdf in batches:
+            for at in range(0, len(pdf), ROWS_AT_ONCE):
+                rows = pdf.iloc[at:at + ROWS_AT_ONCE]
+                ids = rows["doc_id"].to_numpy()
+                scores, shared = block.bm25(rows)
+                for q in range(len(block.ids)):
+                    found = np.flatnonzero(shared[q])
+                    if len(found):
+                        found = found[best(np.round(-scores[q, found], RANK_PLACES), ids[found], k)]
+                        new = [ids[found], scores[q, found]]
+                        if q in kept:
+                            new = [np.append(x, y) for x, y in zip(kept[q], new, strict=True)]
+                            top = best(np.round(-new[1], RANK_PLACES), new[0], k)
+                            new = [x[top] for x in new]
+                        kept[q] = new
+        if kept:
+            n = [len(i) for i, _ in kept.values()]
+            ids, scores = (np.concatenate(c) for c in zip(*kept.values(), strict=True))
+            yield pd.DataFrame({"query_id": np.repeat(block.ids[list(kept)], n), "doc_id": ids, "bm25": scores})
+    return run
+
+
+def bm25_topk(index: BM25Index, queries: DataFrame, k: int = 10, query_text: str = "query",
+              query_tokens: str | None = None, stems: bool = False) -> DataFrame:
+    """``query_id, rank, doc_id, bm25``: the top ``k`` documents per query among those sharing a term (J4, V7), by a scan.
+
+    ``query_tokens`` names a column of processed tokens instead of the text; ``stems`` takes their stems. Where the
+    queries' terms are rare, ``glint.operators.bm25.bm25_join`` moves their postings only and scans nothing else.
+    """
+    rows = index.forward.select("doc_id", "dl", "terms", "tfs")
+    send, found = rows.sparkSession.sparkContext.broadcast, []
+    qterms = query_terms(queries, text=query_text, tokens=query_tokens, stems=stems)
+    for block, _, _ in query_blocks(index, queries.drop("start", "end"), qterms):
+        found.append(rows.mapInPandas(_top_bm25(send(block), k), "query_id long, doc_id long, bm25 double"))
+    if not found:
+        found = [rows.sparkSession.createDataFrame([], "query_id long, doc_id long, bm25 double")]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return top_by(out, k, "bm25").select("query_id", "rank", "doc_id", "bm25")
+
+
 def hybrid_topk(index: BM25Index, docs: DataFrame | None, queries: DataFrame, k: int = 5,
                 min_relevance: float = 0.5, w_bm25: float = 0.4, w_sem: float = 0.6,
                 start=None, end=None, query_text: str = "query") -> DataFrame:

@@ -2,7 +2,7 @@
 
 The index is one row per document (``forward``: ``doc_id, dl, terms[], tfs[]`` and carried columns),
 counted in place: a document is one row, so its terms are sorted and run-length counted inside the
-row and nothing is shuffled. Only the document frequency of a term (``terms``: ``term, df, idf``) is a
+row and nothing is shuffled. Only the statistics of a term (``terms``: ``term, df, idf, top_tf, least_dl``) are a
 shuffle, after a partial aggregate. ``postings`` (``doc_id, term, tf, dl``) is the forward index exploded.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from glint.functions.snowball import stem_counts
 from glint.functions.text import tokenize
+from glint.session import spread
 
 K1 = 1.5
 B = 0.75
@@ -53,11 +54,10 @@ def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFr
 @dataclass
 class BM25Index:
     forward: DataFrame                   # doc_id, dl, terms[], tfs[], carried columns: one row per document
-    terms: DataFrame                     # term, df, idf
+    terms: DataFrame                     # term, df, idf, top_tf, least_dl (bounds of a term's share of a score)
     n_docs: int
     avgdl: float
     variant: str = "okapi"
-    maxima: DataFrame | None = None      # term, block, top_tf, least_dl (glint.operators.bm25)
 
     @property
     def postings(self) -> DataFrame:
@@ -109,7 +109,7 @@ def term_freq(docs: DataFrame, doc_id: str = "doc_id", text: str = "content") ->
 
 
 def with_idf(dfs: DataFrame, n: int, variant: str) -> DataFrame:
-    """``term, df, idf``. Okapi: ``idf = ln(N - df + 0.5) - ln(df + 0.5)``, a negative idf replaced by
+    """``dfs`` with ``idf``. Okapi: ``idf = ln(N - df + 0.5) - ln(df + 0.5)``, a negative idf replaced by
     ``0.25 * mean(idf)`` (mean over all terms, negatives included). ``plus1``:
     ``ln(1 + (N - df + 0.5) / (df + 0.5))``."""
     if variant == "plus1":
@@ -122,11 +122,10 @@ def with_idf(dfs: DataFrame, n: int, variant: str) -> DataFrame:
 
 
 def index_of(forward: DataFrame, variant: str = "okapi") -> BM25Index:
-    """Corpus statistics (A4) of a forward index, which is kept while they are computed."""
-    forward = forward.persist(StorageLevel.MEMORY_AND_DISK)
+    """Corpus statistics (A4) of a forward index that is stored or kept."""
     n, total = forward.agg(F.count(F.lit(1)), F.sum("dl")).first()
-    dfs = (forward.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-           .persist(StorageLevel.MEMORY_AND_DISK))
+    dfs = postings_of(forward).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("top_tf"),
+                                                   F.min("dl").alias("least_dl")).persist(StorageLevel.MEMORY_AND_DISK)
     return BM25Index(forward, with_idf(dfs, n, variant), n, float(total or 0) / n if n else 0.0, variant)
 
 
@@ -134,8 +133,9 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "content",
                 tokens: str | None = None, carry: tuple = (), stems: bool = False) -> BM25Index:
     """Index of ``docs`` (A3, A4), one pass over them. ``carry``: columns kept in the forward index, so that
     retrieval reads one table; ``stems``: index Snowball stems instead of terms (without ``carry``)."""
-    forward = forward_rows(docs, doc_id, text, tokens, carry)
-    return index_of(stem_forward(forward) if stems else forward, variant)
+    forward = forward_rows(spread(docs), doc_id, text, tokens, carry)
+    forward = stem_forward(forward) if stems else forward
+    return index_of(forward.persist(StorageLevel.MEMORY_AND_DISK), variant)
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "query",

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from glint.functions.text import enhance_query, tokenize, truncate_tokens
 from glint.operators import retrieval as R
 from glint.operators import text_index as T
-from glint.operators.bm25 import bm25_topk
+from glint.operators.bm25 import bm25_join
+from glint.operators.scoring import bm25_topk
 from glint.plans import bindings as B
 from glint.plans import sqlbind as S
 from glint.plans.catalog import register, round_doubles
 from glint.plans.standins import letter_counts
 from glint.session import shared_dir
-from glint.sources.index_store import load_index, save_index
+from glint.sources.index_store import build_snapshot, load_index
 
 TOK_DOCS = f"toks AS (SELECT doc_id, {S.tokens('text')} AS t FROM documents)"
 
@@ -47,9 +48,9 @@ def _index(spark, sf, variant="okapi"):
     the shared folder (S7) and loaded from there (S8) by every retrieval query."""
     key = (id(spark), sf, variant)
     if key not in _SNAPSHOTS:
-        idx = T.build_index(B.documents(spark, sf), variant=variant, carry=("content", "metadata", "timestamp", "embedding"))
-        _SNAPSHOTS[key] = save_index(idx, shared_dir(spark, "bm25"), variant, dt.datetime.fromisoformat(B.NOW))
-        idx.forward.unpersist()
+        _SNAPSHOTS[key] = build_snapshot(B.documents(spark, sf), shared_dir(spark, "bm25"), variant,
+                                         dt.datetime.fromisoformat(B.NOW), variant,
+                                         carry=("content", "metadata", "timestamp", "embedding"))
     return load_index(spark, _SNAPSHOTS[key])
 
 
@@ -77,6 +78,16 @@ def bm25_okapi(spark, sf):
     return round_doubles(bm25_topk(idx, q, 10))
 
 
+@register("bm25_bounded", f"""WITH {BM25_CORE}, {QT_PLAIN}, {bm25_sql('qt')}
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, doc_id)::INTEGER AS rank,
+       doc_id, round(bm25, 9) AS bm25
+FROM bm QUALIFY rank <= 10""")
+def bm25_bounded(spark, sf):
+    """The same by joins on the query vocabulary with score bounds."""
+    q = B.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return round_doubles(bm25_join(_index(spark, sf), q, 10))
+
+
 @register("truncate_tokens", f"""WITH {TOK_DOCS}
 SELECT doc_id, len(t)::INTEGER AS n_tokens, len(t[1:512])::INTEGER AS n_kept,
        CASE WHEN len(t) = 0 THEN NULL ELSE t[least(len(t), 512)] END AS last_kept FROM toks""")
@@ -265,10 +276,9 @@ def index_roundtrip(spark, sf):
     docs = B.table(spark, sf, "documents")
     d = docs.select("doc_id", F.col("text").alias("content"))
     base = shared_dir(spark, "snapshots")
-    stale = T.build_index(docs.filter(F.col("lang") == "en")          # an older index: English only
-                          .select("doc_id", F.col("text").alias("content")))
-    save_index(stale, base, "old", mtime=dt.datetime(2024, 1, 1))
-    save_index(T.build_index(d), base, "new", mtime=dt.datetime(2024, 1, 2))
+    english = docs.filter(F.col("lang") == "en").select("doc_id", F.col("text").alias("content"))    # an older index
+    build_snapshot(english, base, "old", dt.datetime(2024, 1, 1))
+    build_snapshot(d, base, "new", dt.datetime(2024, 1, 2))
     idx = load_latest(spark, base)
     q = B.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return round_doubles(bm25_topk(idx, q, 10))

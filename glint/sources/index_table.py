@@ -2,7 +2,7 @@
 
 ``<base>/forward`` holds one row per document and version (``doc_id, dl, terms, tfs, gone``), in folders by
 version and by bucket of the id; ``<base>/changes`` the signed changes of document frequencies
-(``term, change``) and ``<base>/corpus`` the signed changes of the document and token counts, by version. A refresh
+(``term, change``) with the bounds of new rows (``top_tf, least_dl``; those of gone rows stay, a bound may be wide) and ``<base>/corpus`` the signed changes of the document and token counts, by version. A refresh
 counts the new documents in place, reads the former rows of the same ids from their buckets alone, and
 appends what changed; statistics are the sums over all versions. ``compact`` folds the versions into one.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glint.operators.text_index import BM25Index, bounded_broadcast, forward_rows, with_idf
+from glint.operators.text_index import BM25Index, bounded_broadcast, forward_rows, postings_of, with_idf
 
 BUCKETS = 64
 
@@ -36,11 +36,12 @@ def _append(base: str, version: int, rows: DataFrame, former: DataFrame | None)
     spread = rows.withColumn("bucket", _bucket()).repartition("bucket")     # a bucket is one file of a version
     _write(spread, base, "forward", version, "bucket")
     new = _read(spark, base, "forward").filter((F.col("version") == version) & ~F.col("gone"))
-    signed = new.select("dl", "terms", F.lit(1).alias("sign"))
+    signed = new.select("doc_id", "dl", "terms", "tfs", F.lit(1).alias("sign"))
     if former is not None:
-        signed = signed.unionByName(former.select("dl", "terms", F.lit(-1).alias("sign")))
-    changes = (signed.select("sign", F.explode("terms").alias("term")).groupBy("term")
-               .agg(F.sum("sign").alias("change")).filter(F.col("change") != 0))
+        signed = signed.unionByName(former.select("doc_id", "dl", "terms", "tfs", F.lit(-1).alias("sign")))
+    changes = postings_of(signed, "sign").groupBy("term").agg(
+        F.sum("sign").alias("change"), F.max(F.when(F.col("sign") > 0, F.col("tf"))).alias("top_tf"),
+        F.min(F.when(F.col("sign") > 0, F.col("dl"))).alias("least_dl"))
     _write(changes, base, "changes", version)
     _write(signed.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("docs"),
                       F.coalesce(F.sum(F.col("sign") * F.col("dl")), F.lit(0)).alias("tokens")), base, "corpus", version)
@@ -87,7 +88,9 @@ def former_rows(spark: SparkSession, base: str, rows: DataFrame, version: int) -
 def load(spark: SparkSession, base: str, variant: str = "okapi") -> BM25Index:
     """The index as it is now."""
     forward = current(_read(spark, base, "forward")).select("doc_id", "dl", "terms", "tfs")
-    dfs = _read(spark, base, "changes").groupBy("term").agg(F.sum("change").alias("df")).filter(F.col("df") > 0).persist()
+    dfs = _read(spark, base, "changes").groupBy("term").agg(
+        F.sum("change").alias("df"), F.max("top_tf").alias("top_tf"), F.min("least_dl").alias("least_dl"))
+    dfs = dfs.filter(F.col("df") > 0).persist()
     n, total = _read(spark, base, "corpus").agg(F.sum("docs"), F.sum("tokens")).first()
     return BM25Index(forward, with_idf(dfs, n, variant), n, float(total) / n if n else 0.0, variant)
 

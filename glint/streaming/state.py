@@ -178,10 +178,9 @@ def refresh_index_job(docs: DataFrame, base: str, version: str, mtime: dt.dateti
     """Rebuild the BM25 index, save it as a snapshot of time ``mtime``, and list snapshots beyond
     the newest ``keep`` (W10) for the caller to delete."""
     from glint.operators.history import retention
-    from glint.operators.text_index import build_index
-    from glint.sources.index_store import save_index
+    from glint.sources.index_store import build_snapshot
     spark = docs.sparkSession
-    save_index(build_index(docs), base, version, mtime)
+    build_snapshot(docs, base, version, mtime)
     log = spark.read.parquet(f"{base.rstrip('/')}/_log")
     return retention(log, keep=keep)
 

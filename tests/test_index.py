@@ -55,15 +55,18 @@ def test_index_build_shuffles_only_document_frequencies(spark):
     assert "Python" not in plan_of(T.forward_rows(docs))
 
 
+@pytest.mark.parametrize("search", [BM.bm25_join, SCO.bm25_topk])
 @pytest.mark.parametrize("k", [1, 5, 1000])
-def test_block_bounded_topk_equals_brute_force(spark, monkeypatch, k):
-    monkeypatch.setattr(BM, "DOCS_PER_BLOCK", 7)
+def test_topk_equals_brute_force(spark, monkeypatch, k, search):
+    monkeypatch.setattr(BM, "LEADING", 2)
+    monkeypatch.setattr(SCO, "QUERIES_PER_BLOCK", 5)
+    monkeypatch.setattr(SCO, "ROWS_AT_ONCE", 30)
     rng = random.Random(k)
     rows = corpus(4)
     queries = [(q, " ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 6)))) for q in range(12)]
     queries += [(50, "common"), (51, "unknown words"), (52, ""), (53, "w1 w1 w1 common copy")]
     idx = T.build_index(spark.createDataFrame(rows, "doc_id long, content string"))
-    got = BM.bm25_topk(idx, spark.createDataFrame(queries, "query_id long, query string"), k).collect()
+    got = search(idx, spark.createDataFrame(queries, "query_id long, query string"), k).collect()
     mine = {}
     for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
         mine.setdefault(r["query_id"], []).append((r["doc_id"], r["bm25"]))
@@ -73,25 +76,29 @@ def test_block_bounded_topk_equals_brute_force(spark, monkeypatch, k):
         assert [s for _, s in mine.get(q, [])] == pytest.approx([s for _, s in want], abs=1e-9)
 
 
-def test_bounds_hold_and_blocks_are_left_out(spark, monkeypatch):
-    monkeypatch.setattr(BM, "DOCS_PER_BLOCK", 7)
+def test_bounds_hold_and_common_words_are_left_aside(spark):
+    text = "rare1 rare2 rare3 w1 w2 common"
     rows = corpus(9) + [(9000 + i, "rare1 rare2 rare3") for i in range(12)]
     idx = T.build_index(spark.createDataFrame(rows, "doc_id long, content string"))
-    q = spark.createDataFrame([(1, "rare1 rare2 rare3 w1 w2")], "query_id long, query string")
-    weights = BM.query_weights(idx, T.query_terms(q))
-    bounds = {r["block"]: r["bound"] for r in BM.block_bounds(idx, weights).collect()}
-    scores = brute_scores(rows, "rare1 rare2 rare3 w1 w2")
-    where = spark.createDataFrame([(d,) for d in scores], "doc_id long").select(
-        "doc_id", BM._block(BM.n_blocks(idx)).alias("b")).collect()
-    assert all(bounds[r["b"]] >= scores[r["doc_id"]] - 1e-9 for r in where)
-    left = BM.surviving_blocks(idx, weights, 5).count()
-    assert left < len(bounds) / 2
+    q = spark.createDataFrame([(1, text)], "query_id long, query string")
+    weights = BM.query_weights(idx, T.query_terms(q)).persist()
+    assert weights.agg(F.sum("most")).first()[0] >= max(brute_scores(rows, text).values())
+    for r in weights.collect():
+        assert r["most"] >= max(brute_scores(rows, r["term"]).values()) - 1e-9
+    first = BM.thresholds(BM.scores_of(idx, weights.filter("term like 'rare%'")), weights, 5)
+    split = BM.split_terms(weights, first)
+    assert {r["term"] for r in split.filter("aside").collect()} >= {"common"}
+    partial = BM.scores_of(idx, split.filter("NOT aside"))
+    left = {r["doc_id"] for r in BM.survivors(partial, split, 5).collect()}
+    scores = brute_scores(rows, text)
+    assert set(sorted(scores, key=lambda d: (-scores[d], d))[:5]) <= left
+    assert len(left) < len(scores) / 2
 
 
 def test_scores_are_joins_without_python(spark):
     idx = T.build_index(spark.range(50).select(F.col("id").alias("doc_id"), F.lit("a b").alias("content")))
     q = spark.range(3).select(F.col("id").alias("query_id"), F.lit("a").alias("query"))
-    plan = plan_of(BM.bm25_topk(idx, q, 3))
+    plan = plan_of(BM.bm25_join(idx, q, 3))
     assert "InPandas" not in plan and "InArrow" not in plan and "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
 
@@ -118,7 +125,7 @@ def test_delta_refresh_equals_new_index(spark, tmp_path):
     rows = lambda i: sorted((r["doc_id"], r["dl"], r["terms"], r["tfs"]) for r in i.forward.collect())
     assert rows(got) == rows(want)
     q = spark.createDataFrame([(1, "w1 w2 w3"), (2, "common copy")], "query_id long, query string")
-    top = lambda i: [tuple(r)[:3] for r in BM.bm25_topk(i, q, 7).orderBy("query_id", "rank").collect()]
+    top = lambda i: [tuple(r)[:3] for r in BM.bm25_join(i, q, 7).orderBy("query_id", "rank").collect()]
     assert top(got) == top(want)
     IT.compact(spark, base, str(tmp_path / "one"))
     assert stats(IT.load(spark, str(tmp_path / "one"))) == stats(want)
