@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from glint.llm.common import releasing, schema_with, slices
 
-BLOCK_BYTES = 12 << 20     # text whose new words are replayed together
+BLOCK_BYTES = 4 << 20      # text whose new words are replayed together
 SLICE_BYTES = 2 << 20      # text that is split into words at a time
 KNOWN_WORDS = 300_000      # distinct words a worker remembers
 
