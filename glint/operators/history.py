@@ -10,14 +10,17 @@ rows still spreads over as many tasks as it has chunks, with the same result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glint.functions.scalar import ntz_micros
 
 DAY = 86_400
+CUTS_AT_ONCE = 64           # cuts of a key that a row is compared with at once
 
 
 def chunk_of(ts: str, chunk_seconds: int):
@@ -66,9 +69,27 @@ def with_pieces(df: DataFrame, key: str, ts: str, rows_per_piece: int = 1_000_00
     some = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_parts") - 1, F.lit(1))),
                        lambda i: F.get("_q", F.floor(i * F.lit(most) / F.col("_parts")).cast("int") - 1))
     cuts = cuts.select(key, F.array_sort(F.array_distinct(some)).alias("_cuts"))
-    d = df.join(bounded_broadcast(cuts), key, "left").withColumn("_at", t)
-    piece = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<bigint>")), lambda c: c < F.col("_at")))
-    return d.withColumn(out, piece.cast("long")).drop("_cuts", "_at")
+    d = df.withColumn("_at", t)
+    if most <= CUTS_AT_ONCE:
+        d = d.join(bounded_broadcast(cuts), key, "left")
+        return d.withColumn(out, F.coalesce(_below("_cuts", most), F.lit(0)).cast("long")).drop("_cuts", "_at")
+    # Many cuts: a row carries only every width-th cut, then the width cuts of its own group.
+    width = math.isqrt(most - 1) + 1
+    groups = F.sequence(F.lit(0), F.floor(F.size("_cuts") / F.lit(width)).cast("int"))
+    fine = cuts.select(key, F.posexplode(F.transform(groups, lambda g: F.slice("_cuts", g * width + 1, width))).alias("_g", "_fine"))
+    coarse = cuts.select(key, F.filter("_cuts", lambda c, i: (i + 1) % width == 0).alias("_coarse"))
+    d = d.join(bounded_broadcast(coarse), key, "left").withColumn("_g", F.coalesce(_below("_coarse", width), F.lit(0))).drop("_coarse")
+    d = d.join(bounded_broadcast(fine), [key, "_g"], "left")
+    piece = F.col("_g").cast("long") * width + F.coalesce(_below("_fine", width), F.lit(0))
+    return d.withColumn(out, piece.cast("long")).drop("_g", "_fine", "_at")
+
+
+def _below(cuts: str, most: int) -> Column:
+    """How many of the sorted ``cuts`` (at most ``most``) lie before ``_at``, by halving steps; NULL without cuts."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(max(most, 1).bit_length()))])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.get(cuts, at + step - 1) < F.col("_at"), at + step).otherwise(at))
+    return F.when(F.col(cuts).isNotNull(), found)
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str = "symbol", ts: str = "timestamp",

@@ -87,10 +87,12 @@ def piece_windows(bars: DataFrame, short: int, long: int, pieces: DataFrame) ->
     counts = (edges.filter(F.col("_rn") == 1).select("symbol", "_piece", "_n")
               .withColumn("_idx", F.row_number().over(ws))
               .withColumn("_upto", F.sum("_n").over(ws.rowsBetween(Window.unboundedPreceding, 0)))
-              .withColumn("_last", F.max("_idx").over(Window.partitionBy("symbol"))))
+              .withColumn("_last", F.max("_idx").over(Window.partitionBy("symbol")))
+              .withColumn("_reach", F.count(F.lit(1)).over(     # how many pieces on this one's rows can be needed
+                  Window.partitionBy("symbol").orderBy("_upto").rangeBetween(0, max(halo - 1, 0)))))
     tails = (edges.filter(F.col("_rn") > F.col("_n") - halo).withColumn("_back", F.col("_n") - F.col("_rn") + 1).drop("_n")
              .join(counts, ["symbol", "_piece"]).filter(F.col("_idx") < F.col("_last"))
-             .withColumn("_to", F.explode(F.sequence(F.col("_idx") + 1, F.least(F.col("_idx") + halo, F.col("_last"))))))
+             .withColumn("_to", F.explode(F.sequence(F.col("_idx") + 1, F.least(F.col("_idx") + F.col("_reach"), F.col("_last"))))))
     targets = counts.select("symbol", F.col("_idx").alias("_to"), F.col("_piece").alias("_target"),
                             (F.col("_upto") - F.col("_n")).alias("_before"))
     before = (tails.join(targets, ["symbol", "_to"]).filter(F.col("_back") + F.col("_before") - F.col("_upto") <= halo)

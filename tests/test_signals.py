@@ -113,3 +113,31 @@ def test_pieces_with_equal_times_equal_the_plain_windows(spark):
         for x, y in zip(a, b, strict=True):
             assert [v is None for v in x] == [v is None for v in y]
             assert [v for v in x[3:-1] if v is not None] == pytest.approx([v for v in y[3:-1] if v is not None], rel=1e-9)
+
+
+def test_many_cuts_are_searched_in_two_levels(spark, monkeypatch):
+    """A row carries a square root of its key's cuts, and gets the same piece as by all of them at once; keys with one
+    piece and rows without time too."""
+    from glint.operators import history as H
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("A", t0 + dt.timedelta(seconds=i // 2)) for i in range(6000)] + [("A", t0)] * 300
+    rows += [("B", t0 + dt.timedelta(seconds=i * i)) for i in range(900)] + [("C", t0), ("A", None), (None, t0)]
+    df = spark.createDataFrame(rows, "symbol string, timestamp timestamp_ntz")
+    pieces = H.with_pieces(df, "symbol", "timestamp", 20)
+    got = sorted(pieces.collect(), key=str)
+    assert "_coarse" in pieces._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(H, "CUTS_AT_ONCE", 1 << 20)
+    assert got == sorted(H.with_pieces(df, "symbol", "timestamp", 20).collect(), key=str)
+    assert max(r["_c"] for r in got if r["symbol"] == "A") > 100
+    for symbol in "AB":
+        seen = [r["_c"] for r in sorted((r for r in got if r["symbol"] == symbol and r["timestamp"]), key=lambda r: r["timestamp"])]
+        assert seen == sorted(seen)
+
+
+def test_last_rows_of_a_piece_go_only_to_pieces_that_need_them(spark):
+    """With pieces as long as a frame the rows before a piece come from its neighbour alone."""
+    df = bars(spark, [(s, i, (i * 7) % 13 + 1, i % 5) for s in "AB" for i in range(600)])
+    out = signals.indicators(df, split=True, rows_per_piece=100)
+    assert "_reach" in out._jdf.queryExecution().analyzed().toString()
+    plain = signals.indicators(df)
+    assert sorted(map(str, out.collect())) == sorted(map(str, plain.collect()))
