@@ -35,7 +35,7 @@ def retrieval_queries(symbols: DataFrame, now) -> DataFrame:
 def insights(index: BM25Index, docs: DataFrame, queries: DataFrame, encoder=None, dim: int = 64, k: int = 5,
              cache: str | None = None) -> DataFrame:
     """``symbol, insights_text``: hybrid hits of each symbol's query, re-ranked by the encoder, highly relevant ones only."""
-    hits = written(R.hybrid_scores(index, None, queries, k), "chain-hits")
+    hits = R.hybrid_scores(index, None, queries, k)
     kept = R.high_relevance(R.rerank_by_encoder(hits, docs, queries, encoder, dim, cache))
     rows = kept.join(docs.select("doc_id", "content"), "doc_id").join(queries.select("query_id", "symbol"), "query_id")
     return A.hits_text(rows.withColumn("rank", F.col("rerank_rank")))

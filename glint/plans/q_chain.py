@@ -84,8 +84,8 @@ def analysis_chain(spark, sf):
     ctx = signals.market_context(signals.latest_indicators(B.bars(spark, sf, "user_id"), 1000))
     research = A.research_text(RS.top_research(QA._symbol_items(spark, sf), by=["symbol"]))
     symbols = _symbols(spark, sf)
-    docs = B.documents(spark, sf).select("doc_id", "content")
-    hits = C.insights(Q._index(spark, sf), docs, C.retrieval_queries(symbols, B.NOW), letter_counts, 26)
+    index = Q._index(spark, sf)
+    hits = C.insights(index, index.forward.select("doc_id", "content"), C.retrieval_queries(symbols, B.NOW), letter_counts, 26)
     past = QA._decision_memories(spark, sf).withColumn("memory_type", F.lit(C.MEMORY_TYPE)).join(
         B.vectors(spark, sf).withColumnRenamed("vec_id", "memory_id"), "memory_id")
     path = shared_dir(spark, "decisions")
