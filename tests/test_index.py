@@ -220,3 +220,41 @@ def test_broadcast_is_bounded_by_bytes(spark):
         assert "BroadcastHashJoin" not in plan_of(other.join(big, "id"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_only_postings_of_the_vocabulary_reach_the_scores(spark):
+    """Terms that no query asks for stay in Arrow; rows without any posting stay rows."""
+    rows = [(1, 3, ["a", "b", "c"], [2, 1, 5]), (2, 0, [], []), (3, 2, ["x", "y"], [1, 1]), (4, 1, ["c"], [7])]
+    df = spark.createDataFrame(rows, "doc_id long, dl int, terms array<string>, tfs array<long>").coalesce(1)
+    held = spark.sparkContext.broadcast(np.array(["c", "a"], dtype=object))
+    got = {r["doc_id"]: (r["dl"], r["codes"], r["tfs"]) for r in SCO.coded(df, held).collect()}
+    assert got == {1: (3, [1, 0], [2, 5]), 2: (0, [], []), 3: (2, [], []), 4: (1, [0], [7])}
+
+
+def test_terms_of_many_queries_equal_terms_of_few(spark, monkeypatch):
+    """Common terms as a matrix product, rare ones expanded: the same hits either way."""
+    rows = corpus(5, 120)
+    docs = spark.createDataFrame(rows, "doc_id long, content string")
+    q = spark.createDataFrame([(i, f"common w1 w2 w{i % 40} w3 w3") for i in range(40)], "query_id long, query string")
+    idx = T.build_index(docs)
+    found = []
+    for often in (1, 10_000):
+        monkeypatch.setattr(SCO, "OFTEN", often)
+        found.append([(r["query_id"], r["rank"], r["doc_id"], round(r["bm25"], 9)) for r in SCO.bm25_topk(idx, q, 4).orderBy("query_id", "rank").collect()])
+    assert found[0] == found[1] and len(found[0]) == 160
+
+
+def test_hits_are_searched_once_for_the_second_encoder(spark):
+    """The re-ranking names the hits three times; the search behind them runs once."""
+    from glint.operators import retrieval as R
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+    hits = spark.createDataFrame([(1, 1, 10, 0.9), (1, 2, 11, 0.8)], "query_id long, rank int, doc_id long, relevance_score double")
+    docs = spark.createDataFrame([(10, "a b"), (11, "c")], "doc_id long, content string")
+    q = spark.createDataFrame([(1, "a b")], "query_id long, query string")
+    got = R.rerank_by_encoder(hits.mapInPandas(count, hits.schema), docs, q).collect()
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["rerank_rank"])] == [10, 11] and seen.value == 2
