@@ -29,10 +29,11 @@ table gives no pairs.
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain, compress, repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,7 @@ from pyspark.sql import functions as F
 
 from glint.llm.bpe import spread_out
 from glint.llm.common import releasing, slices
+from glint.llm.words import hashed_words, text_bytes
 
 PASSAGE, STRIDE = 48, 24       # words
 ITEM_BLOCK = 512               # items that share a latent space
@@ -48,9 +50,12 @@ LONG = 2 * PASSAGE             # words; longer items are searched piece by piece
 BLOCK_WORDS = ITEM_BLOCK * LONG
 RANK, EXTRA = 32, 8            # leading singular vectors, and random columns beyond them
 WEIGHTED = 0.5                 # an item with less of its words weighted is searched by plain counts too
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
+CELLS_AT_ONCE = 1 << 16     # words of places that are looked at together
 #: Words are runs of ASCII letters (A-Z as a-z), digits and bytes beyond ASCII.
 FOLD = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c > 127 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
+BREAKS = np.frombuffer(FOLD, dtype=np.uint8) == 32
+BUCKET_SHIFT = np.uint64(44)   # hashes of words are looked up by their first 20 bits
 ANSWER = re.compile(r"(?i)(?:^|\n|\s)(?:answer|réponse|antwort|respuesta|a)\s*[:=]\s*")
 
 
@@ -120,12 +125,37 @@ def term_cells(cols: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[n
     return key >> 32, key & 0xFFFFFFFF, count
 
 
+def term_finder(items: Items) -> Callable[[np.ndarray], np.ndarray]:
+    """The term number of each word by its hash, -1 for others (``check`` compares the words themselves)."""
+    raw = np.frombuffer(b" ".join(items.terms), dtype=np.uint8)
+    hashes, _ = hashed_words(raw, np.array([len(raw)]), BREAKS)
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    start = np.searchsorted(hashes >> BUCKET_SHIFT, np.arange((1 << 64 - int(BUCKET_SHIFT)) + 1, dtype=np.uint64))
+
+    def find(words: np.ndarray) -> np.ndarray:
+        out = np.full(len(words), -1, dtype=np.int64)
+        bucket = (words >> BUCKET_SHIFT).astype(np.int64)
+        at, end = start[bucket], start[bucket + 1]
+        left = np.flatnonzero(at < end)
+        at, end = at[left], end[left]
+        while len(left):
+            hit = hashes[at] == words[left]
+            out[left[hit]] = order[at[hit]]
+            at = at + 1
+            more = ~hit & (at < end)
+            left, at, end = left[more], at[more], end[more]
+        return out
+    return find
+
+
 def _text_slices(batches: Iterator[pa.RecordBatch], items: Items):
+    """Slices of the texts, the words of each text, and the terms of all words."""
+    find = term_finder(items)
     for batch in batches:
         for part in slices(batch, "text", SLICE_BYTES):
-            each = [split_words(t) for t in part.column("text").to_pylist()]
-            counts = np.array([len(x) for x in each], dtype=np.int64)
-            yield part, each, counts, items.columns(list(chain.from_iterable(each)))
+            words, counts = hashed_words(*text_bytes(part.column("text")), BREAKS)
+            yield part, counts, find(words)
 
 
 @dataclass
@@ -146,7 +176,7 @@ def document_frequency(texts: DataFrame, items: Items) -> tuple[np.ndarray, int]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, df = held.value, np.zeros(m + 1, dtype=np.int64)
-        for _, _, counts, cols in _text_slices(batches, items):
+        for _, counts, cols in _text_slices(batches, items):
             _, first, size = passages(counts)
             df[:m] += np.bincount(term_cells(cols, first, size)[1], minlength=m)
             df[m] += len(first)
@@ -196,14 +226,14 @@ def latent_bases(texts: DataFrame, items: Items, views: list[View]) -> list[np.n
     for view in views:
         omega = rng.standard_normal((m, columns))
         omega[:, :EXTRA] += view.x.T @ rng.standard_normal((len(view.x), EXTRA))
-        omegas.append(omega.astype(np.float32))
+        omegas.append(np.asfortranarray(omega, dtype=np.float32))
     held = texts.sparkSession.sparkContext.broadcast((items, [v.weight for v in views], omegas))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, weights, omegas = held.value
-        sums = [(np.zeros((m, columns)), np.zeros((columns, columns))) for _ in weights]
+        sums = [(np.zeros((columns, m)), np.zeros((columns, columns))) for _ in weights]
         some = np.any([w > 0 for w in weights], axis=0)
-        for _, _, counts, cols in _text_slices(batches, items):
+        for _, counts, cols in _text_slices(batches, items):
             _, first, size = passages(counts)
             cells = term_cells(np.where(some[cols], cols, -1), first, size)
             for weight, omega, (y, g) in zip(weights, omegas, sums, strict=True):
@@ -213,15 +243,14 @@ def latent_bases(texts: DataFrame, items: Items, views: list[View]) -> list[np.n
                 if not len(p):
                     continue
                 head = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-                a = np.add.reduceat(omega[t] * v[:, None], head, axis=0)             # A Omega of this slice
                 norm = np.sqrt(np.add.reduceat(v * v, head))                         # passages of unit length
-                a /= norm[:, None]
-                g += a.T @ a
                 row = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(p))))
-                order = np.argsort(t, kind="stable")
-                start = np.flatnonzero(np.append(True, t[order][1:] != t[order][:-1]))
-                y[t[order][start]] += np.add.reduceat(a[row[order]] * (v / norm[row])[order, None], start, axis=0)
-        both = np.vstack([a for pair in sums for a in pair])
+                v /= norm[row]
+                a = np.array([np.bincount(row, w[t] * v) for w in omega.T])          # (A Omega)^T of this slice
+                g += a @ a.T
+                for n, w in enumerate(a):
+                    y[n] += np.bincount(t, w[row] * v, m)
+        both = np.vstack([a for y, g in sums for a in (y.T, g)])
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(len(both))), pa.FixedSizeListArray.from_arrays(
                 pa.array(both.ravel()), columns).cast(pa.list_(pa.float64()))], ["row", "v"])
@@ -331,30 +360,86 @@ def could_hold(pairs: np.ndarray, text: np.ndarray, p: np.ndarray, t: np.ndarray
     return good[np.minimum(k + reach, last[k]) + 1, j] > good[np.maximum(k - reach, start[k]), j]
 
 
-def _candidates(view: View, rows: np.ndarray, z: np.ndarray, p: np.ndarray, t: np.ndarray, c: np.ndarray,
-                cosine: float, cover: float) -> Iterator[tuple[int, int, float]]:
-    """(passage, item, cosine) of the proposals among the cells (p, t, c)."""
-    ok = view.weight[t] > 0
-    p, t, c = p[ok], t[ok], c[ok]
-    if not len(p):
-        return
-    # no item can get more of its length from a term than this
-    most = (view.x / view.length[:, None]).max(axis=0) * view.weight
-    head = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-    able = np.add.reduceat(most[t] * c, head) >= cover
-    ok = np.repeat(able, np.diff(np.append(head, len(p))))
+def could_pass(item: np.ndarray, own: np.ndarray, cols: np.ndarray, begin: np.ndarray, end: np.ndarray,
+               at: np.ndarray, lcs: float) -> np.ndarray:
+    """Which places near the words ``at`` of texts (words ``begin`` to ``end`` of ``cols``) could pass ``check``:
+    those whose words hold, counted by word, enough of the item for its subsequence share.
+
+    ``item``: the term of each of its words; ``own``: for each term (and -1) whether the item is searched by it."""
+    n = len(item)
+    span, width = n + max(4, n // 3), PASSAGE + 2 * n
+    words, item_count = np.unique(item, return_counts=True)
+    number = np.full(len(own), len(words))                         # of each term among the item's words
+    number[words] = np.arange(len(words))
+    out = np.zeros(len(at), dtype=bool)
+    rows = max(1, CELLS_AT_ONCE // width)
+    for a in range(0, len(at), rows):
+        lo, hi = np.maximum(begin[a:a + rows], at[a:a + rows] - n), np.minimum(end[a:a + rows], at[a:a + rows] + PASSAGE + n)
+        word = lo[:, None] + np.arange(width)
+        near = np.where(word < hi[:, None], cols[np.minimum(word, len(cols) - 1)], -1)
+        sums = np.zeros((len(lo), width + 1), dtype=np.int32)
+        np.cumsum(own[near], axis=1, out=sums[:, 1:])
+        held = sums[:, span:] - sums[:, :-span]
+        held[np.arange(held.shape[1]) > np.maximum(hi - lo - span, 0)[:, None]] = -1
+        seen = np.cumsum(held == held.max(axis=1, keepdims=True), axis=1)
+        best = np.argmax(seen > seen[:, -1:] // 2, axis=1)         # the middle of equally good places
+        here = number[np.take_along_axis(near, best[:, None] + np.arange(span), axis=1)]
+        here += np.arange(len(lo))[:, None] * (len(words) + 1)
+        count = np.bincount(here.ravel(), minlength=len(lo) * (len(words) + 1)).reshape(len(lo), -1)[:, :-1]
+        out[a:a + rows] = np.minimum(count, item_count).sum(axis=1) / n >= lcs
+    return out
+
+
+def _cuts(p: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The cells of a few hundred passages at a time."""
+    return pairwise(np.unique(np.searchsorted(p, np.arange(0, p[-1] + 257, 256)))) if len(p) else iter(())
+
+
+def _shares(view: View) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the view that hold each term, what share of its length a row gets from it, and where each term begins."""
+    of_term, row = np.nonzero(view.x.T)
+    share = view.x[row, of_term] * view.weight[of_term] / view.length[row]
+    return row, share, np.searchsorted(of_term, np.arange(len(view.weight) + 1))
+
+
+def _proposed(shares: tuple, n_rows: int, p: np.ndarray, t: np.ndarray, c: np.ndarray,
+              cover: float) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, row of the view) where the passage's projection reaches ``cover`` of the item's length, or nearly so:
+    the items' span lies in the space, so the product with an item is that of their terms."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    item, share, first = shares
+    held = np.diff(first)
+    for a, b in _cuts(p):
+        head = np.flatnonzero(np.append(True, p[a + 1:b] != p[a:b - 1]))
+        row = np.repeat(np.arange(len(head)), np.diff(np.append(head, b - a)))
+        n = held[t[a:b]]
+        at = spread_out(first[t[a:b]], n)
+        near = np.bincount(np.repeat(row * n_rows, n) + item[at], np.repeat(c[a:b], n) * share[at],
+                           len(head) * n_rows).reshape(len(head), n_rows)
+        i, j = np.nonzero(near >= cover - 1e-3)                    # ``_cosines`` decides
+        found.append((p[a:b][head[i]], j))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def _cosines(view: View, rows: np.ndarray, z: np.ndarray, p: np.ndarray, t: np.ndarray, c: np.ndarray, k: np.ndarray,
+             j: np.ndarray, cosine: float, cover: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, item, cosine) of the pairs (k, j), in order of k, that are near enough in the space."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+    wanted = np.zeros(p[-1] + 1 if len(p) else 0, dtype=bool)
+    wanted[k] = True
+    ok = wanted[p]
     p, t, c = p[ok], t[ok], c[ok]
-    if not len(p):
-        return
-    cuts = np.unique(np.searchsorted(p, np.arange(0, p[-1] + 4097, 4096)))   # a few thousand passages at a time
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        head = a + np.flatnonzero(np.append(True, p[a + 1:b] != p[a:b - 1]))
-        latent = np.add.reduceat(rows[t[a:b]] * c[a:b, None].astype(np.float32), head - a, axis=0)
-        near = latent @ z.T
-        enough = near >= cover * view.length
-        near /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-        for i, j in zip(*np.nonzero(enough & (near >= cosine)), strict=True):
-            yield int(p[head[i]]), int(view.item[j]), float(near[i, j])
+    for a, b in _cuts(p):
+        head = np.flatnonzero(np.append(True, p[a + 1:b] != p[a:b - 1]))
+        latent = np.add.reduceat(rows[t[a:b]] * c[a:b, None].astype(np.float32), head, axis=0)
+        lo, hi = np.searchsorted(k, p[a]), np.searchsorted(k, p[b - 1], side="right")
+        at, of = np.searchsorted(p[a:b][head], k[lo:hi]), j[lo:hi]
+        near = (latent @ z.T)[at, of]
+        enough = near >= cover * view.length[of]
+        near /= np.maximum(np.linalg.norm(latent, axis=1), 1e-12)[at]
+        ok = enough & (near >= cosine)
+        found.append((k[lo:hi][ok], view.item[of[ok]], near[ok]))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
 def _search(texts: DataFrame, items: Items, views: list[View], bases: list[np.ndarray],
@@ -369,35 +454,59 @@ def _search(texts: DataFrame, items: Items, views: list[View], bases: list[np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, spaces = held.value
+        shares = [_shares(view) for view, *_ in spaces]
         some = np.any([view.weight > 0 for view, *_ in spaces], axis=0)
         terms: list[set] = [set() for _ in items.ids]               # the terms by which each item is searched
         for view, *_ in spaces:
             for i in view.item:
                 terms[i].update(w for w in items.words[i] if view.weight[items.terms[w]] > 0)
         own = [frozenset(x) for x in terms]
-        place = {j: i for i, j in enumerate(sorted({int(j) for v, *_ in spaces if v.plain for j in v.item}))}
-        count = np.zeros((len(place), len(items.terms)), dtype=np.int64)
-        for j, i in place.items():
-            np.add.at(count[i], items.columns(items.words[j]), 1)
-        for part, each, counts, cols in _text_slices(batches, items):
+        plain = sorted({int(j) for v, *_ in spaces if v.plain for j in v.item})
+        place = np.zeros(len(items.ids), dtype=np.int64)
+        place[plain] = np.arange(len(plain))
+        item_cols = [items.columns(w) for w in items.words]
+        count = np.zeros((len(plain), len(items.terms)), dtype=np.int64)
+        for i, j in enumerate(plain):
+            np.add.at(count[i], item_cols[j], 1)
+
+        def own_terms(j: int) -> np.ndarray:
+            mark = np.zeros(len(items.terms) + 1, dtype=bool)      # the last place is that of -1
+            mark[items.columns(list(own[j]))] = True
+            return mark
+
+        for part, counts, cols in _text_slices(batches, items):
             text, first, size = passages(counts)
             cells = term_cells(np.where(some[cols], cols, -1), first, size)
-            begin = np.cumsum(counts) - counts
-            near: dict[tuple[int, int], float] = {}
-            for space in spaces:
-                found = list(_candidates(*space, *cells, cosine, cover))
-                if found and space[0].plain:                       # common words propose much
-                    pairs = np.array([(k, place[j]) for k, j, _ in found])
-                    found = compress(found, could_hold(pairs, text, *cells, count, lcs))
-                for k, j, value in found:
-                    near[k, j] = max(value, near.get((k, j), 0.0))
-            doc_ids = part.column("doc_id")
-            out = []
-            for (k, j), value in near.items():
-                d = text[k]
-                got = check(items.words[j], items.answers[j], each[d], int(first[k] - begin[d]), own[j])
-                if got[0] >= lcs and got[1] >= answer:
-                    out.append((doc_ids[int(d)].as_py(), items.ids[j], value, *got))
+            end = np.cumsum(counts)
+            begin = end - counts
+            found = []
+            for space, of in zip(spaces, shares, strict=True):
+                view = space[0]
+                ok = view.weight[cells[1]] > 0
+                own_cells = [x[ok] for x in cells]
+                k, j = _proposed(of, len(view.item), *own_cells, cover)
+                if len(k) and view.plain:                          # common words propose much
+                    ok = could_hold(np.column_stack([k, place[view.item[j]]]), text, *cells, count, lcs)
+                    k, j = k[ok], j[ok]
+                k, j, value = _cosines(*space, *own_cells, k, j, cosine, cover)
+                found.append((j << 32 | k, value))
+            key, value = map(np.concatenate, zip(*found, strict=True))
+            if not len(key):
+                continue
+            order = np.lexsort((value, key))
+            last = np.append(key[order][1:] != key[order][:-1], True)
+            key, value = key[order][last], value[order][last]      # the best cosine of each pair
+            k, j = key & 0xFFFFFFFF, key >> 32
+            doc_ids, texts, out = part.column("doc_id"), part.column("text"), []
+            each = functools.lru_cache(maxsize=None)(lambda d, texts=texts: split_words(texts[d].as_py()))
+            for a, b in pairwise([*np.flatnonzero(np.append(True, j[1:] != j[:-1])).tolist(), len(j)]):
+                n, of = int(j[a]), text[k[a:b]]
+                good = could_pass(item_cols[n], own_terms(n), cols, begin[of], end[of], first[k[a:b]], lcs)
+                for i in a + np.flatnonzero(good):
+                    d = int(text[k[i]])
+                    got = check(items.words[n], items.answers[n], each(d), int(first[k[i]] - begin[d]), own[n])
+                    if got[0] >= lcs and got[1] >= answer:
+                        out.append((doc_ids[d].as_py(), items.ids[n], float(value[i]), *got))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[k] for r in out], kind) for k, kind in
