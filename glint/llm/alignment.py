@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glint.llm.bpe import spread_out
-from glint.llm.common import slices, stored
+from glint.llm.common import releasing, slices, stored
 from glint.llm.interpolation import pack, unpack
 
 BLOCK_BYTES = 16 << 20     # text whose pairs are counted together
@@ -347,7 +347,7 @@ def encode_blocks(docs: DataFrame, file_a: bytes, file_b: bytes) -> DataFrame:
             yield row(parts)
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return stored(d.mapInArrow(run, BLOCK_ROWS), "aligned-blocks")
+    return stored(d.mapInArrow(releasing(run), BLOCK_ROWS), "aligned-blocks")
 
 
 def pair_counts(blocks: DataFrame, bits: int) -> DataFrame:

@@ -124,3 +124,13 @@ def test_trimmed_spans_give_way_to_decoded_bytes():
 def test_digits(n):
     rows, width = al._digits(n)
     assert [bytes(r[:w]).decode() for r, w in zip(rows, width, strict=True)] == [str(i) for i in range(n)]
+
+
+def test_workers_give_memory_back_after_encoding(spark, monkeypatch):
+    from glint.llm import alignment
+
+    tidied = []
+    monkeypatch.setattr(alignment, "releasing", lambda run: tidied.append(run.__name__) or run, raising=False)
+    monkeypatch.setattr(alignment, "stored", lambda df, name: df)
+    alignment.encode_blocks(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), b"", b"")
+    assert tidied == ["run"]
