@@ -6,13 +6,15 @@ a term's share of a score can be bounded whatever the average length is now. A s
 1. a threshold round: the few terms of highest bound per query are scored; the k-th best partial score is a
    threshold that every result must reach;
 2. the terms of least bound that together stay below the threshold are left aside: a document that has no other
-   term cannot reach it. Documents with another term get their partial score from these terms;
+   term cannot reach it. Documents with another term get their partial score from these terms. Nothing is left
+   aside of a query whose other terms would still reach most documents: one pass scores it in full;
 3. only documents whose partial score and the bounds of the terms left aside reach the threshold (raised by the
    partial scores) are scored in full, and the top k taken.
 
-Only postings of query terms move, those of common words only for the few documents of step 3. The result is
-exact, because a bound is never below a score. This suits queries with rare terms; where every query shares a
-term with most documents the bounds leave little out, and the scan (``glint.operators.scoring``) is the plan.
+The forward index is dealt by document, so the scores of a document are added up where its postings lie: pairs of
+a query and a document do not move, and only those that reach the threshold are kept. The result is exact,
+because a bound is never below a score. This suits queries with rare terms; where every query shares a term with
+most documents the bounds leave little out, and the scan (``glint.operators.scoring``) is the plan.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from glint.operators.text_index import K1, B, BM25Index, bounded_broadcast, post
 from glint.session import written
 
 LEADING = 4                 # terms of a query that set its first threshold
+BROAD = 0.5                 # share of the documents from which on a query's terms are all scored at once
 SLACK = 1e-8                # scores are ranked at 9 places
 
 
@@ -37,19 +40,22 @@ def impact(index: BM25Index, tf: str, dl: str) -> Column:
 
 
 def query_weights(index: BM25Index, qterms: DataFrame) -> DataFrame:
-    """``query_id, term, w, most, below``: query terms that the corpus knows, with count times idf, the most that the
-    term adds to a score (0 or more), and what all of the query's terms take away at most (0 or less)."""
+    """``query_id, term, w, share, most, below``: query terms that the corpus knows, with count times idf, the share of
+    the documents that have the term, the most that the term adds to a score (0 or more), and what all of the query's
+    terms take away at most (0 or less)."""
     bound = F.col("w") * impact(index, "top_tf", "least_dl")
-    w = qterms.join(index.terms.select("term", "idf", "top_tf", "least_dl"), "term").withColumn(
+    w = qterms.join(index.terms.select("term", "df", "idf", "top_tf", "least_dl"), "term").withColumn(
         "w", F.col("qn") * F.col("idf"))
-    return w.select("query_id", "term", "w", F.greatest(bound, F.lit(0.0)).alias("most"),
+    return w.select("query_id", "term", "w", (F.col("df") / F.lit(float(index.n_docs))).alias("share"),
+                    F.greatest(bound, F.lit(0.0)).alias("most"),
                     F.sum(F.least(bound, F.lit(0.0))).over(Window.partitionBy("query_id")).alias("below"))
 
 
 def scores_of(index: BM25Index, weights: DataFrame) -> DataFrame:
-    """``query_id, doc_id, score``: sums over the terms in ``weights`` of the documents that have one of them."""
+    """``query_id, doc_id, score``: sums over the terms in ``weights`` of the documents that have one of them. The rows
+    of the forward index are dealt by document, and the sums need no second exchange."""
     wanted = bounded_broadcast(weights.select("query_id", "term", "w"))
-    p = postings_of(index.forward).join(wanted, "term")
+    p = postings_of(index.forward.select("doc_id", "dl", "terms", "tfs").repartition("doc_id")).join(wanted, "term")
     return p.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * impact(index, "tf", "dl")).alias("score"))
 
 
@@ -63,21 +69,29 @@ def thresholds(partial: DataFrame, weights: DataFrame, k: int) -> DataFrame:
 
 
 def split_terms(weights: DataFrame, first: DataFrame) -> DataFrame:
-    """``weights`` with ``aside``: the terms of least bound whose bounds together stay below the query's threshold."""
+    """``weights`` with ``aside``: the terms of least bound whose bounds together stay below the query's threshold; none
+    of a query whose other terms together may be in more than a share ``BROAD`` of the documents."""
     upto = F.sum("most").over(Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(
         Window.unboundedPreceding, Window.currentRow))
-    return (weights.join(first, "query_id", "left").withColumn("aside", F.coalesce(upto < F.col("least"), F.lit(False)))
-            .drop("least"))
+    w = weights.join(first, "query_id", "left").withColumn("aside", F.coalesce(upto < F.col("least"), F.lit(False)))
+    reach = F.sum(F.when(F.col("aside"), 0.0).otherwise(F.col("share"))).over(Window.partitionBy("query_id"))
+    return w.withColumn("_reach", reach).withColumn("aside", F.col("aside") & (F.col("_reach") <= BROAD)).drop("least", "_reach")
 
 
-def survivors(partial: DataFrame, weights: DataFrame, k: int) -> DataFrame:
-    """``query_id, doc_id, score``: of the documents with a partial score those that can be in the top ``k``."""
+def reaching(partial: DataFrame, weights: DataFrame, least: DataFrame) -> DataFrame:
+    """``query_id, doc_id, score``: the rows of ``partial`` that with the bounds of the terms left aside reach the
+    query's threshold in ``least``."""
     rest = weights.groupBy("query_id").agg(F.sum(F.when(F.col("aside"), F.col("most")).otherwise(0.0)).alias("rest"))
-    j = partial.join(bounded_broadcast(rest), "query_id").join(thresholds(partial, weights, k), "query_id", "left")
+    j = partial.join(bounded_broadcast(rest.join(least, "query_id", "left")), "query_id")
     return j.filter(F.col("least").isNull() | (F.col("score") + F.col("rest") >= F.col("least"))).select(
         "query_id", "doc_id", "score")
 
 
+def survivors(partial: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    """``query_id, doc_id, score``: of the documents with a partial score those that can be in the top ``k``."""
+    return reaching(partial, weights, thresholds(partial, weights, k))
+
+
 def completed(index: BM25Index, weights: DataFrame, left: DataFrame) -> DataFrame:
     """``query_id, doc_id, bm25``: the partial scores of ``left`` with the terms left aside added."""
     aside = bounded_broadcast(weights.filter("aside").select("query_id", "term", "w"))
@@ -98,7 +112,8 @@ def bm25_join(index: BM25Index, queries: DataFrame, k: int = 10, query_text: str
                       "bm25-weights")
     lead = Window.partitionBy("query_id").orderBy(F.col("most").desc(), "term")
     leading = weights.withColumn("_n", F.row_number().over(lead)).filter(F.col("_n") <= LEADING)
-    weights = written(split_terms(weights, thresholds(scores_of(index, leading), weights, k)), "bm25-weights")
-    partial = written(scores_of(index, weights.filter("NOT aside")), "bm25-partial")
+    first = written(thresholds(scores_of(index, leading), weights, k), "bm25-least")
+    weights = written(split_terms(weights, first), "bm25-weights")
+    partial = written(reaching(scores_of(index, weights.filter("NOT aside")), weights, first), "bm25-partial")
     scores = completed(index, weights, written(survivors(partial, weights, k), "bm25-left"))
     return top_by(scores, k, "bm25").select("query_id", "rank", "doc_id", "bm25")

@@ -258,3 +258,11 @@ def test_hits_are_searched_once_for_the_second_encoder(spark):
     q = spark.createDataFrame([(1, "a b")], "query_id long, query string")
     got = R.rerank_by_encoder(hits.mapInPandas(count, hits.schema), docs, q).collect()
     assert [r["doc_id"] for r in sorted(got, key=lambda r: r["rerank_rank"])] == [10, 11] and seen.value == 2
+
+
+def test_scores_of_a_document_are_added_where_its_postings_lie(spark):
+    idx = T.build_index(spark.createDataFrame(corpus(3), "doc_id long, content string"))
+    q = spark.createDataFrame([(1, "w1 w2 common"), (2, "common")], "query_id long, query string")
+    weights = BM.query_weights(idx, T.query_terms(q)).persist()
+    plan = plan_of(BM.scores_of(idx, weights))
+    assert "hashpartitioning(doc_id" in plan and "hashpartitioning(query_id" not in plan     # no pair is exchanged
