@@ -266,3 +266,13 @@ def test_scores_of_a_document_are_added_where_its_postings_lie(spark):
     weights = BM.query_weights(idx, T.query_terms(q)).persist()
     plan = plan_of(BM.scores_of(idx, weights))
     assert "hashpartitioning(doc_id" in plan and "hashpartitioning(query_id" not in plan     # no pair is exchanged
+
+
+def test_tokens_of_a_text_are_sorted_without_a_comparing_function(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (2, None), (3, "")], "doc_id long, content string")
+    rows = T.forward_rows(docs)
+    assert "sort_array(" in rows._jdf.queryExecution().analyzed().toString()
+    assert [(r["dl"], r["terms"], r["tfs"]) for r in rows.orderBy("doc_id").collect()] == [
+        (3, ["a", "b"], [1, 2]), (0, [], []), (0, [], [])]
+    listed = spark.createDataFrame([(1, ["b", None, "a"])], "doc_id long, t array<string>")
+    assert T.forward_rows(listed, tokens="t").first()["terms"] == ["a", "b"]
