@@ -1,5 +1,5 @@
-"""Stream queries: each writes its input as 4 JSON-lines files in time order (derived
-from ``events``), runs the stream to completion (``availableNow``) and returns the
+"""Stream queries: each writes its input as JSON lines in 4 parts in time order (derived
+from ``events``; a part is as many files as its rows need and one micro-batch), runs the stream to completion (``availableNow``) and returns the
 sink read back; the oracle is the SQL of the batch twin (S2, S3, X1-X6)."""
 
 from __future__ import annotations
@@ -18,11 +18,27 @@ from glint.streaming import cache as CA
 from glint.streaming import market as MK
 from glint.streaming import state as ST
 
-N_FILES = 4
+N_PARTS = 4
+FILE_ROWS = 250_000         # a part of so many rows more is written as one file more, by a task of its own
 
 
-def _message_files(spark, sf, symbol="user", mixed=True) -> str:
-    """Market messages from events, one file per time quarter, written in time order.
+def _in_parts(rows, order, write) -> int:
+    """Write ``rows`` in parts of about equal size, by the values of ``order``, one after the other (the file source
+    takes files by time): ``write(part, i)``. Returns the files of a part, the same for every part."""
+    cuts = [r / N_PARTS for r in range(1, N_PARTS)]
+    cuts = sorted(set(rows.agg(F.percentile_approx(order, cuts, 1000)).first()[0] or []))
+    at = F.when(order.isNotNull(), sum(((order > c).cast("int") for c in cuts), F.lit(0)))
+    held = {r["_p"]: r["n"] for r in rows.groupBy(at.alias("_p")).agg(F.count(F.lit(1)).alias("n")).collect()
+            if r["_p"] is not None}
+    files = max(1, min(held.values(), default=0) // FILE_ROWS)
+    for i in sorted(held) or [0]:
+        part = rows.filter(at == i)
+        write(part.coalesce(1) if files == 1 else part.repartition(files), i)
+    return files
+
+
+def _message_files(spark, sf, symbol="user", mixed=True) -> tuple[str, dict]:
+    """Market messages from events, in parts by time, and the options with which a stream takes a part at once.
 
     ``mixed``: clicks are trades sent as a one-element list, purchases are quotes,
     and error events below 5 become broken records; otherwise every event is a bar.
@@ -41,15 +57,10 @@ def _message_files(spark, sf, symbol="user", mixed=True) -> str:
                  .when((F.col("event_type") == "error") & (F.col("value") < 5),
                        F.concat(F.lit('{"kind": "bar", "symbol": '), F.col("event_id")))
                  .otherwise(value))
-    lo, hi = ev.agg(F.min(ntz_micros("ts")),
-                    F.max(ntz_micros("ts"))).first()
-    width = (hi - lo) // N_FILES + 1
-    part = F.floor((ntz_micros("ts") - F.lit(lo)) / F.lit(width))
     base = shared_dir(spark, "messages")
-    msgs = ev.select(part.alias("_p"), value.alias("value"))
-    for i in range(N_FILES):        # one after the other: the file source takes files by time
-        msgs.filter(F.col("_p") == i).select("value").coalesce(1).write.text(f"{base}/q{i}")
-    return f"{base}/q*/part-*"
+    files = _in_parts(ev.select(ntz_micros("ts").alias("_at"), value.alias("value")), F.col("_at"),
+                      lambda part, i: part.select("value").write.text(f"{base}/q{i}"))
+    return f"{base}/q*/part-*", {"maxFilesPerTrigger": str(files)}
 
 
 def _run(query):
@@ -74,9 +85,9 @@ def stream_ingest(spark, sf):
 
 
 def _ingested(spark, sf) -> tuple[str, str]:
-    src = _message_files(spark, sf)
+    src, at_once = _message_files(spark, sf)
     out, ck = shared_dir(spark, "bars"), shared_dir(spark, "ckpt")
-    raw = MK.read_market_stream(spark, "text", src)
+    raw = MK.read_market_stream(spark, "text", src, at_once)
     _run(MK.ingest_bars(raw, B.watchlist(spark, sf), out, ck, quarantine=out + "_bad"))
     return out, out + "_bad"
 
@@ -95,9 +106,9 @@ FROM events WHERE NOT (event_type = 'error' AND value < 5) GROUP BY 1, 2""")
 def stream_publish(spark, sf):
     """S3: decoded messages published again as JSON values keyed by symbol (a text sink
     stands in for the topic), then read back and counted per kind and symbol."""
-    src = _message_files(spark, sf)
+    src, at_once = _message_files(spark, sf)
     out, ck = shared_dir(spark, "topic"), shared_dir(spark, "ckpt")
-    good, _ = MK.decode_messages(MK.read_market_stream(spark, "text", src))
+    good, _ = MK.decode_messages(MK.read_market_stream(spark, "text", src, at_once))
     enc = MK.encode_messages(good).select("value")
     _run(MK.write_market_stream(enc, "text", ck, path=out))
     back, _ = MK.decode_messages(spark.read.text(out))
@@ -105,8 +116,8 @@ def stream_publish(spark, sf):
 
 
 def _bar_stream(spark, sf):
-    src = _message_files(spark, sf, symbol="type", mixed=False)
-    good, _ = MK.decode_messages(MK.read_market_stream(spark, "text", src))
+    src, at_once = _message_files(spark, sf, symbol="type", mixed=False)
+    good, _ = MK.decode_messages(MK.read_market_stream(spark, "text", src, at_once))
     return good.select("symbol", "timestamp", "close", "volume")
 
 
@@ -153,31 +164,28 @@ QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, close DESC) = 1
   AND ts > TIMESTAMP '{B.NOW}' - INTERVAL 3600 SECOND""")
 def stream_latest(spark, sf):
     """Newest message per symbol as keyed state that expires, served from the state when younger than 1 h."""
-    src = _message_files(spark, sf)
+    src, at_once = _message_files(spark, sf)
     ck = shared_dir(spark, "ckpt")
-    good, _ = MK.decode_messages(MK.read_market_stream(spark, "text", src))
+    good, _ = MK.decode_messages(MK.read_market_stream(spark, "text", src, at_once))
     rows = good.select("symbol", F.col("timestamp").alias("ts"), "close")
     _run(CA.start_cache(rows, ck, "symbol", "ts", "close", 3600, lag_seconds=7200))
     return round_doubles(CA.read_cache(spark, ck, B.NOW, 3600).select("symbol", "ts", "close"))
 
 
-def _memory_files(spark, sf, scale=100.0) -> str:
+def _memory_files(spark, sf, scale=100.0):
     m = B.memories(spark, sf, importance_scale=scale).select(
         "memory_id", "memory_type", "content", "timestamp", "importance", "metadata", "context", "emotions")
     base = shared_dir(spark, "memfeed")
-    lo, hi = m.agg(F.min("memory_id"), F.max("memory_id")).first()
-    width = (hi - lo) // N_FILES + 1
-    for i in range(N_FILES):
-        m.filter(F.floor((F.col("memory_id") - lo) / width) == i).coalesce(1).write.parquet(f"{base}/q{i}")
-    return base, m.schema
+    files = _in_parts(m, F.col("memory_id"), lambda part, i: part.write.parquet(f"{base}/q{i}"))
+    return base, m.schema, files
 
 
 def _stream_memories(spark, sf, scale):
-    base, schema = _memory_files(spark, sf, scale)
+    base, schema, files = _memory_files(spark, sf, scale)
     path = shared_dir(spark, "memtable")
     for attempt in range(2):          # the second run replays every batch: nothing is added
         ck = shared_dir(spark, "ckpt")
-        src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+        src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
                .parquet(f"{base}/q*/part-*"))
         _run(src.writeStream.foreachBatch(ST.memories_sink(path)).option("checkpointLocation", ck)
              .trigger(availableNow=True).start())

@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
+
 from glint.streaming import cache as CA
 
 SCHEMA = "symbol string, ts timestamp_ntz, event_id long, payload double"
@@ -69,3 +71,20 @@ def test_changes_are_passed_on(spark, tmp_path):
         seen.extend((r["symbol"], r["event_id"], r["alive"]) for r in changes.collect())
     run(spark, path, ck, ttl_seconds=3600, on_change=keep)
     assert sorted(seen) == [("a", 2, False), ("a", 2, True), ("b", 3, True)]
+
+
+def test_a_task_keeps_the_newest_row_of_keys_that_can_be_alive():
+    random.seed(4)
+    rows = [(random.choice("abcdefgh"), random.randint(0, 1000), random.choice([None, 2 ** 60 + 1, 2 ** 60 + 2])) for _ in range(90)]
+    rows += [("old", 1000 - 301, 1), ("edge", 1000 - 300, None), ("last", 1000, 5)]
+    random.shuffle(rows)
+    names = ["symbol", "event_micros", "event_id"]
+    batches = [pa.record_batch([list(c) for c in zip(*rows[i:i + 7], strict=True)], schema=pa.schema(
+        [("symbol", pa.string()), ("event_micros", pa.int64()), ("event_id", pa.int64())])) for i in range(0, len(rows), 7)]
+    got = [tuple(r[n] for n in names) for b in CA.combine("symbol", "event_id", 300)(iter(batches)) for r in b.to_pylist()]
+    newest = {}
+    for r in rows:
+        if r[0] not in newest or (r[1], r[2] or 0) > (newest[r[0]][1], newest[r[0]][2] or 0):
+            newest[r[0]] = r
+    assert sorted(got) == sorted(r for r in newest.values() if r[1] >= 700)
+    assert "old" not in {r[0] for r in got} and list(CA.combine("symbol", "event_id", 300)(iter([]))) == []

@@ -1,5 +1,8 @@
 """Model hooks with working and failing functions, defaults, and message decoding."""
 
+import datetime as dt
+
+import pytest
 from pyspark.sql import functions as F
 
 from glint.functions.scalar import with_defaults
@@ -121,3 +124,18 @@ def test_stream_throttle_state_and_timeout():
     assert len(next(fn(("A",), [more], st))) == 0                # within 5 minutes of the last accepted
     expired = FakeState(value=st.value, timed_out=True)
     assert list(fn(("A",), [more.iloc[:0]], expired)) == [] and expired.removed
+
+
+@pytest.mark.parametrize(("rows_of_a_file", "files"), [(10, 3), (1000, 1)])
+def test_a_part_of_the_input_is_many_files_in_time_order(spark, tmp_path, monkeypatch, rows_of_a_file, files):
+    from glint.plans import q_streams as Q
+    monkeypatch.setattr(Q, "FILE_ROWS", rows_of_a_file)
+    rows = spark.range(0, 130, numPartitions=3).select(F.col("id").alias("at"), (F.col("id") * 2).alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([(None, -1)], "at long, v long"))         # without a time: not sent
+    base = str(tmp_path / "in")
+    assert Q._in_parts(rows, F.col("at"), lambda part, i: part.write.parquet(f"{base}/q{i}")) == files
+    seen = []
+    for part in sorted(tmp_path.glob("in/q*")):
+        assert len(list(part.glob("part-*"))) == files
+        seen.append(sorted(r["at"] for r in spark.read.parquet(str(part)).collect()))
+    assert len(seen) == 4 and [a for part in seen for a in part] == list(range(130))
