@@ -191,8 +191,9 @@ def append_memories(df: DataFrame, path: str, scorer=None, embedder=None, dim: i
     ids stored for the batch's types and days), so replaying a batch after a failure writes nothing twice.
     Returns ``path``; read the table from there.
     """
-    m = with_ids(df).withColumn("day", F.to_date("timestamp"))
-    have = stored_ids(df.sparkSession, path, m) if idempotent else None
+    df = df.withColumn("day", F.to_date("timestamp"))
+    have = stored_ids(df.sparkSession, path, df) if idempotent else None       # types and days need no ids
+    m = with_ids(df)
     if have is not None:
         m = m.join(have, "id", "left_anti")
     prepare_memories(m, scorer, embedder, dim).write.mode("append").partitionBy("memory_type", "day").parquet(path)

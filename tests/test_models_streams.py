@@ -139,3 +139,15 @@ def test_a_part_of_the_input_is_many_files_in_time_order(spark, tmp_path, monkey
         assert len(list(part.glob("part-*"))) == files
         seen.append(sorted(r["at"] for r in spark.read.parquet(str(part)).collect()))
     assert len(seen) == 4 and [a for part in seen for a in part] == list(range(130))
+
+
+def test_types_and_days_of_a_batch_are_found_without_its_ids(spark, tmp_path, monkeypatch):
+    batches, stored = [], MD.stored_ids
+    monkeypatch.setattr(MD, "stored_ids", lambda s, path, batch: batches.append(batch) or stored(s, path, batch))
+    df = spark.createDataFrame([(1, "x", "t", dt.datetime(2024, 1, 1), 0.5, {"a": "b"})] * 2,
+                               "memory_id long, memory_type string, content string, timestamp timestamp_ntz, "
+                               "importance double, metadata map<string,string>")
+    for _ in range(2):
+        MD.append_memories(df, str(tmp_path / "mem"))
+    assert len(batches) == 2 and all("Window" not in b._jdf.queryExecution().toString() for b in batches)
+    assert spark.read.parquet(str(tmp_path / "mem")).count() == 1
