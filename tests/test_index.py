@@ -276,3 +276,15 @@ def test_tokens_of_a_text_are_sorted_without_a_comparing_function(spark):
         (3, ["a", "b"], [1, 2]), (0, [], []), (0, [], [])]
     listed = spark.createDataFrame([(1, ["b", None, "a"])], "doc_id long, t array<string>")
     assert T.forward_rows(listed, tokens="t").first()["terms"] == ["a", "b"]
+
+
+@pytest.mark.parametrize("broad", [-1.0, 1e9])
+def test_broad_queries_are_scored_in_the_pass_of_the_partial_scores(spark, monkeypatch, broad):
+    monkeypatch.setattr(BM, "BROAD", broad)
+    rows = corpus(9) + [(9000 + i, "rare1 rare2 rare3 w1") for i in range(12)]
+    text = "rare1 rare2 rare3 w1 w2 common"
+    idx = T.build_index(spark.createDataFrame(rows, "doc_id long, content string"))
+    got = BM.bm25_join(idx, spark.createDataFrame([(1, text)], "query_id long, query string"), 5).orderBy("rank").collect()
+    want = sorted(brute_scores(rows, text).items(), key=lambda x: (-round(x[1], 9), x[0]))[:5]
+    assert [r["doc_id"] for r in got] == [d for d, _ in want]
+    assert [r["bm25"] for r in got] == pytest.approx([s for _, s in want], abs=1e-9)
