@@ -14,6 +14,7 @@ from glint.functions.scalar import NO_INSIGHTS
 from glint.functions.text import clip, collect_text, fmt2, session_label
 
 INDENT = "        "
+HIT_CHARS = 300             # shown of a retrieval hit
 
 
 def format_research(title, summary, content) -> F.Column:
@@ -26,7 +27,7 @@ def format_research(title, summary, content) -> F.Column:
 
 def format_hit(content, relevance, rerank) -> F.Column:
     """One retrieval insight (V20); missing scores print as 0.00."""
-    return F.concat(F.lit("\nInsight:\n"), clip(content, 300),
+    return F.concat(F.lit("\nInsight:\n"), clip(content, HIT_CHARS),
                     F.lit("\nRelevance: "), fmt2(F.coalesce(relevance, F.lit(0.0))),
                     F.lit("\nReranking Score: "), fmt2(F.coalesce(rerank, F.lit(0.0))), F.lit("\n"))
 

@@ -13,7 +13,7 @@ from glint.operators import assemble as A
 from glint.operators import retrieval as R
 from glint.operators.memory import search_memories
 from glint.operators.models import append_memories
-from glint.operators.text_index import BM25Index
+from glint.operators.text_index import BM25Index, bounded_broadcast
 from glint.session import written
 
 MEMORY_TYPE = "trading_decision"
@@ -37,7 +37,10 @@ def insights(index: BM25Index, docs: DataFrame, queries: DataFrame, encoder=None
     """``symbol, insights_text``: hybrid hits of each symbol's query, re-ranked by the encoder, highly relevant ones only."""
     hits = R.hybrid_scores(index, None, queries, k)
     kept = R.high_relevance(R.rerank_by_encoder(hits, docs, queries, encoder, dim, cache))
-    rows = kept.join(docs.select("doc_id", "content"), "doc_id").join(queries.select("query_id", "symbol"), "query_id")
+    kept = written(kept, "chain-hits")
+    texts = docs.join(bounded_broadcast(kept.select("doc_id").distinct()), "doc_id", "left_semi").select(
+        "doc_id", F.substring("content", 1, A.HIT_CHARS).alias("content"))      # what is shown of a hit, however long its text is
+    rows = kept.join(texts, "doc_id").join(queries.select("query_id", "symbol"), "query_id")
     return A.hits_text(rows.withColumn("rank", F.col("rerank_rank")))
 
 

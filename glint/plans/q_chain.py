@@ -14,7 +14,7 @@ from glint.plans import q_retrieval as Q
 from glint.plans import sqlbind as S
 from glint.plans.catalog import register
 from glint.plans.standins import letter_counts, plain_decision, plain_sentiment
-from glint.session import shared_dir
+from glint.session import shared_dir, written
 from glint.sources.memories import read_memories
 
 
@@ -81,13 +81,14 @@ FROM t"""
 def analysis_chain(spark, sf):
     """J7 + V20 + S5: every symbol's chain: retrieval hits re-ranked, nearest past decisions, research, indicators and
     context into one text, decided on, stored as a memory (twice: the second run stores nothing) and read back."""
-    ctx = signals.market_context(signals.latest_indicators(B.bars(spark, sf, "user_id"), 1000))
-    research = A.research_text(RS.top_research(QA._symbol_items(spark, sf), by=["symbol"]))
-    symbols = _symbols(spark, sf)
+    ctx = written(signals.market_context(signals.latest_indicators(B.bars(spark, sf, "user_id"), 1000)), "chain-context")
+    research = written(A.research_text(RS.top_research(QA._symbol_items(spark, sf), by=["symbol"])), "chain-research")
+    symbols = written(_symbols(spark, sf), "chain-symbols")
     index = Q._index(spark, sf)
-    hits = C.insights(index, index.forward.select("doc_id", "content"), C.retrieval_queries(symbols, B.NOW), letter_counts, 26)
-    past = QA._decision_memories(spark, sf).withColumn("memory_type", F.lit(C.MEMORY_TYPE)).join(
-        B.vectors(spark, sf).withColumnRenamed("vec_id", "memory_id"), "memory_id")
+    hits = written(C.insights(index, index.forward.select("doc_id", "content"), C.retrieval_queries(symbols, B.NOW),
+                              letter_counts, 26), "chain-insights")
+    past = written(QA._decision_memories(spark, sf).withColumn("memory_type", F.lit(C.MEMORY_TYPE)).join(
+        B.vectors(spark, sf).withColumnRenamed("vec_id", "memory_id"), "memory_id"), "chain-past")
     path = shared_dir(spark, "decisions")
     for _ in range(2):
         decided = C.run_chain(ctx, research, C.remembered(past, symbols), hits, B.NOW, path, plain_decision, plain_sentiment)
