@@ -55,7 +55,6 @@ class AlikeQueries:
     """Queries in the order of their kinds, those with a vector first."""
 
     ids: np.ndarray
-    counted: np.ndarray          # False: another query of the same id stands for it
     vectors: np.ndarray          # of the queries that have one
     kind: np.ndarray
     bounds: np.ndarray           # where the queries of each kind begin, and the end
@@ -111,11 +110,9 @@ def alike_queries(asked: list[Asked], df: list[int], n_docs: int, avgdl: float,
     place = np.argsort(order)
     rare = ~often[codes]
     by_term = np.argsort(codes[rare], kind="stable")
-    last = {a.query_id: i for i, a in enumerate(asked)}
-    counted = np.array([last[a.query_id] == i for i, a in enumerate(asked)])
     vectors = [asked[i].vector for i in order if asked[i].vector is not None]
     return AlikeQueries(
-        np.array([asked[i].query_id for i in order], dtype=np.int64), counted[order],
+        np.array([asked[i].query_id for i in order], dtype=np.int64),
         matrix(pd.Series(vectors, dtype=object), max((len(v) for v in vectors), default=0)),
         kind, np.append(0, np.cumsum(held)), table, np.array([a.start for a in one]), np.array([a.end for a in one]),
         np.array([a.vector is None for a in one]), common,
@@ -340,6 +337,5 @@ def alike_topk(rows: DataFrame, q: AlikeQueries, k: int, min_relevance: float, w
     for r in found.select("place", "b", "s", F.get(F.sort_array(scores, False), k - 1).alias("kth")).toLocalIterator():
         most[:, r["place"]] = r["b"], r["s"]
         least[r["place"]] = -np.inf if r["kth"] is None else r["kth"]
-    most[:, ~q.counted], least[~q.counted] = -1.0, -np.inf
     bounds = send((most, np.maximum(least, min_relevance) - SLACK))
     return rows.mapInPandas(top(held, bounds, k, w_bm25, w_sem, [f.split()[0] for f in schema.split(", ")]), schema)

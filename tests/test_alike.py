@@ -99,6 +99,14 @@ def test_the_index_is_read_once_for_many_queries_of_one_form(spark, monkeypatch)
     assert len(reads) == 1
 
 
+def test_a_query_that_comes_twice_gets_its_documents_twice(spark, monkeypatch):
+    monkeypatch.setattr(AL, "RARELY", 1)
+    _, _, index, q = tables(spark, 6)
+    once = found(SCO.hybrid_topk(index, None, q, 2, 0.4))
+    twice = found(SCO.hybrid_topk(index, None, q.unionByName(q), 4, 0.4))
+    assert twice == {(i, 2 * r - m): d for (i, r), d in once.items() for m in (0, 1)} and once
+
+
 def test_queries_that_differ_stay_in_blocks(spark):
     rng = random.Random(1)
     asked = [AL.Asked(i, None, np.nan, np.nan, np.array(rng.sample(range(40), 12)), np.ones(12)) for i in range(64)]
